@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm.common import documents
+from spanloom.llm import licenses
+from spanloom.llm.common import documents, new_path
+from spanloom.llm.decontaminate import leaks
+from spanloom.llm.fingerprints import compare_with_next
+from spanloom.llm.language import document_records, fit, identify, page_records
+from spanloom.llm.line_dedup import line_dedup
 from spanloom.llm.minhash_dedup import minhash_dedup
+from spanloom.llm.packing import pack
 from spanloom.llm.substring_dedup import substring_dedup
+from spanloom.llm.token_counts import count_tokens
+from spanloom.llm.token_files import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,14 +27,76 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), keep_text=False)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of later three-line windows removed; the digest of what is left."""
+    cleaned = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item that align."""
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, compared with each other and the next."""
+    return compare_with_next(documents(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and every page; one of doc_id and page_id is null."""
+    docs = documents(spark, sf_dir)
+    rows = document_records(docs).withColumn("page_id", F.lit(None).cast("bigint"))
+    rows = rows.unionByName(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("doc_id", F.lit(None).cast("bigint")))
+    return identify(rows, fit(docs)).select("doc_id", "page_id", "language", "language_posterior", F.col("language_kept").alias("kept"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every text."""
+    return count_tokens(documents(spark, sf_dir))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingle sets at 0.8."""
     return minhash_dedup(documents(spark, sf_dir), shingle=4, threshold=0.8)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every text."""
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of every text in sequences of 2048."""
+    return pack(documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, from binary files that were written and read back."""
+    path = new_path(spark, "tokens")
+    write_tokens(documents(spark, sf_dir), path)
+    return read_tokens(spark, path).drop("ids")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_language_id": op5_language_id,
+    "op6_token_counts": op6_token_counts,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_pack": op9_pack,
+    "op10_token_files": op10_token_files,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -48,4 +119,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
        sha256(coalesce(body, '')) AS kept_sha256
 FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
+    "op2_line_dedup": r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+windows AS (
+  SELECT doc_id, p, l[p] AS a, l[p + 1] AS b, l[p + 2] AS c
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM docs WHERE len(l) >= 3)),
+full_windows AS (SELECT * FROM windows WHERE trim(translate(a || b || c, chr(9) || chr(13), '  ')) <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS r FROM full_windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM ranked WHERE r > 1),
+each_line AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM docs),
+kept AS (
+  SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.p) AS body, count(*) AS n
+  FROM each_line e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op8_license_scan": licenses.oracle_sql(),
 }
