@@ -5,8 +5,349 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from spanloom.operators import compare, counters, health, ordering, samples, stacks, traces
+from spanloom.plans import adapters as A
+from spanloom.sources import files
 
+Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_CALLS = """
+calls AS (
+  SELECT 'cust-' || o_custkey AS session_id, o_orderkey % 4 AS core_id, o_orderkey, l_linenumber, o_orderstatus, l_returnflag,
+         CAST(l_quantity AS BIGINT) AS ns
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+outer_calls AS (
+  SELECT session_id, core_id, o_orderkey, 'order-' || o_orderstatus AS function_id, sum(ns) AS active_ns, 0 AS self_ns
+  FROM calls GROUP BY ALL),
+spans AS (
+  SELECT session_id, core_id, function_id, active_ns, self_ns, 1 AS depth FROM outer_calls
+  UNION ALL SELECT session_id, core_id, 'line-' || l_returnflag, ns, ns, 2 FROM calls)"""
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT session_id, function_id, count(*) AS activations, CAST(sum(active_ns) AS BIGINT) AS inclusive_ns, CAST(sum(self_ns) AS BIGINT) AS self_ns,
+       CAST(min(active_ns) AS BIGINT) AS min_ns, CAST(max(active_ns) AS BIGINT) AS max_ns, CAST(sum(active_ns) // count(*) AS BIGINT) AS average_ns, 'exact' AS quality
+FROM spans GROUP BY session_id, function_id""")
+def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the activations of each function."""
+    return traces.hotspots(traces.function_spans(A.call_trace(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT session_id, CAST(core_id AS BIGINT) AS core_id, function_id, depth, count(*) AS n, CAST(sum(active_ns) AS BIGINT) AS active_ns, CAST(sum(self_ns) AS BIGINT) AS self_ns
+FROM spans GROUP BY ALL""")
+def span_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activations by core and depth."""
+    spans = traces.function_spans(A.call_trace(spark, sf_dir))
+    return spans.groupBy("session_id", "core_id", "function_id", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"), F.sum("active_ns").alias("active_ns"), F.sum("self_ns").alias("self_ns"))
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT session_id, 't' || core_id AS context_id, 'task' AS kind, CAST(sum(ns) AS BIGINT) AS active_ns FROM calls GROUP BY ALL""")
+def context_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CPU time of each context."""
+    return traces.context_cpu(A.call_trace(spark, sf_dir))
+
+
+@query(f"""
+WITH {_CALLS} SELECT session_id, CAST(sum(ns) AS BIGINT) AS task_ns, CAST(0 AS BIGINT) AS isr_ns, CAST(0 AS BIGINT) AS idle_ns FROM calls GROUP BY session_id""")
+def cpu_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task, interrupt and idle time of each session."""
+    return traces.cpu_totals(traces.context_cpu(A.call_trace(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_CALLS}, found AS (
+  SELECT session_id, function_id, count(*) AS activations, sum(active_ns) AS inclusive_ns, sum(self_ns) AS self_ns FROM spans GROUP BY ALL)
+SELECT session_id, function_id, activations, CAST(inclusive_ns AS BIGINT) AS inclusive_ns, CAST(self_ns AS BIGINT) AS self_ns, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY self_ns DESC, inclusive_ns DESC, activations DESC, function_id) AS place FROM found) WHERE place <= 3""")
+def top_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three first functions of each session."""
+    found = traces.hotspots(traces.function_spans(A.call_trace(spark, sf_dir)))
+    return traces.top_functions(found, 3).select("session_id", "function_id", "activations", "inclusive_ns", "self_ns", "place")
+
+
+@query()
+def deepest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each session first reached its greatest call depth."""
+    return traces.deepest_path(traces.function_spans(A.call_trace(spark, sf_dir)))
+
+
+_COUNTERS = """
+rows AS (
+  SELECT 'user-' || user_id AS session_id, event_type AS counter_id, event_id AS ord, epoch_us(ts) * 1000 AS ts_ns, value,
+         CASE event_type WHEN 'click' THEN 'monotonic' WHEN 'view' THEN 'high_watermark' ELSE 'gauge' END AS behaviour FROM events),
+judged AS (
+  SELECT *, behaviour <> 'gauge' AND value < lag(value) OVER (PARTITION BY session_id, counter_id ORDER BY ord) AS broken FROM rows)"""
+
+
+@query(f"""
+WITH {_COUNTERS}, found AS (
+  SELECT session_id, counter_id, behaviour, count(*) AS n, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns, arg_min(value, ord) AS first, arg_max(value, ord) AS latest,
+         min(value) AS least, max(value) AS greatest, bool_and(NOT coalesce(broken, false)) AS window_valid FROM judged GROUP BY ALL)
+SELECT session_id, counter_id, n, first_ts_ns, last_ts_ns, first, latest, least, greatest, behaviour, window_valid, 'exact' AS quality,
+       CASE WHEN n >= 2 AND window_valid THEN latest - first END AS delta, CASE WHEN n >= 2 THEN last_ts_ns - first_ts_ns END AS window_ns,
+       CASE WHEN behaviour = 'monotonic' AND last_ts_ns > first_ts_ns AND n >= 2 AND window_valid THEN (latest - first) * 1e9 / (last_ts_ns - first_ts_ns) END AS rate_per_s
+FROM found""")
+def counter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, latest, extremes, delta and rate of each counter."""
+    return counters.summary(counters.checked(A.counter_rows(spark, sf_dir))).drop("mean")
+
+
+@query(f"""
+WITH {_COUNTERS} SELECT session_id, counter_id, 'resource_counter_not_monotonic' AS violation, count(*) AS n FROM judged WHERE broken GROUP BY ALL""")
+def counter_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Falling monotonic counters and watermarks."""
+    return counters.checked(A.counter_rows(spark, sf_dir)).where("violation IS NOT NULL").groupBy("session_id", "counter_id", "violation").agg(F.count("*").alias("n"))
+
+
+_ROLES = "CASE event_type WHEN 'click' THEN 'largest' WHEN 'view' THEN 'free' END"
+
+
+@query(f"""
+WITH rows AS (SELECT 'user-' || user_id AS session_id, event_id AS ord, event_id // 4 AS ts_ns, value, {_ROLES} AS role FROM events WHERE event_type IN ('click', 'view')),
+known AS (
+  SELECT *, arg_max(ts_ns, ord) FILTER (role = 'free') OVER w AS free_ts, arg_max(value, ord) FILTER (role = 'free') OVER w AS free,
+         arg_max(ts_ns, ord) FILTER (role = 'largest') OVER w AS largest_ts, arg_max(value, ord) FILTER (role = 'largest') OVER w AS largest
+  FROM rows WINDOW w AS (PARTITION BY session_id ORDER BY ord)),
+latest AS (SELECT session_id, arg_max(free_ts, ord) AS ts_ns, arg_max(free, ord) AS free, arg_max(largest, ord) AS largest FROM known WHERE free_ts = largest_ts GROUP BY session_id),
+sessions AS (SELECT session_id, count(DISTINCT role) AS roles FROM rows GROUP BY session_id)
+SELECT s.session_id, 'heap' AS subject, ts_ns, CASE WHEN largest <= free AND free <> 0 THEN 1 - largest / free END AS ratio,
+       CASE WHEN roles < 2 THEN 'input_missing' WHEN ts_ns IS NULL THEN 'inputs_not_synchronized' WHEN free = 0 THEN 'no_free_memory' WHEN largest > free THEN 'largest_exceeds_free' END AS reason
+FROM sessions s LEFT JOIN latest l ON s.session_id = l.session_id""")
+def fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External fragmentation at the latest time both inputs were read."""
+    rows = A.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')").selectExpr("concat('user-', user_id) AS session_id", "'heap' AS subject", "event_id AS ord", "event_id div 4 AS ts_ns", "value", f"{_ROLES} AS role")
+    return counters.fragmentation(rows)
+
+
+_SEQUENCE = """
+rows AS (SELECT 'user-' || user_id AS session_id, event_id AS ord, event_id AS source_seq FROM events),
+steps AS (SELECT *, max(source_seq) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM rows),
+facts AS (SELECT session_id, ord, CASE WHEN source_seq <= highest THEN 'out_of_order_sequence' WHEN source_seq > highest + 1 THEN 'trace_gap' END AS code, source_seq - highest - 1 AS missing FROM steps)"""
+
+
+@query(f"WITH {_SEQUENCE} SELECT session_id, code, count(*) AS n, CAST(sum(missing) AS BIGINT) AS missing FROM facts WHERE code IS NOT NULL GROUP BY ALL")
+def sequence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps in source sequences."""
+    return health.sequence_facts(A.counter_rows(spark, sf_dir)).groupBy("session_id", "code").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"))
+
+
+@query(f"""
+WITH {_SEQUENCE}, own AS (SELECT session_id, count(*) AS issues FROM facts WHERE code IS NOT NULL GROUP BY session_id)
+SELECT DISTINCT r.session_id, CASE WHEN issues IS NULL THEN 'VALID' ELSE 'DEGRADED' END AS verdict, coalesce(issues, 0) AS issues FROM rows r LEFT JOIN own o ON r.session_id = o.session_id""")
+def health_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each session on its sequence facts."""
+    rows = A.counter_rows(spark, sf_dir)
+    return health.verdicts(rows, health.issues(health.capped(health.sequence_facts(rows))))
+
+
+@query(f"""
+WITH {_SEQUENCE}, bad AS (SELECT DISTINCT session_id FROM facts WHERE code IS NOT NULL),
+metrics(metric) AS (VALUES ('wall_time'), ('active_time'), ('self_time'), ('call_count'), ('context_time'), ('interrupt_time'), ('sampling'), ('resource'))
+SELECT s.session_id, metric, CASE WHEN b.session_id IS NOT NULL AND metric NOT IN ('sampling', 'resource') THEN 'inferred' ELSE 'exact' END AS support
+FROM (SELECT DISTINCT session_id FROM rows) s CROSS JOIN metrics LEFT JOIN bad b ON s.session_id = b.session_id""")
+def metric_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support of each metric of each session."""
+    rows = A.counter_rows(spark, sf_dir)
+    return health.support(rows, health.issues(health.sequence_facts(rows))).drop("reasons")
+
+
+_SAMPLES = """
+samples AS (SELECT 'user-' || (user_id % 10) AS session_id, 4096 + event_id * 37 % 8192 AS address, event_type AS context_id FROM events),
+ranges AS (SELECT 'part-' || p_partkey AS function_id, 4096 + 64 * (p_partkey - 1) AS low, 4096 + 64 * p_partkey AS high FROM part WHERE p_partkey <= 128),
+hit AS (SELECT s.*, function_id FROM samples s LEFT JOIN ranges ON address >= low AND address < high)"""
+
+
+@query(f"""
+WITH {_SAMPLES}, found AS (SELECT session_id, function_id, address, context_id, count(*) AS samples FROM hit GROUP BY ALL)
+SELECT session_id, function_id, address, context_id, samples, CAST(samples AS DOUBLE) AS weight, samples / sum(samples) OVER (PARTITION BY session_id) AS share FROM found""")
+def sampling_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by function, address and context."""
+    placed = samples.attribute(A.pc_samples(spark, sf_dir), A.pc_ranges(spark, sf_dir)).withColumnRenamed("range_function_id", "function_id")
+    return samples.sampling_hotspots(placed).withColumn("weight", F.col("weight").cast("double"))
+
+
+_BUCKETS = f"""{_SAMPLES},
+sessions AS (SELECT DISTINCT session_id FROM samples),
+buckets AS (
+  SELECT session_id, 4000 + i * 96 AS low, least(4000 + (i + 1) * 96, 12500) AS high FROM sessions, range(0, 89) t(i)),
+filled AS (
+  SELECT b.session_id, low, high, count(address) AS hits FROM buckets b LEFT JOIN samples s ON s.session_id = b.session_id AND address >= low AND address < high GROUP BY ALL)"""
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = A.pc_samples(spark, sf_dir)
+    regions = sampled.select("session_id").distinct().select("session_id", F.lit(4000).cast("bigint").alias("start"), F.lit(12500).cast("bigint").alias("end"))
+    return samples.bucketed(sampled, regions, 96)
+
+
+@query(f'WITH {_BUCKETS} SELECT session_id, low AS "start", high AS "end", hits FROM filled')
+def pc_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of fixed-width address buckets, empty ones included."""
+    return _buckets(spark, sf_dir)
+
+
+_HEAT = f"""{_BUCKETS},
+heat AS (
+  SELECT session_id, function_id, CAST(sum(hits) AS BIGINT) AS hits FROM (
+    SELECT f.session_id, f.hits, r.function_id FROM filled f LEFT JOIN ranges r ON r.low <= f.low AND f.high <= r.high) GROUP BY ALL HAVING sum(hits) > 0)"""
+
+
+@query(f"WITH {_HEAT} SELECT session_id, function_id, hits FROM heat")
+def function_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the buckets that lie whole inside a function."""
+    return samples.function_heatmap(_buckets(spark, sf_dir), A.pc_ranges(spark, sf_dir))
+
+
+@query(f"""
+WITH {_HEAT}, own AS (
+  SELECT session_id, CAST(coalesce(sum(hits) FILTER (function_id IS NOT NULL), 0) AS BIGINT) AS attributed, CAST(coalesce(sum(hits) FILTER (function_id IS NULL), 0) AS BIGINT) AS unattributed FROM heat GROUP BY session_id)
+SELECT session_id, CAST(sum(hits) AS BIGINT) AS denominator, any_value(attributed) AS attributed, any_value(unattributed) AS unattributed, any_value(attributed + unattributed) = sum(hits) AS balanced
+FROM filled JOIN own USING (session_id) GROUP BY session_id""")
+def heatmap_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributed and unattributed hits against the histogram."""
+    buckets = _buckets(spark, sf_dir)
+    return samples.heatmap_accounting(samples.function_heatmap(buckets, A.pc_ranges(spark, sf_dir)), buckets)
+
+
+@query(f"""
+WITH {_SAMPLES}, cells AS (SELECT session_id, function_id, count(*) AS hits FROM hit GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, function_id ASC NULLS LAST) AS place, count(*) OVER (PARTITION BY session_id) AS many FROM cells)
+SELECT session_id, CASE WHEN many <= 20 OR place < 20 THEN coalesce(function_id, '[unattributed]') ELSE '[other sampled PCs]' END AS label, CAST(sum(hits) AS BIGINT) AS hits FROM ranked GROUP BY ALL""")
+def flat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nineteen leaves a session, and the rest as one."""
+    placed = samples.attribute(A.pc_samples(spark, sf_dir), A.pc_ranges(spark, sf_dir))
+    return samples.flat_profile(placed.groupBy("session_id", F.col("range_function_id").alias("function_id")).agg(F.count("*").alias("hits")), 20)
+
+
+@query(f"""
+WITH {_SAMPLES}, cells AS (SELECT session_id, address // 96 * 96 AS bucket, address // 4 * 4 AS cell, count(*) AS cell_hits FROM samples GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, bucket ORDER BY cell_hits DESC, cell) AS r, sum(cell_hits) OVER (PARTITION BY session_id, bucket) AS hits FROM cells),
+tops AS (SELECT session_id, bucket, CAST(hits AS BIGINT) AS hits, cell, cell_hits, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, bucket) AS place FROM ranked WHERE r = 1)
+SELECT session_id, bucket, hits, cell, cell_hits, CAST(place AS INTEGER) AS place FROM tops WHERE place <= 10""")
+def dominant_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fullest cell of each of the ten fullest buckets."""
+    return samples.dominant_cells(A.pc_samples(spark, sf_dir), 96)
+
+
+_STACKS = """
+stacks AS (
+  SELECT 's-' || (o_custkey % 8) AS session_id, CASE WHEN o_orderkey % 5 = 0 THEN 'truncated' ELSE 'terminal' END AS termination, [o_orderpriority, o_orderstatus, 'f' || (o_orderkey % 3)] AS path FROM orders),
+folded AS (SELECT session_id, termination, path, count(*) AS samples FROM stacks GROUP BY ALL)"""
+
+
+@query(f"WITH {_STACKS} SELECT session_id, termination, array_to_string(path, ';') AS path, samples FROM folded")
+def folded_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each root-to-leaf path."""
+    return stacks.folded(A.stack_samples(spark, sf_dir)).withColumn("path", F.array_join("path", ";"))
+
+
+@query(f"""
+WITH {_STACKS} SELECT session_id, termination, array_to_string(path[1:d], ';') AS path, CAST(d AS INTEGER) AS depth, CAST(sum(samples) AS BIGINT) AS samples
+FROM folded, range(1, 4) t(d) GROUP BY ALL""")
+def stack_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of every prefix."""
+    return stacks.trie(stacks.folded(A.stack_samples(spark, sf_dir))).withColumn("path", F.array_join("path", ";"))
+
+
+@query()
+def flame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of the flame graph's nodes."""
+    return stacks.layout(stacks.trie(stacks.folded(A.stack_samples(spark, sf_dir))))
+
+
+_YEARS = """
+sides AS (
+  SELECT year(l_shipdate) AS y, l_returnflag AS function_id, 'm' || l_linenumber AS context_id, count(*) AS activations, sum(CAST(l_quantity AS BIGINT)) AS inclusive_ns FROM lineitem GROUP BY ALL),
+years AS (SELECT min(y) AS lo FROM sides),
+b AS (SELECT sides.* FROM sides, years WHERE y = lo + 1), c AS (SELECT sides.* FROM sides, years WHERE y = lo + 2),
+rows AS (
+  SELECT coalesce(b.function_id, c.function_id) AS function_id, coalesce(b.context_id, c.context_id) AS context_id,
+         CASE WHEN b.y IS NULL THEN 'candidate_only' WHEN c.y IS NULL THEN 'baseline_only' ELSE 'both' END AS side,
+         m.metric, CAST(CASE m.metric WHEN 'activations' THEN b.activations ELSE b.inclusive_ns END AS DOUBLE) AS baseline,
+         CAST(CASE m.metric WHEN 'activations' THEN c.activations ELSE c.inclusive_ns END AS DOUBLE) AS candidate
+  FROM b FULL JOIN c ON b.function_id = c.function_id AND b.context_id = c.context_id CROSS JOIN (VALUES ('activations'), ('inclusive_ns')) m(metric)),
+judged AS (
+  SELECT *, candidate - baseline AS delta, CASE WHEN baseline <> 0 THEN (candidate - baseline) / abs(baseline) END AS relative,
+         CASE WHEN baseline IS NULL OR candidate IS NULL THEN 'inconclusive'
+              WHEN candidate <> baseline AND (baseline = 0 OR abs(candidate - baseline) >= 0.05 * abs(baseline)) THEN CASE WHEN candidate > baseline THEN 'regressed' ELSE 'improved' END
+              ELSE 'unchanged' END AS outcome FROM rows)"""
+
+
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = A.table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("function_id"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("context_id"), F.col("l_quantity").cast("bigint").alias("ns"))
+    low = lines.agg(F.min("y")).first()[0] or 0
+    side = lambda y: lines.where(F.col("y") == y).groupBy("function_id", "context_id").agg(F.count("*").alias("activations"), F.sum("ns").alias("inclusive_ns"))
+    return compare.compare_metrics(side(low + 1), side(low + 2), ["function_id", "context_id"], ["activations", "inclusive_ns"])
+
+
+@query(f"WITH {_YEARS} SELECT * FROM judged")
+def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two years, side by side."""
+    return _years(spark, sf_dir)
+
+
+@query(f"""
+WITH {_YEARS} SELECT metric, count(*) FILTER (outcome = 'regressed') AS regressed, count(*) FILTER (outcome = 'inconclusive') AS inconclusive, count(*) FILTER (outcome = 'improved') AS improved,
+  count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'informational') AS informational FROM judged GROUP BY metric""")
+def comparison_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of each metric."""
+    return compare.outcome_counts(_years(spark, sf_dir), ["metric"])
+
+
+@query(f"""
+WITH {_YEARS} SELECT metric, CASE WHEN NOT bool_or(side = 'both') OR bool_or(outcome = 'inconclusive') THEN 'inconclusive' WHEN bool_or(outcome = 'regressed') THEN 'regressed' WHEN bool_or(outcome = 'improved') THEN 'improved' ELSE 'unchanged' END AS verdict
+FROM judged GROUP BY metric""")
+def comparison_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each metric."""
+    rows = _years(spark, sf_dir)
+    pairs = rows.select("metric").distinct().withColumn("reasons", F.array().cast("array<string>"))
+    return compare.comparison_verdict(rows, pairs, ["metric"]).drop("reasons")
+
+
+@query("""
+SELECT 'brand-' || p_brand AS session_id, CAST(coalesce(sum(p_size) FILTER (p_partkey % 6 = 0), 0) AS BIGINT) AS data_bytes, CAST(coalesce(sum(p_size) FILTER (p_partkey % 6 = 1), 0) AS BIGINT) AS bss_bytes,
+  CAST(coalesce(sum(p_size) FILTER (p_partkey % 6 = 2), 0) AS BIGINT) AS noinit_bytes, CAST(coalesce(sum(p_size) FILTER (p_partkey % 6 = 3), 0) AS BIGINT) AS dma_bytes, CAST(coalesce(sum(p_size) FILTER (p_partkey % 6 = 4), 0) AS BIGINT) AS rtos_bytes,
+  CAST(coalesce(sum(p_size) FILTER (p_partkey % 6 = 5), 0) AS BIGINT) AS custom_bytes, CAST(sum(p_size) AS BIGINT) AS total_bytes FROM part GROUP BY p_brand""")
+def static_ram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section sizes by kind."""
+    kinds = F.lit(["data", "bss", "noinit", "dma", "rtos", "custom"])
+    return files.static_totals(A.table(spark, sf_dir, "part").select(F.concat(F.lit("brand-"), F.col("p_brand")).alias("session_id"), F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("kind"), F.col("p_size").alias("size_bytes")))
+
+
+@query("""
+WITH rows AS (SELECT 'c-' || (l_suppkey % 16) AS session_id, 's' || (l_linenumber % 2) AS source_id, CAST(epoch_us(l_shipdate) // 86400000000 AS BIGINT) AS ts_ns, l_orderkey % 50 AS order_key FROM lineitem)
+SELECT session_id, ts_ns, count(DISTINCT source_id) AS sources, count(*) AS rows FROM rows GROUP BY session_id, ts_ns HAVING count(DISTINCT source_id) > 1 AND count(DISTINCT order_key) < count(*)""")
+def merge_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times at which merged sources cannot be told apart."""
+    rows = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("c-"), (F.col("l_suppkey") % 16).cast("string")).alias("session_id"), F.concat(F.lit("s"), (F.col("l_linenumber") % 2).cast("string")).alias("source_id"), F.expr("unix_micros(cast(l_shipdate as timestamp_ltz)) div 86400000000").alias("ts_ns"), (F.col("l_orderkey") % 50).alias("order_key"))
+    return ordering.tie_violations(rows)
+
+
+@query("""
+WITH rows AS (SELECT 'user-' || user_id AS session_id, event_id AS ord, event_id * 11 % 1024 AS raw FROM events),
+steps AS (SELECT *, CASE WHEN raw < lag(raw) OVER (PARTITION BY session_id ORDER BY ord) THEN 1 ELSE 0 END AS fell FROM rows)
+SELECT session_id, ord, CAST(raw + 1024 * sum(fell) OVER (PARTITION BY session_id ORDER BY ord) AS BIGINT) AS expanded FROM steps""")
+def unwrapped_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wrapping ten-bit clock, expanded."""
+    rows = A.table(spark, sf_dir, "events").selectExpr("concat('user-', user_id) AS session_id", "'a' AS source_id", "event_id AS ord", "event_id * 11 % 1024 AS raw", "CAST(1024 AS BIGINT) AS modulus")
+    return ordering.unwrapped(rows, "raw", "modulus", "expanded").select("session_id", "ord", "expanded")
