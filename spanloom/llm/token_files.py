@@ -153,11 +153,14 @@ def _unpack(width: int, ids: bytes) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1, np.int64)
     for batch in batches:
-        for width, ids in zip(batch["width"].to_pylist(), batch["ids"], strict=True):
-            own = np.bincount(_unpack(width, ids.as_buffer()))
-            if len(own) > len(counts):
-                own, counts = counts, own.astype(np.int64)
-            counts[: len(own)] += own
+        widths = batch["width"].to_numpy()
+        for width in np.unique(widths):
+            ids = batch["ids"].filter(pa.array(widths == width))
+            for i in range(0, len(ids), 1000):
+                own = np.bincount(_unpack(int(width), b"".join(ids.slice(i, 1000).to_pylist())))
+                if len(own) > len(counts):
+                    own, counts = counts, own.astype(np.int64)
+                counts[: len(own)] += own
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
 

@@ -8,6 +8,7 @@ it. A blank followed by more white space is never a cut.
 
 from __future__ import annotations
 
+import struct
 from functools import cache
 
 import numpy as np
@@ -16,16 +17,25 @@ import numpy as np
 REMEMBERED = 250_000
 
 
+#: White space that may follow a blank: what ASCII texts can hold, and the rest.
+_ASCII_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+_OTHER_WHITE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that may close a word.
+_MARKS = ".,;:!?"
+
+
 def chunks(text: str) -> list[str]:
-    """The text cut before each blank that a non-blank follows."""
+    """The text cut at each blank that a non-blank follows; each chunk but the first follows a blank."""
     parts = text.split(" ")
-    out = [parts[0]]
-    for part in parts[1:]:
-        if part and not part[0].isspace():
-            out.append(" " + part)
-        else:
-            out[-1] += " " + part
-    return out
+    if text.endswith(" ") or any(f" {c}" in text for c in _ASCII_WHITE) or not text.isascii() and any(f" {c}" in text for c in _OTHER_WHITE):
+        out = [parts[0]]
+        for part in parts[1:]:
+            if part and not part[0].isspace():
+                out.append(part)
+            else:
+                out[-1] += " " + part
+        return out
+    return parts
 
 
 class Encoder:
@@ -38,24 +48,60 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.tails: dict[str, bytes] = {}
+        probe = [" Maße", " naïve.", " w\u0142asna?!"]
+        self.direct = [self._word(x[1:]) for x in probe] == [self._whole(x) for x in probe]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, chunk: str) -> bytes | None:
+        """Ids of a blank, letters and closing marks, which are one or two pre-tokens; else nothing."""
+        core = chunk.rstrip(_MARKS)
+        if not core.isalpha():
+            return None
+        ids = self.tokenizer.model.tokenize((" " + core).encode().decode("latin-1").translate(self.letters))
+        own = struct.pack(f"<{len(ids)}I", *[x.id for x in ids])
+        if len(core) == len(chunk):
+            return own
+        tail = chunk[len(core) :]
+        if tail not in self.tails:
+            self.tails[tail] = self._whole(tail)
+        return own + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(x) if x else [] for x in texts]
-        wanted = set().union(*cut)
-        missing = []
-        for chunk in wanted.difference(self.young):
-            if (ids := self.old.get(chunk)) is not None:
-                self.young[chunk] = ids
-            else:
-                missing.append(chunk)
-        for x, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.young[x] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn(set().union(*[x[1:] for x in cut]))
+        heads = self.tokenizer.encode_batch_fast([x[0] if x else "" for x in cut], add_special_tokens=False)
         get = self.young.__getitem__
-        out = [b"".join(map(get, x)) for x in cut]
+        out = [np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(get, x[1:])) for h, x in zip(heads, cut, strict=True)]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         return out
 
+    def _learn(self, wanted: set[str]) -> None:
+        """Remember the ids of chunks, each with the blank before it."""
+        young, old = self.young, self.old
+        rest = []
+        for chunk in wanted.difference(young):
+            ids = old.get(chunk)
+            if ids is None and self.direct:
+                ids = self._word(chunk)
+            if ids is None:
+                rest.append(chunk)
+            else:
+                young[chunk] = ids
+        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False), strict=True):
+            young[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
 
 @cache
 def encoder(path: str) -> Encoder:
