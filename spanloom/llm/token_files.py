@@ -85,6 +85,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
     counted = ids.mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = np.array([r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()], dtype="<u4")  # a row an id of the vocabulary
     _put(f"{path}/ranks.bin", ranked.tobytes())
+    where, folder = _file(f"{path}/files")
+    where.create_dir(folder)
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 0, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     sent = spark.sparkContext.broadcast(rank_of)
