@@ -33,7 +33,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from spanloom.llm.common import written
 from spanloom.llm.grams import text_slices
 
-PER_LANGUAGE, MOST_LANGUAGES = 2000, 64
+#: Labelled texts a language; at most 1000, so that each task passes on its own first ones only.
+PER_LANGUAGE, MOST_LANGUAGES = 1000, 64
 CELLS = 1 << 14
 TEXT_WEIGHT = 40.0
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0, 5.0, 20.0
