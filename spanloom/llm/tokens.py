@@ -9,11 +9,12 @@ it. A blank followed by more white space is never a cut.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
 from functools import cache
 
+import numpy as np
+
 #: Chunks that a worker remembers in each of two generations.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 
 
 #: White space that may follow a blank: what ASCII texts can hold, and the rest.
@@ -37,18 +38,6 @@ def chunks(text: str) -> list[str]:
     return parts
 
 
-class _Memory(dict):
-    """Ids of chunks, encoded when first asked for."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(chunk)
-        return ids
-
-
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts by one tokenizer file."""
 
@@ -57,15 +46,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young, self.old = _Memory(self._learn), {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.tails: dict[str, bytes] = {}
         probe = [" Maße", " naïve.", " w\u0142asna?!"]
         self.direct = [self._word(x[1:]) for x in probe] == [self._whole(x) for x in probe]
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, chunk: str) -> bytes | None:
         """Ids of a blank, letters and closing marks, which are one or two pre-tokens; else nothing."""
@@ -82,23 +71,29 @@ class Encoder:
         return own + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(x) if x else [""] for x in texts]
-        heads = self.tokenizer.encode_batch_fast([x[0] for x in cut], add_special_tokens=False)
+        cut = [chunks(x) if x else [] for x in texts]
+        self._learn(set().union(*[x[1:] for x in cut]))
+        heads = self.tokenizer.encode_batch_fast([x[0] if x else "" for x in cut], add_special_tokens=False)
         get = self.young.__getitem__
-        out = []
-        for head, parts in zip(heads, cut, strict=True):
-            del parts[0]
-            out.append(struct.pack(f"<{len(head.ids)}I", *head.ids) + b"".join(map(get, parts)))
+        out = [np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(get, x[1:])) for h, x in zip(heads, cut, strict=True)]
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, _Memory(self._learn)
+            self.old, self.young = self.young, {}
         return out
 
-    def _learn(self, chunk: str) -> bytes:
-        """Ids of a chunk with the blank before it."""
-        ids = self.old.get(chunk)
-        if ids is None and self.direct:
-            ids = self._word(chunk)
-        return self._whole(" " + chunk) if ids is None else ids
+    def _learn(self, wanted: set[str]) -> None:
+        """Remember the ids of chunks, each with the blank before it."""
+        young, old = self.young, self.old
+        rest = []
+        for chunk in wanted.difference(young):
+            ids = old.get(chunk)
+            if ids is None and self.direct:
+                ids = self._word(chunk)
+            if ids is None:
+                rest.append(chunk)
+            else:
+                young[chunk] = ids
+        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False), strict=True):
+            young[chunk] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 def _byte_letters() -> dict[int, int]:
