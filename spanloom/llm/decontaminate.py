@@ -16,6 +16,7 @@ the best score of either; rows with null doc_id are reported under null. Other c
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ THRESHOLD = 0.5
 LEAST_SEEDS, RARE_SHARE = 12, 0.75
 #: Seeds of at most this number are broadcast (about 24 bytes each).
 BROADCAST_SEEDS = 2_000_000
+#: The words that ``grams.words`` counts; ``str.split`` would also cut at other blanks.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PASSAGE = "doc_id bigint, item_id bigint, at bigint, seeds int, passage string"
 
@@ -126,7 +129,7 @@ def passages_in_place(texts: DataFrame, chosen: DataFrame) -> DataFrame:
                 rows = []
                 for text in np.unique(owner):
                     mine = owner == text
-                    own = part[int(text)].as_py().split()
+                    own = _WORD.findall(part[int(text)].as_py())
                     rows += _cut(batch["doc_id"][i + int(text)].as_py(), own, item_id[seed[mine]], place[mine] - item_at[seed[mine]], item_words[seed[mine]])
                 yield _passage_batch(rows)
 
@@ -142,7 +145,7 @@ def passages_joined(texts: DataFrame, chosen: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "hits")), strict=True):
-                rows += _cut(doc_id, (text or "").split(), *(np.array([h[c] for h in found], np.int64) for c in ("item_id", "start", "item_words")))
+                rows += _cut(doc_id, _WORD.findall(text or ""), *(np.array([h[c] for h in found], np.int64) for c in ("item_id", "start", "item_words")))
             yield _passage_batch(rows)
 
     return both.mapInArrow(run, _PASSAGE)
@@ -188,7 +191,7 @@ def _align(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     for batch in batches:
         rows = []
         for doc_id, item_id, at, n, passage, item in zip(*(batch[c].to_pylist() for c in ("doc_id", "item_id", "at", "seeds", "passage", "item")), strict=True):
-            a, b = item.translate(_FOLD).split(), passage.translate(_FOLD).split()
+            a, b = _WORD.findall(item.translate(_FOLD)), _WORD.findall(passage.translate(_FOLD))
             if (Counter(a) & Counter(b)).total() < threshold * len(a):
                 continue
             score, end = align(a, b)
