@@ -112,6 +112,40 @@ def test_large_star(spark):
     assert {r["component_id"] for r in minhash_dedup(frame(spark, rows)).collect()} == {0}
 
 
+def test_links_that_no_star_shows(spark):
+    """Chains: neighbours in a chain are near, its ends are not, so that one centre a bucket does not suffice."""
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for chain in range(6):
+        own = [f"c{chain}-{i}" if i < 30 else x for i, x in enumerate(base)]
+        for step in range(12):
+            for i in range(4):
+                own[40 + 20 * step + 5 * i] = f"e{chain}-{step}-{i}"
+            rows.append((100 * chain + step, " ".join(own), "en", "s", 0))
+    random.Random(2).shuffle(rows)
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(296)} for i, t, *_ in rows}
+    label = {i: i for i in sets}
+    while True:
+        after = {a: min(label[b] for b in sets if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])) for a in sets}
+        if after == label:
+            break
+        label = after
+    assert len(set(label.values())) < len(label)
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup(frame(spark, rows)).collect()} == label
+
+
+def test_leaks_beside_other_blanks(spark):
+    """Words end at ASCII blanks alone; no-break spaces and separators before a passage do not shift it."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    item = " ".join(word() for _ in range(30))
+    odd = " ".join(f"{word()}\u00a0{word()}\x1f{word()}\u3000{word()}" for _ in range(60))
+    docs = frame(spark, [(1, f"{odd} {item} {odd}", "en", "s", 0)])
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    for limit in (0, 1000):
+        assert [(x["doc_id"], x["score"], x["at_word"]) for x in leaks(docs, items, broadcast_seeds=limit).collect()] == [(1, 1.0, 89)]
+
+
 def test_leaks(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
