@@ -10,12 +10,12 @@ from spanloom.functions.scalar import delta, outcome, relative
 KINDS = ("data", "bss", "noinit", "dma", "rtos", "custom", "total")
 
 
-def capture_coverage(captures: DataFrame, boards: DataFrame, modes: DataFrame, states: list[str], repetitions: int = 10) -> DataFrame:
+def capture_coverage(captures: DataFrame, boards: DataFrame, modes: list[str], states: list[str], repetitions: int = 10) -> DataFrame:
     """A row for each board and mode: captures, missing initial states, and whether both suffice.
 
-    ``boards`` and ``modes`` are the short lists of what is required, so that absent pairs fail too.
+    Every one of ``boards`` is asked for every mode, so that absent pairs fail too.
     """
-    wanted = F.broadcast(boards.select("board").distinct()).crossJoin(F.broadcast(modes.select("mode").distinct()))
+    wanted = boards.select("board").distinct().withColumn("mode", F.explode(F.lit(modes)))
     found = captures.groupBy("board", "mode").agg(F.count("*").alias("captures"), F.array_sort(F.collect_set("initial_state")).alias("seen"))
     both = wanted.join(found, ["board", "mode"], "left")
     missing = F.array_sort(F.array_except(F.lit(states).cast("array<string>"), F.coalesce("seen", F.array().cast("array<string>"))))

@@ -27,7 +27,7 @@ def judged(rows: DataFrame, contexts: DataFrame, runnables: DataFrame) -> DataFr
     core = Window.partitionBy("session_id", "core_id").orderBy("ord")
     upto, before = core.rowsBetween(Window.unboundedPreceding, 0), core.rowsBetween(Window.unboundedPreceding, -1)
     event = F.col("event")
-    named = rows.join(F.broadcast(contexts), ["session_id", "name"], "left").join(F.broadcast(runnables.withColumnRenamed("function_id", "runnable_id")), ["session_id", "name"], "left")
+    named = rows.join(contexts, ["session_id", "name"], "left").join(runnables.withColumnRenamed("function_id", "runnable_id"), ["session_id", "name"], "left")
 
     schedules = event.isin(*SCHEDULING)
     leaves = event.isin("preempt", "wait", "terminate") & F.col("context_id").isNotNull()

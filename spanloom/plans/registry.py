@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import compare, counters, health, ordering, samples, stacks, traces
+from spanloom.operators import compare, counters, health, lifecycle, ordering, samples, stacks, traces
 from spanloom.plans import adapters as A
 from spanloom.sources import files
 
@@ -351,3 +351,17 @@ def unwrapped_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wrapping ten-bit clock, expanded."""
     rows = A.table(spark, sf_dir, "events").selectExpr("concat('user-', user_id) AS session_id", "'a' AS source_id", "event_id AS ord", "event_id * 11 % 1024 AS raw", "CAST(1024 AS BIGINT) AS modulus")
     return ordering.unwrapped(rows, "raw", "modulus", "expanded").select("session_id", "ord", "expanded")
+
+
+@query("""
+WITH turns AS (SELECT 'cust-' || o_custkey AS session_id, o_orderkey % 4 AS task, lag(o_orderkey % 4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+SELECT session_id, count(*) FILTER (before IS DISTINCT FROM task) AS switches, count(*) FILTER (before = task) AS instants, count(*) AS enters, count(*) AS exits FROM turns GROUP BY session_id""")
+def task_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task events of a capture for each customer, whose orders are turns of four tasks, as observations."""
+    orders = A.table(spark, sf_dir, "orders").selectExpr("concat('cust-', o_custkey) AS session_id", "concat('t', o_orderkey % 4) AS name", "o_orderkey")
+    rows = orders.selectExpr("session_id", "CAST(0 AS BIGINT) AS core_id", "name", "o_orderkey", "posexplode(array('switch', 'start', 'stop')) AS (step, event)").selectExpr("session_id", "core_id", "o_orderkey * 4 + step AS ord", "o_orderkey * 4 + step AS ts_ns", "name", "event")
+    contexts = orders.select("session_id", "name").distinct().selectExpr("session_id", "name", "name AS context_id", "'task' AS kind", "concat(name, '_main') AS entry_function_id", "CAST(NULL AS INT) AS priority")
+    runnables = contexts.where("false").select("session_id", "name", F.col("context_id").alias("function_id"))
+    found = lifecycle.task_observations(rows, contexts, runnables)
+    count = lambda kind, name: F.count_if(F.col("type") == kind).alias(name)
+    return found.groupBy("session_id").agg(count("ContextSwitch", "switches"), count("Instant", "instants"), count("FunctionEnter", "enters"), count("FunctionExit", "exits"))

@@ -51,7 +51,7 @@ def test_contradictions(spark):
 
 def test_coverage(spark):
     captures = spark.createDataFrame([("b1", "m1", s) for s in ("cold", "warm") * 5] + [("b1", "m2", "cold")], "board string, mode string, initial_state string")
-    boards, modes = spark.createDataFrame([("b1",), ("b2",)], "board string"), spark.createDataFrame([("m1",), ("m2",)], "mode string")
+    boards, modes = spark.createDataFrame([("b1",), ("b2",)], "board string"), ["m1", "m2"]
     got = {(r["board"], r["mode"]): (r["captures"], r["missing_states"], r["covered"]) for r in coverage.capture_coverage(captures, boards, modes, ["cold", "warm"]).collect()}
     assert got == {("b1", "m1"): (10, [], True), ("b1", "m2"): (1, ["warm"], False), ("b2", "m1"): (0, ["cold", "warm"], False), ("b2", "m2"): (0, ["cold", "warm"], False)}
 
