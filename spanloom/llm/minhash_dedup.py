@@ -10,9 +10,11 @@
    candidate pairs: a star around its best connected member (the one with most company over all its
    buckets, usually what the others were copied from), and one around its least doc_id.
    A star that has met its bucket leaves it. What is left of a bucket and lies in more than one component
-   draws further stars: all members where at most ``SMALL`` are left, ``STARS`` by hash otherwise. They
-   meet only members of other components whose set sizes allow the threshold, and no pair is compared
-   twice. Every round is linear in the members; rounds go on until one finds no link.
+   draws further stars: all members where at most ``SMALL`` are left, else ``STARS`` by hash, and
+   ``MORE`` times as many in each later round. Stars meet only members of other components, and no pair
+   is compared twice. Rounds end when no bucket is open, so the components are those of all pairs that
+   share a bucket. Pairs are made only where set sizes and ``bitmaps`` allow the threshold: a cell that
+   one set fills and the other does not is an element that they do not share, so no link is lost.
 4. ``_confirm`` recomputes the whole sets of both ends of each pair and keeps pairs with
    intersection / union at or above the threshold. A star's members come in blocks, each with a copy
    of the star's text, so that a star of any size is spread over tasks.
@@ -41,8 +43,11 @@ from spanloom.llm.grams import members, mix, shingle_sets, text_slices, words
 BINS, ROWS = 512, 8
 #: Members of a star that are compared in one group.
 STAR_BLOCK = 200
-#: Further stars of a large bucket in each round, and the most members of a bucket that are all stars.
-STARS, SMALL = 4, 8
+#: Further stars of a large bucket in its second round, how many times more in each later one, and the
+#: most members of a bucket that are all stars.
+STARS, MORE, SMALL = 4, 16, 8
+#: Longs of a set's bitmap.
+LONGS = 16
 
 
 def minhash_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -52,12 +57,12 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bin
     """
     texts = docs.select("doc_id", "text")
     made = sketches(texts, shingle, bins, rows)
-    classes = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    classes = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
     links, components = _linked(texts, classes, shingle, threshold)
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = components.join(n_links, "rep", "left")
-    of_class = classes.drop("bands", "size").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = classes.drop("bands", "size", "bits").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     own = made.select("doc_id", "n_shingles", "set_a", "set_b")
     out = own.where("n_shingles > 0 AND doc_id IS NOT NULL").join(of_class, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
     alone = own.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
@@ -65,7 +70,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bin
 
 
 def sketches(texts: DataFrame, shingle: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and its band keys; written, as it is read twice."""
+    """doc_id, n_shingles, a 128-bit digest of the set, its band keys and its bitmap; written, as it is read twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,14 +82,23 @@ def sketches(texts: DataFrame, shingle: int, bins: int = BINS, rows: int = ROWS)
                 heads = np.cumsum(sizes[some]) - sizes[some]
                 set_a, set_b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 keys = np.zeros((n, bins // rows), np.uint64)
+                bits = bitmaps(owner, g, n)
                 if len(some):
                     set_a[some], set_b[some] = (np.add.reduceat(mix(g, k), heads) for k in (11, 13))
                     keys[some] = band_keys(signatures(np.repeat(np.arange(len(some)), sizes[some]), mix(g, 17), len(some), bins), rows)
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (bins // rows)), flat)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, n), pa.array(sizes.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), bands], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, n), pa.array(sizes.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), bands, bits], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
-    return written(texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"), "sketches")
+    return written(texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, bits array<bigint>"), "sketches")
+
+
+def bitmaps(owner: np.ndarray, g: np.ndarray, n: int) -> pa.ListArray:
+    """A bit for each of the cells that the hashes of a set fill."""
+    full = np.zeros((n, LONGS * 64), bool)
+    full[owner, (mix(g, 23) % np.uint64(LONGS * 64)).astype(np.int64)] = True
+    packed = np.packbits(full, axis=1).reshape(-1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * LONGS), pa.array(packed))
 
 
 def signatures(owner: np.ndarray, g: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
@@ -124,37 +138,41 @@ def _linked(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float
     """Confirmed links (a, b) and components (rep, component) of the representatives that share band keys."""
     rows = classes.select(F.explode("bands").alias("key"), "rep", "size")
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    inside = written(rows.join(shared, "key"), "bucket-members")
+    inside = written(rows.join(shared, "key").join(classes.select("rep", "bits"), "rep"), "bucket-members")
     company = inside.groupBy("rep").agg(F.sum("n").alias("company"))
-    one = F.struct("rep", "size", "component")
-    left = inside.select("key", "rep", "size", F.col("rep").alias("component"))
+    one = F.struct("rep", "size", "component", "bits")
+    left = inside.select("key", "rep", "size", "bits", F.col("rep").alias("component"))
     best = F.max_by(one, F.struct("company", -F.col("rep"))).alias("s")
     stars = left.join(company, "rep").groupBy("key").agg(best, F.min_by(one, "rep").alias("low")).select("key", F.explode(F.array_distinct(F.array("s", "low"))).alias("s"))
-    links, compared, components = None, None, None
+    links, compared, components, drawn = None, None, None, STARS
     while True:
-        stars = written(stars.select("key", F.col("s.rep").alias("star"), F.col("s.size").alias("star_size"), F.col("s.component").alias("star_component")), "stars")
+        stars = written(stars.select("key", F.col("s.rep").alias("star"), F.col("s.size").alias("star_size"), F.col("s.component").alias("star_component"), F.col("s.bits").alias("star_bits")), "stars")
         pairs = written(_pairs(left, stars, compared, threshold), "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
-        new = written(_confirm(texts, pairs.select("star", "member"), shingle, threshold), "confirmed")
-        if links is not None and new.isEmpty():
-            return links, components
-        links = new if links is None else links.unionByName(new)
-        components = connected_components(links).withColumnRenamed("node", "rep")
+        if links is None or not pairs.isEmpty():
+            new = written(_confirm(texts, pairs.select("star", "member"), shingle, threshold), "confirmed")
+            if links is None or not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                components = connected_components(links).withColumnRenamed("node", "rep")
         rest = left.drop("component").join(stars.select("key", F.col("star").alias("rep")), ["key", "rep"], "left_anti")
-        placed = rest.join(components, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        placed = rest.join(components, "rep", "left").select("key", "rep", "size", "bits", F.coalesce("component", "rep").alias("component"))
         still_open = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_left")).where("low < high").select("key", "n_left")
         open_members = written(placed.join(still_open, "key"), "open-members")
         if open_members.isEmpty():
             return links, components
-        drawn = F.xxhash64("rep", "key")
-        part = F.when(F.col("n_left") <= SMALL, F.col("rep")).otherwise(F.pmod(drawn, F.lit(STARS)))
+        order = F.xxhash64("rep", "key")
+        part = F.when(F.col("n_left") <= F.greatest(F.lit(SMALL), F.lit(drawn)), F.col("rep")).otherwise(F.pmod(order, F.lit(drawn)))
         left = open_members.drop("n_left")
-        stars = open_members.groupBy("key", part.alias("part")).agg(F.min_by(one, drawn).alias("s")).select("key", "s")
+        stars = open_members.groupBy("key", part.alias("part")).agg(F.min_by(one, order).alias("s")).select("key", "s")
+        drawn *= MORE
 
 
 def _pairs(members_of: DataFrame, stars: DataFrame, compared: DataFrame | None, threshold: float) -> DataFrame:
-    """(a, b, star, member): stars and members of other components, of sizes that allow a link, not compared before."""
+    """(a, b, star, member): stars and members of other components, of sets that allow a link, not compared before."""
+    threshold = round(threshold * 10_000) / 10_000  # as ``_compare`` takes it
     near = F.least("size", "star_size") >= F.greatest("size", "star_size") * (threshold - 1e-9)
+    apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("star_bits", F.lit(k)))) for k in range(LONGS)), F.lit(0))
+    near &= apart <= (F.col("size") + F.col("star_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     met = members_of.join(stars, "key").where((F.col("component") != F.col("star_component")) & near)
     each = met.groupBy(F.least("star", "rep").alias("a"), F.greatest("star", "rep").alias("b")).agg(F.min("star").alias("star"))
     if compared is not None:

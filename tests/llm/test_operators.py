@@ -134,6 +134,21 @@ def test_links_that_no_star_shows(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup(frame(spark, rows)).collect()} == label
 
 
+def test_link_inside_a_large_bucket(spark):
+    """One near pair among many documents on one template that are all just under the threshold to each other."""
+    rows = []
+    for i in range(120):
+        own = [f"b{k}" for k in range(200)]
+        for k in range(24):
+            own[8 * k + 4] = f"e{i}-{k}" if k >= 10 or i not in (50, 80) else f"pair-{k}"
+        rows.append((i, " ".join(own), "en", "s", 0))
+    sets = {i: set(t.split()) for i, t, *_ in rows}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2)}
+    assert [p for p, x in like.items() if x >= 0.8] == [(50, 80)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup(frame(spark, rows), shingle=1, bins=2, rows=1).collect()}
+    assert got == {i: 50 if i == 80 else i for i in sets}
+
+
 def test_leaks_beside_other_blanks(spark):
     """Words end at ASCII blanks alone; no-break spaces and separators before a passage do not shift it."""
     r = random.Random(12)
