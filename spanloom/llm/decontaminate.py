@@ -1,7 +1,7 @@
-"""Operator 3: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 3: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-1. ``seeds``: the word trigrams of all test items, counted over the whole corpus; an item's seeds are
-   its rarest three quarters, twelve at least. Frequent trigrams start too many alignments.
+1. ``item_grams``: the word trigrams of all test items. Each is a seed, frequent ones too: in an edited
+   copy, the trigrams that survived may be any of them.
 2. ``passages``: words around every place where a seed of an item occurs in a document, one passage
    for places that lie close together. Two ways give the same rows: seeds up to ``BROADCAST_SEEDS``
    go to the tasks that read the texts; more of them meet the documents' trigrams in a shuffled join,
@@ -30,7 +30,6 @@ from spanloom.llm.grams import grams, members, text_slices, words
 
 SEED = 3
 THRESHOLD = 0.5
-LEAST_SEEDS, RARE_SHARE = 12, 0.75
 #: Seeds of at most this number are broadcast (about 24 bytes each).
 BROADCAST_SEEDS = 2_000_000
 #: The words that ``grams.words`` counts; ``str.split`` would also cut at other blanks.
@@ -45,8 +44,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broad
     items = items.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     planted = written(item_grams(items), "item-grams")
     small = planted.count() <= broadcast_seeds
-    chosen = written(seeds(texts, planted, small), "seeds")
-    found = passages_in_place(texts, chosen) if small else passages_joined(texts, chosen)
+    found = passages_in_place(texts, planted) if small else passages_joined(texts, planted)
     scored = found.join(items.withColumnRenamed("text", "item"), "item_id").mapInArrow(lambda batches: _align(batches, threshold), "doc_id bigint, item_id bigint, score double, seeds int, at_word bigint")
     return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("seeds", "score").alias("seeds"), F.max_by("at_word", F.struct("score", -F.col("at_word"))).alias("at_word"))
 
@@ -72,29 +70,6 @@ def item_grams(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "h bigint, item_id bigint, item_at int, item_words int")
 
 
-def seeds(texts: DataFrame, planted: DataFrame, small: bool) -> DataFrame:
-    """The rarest trigrams of each item by their number of places in the corpus."""
-    if small:
-        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in planted.select("h").distinct().collect()], np.int64).view(np.uint64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, counts = wanted.value, np.zeros(len(wanted.value), np.int64)
-            for batch in batches:
-                for _, _, part in text_slices(batch["text"]):
-                    _, g = grams(words(part, lower=True), SEED)
-                    g = g[members(keys, g)]
-                    counts += np.bincount(np.searchsorted(keys, g), minlength=len(keys))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], ["h", "n"])
-
-        parts = texts.mapInArrow(run, "h bigint, n bigint")
-    else:
-        parts = corpus_grams(texts).join(planted.select("h").distinct(), "h").select("h", F.lit(1).cast("bigint").alias("n"))
-    counts = parts.groupBy("h").agg(F.sum("n").alias("n"))
-    ranked = planted.join(counts, "h", "left").selectExpr("*", "row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), item_at) AS rarity", "count(*) OVER (PARTITION BY item_id) AS own")
-    return ranked.where(F.col("rarity") <= F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.col("own") * RARE_SHARE))).select("h", "item_id", "item_at", "item_words")
-
-
 def corpus_grams(texts: DataFrame) -> DataFrame:
     """(h, doc_id, at): every trigram of every document."""
 
@@ -109,9 +84,9 @@ def corpus_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, doc_id bigint, at bigint")
 
 
-def passages_in_place(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+def passages_in_place(texts: DataFrame, planted: DataFrame) -> DataFrame:
     """Passages around the seeds, cut where the texts are read."""
-    table = chosen.toPandas().sort_values("h", key=lambda c: c.to_numpy().view(np.uint64))
+    table = planted.toPandas().sort_values("h", key=lambda c: c.to_numpy().view(np.uint64))
     sent = texts.sparkSession.sparkContext.broadcast((table["h"].to_numpy().view(np.uint64), *(table[c].to_numpy().astype(np.int64) for c in ("item_id", "item_at", "item_words"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +111,9 @@ def passages_in_place(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _PASSAGE)
 
 
-def passages_joined(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+def passages_joined(texts: DataFrame, planted: DataFrame) -> DataFrame:
     """The same passages when the seeds are too many to send: both sides are shuffled."""
-    hits = corpus_grams(texts).join(chosen, "h").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", (F.col("at") - F.col("item_at")).alias("start"), "item_words")).alias("hits"))
+    hits = corpus_grams(texts).join(planted, "h").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", (F.col("at") - F.col("item_at")).alias("start"), "item_words")).alias("hits"))
     both = texts.join(hits, texts["doc_id"].eqNullSafe(hits["doc_id"])).select(texts["doc_id"], "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

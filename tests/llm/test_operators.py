@@ -175,6 +175,22 @@ def test_leaks(spark):
     assert joined == got
 
 
+def test_leaks_of_edited_copies(spark):
+    """Most trigrams of an edited copy occur nowhere; the few that survive the edits find it."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    item = [word() for _ in range(30)]
+    noise = lambda n: " ".join(word() for _ in range(n))
+    replaced = " ".join(w if i % 4 else word() for i, w in enumerate(item))
+    deleted = " ".join(w for i, w in enumerate(item) if i % 4)
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    for edited in (replaced, deleted):
+        docs = frame(spark, [(1, f"{noise(40)} {edited} {noise(40)}", "en", "s", 0), (2, noise(100), "en", "s", 0)])
+        for limit in (0, 1000):
+            got = leaks(docs, items, broadcast_seeds=limit).collect()
+            assert [x["doc_id"] for x in got] == [1] and got[0]["score"] >= 0.5
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(4)
     for _ in range(200):
