@@ -1,12 +1,14 @@
 """Operator 8: license scans by an exact set-similarity search, with DataFrame functions only.
 
 Two kinds of evidence. *Base phrases* are runs of consecutive words, found by one regular expression.
-*Templates* are license sentences as token sets; a text block (a line) holds a template where at least
-``CONTAINMENT`` of the template's tokens occur in it. Template tokens are ordered by their document
-frequency in the whole corpus, rarest first. To reach an overlap of a = ceil(c * |T|), a block must hold
-one of the |T| - a + 1 rarest tokens of T (prefix filter), have at least a tokens (length filter), and
-have enough template tokens left from the first shared one on (positional filter). What remains is
-compared whole, so the result is that of comparing every block with every template.
+*Templates* are license sentences as token sets; a text block holds a template where at least
+``CONTAINMENT`` of the template's tokens occur in it. A block is a line with the words that follow it,
+one less than the template has, so that a sentence may be wrapped over any number of lines. Template
+tokens are ordered by their document frequency in the whole corpus, rarest first. To reach an overlap of
+a = ceil(c * |T|), a block must hold one of the |T| - a + 1 rarest tokens of T (prefix filter), have at
+least a tokens (length filter), and have enough template tokens left from the first shared one on
+(positional filter). What remains is compared whole. A text with too few tokens of every template is not
+cut into blocks. So the result is that of comparing every block with every template.
 
 The templates are a fixed list, so their index is a literal in the plan and the corpus side needs no
 exchange: a text of any source and any number of copies is scanned where it is read.
@@ -55,9 +57,9 @@ def license_scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     return _templates(_base(scanned), prepared, order, containment).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def tokens_of(text: Column) -> Column:
-    """Distinct lower-case words."""
-    return F.array_distinct(F.split(F.lower(text), f"{_GAP}+"))
+def words_of(text: Column) -> Column:
+    """Lower-case words."""
+    return F.filter(F.split(F.lower(text), f"{_GAP}+"), lambda w: w != "")
 
 
 def _frequencies(scanned: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -99,12 +101,22 @@ def _templates(found: DataFrame, prepared: list[tuple[str, list[str]]], order: d
     ranked = [sorted(tokens, key=order.__getitem__) for _, tokens in prepared]
     prefixes = [tokens[: len(tokens) - need[i] + 1] for i, tokens in enumerate(ranked)]
     every = sorted({t for p in prefixes for t in p})
-    blocks = F.filter(F.transform(F.split("text", "\n"), tokens_of), lambda b: F.arrays_overlap(b, F.lit(every)))
+    after = [len(text.split()) - 1 for _, text in TEMPLATES]
+
+    def block(line: Column, i: Column) -> Column:
+        """A line and the words after it; every line in ``lines`` has a word."""
+        return F.struct(line.alias("line"), F.slice(F.flatten(F.slice("lines", i + 2, max(after))), 1, max(after)).alias("after"))
+
+    somewhere = F.lit(False)
+    for i, tokens in enumerate(ranked):
+        somewhere |= F.size(F.array_intersect(F.lit(tokens), F.col("tokens"))) >= need[i]
+    blocks = F.filter(F.transform("lines", block), lambda b: F.arrays_overlap(b["line"], F.lit(every)) | F.arrays_overlap(b["after"], F.lit(every)))
 
     def overlap(i: int) -> Callable[[Column], Column]:
         """Shared tokens over the template's size where the block meets the threshold, else 0."""
 
-        def of(block: Column) -> Column:
+        def of(found: Column) -> Column:
+            block = F.array_distinct(F.concat(found["line"], F.slice(found["after"], 1, after[i])))
             shared = F.array_intersect(F.lit(ranked[i]), block)  # in global order, rarest first
             position = F.array_position(F.lit(ranked[i]), F.get(shared, F.lit(0))) - 1
             enough = F.arrays_overlap(block, F.lit(prefixes[i])) & (F.size(block) >= need[i]) & (len(ranked[i]) - position >= need[i]) & (F.size(shared) >= need[i])
@@ -115,7 +127,8 @@ def _templates(found: DataFrame, prepared: list[tuple[str, list[str]]], order: d
     scores = F.array(*[F.coalesce(F.array_max(F.transform("blocks", overlap(i))), F.lit(0.0)) for i in range(len(prepared))])
     labels = [F.when(F.get("scores", F.lit(i)) > 0, F.lit(label)) for i, (label, _) in enumerate(prepared)]
     none = F.array_repeat(F.lit(0.0), len(prepared))
-    out = found.withColumn("blocks", blocks).withColumn("scores", F.when(F.size("blocks") > 0, scores).otherwise(none))
+    lines = F.when(somewhere, F.filter(F.transform(F.split("text", "\n"), words_of), lambda line: F.size(line) > 0)).otherwise(F.array().cast("array<array<string>>"))
+    out = found.withColumn("tokens", F.split(F.lower("text"), f"{_GAP}+")).withColumn("lines", lines).withColumn("blocks", blocks).withColumn("scores", F.when(F.size("blocks") > 0, scores).otherwise(none))
     return out.withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.array_union("base_list", F.array_compact(F.array(*labels))))), ",")).withColumn("score", F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.array_max("scores")))
 
 

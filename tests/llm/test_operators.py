@@ -263,6 +263,16 @@ def test_licenses(spark):
     assert (got[5]["first_word"], got[5]["last_word"], got[5]["n_words"]) == (1, 6, 9)
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    narrow = "x y\n" + "\n * \n * ".join(mit.split()) + "\nz"
+    apart = mit.replace("\n", "\n" + "other " * 25 + "\n")
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([mit, bsd, narrow, apart])]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(frame(spark, rows)).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
+
+
 def test_packing(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(["alpha", "beta", "Γάμμα", "delta."]) for _ in range(r.choice([0, 5, 700, 1500, 4000]))), "en", "s", 0) for i in range(60)] + [(60, None, "en", "s", 0)]
