@@ -22,8 +22,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without letters or a clear language go."""
-    found = identify(document_records(docs), fit(docs))
+    """Documents whose language is clear; those without letters or a clear language go. All stay where none has a lang."""
+    model = fit(docs)
+    if not model[0]:
+        return docs.select(*DOCUMENTS)
+    found = identify(document_records(docs), model)
     rejected = found.where("NOT language_kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(*DOCUMENTS)
 

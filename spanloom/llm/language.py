@@ -3,7 +3,8 @@
 Four kinds of evidence are added as log-odds:
 
 * text: naive Bayes over hashed letter trigrams of the whole text. It is fitted on a bounded sample,
-  ``PER_LANGUAGE`` labelled texts a language, drawn by a hash of doc_id. The trigrams of a text overlap
+  ``PER_LANGUAGE`` labelled texts a language, drawn by a hash of doc_id. A
+  language is the primary subtag of ``lang`` (the whole value where it has none), and all are kept. The trigrams of a text overlap
   and repeat, so their mean log-likelihood counts as ``TEXT_WEIGHT`` observations at most.
 * declared language (markup or a column): how often it is declared for each language.
 * address suffix: the share of each language under that suffix against its share overall.
@@ -34,7 +35,7 @@ from spanloom.llm.common import written
 from spanloom.llm.grams import text_slices
 
 #: Labelled texts a language; at most 1000, so that each task passes on its own first ones only.
-PER_LANGUAGE, MOST_LANGUAGES = 1000, 64
+PER_LANGUAGE = 1000
 CELLS = 1 << 14
 TEXT_WEIGHT = 40.0
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0, 5.0, 20.0
@@ -64,7 +65,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities by cell, from ``labelled(doc_id, text, lang)``."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.lower("lang").alias("lang"))
+    rows = labelled.where("trim(lang) != '' AND text IS NOT NULL").select("doc_id", "text", F.coalesce(primary_tag(F.col("lang")), F.lower("lang")).alias("lang"))
     ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) AS r").where(F.col("r") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +78,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(codes // CELLS)), pa.array((codes % CELLS).astype(np.int32)), pa.array(n)], ["lang", "cell", "n"])
 
     counted = ranked.select("text", "lang").mapInArrow(run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # at most MOST_LANGUAGES * CELLS rows from a bounded sample
-    most = table.groupby("lang")["n"].sum().sort_values(ascending=False).head(MOST_LANGUAGES)
-    languages = sorted(most.index)
+    table = counted.toPandas()  # at most CELLS rows a language from a bounded sample
+    languages = sorted(set(table["lang"]))
     counts = np.full((len(languages), CELLS), 0.5)
-    table = table[table["lang"].isin(languages)]
     counts[table["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64), table["cell"].to_numpy(dtype=np.int64)] += table["n"].to_numpy()
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 

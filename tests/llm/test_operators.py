@@ -241,6 +241,24 @@ def test_language(spark):
     assert [x["language"] for x in identify(short, model).collect() if x["doc_id"] == 900] == ["fr"]
 
 
+def test_many_languages_and_subtags(spark):
+    r = random.Random(16)
+    sounds = {f"{a}{b}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for a in "abcdefg" for b in "abcdefghij"}
+    text = lambda k: " ".join("".join(r.choice(sounds[k]) for _ in range(2)) for _ in range(30))
+    tags = [f"{k}{tail}" for k in sounds for tail in ("", "-US", "_gb")]
+    model = fit(frame(spark, [(i, text(k[:2]), k, "s", 0) for i, k in enumerate(tags)]))
+    assert model[0] == sorted(sounds)
+    df = spark.createDataFrame([(i, text(k), None, None, None, k) for i, k in enumerate(sounds)], "doc_id bigint, text string, declared string, host string, suffix string, truth string")
+    assert all(x["language"] == x["truth"] and x["language_kept"] for x in identify(df, model).collect())
+
+
+def test_language_stage_without_labels(spark):
+    from corpus_pipeline import language_stage
+
+    rows = [(i, "some text", None, "s", 0) for i in range(3)]
+    assert language_stage(spark, frame(spark, rows), "").count() == 3
+
+
 def test_token_counts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer, models, pre_tokenizers
