@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (a single-machine test) a new temporary folder is used and set.
+    Where the session names none, a session in one process gets a new temporary folder; a cluster is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         known = context.getCheckpointDir()
         if not known:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
             known = context.getCheckpointDir()
         base = known
@@ -43,6 +46,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a column that numbers them apart, and its name.
+
+    Where every doc_id is there once, the number is doc_id. Else rows are numbered once in a written table,
+    so that every later read sees the same numbers.
+    """
+    [row] = fresh(docs, "row")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if repeated.isEmpty():
+        return docs.withColumn(row, F.col("doc_id")), row
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -52,6 +80,6 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def parts_for(total: int, each: int, most: int) -> int:
-    """How many parts of about ``each`` hold ``total``; beyond ``most`` the parts grow instead."""
-    return max(1, min(most, math.ceil(total / each)))
+def parts_for(total: int, each: int) -> int:
+    """How many parts of about ``each`` hold ``total``; parts never grow with it."""
+    return max(1, math.ceil(total / each))

@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import parts_for, written
-from spanloom.llm.grams import text_slices
-from spanloom.llm.tokens import encoder, vocabulary_path
+from spanloom.llm.tokens import encoded, vocabulary_path
 
 CAPACITY = 2048
 RANK_BLOCK = 4096
-#: Pieces of one block of ranks, and the most blocks.
-PIECES_A_BLOCK, MOST_BLOCKS = 50_000, 1_000_000
+#: Pieces of one block of ranks.
+PIECES_A_BLOCK = 50_000
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
@@ -47,21 +46,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer:
 
 
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, part in text_slices(batch["text"]):
-                rows = []
-                for doc_id, ids in zip(batch["doc_id"].slice(i, len(part)).to_pylist(), encoder(path).encode(part.to_pylist()), strict=True):
-                    ids += end
-                    n, at = len(ids) // 4, 0
-                    for k in range(-(-n // capacity)):
-                        size = n % capacity if k == 0 and n % capacity else capacity
-                        rows.append((doc_id, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                        at += size
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for i, j, ids, sizes in encoded(batch, path, end_id):
+                many = -(-sizes // capacity)
+                owner = np.repeat(np.arange(j - i), many)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                head = (sizes - (many - 1) * capacity)[owner]  # the first piece takes what does not divide
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                length = np.where(piece == 0, head, capacity)
+                low = (np.cumsum(sizes) - sizes)[owner] + start
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(low.tolist(), (low + length).tolist(), strict=True)]
+                doc_id = batch["doc_id"].slice(i, j - i).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -109,8 +107,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def place(pieces: DataFrame, steps: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """Give each piece its planned (sequence_id, offset) by its rank within its length."""
     spark = pieces.sparkSession
-    blocks = parts_for(pieces.count(), PIECES_A_BLOCK, MOST_BLOCKS)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    blocks = parts_for(pieces.count(), PIECES_A_BLOCK)
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
     before = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).select("length", "block", F.expr("sum(n) OVER (PARTITION BY length ORDER BY block) - n").alias("before"))
     own = dealt.withColumn("own", F.expr("row_number() OVER (PARTITION BY length, block ORDER BY doc_id, piece, start, ids_crc32) - 1"))
     ranked = own.join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("own")).withColumn("rank_block", F.expr(f"rank div {RANK_BLOCK}"))

@@ -11,12 +11,14 @@ File format (little-endian), one file for a run of documents in ascending doc_id
 frequent take one byte. Decoding looks a control byte up in a 256-row table of four lengths; offsets
 are its running sum, and ranks become ids through the list. No bit is read one at a time.
 
-How it runs: texts are dealt into doc_id ranges, sorted and tokenized once; ids go to a table in the
-shared folder; counts by id (a row an id of the vocabulary) rank them; each task then encodes the table
-partition it reads into files of bounded size. A file is written under a name of its own and renamed, so
-a repeated task leaves the same file. Files are opened through ``pyarrow.fs``, hence any URI it knows.
-
-Null and empty texts are their end id alone. Repeated rows are kept, side by side. Null doc_ids come
+How it runs: texts are tokenized once, where they are read; ids go to a table in the shared folder, in two
+bytes each where they fit. Counts by id (a row an id of the vocabulary) rank them. The table is dealt into
+ranges of (doc_id, hash of the ids), so that rows of one doc_id need not share a task, and each task encodes
+its sorted range into files of bounded size. A file is written under a name of its own and renamed, so
+a repeated task leaves the same file. Files are opened through ``pyarrow.fs``, hence any URI it knows; a path
+without a scheme is on Spark's default file system.
+
+Null and empty texts are their end id alone. Rows that agree in doc_id are kept, side by side. Null doc_ids come
 last. An empty table gives no files and no rows. Other columns are ignored.
 """
 
@@ -28,18 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import new_path, parts_for, text_bytes
-from spanloom.llm.grams import text_slices
-from spanloom.llm.tokens import encoder, vocabulary_path
+from spanloom.llm.common import new_path, parts_for
+from spanloom.llm.tokens import encoded, vocabulary_path
 
 MAGIC, VERSION = b"SLTK", 1
 HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("documents", "<u8"), ("ids", "<u8"), ("data", "<u8")])
-#: Ids in a file, and text in a range of documents.
-FILE_IDS, RANGE_BYTES, MOST_RANGES = 4_000_000, 16 << 20, 100_000
+#: Ids in a file (one longer document fills its own), and bytes of ids in a range of documents.
+FILE_IDS, RANGE_BYTES = 4_000_000, 8 << 20
+_INDEX = "file string, range int, first long, documents bigint, ids bigint"
 _LAST = np.iinfo(np.int64).max
 #: Data bytes of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
@@ -81,28 +84,32 @@ def decode_file(content: bytes, by_rank: np.ndarray) -> tuple[np.ndarray, np.nda
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
     """Write token files under ``path``; return their index: file, first_doc_id, documents, ids."""
     spark = docs.sparkSession
+    path = qualified(spark, path)
     ids = _ids_table(docs, end_id, vocabulary_path(tokenizer), new_path(spark, "ids"))
     counted = ids.mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = np.array([r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()], dtype="<u4")  # a row an id of the vocabulary
     _put(f"{path}/ranks.bin", ranked.tobytes())
-    where, folder = _file(f"{path}/files")
+    where, folder = fs.FileSystem.from_uri(f"{path}/files")
     where.create_dir(folder)
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 0, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     sent = spark.sparkContext.broadcast(rank_of)
-    index = ids.mapInArrow(lambda batches: _encode(batches, path, sent.value), "file string, range int, first long, documents bigint, ids bigint")
+    ranges = parts_for(ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0, RANGE_BYTES)
+    dealt = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "ids").select("key", "width", "ids", F.spark_partition_id().alias("range"))
+    index = dealt.mapInArrow(lambda batches: _encode(batches, path, sent.value), _INDEX)
     index.write.parquet(f"{path}/index")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Files in order, with the ids of all files before each."""
-    index = spark.read.schema("file string, range int, first long, documents bigint, ids bigint").parquet(f"{path}/index")
+    index = spark.read.schema(_INDEX).parquet(f"{qualified(spark, path)}/index")
     return index.selectExpr("*", "coalesce(sum(ids) OVER (ORDER BY range, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids of each document, from the files alone."""
+    path = qualified(spark, path)
     by_rank = spark.sparkContext.broadcast(np.frombuffer(_get(f"{path}/ranks.bin"), "<u4"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(f"{path}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     placed = files.join(read_index(spark, path).select("file", "before"), "file")
@@ -125,25 +132,19 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ids_table(docs: DataFrame, end_id: int, tokenizer: str, path: str) -> DataFrame:
-    """(range, key, seq, ids): ids of each text, sorted within ranges; ids of two bytes where they fit."""
-    end = np.array([end_id], "<u4").tobytes()
-    ranges = parts_for(text_bytes(docs), RANGE_BYTES, MOST_RANGES)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(int(_LAST))).alias("key"), "text").repartitionByRange(ranges, "key").sortWithinPartitions("key", "text").withColumn("range", F.spark_partition_id())
+    """(key, width, ids): ids of each text; ids of two bytes where all of a slice fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = 0
         for batch in batches:
-            for i, j, part in text_slices(batch["text"]):
-                coded = [np.frombuffer(x + end, "<u4") for x in encoder(tokenizer).encode(part.to_pylist())]
-                most = max(int(x.max()) for x in coded)
-                kind = "<u2" if most < 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_arrays(
-                    [batch["range"].slice(i, j - i), batch["key"].slice(i, j - i), pa.array(np.arange(seq, seq + j - i)), pa.array([int(kind[-1])] * (j - i), pa.int32()), pa.array([x.astype(kind).tobytes() for x in coded], pa.binary())],
-                    ["range", "key", "seq", "width", "ids"],
-                )
-                seq += j - i
-
-    schema = "range int, key bigint, seq bigint, width int, ids binary"
+            for i, j, ids, sizes in encoded(batch, tokenizer, end_id):
+                kind = "<u2" if int(ids.max()) < 1 << 16 else "<u4"
+                width = int(kind[-1])
+                ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
+                packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(i, j - i), pa.array(np.full(j - i, width, np.int32)), packed], ["key", "width", "ids"])
+
+    schema = "key bigint, width int, ids binary"
+    keyed = docs.select(F.coalesce("doc_id", F.lit(int(_LAST))).alias("key"), "text")
     keyed.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
@@ -168,36 +169,48 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, rank_of: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Files from rows that follow one another in one range."""
-    held: list[tuple[int, np.ndarray]] = []
-    at, size = (-1, -1, -1), 0
+    """Files from the sorted rows of one range; a file takes whole documents."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    first, documents, size = 0, 0, 0
 
-    def flush() -> pa.RecordBatch:
-        part, first, _ = at
+    def flush(part: int) -> pa.RecordBatch:
         name = f"{part:06d}-{first:012d}.tok"
-        _put(f"{path}/files/{name}", encode_file(np.array([k for k, _ in held], np.int64), np.array([len(x) for _, x in held]), rank_of[np.concatenate([x for _, x in held])]))
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64())], ["file", "range", "first", "documents", "ids"])
+        keys, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        _put(f"{path}/files/{name}", encode_file(keys, sizes, rank_of[ids]))
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([documents], pa.int64()), pa.array([size], pa.int64())], ["file", "range", "first", "documents", "ids"])
 
+    part = 0
     for batch in batches:
-        for part, key, seq, width, ids in zip(batch["range"].to_pylist(), batch["key"].to_pylist(), batch["seq"].to_pylist(), batch["width"].to_pylist(), batch["ids"], strict=True):
-            if held and (at[0] != part or at[2] + 1 != seq or size >= FILE_IDS):
-                yield flush()
-                held, size = [], 0
-            if not held:
-                at = (part, seq, seq)
-            at = (part, at[1], seq)
-            held.append((key, own := _unpack(width, ids.as_buffer())))
-            size += len(own)
+        n = batch.num_rows
+        if not n:
+            continue
+        part = batch["range"][0].as_py()
+        width = batch["width"].to_numpy()
+        sizes = pc.binary_length(batch["ids"]).to_numpy().astype(np.int64) // width
+        # runs of rows that have one width and at most a file's ids together
+        group = np.cumsum(sizes) // FILE_IDS
+        cuts = [0, *(np.flatnonzero((width[1:] != width[:-1]) | (group[1:] != group[:-1])) + 1).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ids = _unpack(int(width[a]), b"".join(batch["ids"].slice(a, b - a).to_pylist()))
+            if documents and size + len(ids) > FILE_IDS:
+                yield flush(part)
+                held, first, documents, size = [], first + documents, 0, 0
+            held.append((batch["key"].slice(a, b - a).to_numpy(), sizes[a:b], ids))
+            documents, size = documents + b - a, size + len(ids)
     if held:
-        yield flush()
+        yield flush(part)
 
 
-def _file(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI, by Spark's default file system where it names none."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def _put(uri: str, content: bytes) -> None:
-    where, path = _file(uri)
+    where, path = fs.FileSystem.from_uri(uri)
     where.create_dir(path.rpartition("/")[0])
     part = f"{path}.{uuid.uuid4().hex}.part"
     with where.open_output_stream(part) as out:
@@ -206,6 +219,6 @@ def _put(uri: str, content: bytes) -> None:
 
 
 def _get(uri: str) -> bytes:
-    where, path = _file(uri)
+    where, path = fs.FileSystem.from_uri(uri)
     with where.open_input_stream(path) as source:
         return source.read()

@@ -2,26 +2,41 @@
 
 Byte-level pre-tokenizers of this family never join a blank to the character before it when a
 non-blank follows, so a text can be cut before each such blank and its chunks encoded apart with the
-same ids. Chunks repeat as words do, so each worker encodes a distinct chunk once while it remembers
-it. A blank followed by more white space is never a cut.
+same ids. Arrow cuts the texts and numbers their distinct chunks, each distinct chunk is looked up
+once a slice, and numpy lays the ids out. Chunks repeat as words do, so a worker encodes a distinct
+chunk once while it remembers it; long chunks are not remembered. A blank followed by more white space
+is never a cut. A newline between two characters that are no white space is a token of its own.
+
+Added tokens of the tokenizer file (``<|endoftext|>``) are found in texts as the library finds them:
+the text is cut around them first.
 """
 
 from __future__ import annotations
 
-import struct
+import re
+import string
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+from spanloom.llm.grams import text_slices
 
+#: Chunks that a worker remembers in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
+#: Text that is cut and laid out at once.
+SLICE_BYTES = 4 << 20
 
 #: White space that may follow a blank: what ASCII texts can hold, and the rest.
 _ASCII_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 _OTHER_WHITE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Marks that may close a word.
-_MARKS = ".,;:!?"
+_UNEVEN = f" [{_ASCII_WHITE}{_OTHER_WHITE}]| $"
+#: Letters below this are letters in every Unicode version a tokenizer may know.
+_SETTLED = "\u0530"
+_LINE = "\n"
 
 
 def chunks(text: str) -> list[str]:
@@ -45,55 +60,133 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.pieces = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.tails: dict[str, bytes] = {}
-        probe = [" Maße", " naïve.", " w\u0142asna?!"]
-        self.direct = [self._word(x[1:]) for x in probe] == [self._whole(x) for x in probe]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {x.content: np.array([i], "<u4").tobytes() for i, x in added.items()}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        # tokens that take blanks beside them or need word edges are left to the library, with their texts
+        self.plain = not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added.values())
+        self.line = self._whole(_LINE)
+        self.direct = True
+        probe = ["Ma\u00dfe", "na\u00efve.", "w\u0142asna?!", "x)\"", "2024", "Ende$$\nNeu"]
+        self.direct = all(self._chunk(x) == self._whole(" " + x) for x in probe)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, chunk: str) -> bytes | None:
-        """Ids of a blank, letters and closing marks, which are one or two pre-tokens; else nothing."""
-        core = chunk.rstrip(_MARKS)
-        if not core.isalpha():
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, lead: str, word: str) -> bytes | None:
+        """Ids of letters or digits, with or without a blank before and marks behind: one or two pre-tokens; else nothing."""
+        core = word.rstrip(string.punctuation)
+        if core.isascii():
+            if not (core.isalpha() or core.isdigit()):
+                return None
+            shown = "\u0120" + core if lead else core
+        elif core.isalpha() and max(core) < _SETTLED:
+            shown = (lead + core).encode().decode("latin-1").translate(self.letters)
+        else:
             return None
-        ids = self.tokenizer.model.tokenize((" " + core).encode().decode("latin-1").translate(self.letters))
-        own = struct.pack(f"<{len(ids)}I", *[x.id for x in ids])
-        if len(core) == len(chunk):
+        own = array("I", [x.id for x in self.pieces(shown)]).tobytes()
+        if len(core) == len(word):
             return own
-        tail = chunk[len(core) :]
-        if tail not in self.tails:
-            self.tails[tail] = self._whole(tail)
-        return own + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(x) if x else [] for x in texts]
-        self._learn(set().union(*[x[1:] for x in cut]))
-        heads = self.tokenizer.encode_batch_fast([x[0] if x else "" for x in cut], add_special_tokens=False)
-        get = self.young.__getitem__
-        out = [np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(get, x[1:])) for h, x in zip(heads, cut, strict=True)]
+        tail = word[len(core) :]
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self._whole(tail)
+            if len(tail) <= 8:
+                self.tails[tail] = ids
+        return own + ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a blank and the chunk after it."""
+        if _LINE in chunk:
+            first, *lines = chunk.split(_LINE)
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
+                return b"".join([self._known(first), *[self._known(_LINE + x) for x in lines]])
+        ids = self._word(" ", chunk)
+        return self._whole(" " + chunk) if ids is None else ids
+
+    def _known(self, key: str) -> bytes:
+        """Ids of a remembered chunk; one that starts with a newline follows no blank."""
+        ids = self.young.get(key)
+        if ids is not None:
+            return ids
+        ids = self.old.get(key)
+        if ids is None:
+            if not self.direct:
+                ids = self._whole(key if key[:1] == _LINE else " " + key)
+            elif key[:1] == _LINE:
+                word = self._word("", key[1:])
+                ids = self._whole(key) if word is None else self.line + word
+            else:
+                ids = self._chunk(key)
+        if len(key) <= LONGEST:
+            self.young[key] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        """Ids of one text."""
+        if self.marks and self.marks.search(text):
+            if not self.plain:
+                return self._whole(text)
+            ends = [m.span() for m in self.marks.finditer(text)]
+            starts = [0, *[b for _, b in ends]]
+            return b"".join(self._section(text[s:a]) + self.added.get(text[a:b], b"") for s, (a, b) in zip(starts, [*ends, (len(text), len(text))], strict=True))
+        return self._section(text)
+
+    def _section(self, text: str) -> bytes:
+        first, *rest = chunks(text)
+        return b"".join([self._whole(first) if first else b"", *map(self._known, rest)])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (no nulls), each with the end id, one after another; and how many each has."""
+        n = len(texts)
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        for mark in self.added:
+            uneven = pc.or_(uneven, pc.match_substring(texts, mark))
+        apart = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        even = pc.if_else(uneven, "", texts) if len(apart) else texts
+        cut = pc.split_pattern(even, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        values = cut.flatten()
+        later = np.ones(len(values), bool)
+        later[offsets[:-1]] = False
+        coded = values.filter(pa.array(later)).dictionary_encode()
+        first = [self._whole(x) if x else b"" for x in values.take(pa.array(offsets[:-1])).to_pylist()]
+        for i in apart.tolist():
+            first[i] = self.text(texts[i].as_py())
+        distinct = coded.dictionary.to_pylist()
+        ids = list(map(self.young.get, distinct))
+        for i, known in enumerate(ids):
+            if known is None:
+                ids[i] = self._known(distinct[i])
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        return out
-
-    def _learn(self, wanted: set[str]) -> None:
-        """Remember the ids of chunks, each with the blank before it."""
-        young, old = self.young, self.old
-        rest = []
-        for chunk in wanted.difference(young):
-            ids = old.get(chunk)
-            if ids is None and self.direct:
-                ids = self._word(chunk)
-            if ids is None:
-                rest.append(chunk)
-            else:
-                young[chunk] = ids
-        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast([" " + x for x in rest], add_special_tokens=False), strict=True):
-            young[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        # chunk numbers: distinct chunks, then first chunks, then the end
+        number = np.empty(len(values) + n, np.int32)
+        own = np.ones(len(number), bool)
+        at = offsets + np.arange(n + 1)
+        own[at[:-1]] = own[at[1:] - 1] = False
+        number[own] = coded.indices.to_numpy()
+        number[at[:-1]] = len(distinct) + np.arange(n)
+        number[at[1:] - 1] = len(distinct) + n
+        every = [*ids, *first, np.array([end_id], "<u4").tobytes()]
+        lengths = np.fromiter(map(len, every), np.int64, len(every)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        size = lengths[number]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(b"".join(every), "<u4")
+        return flat[np.arange(ends[-1] if n else 0) + np.repeat(starts[number] - (ends - size), size)], np.diff(np.concatenate([[0], ends[at[1:] - 1]])) if n else np.zeros(0, np.int64)
+
+
+def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, ids, sizes) of slices of the column ``text``; null reads as empty."""
+    for i, j, part in text_slices(batch["text"], SLICE_BYTES):
+        yield i, j, *encoder(path).encode(part, end_id)
 
 
 def _byte_letters() -> dict[int, int]:
