@@ -6,12 +6,14 @@ hash always, so that no text with words has an empty one. Sketches of one fracti
 unequal length without any fixed size. Likeness is the shared part of the smaller sketch.
 
 Comparing each document with the next by doc_id takes one exchange of the texts. doc_id is dealt into
-ranges by a histogram of a fixed number of cells; the first document of each range also goes, flagged,
-to the range before. A task walks its ranges in order and holds two documents at a time.
+ranges at approximate quantiles; rows with null doc_id, which come last, are dealt by a hash of their text.
+The first document of each range also goes, flagged, to the range before. A task walks its ranges in order
+and holds two documents at a time.
 
 A null text reads as empty and has an empty fingerprint; two empty fingerprints have likeness 1, an
-empty and another 0. Rows that agree in doc_id follow one another by text; null doc_ids come last. A
-single document is its own next. Other columns are ignored; an empty table gives no rows.
+empty and another 0. Rows that agree in doc_id follow one another by text; null doc_ids come last, by the
+hash of their text. A single document is its own next. Other columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import parts_for, text_bytes
+from spanloom.llm.common import parts_for
 from spanloom.llm.grams import SLICE_BYTES, members, mix, shingle_sets, words
 
-SHINGLE, FRACTION = 5, 8
-#: Text of a range, the most ranges, and histogram cells for each.
-RANGE_BYTES, MOST_RANGES, CELLS = 24 << 20, 4096, 16
+SHINGLE, FRACTION = 5, 4
+#: Text of a range, and the most ranges in powers of SIDE; beyond them ranges grow, which a task walks with
+#: two documents at a time.
+RANGE_BYTES, SIDE = 24 << 20, 128
 _LAST = 9223372036854775807
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -96,31 +99,48 @@ def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def compare_with_next(docs: DataFrame, shingle: int = SHINGLE, fraction: int = FRACTION) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness; see ``queries``."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.xxhash64(text)).alias("key"))
     ranged, n = _ranged(keyed)
-    heads = ranged.groupBy("range").agg(F.min("key").alias("key")).selectExpr("key", "coalesce(lag(range) OVER (ORDER BY range), max(range) OVER ()) AS before")
-    first = ranged.join(F.broadcast(heads), "key")  # one row a range: at most MOST_RANGES
-    extra = first.select(F.col("before").alias("range"), F.lit(1).alias("next"), "key", "doc_id", "text")
-    rows = ranged.select("range", F.lit(0).alias("next"), "key", "doc_id", "text").unionByName(extra)
-    dealt = rows.repartition(n, "range").sortWithinPartitions("range", "next", "key", "text")
-    return dealt.mapInArrow(lambda batches: _walk(batches, shingle, fraction), _OUT)
+    place = F.struct("last", "key", "text")
+    heads = ranged.groupBy("range").agg(F.min(F.struct("last", "key")).alias("head"))
+    heads = heads.selectExpr("head.last AS last", "head.key AS key", "range", "coalesce(lag(range) OVER (ORDER BY range), max(range) OVER ()) AS before")
+    # one row a range, of which there are at most SIDE * SIDE + 2; of rows that share the key, the least text is first
+    first = ranged.join(F.broadcast(heads), ["last", "key", "range"]).groupBy("before").agg(F.min(F.struct(place.alias("place"), "doc_id")).alias("first"))
+    extra = first.select(F.col("before").alias("range"), F.lit(1).alias("next"), "first.place.last", "first.place.key", "first.doc_id", "first.place.text")
+    rows = ranged.select("range", F.lit(0).alias("next"), "last", "key", "doc_id", "text").unionByName(extra)
+    dealt = rows.repartitionByRange(n, "range").sortWithinPartitions("range", "next", "last", "key", "text")
+    return dealt.select("range", "next", "doc_id", "text").mapInArrow(lambda batches: _walk(batches, shingle, fraction), _OUT)
 
 
 def _ranged(keyed: DataFrame) -> tuple[DataFrame, int]:
     """Add the index of a range of keys; ranges hold about the same number of documents."""
-    n = parts_for(text_bytes(keyed), RANGE_BYTES, MOST_RANGES)
-    low, high = keyed.where(f"key < {_LAST}").agg(F.min("key"), F.max("key")).first()
-    if low is None or n == 1 or low == high:
+    missing = F.col("last")
+    total, absent, count = keyed.agg(F.sum(F.octet_length("text")), F.count_if(missing), F.count("*")).first()
+    n = min(SIDE * SIDE, parts_for(total or 0, RANGE_BYTES))
+    if not count or n == 1:
         return keyed.withColumn("range", F.lit(0)), 1
-    cells = n * CELLS
-    width = float(max(1, -(-(high - low + 1) // cells)))
-    cell = F.when(F.col("key") == _LAST, F.lit(cells)).otherwise(F.floor((F.col("key").cast("double") - float(low)) / width)).cast("int")  # null doc_ids take the last cell
-    counts = dict(keyed.groupBy(cell.alias("cell")).count().collect())
-    total, seen, of_cell = sum(counts.values()), 0, []
-    for c in range(cells + 1):
-        of_cell.append(seen * n // total if total else 0)
-        seen += counts.get(c, 0)
-    return keyed.withColumn("range", F.get(F.lit(of_cell), cell)), n
+    last = round(n * absent / count)
+    n -= last
+    bounds = []
+    if absent < count:
+        marks = [i / n for i in range(1, n)]
+        bounds = keyed.where(~missing).agg(F.percentile_approx("key", marks, max(10_000, 20 * n))).first()[0] if marks else []
+    bounds = sorted(set(bounds))
+    # two steps of at most SIDE comparisons each: the run of bounds, then the bound
+    runs = [bounds[i : i + SIDE] for i in range(0, len(bounds), SIDE)]
+
+    def passed(limits: Column) -> Column:
+        return F.size(F.filter(limits, lambda b: b <= F.col("key")))
+
+    if runs:
+        run = F.greatest(passed(F.lit([r[0] for r in runs])) - 1, F.lit(0))
+        number = run * SIDE + passed(F.get(F.lit([r + [_LAST] * (SIDE - len(r)) for r in runs]), run))
+    else:
+        number = F.lit(0)
+    number = F.least(number, F.lit(len(bounds)))  # the padding is no bound
+    spread = F.lit(len(bounds) + 1) + F.floor((F.shiftright("key", 32) + F.lit(1 << 31)) * F.lit(max(last, 1)) / F.lit(float(1 << 32)))
+    return keyed.withColumn("range", F.when(missing, spread).otherwise(number).cast("int")), len(bounds) + 1 + max(last, 1)
 
 
 def _walk(batches: Iterator[pa.RecordBatch], shingle: int, fraction: int) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ blocks of every text and to probe them with every rolling window of 7 words. Hit
 13-word windows around a hit are compared whole, and the windows that have an earlier source merge
 into maximal repeats, whose words are removed.
 
-How it runs. Texts are dealt once into *batches* by a hash of doc_id; that exchange is reused by the
+How it runs. Texts are dealt once into *batches* by a hash of doc_id and text; that exchange is reused by the
 three passes over the text. A pass ships hashes, not texts, to hash *buckets*. Hashes are packed per
 (batch, bucket), after the batch has merged its own equal ones, so a passage that a third of all
 documents share reaches its bucket once a batch:
@@ -38,8 +38,9 @@ from spanloom.llm.grams import grams, members, mix, text_slices, words
 
 WINDOW = 13
 BLOCK = 7
-#: Text of a batch, and text whose hashes one bucket takes; both grow once there are so many parts.
-BATCH_BYTES, BUCKET_BYTES, MOST_PARTS = 16 << 20, 8 << 20, 100_000
+#: Text of a batch, and text whose hashes one bucket takes, at any size of the input. A packed row holds at
+#: least one hash, so there are never more rows than hashes.
+BATCH_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -47,8 +48,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Tru
     """One row for each input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     block = (window + 1) // 2
     total = text_bytes(docs)
-    n_batches, n_buckets = parts_for(total, BATCH_BYTES, MOST_PARTS), parts_for(total, BUCKET_BYTES, MOST_PARTS)
-    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch"))
+    n_batches, n_buckets = parts_for(total, BATCH_BYTES), parts_for(total, BUCKET_BYTES)
+    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch"))
 
     probes = texts.groupBy("batch").applyInArrow(lambda t: _probes(t, block, n_buckets), "batch int, bucket int, keys binary")
     anchors = probes.groupBy("bucket").applyInArrow(_anchors, "batch int, bucket int, keys binary")
