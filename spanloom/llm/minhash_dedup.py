@@ -23,8 +23,9 @@
 
 With 512 bins in bands of 8 rows a pair at 0.8 is missed by all 64 bands with probability 1e-5.
 
-Null and empty texts have no shingles and no links. Rows with one doc_id are one node. A row with a
-null doc_id cannot be linked: its component is null and it is kept. Other columns are ignored.
+Null and empty texts have no shingles and no links. Rows with one doc_id are one node: what any of them
+reaches, all reach. A row with a null doc_id cannot be linked: its component is null and it is kept. Other
+columns are ignored. The pipeline numbers rows apart first, so that there rows are the nodes.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bin
     made = sketches(texts, shingle, bins, rows)
     classes = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
-    links, components = _linked(texts, classes, shingle, threshold)
+    links, components = _linked(texts, classes, shingle, threshold, _same_document(made, classes))
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = components.join(n_links, "rep", "left")
     of_class = classes.drop("bands", "size", "bits").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -69,6 +70,18 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bin
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_document(made: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(a, b): classes that share a doc_id, by their representatives; nothing where no doc_id has two sets."""
+    sets = F.struct("set_a", "set_b")
+    mixed = made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low != high").select("doc_id")
+    mixed = written(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    reps = made.join(mixed, "doc_id").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("doc_id", "rep")
+    low = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return written(reps.join(low, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "same-document")
+
+
 def sketches(texts: DataFrame, shingle: int, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, its band keys and its bitmap; written, as it is read twice."""
 
@@ -134,8 +147,11 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def _linked(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) and components (rep, component) of the representatives that share band keys."""
+def _linked(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float, given: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) and components (rep, component) of the representatives that share band keys.
+
+    ``given`` links take part in the components only.
+    """
     rows = classes.select(F.explode("bands").alias("key"), "rep", "size")
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = written(rows.join(shared, "key").join(classes.select("rep", "bits"), "rep"), "bucket-members")
@@ -153,7 +169,7 @@ def _linked(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float
             new = written(_confirm(texts, pairs.select("star", "member"), shingle, threshold), "confirmed")
             if links is None or not new.isEmpty():
                 links = new if links is None else links.unionByName(new)
-                components = connected_components(links).withColumnRenamed("node", "rep")
+                components = connected_components(links if given is None else links.unionByName(given)).withColumnRenamed("node", "rep")
         rest = left.drop("component").join(stars.select("key", F.col("star").alias("rep")), ["key", "rep"], "left_anti")
         placed = rest.join(components, "rep", "left").select("key", "rep", "size", "bits", F.coalesce("component", "rep").alias("component"))
         still_open = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_left")).where("low < high").select("key", "n_left")
