@@ -5,13 +5,15 @@
 2. ``passages``: words around every place where a seed of an item occurs in a document, one passage
    for places that lie close together. Two ways give the same rows: seeds up to ``BROADCAST_SEEDS``
    go to the tasks that read the texts; more of them meet the documents' trigrams in a shuffled join,
-   and the texts follow by doc_id.
+   and the texts follow by doc_id and a hash of the text.
 3. ``_align``: local alignment of the passage's and the item's words (match 2, mismatch and gap -1),
    after a bound by shared words. The score is divided by what the whole item would reach.
 
 Words are maximal runs of non-blank characters in lower case (A-Z). Items of fewer than three words
 have no trigram and match nothing; null and empty texts match nothing. Rows that agree in doc_id give
-the best score of either; rows with null doc_id are reported under null. Other columns are ignored.
+the best score of either; rows with null doc_id are reported under null, together. Of equal scores the
+earliest place counts, then the most seeds. Repeated items give their rows once. ``decontaminate`` judges
+rows apart, whatever their doc_ids. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import written
+from spanloom.llm.common import told_apart, written
 from spanloom.llm.grams import grams, members, text_slices, words
 
 SEED = 3
@@ -41,18 +43,20 @@ _PASSAGE = "doc_id bigint, item_id bigint, at bigint, seeds int, passage string"
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, score, seeds, at_word) of each pair that aligns at the threshold or better."""
     texts = docs.select("doc_id", "text")
-    items = items.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = items.select(F.col("item_id").cast("bigint"), "text").where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
     planted = written(item_grams(items), "item-grams")
     small = planted.count() <= broadcast_seeds
     found = passages_in_place(texts, planted) if small else passages_joined(texts, planted)
     scored = found.join(items.withColumnRenamed("text", "item"), "item_id").mapInArrow(lambda batches: _align(batches, threshold), "doc_id bigint, item_id bigint, score double, seeds int, at_word bigint")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("seeds", "score").alias("seeds"), F.max_by("at_word", F.struct("score", -F.col("at_word"))).alias("at_word"))
+    best = F.max(F.struct("score", (-F.col("at_word")).alias("before"), "seeds")).alias("best")
+    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.seeds", (-F.col("best.before")).alias("at_word"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents in which no test item aligns; rows with null doc_id stay."""
-    bad = leaks(docs, items, threshold).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows in which no test item aligns."""
+    numbered, row = told_apart(docs)
+    bad = leaks(numbered.select(F.col(row).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(bad, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def item_grams(items: DataFrame) -> DataFrame:
@@ -71,22 +75,22 @@ def item_grams(items: DataFrame) -> DataFrame:
 
 
 def corpus_grams(texts: DataFrame) -> DataFrame:
-    """(h, doc_id, at): every trigram of every document."""
+    """(h, doc_id, own, at): every trigram of every document; ``own`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, part in text_slices(batch["text"]):
                 w = words(part, lower=True)
                 at, g = grams(w, SEED)
-                ids = batch["doc_id"].slice(i, j - i).take(pa.array(w.text_of[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), ids, pa.array(w.place[at])], ["h", "doc_id", "at"])
+                ids, own = (batch[c].slice(i, j - i).take(pa.array(w.text_of[at])) for c in ("doc_id", "own"))
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), ids, own, pa.array(w.place[at])], ["h", "doc_id", "own", "at"])
 
-    return texts.mapInArrow(run, "h bigint, doc_id bigint, at bigint")
+    return texts.mapInArrow(run, "h bigint, doc_id bigint, own bigint, at bigint")
 
 
 def passages_in_place(texts: DataFrame, planted: DataFrame) -> DataFrame:
     """Passages around the seeds, cut where the texts are read."""
-    table = planted.toPandas().sort_values("h", key=lambda c: c.to_numpy().view(np.uint64))
+    table = planted.distinct().toPandas().sort_values("h", key=lambda c: c.to_numpy().view(np.uint64))
     sent = texts.sparkSession.sparkContext.broadcast((table["h"].to_numpy().view(np.uint64), *(table[c].to_numpy().astype(np.int64) for c in ("item_id", "item_at", "item_words"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,14 +117,18 @@ def passages_in_place(texts: DataFrame, planted: DataFrame) -> DataFrame:
 
 def passages_joined(texts: DataFrame, planted: DataFrame) -> DataFrame:
     """The same passages when the seeds are too many to send: both sides are shuffled."""
-    hits = corpus_grams(texts).join(planted, "h").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", (F.col("at") - F.col("item_at")).alias("start"), "item_words")).alias("hits"))
-    both = texts.join(hits, texts["doc_id"].eqNullSafe(hits["doc_id"])).select(texts["doc_id"], "text", "hits")
+    keyed = texts.withColumn("own", F.xxhash64("text"))
+    # a set of hits, so that rows that agree in doc_id and text do not count theirs twice
+    hits = corpus_grams(keyed).join(planted.distinct(), "h").groupBy("doc_id", "own").agg(F.collect_set(F.struct("item_id", "at", "item_at", "item_words")).alias("hits"))
+    hits = hits.withColumnsRenamed({"doc_id": "of_doc", "own": "of_text"})
+    both = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("own") == F.col("of_text"))).select("doc_id", "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "hits")), strict=True):
-                rows += _cut(doc_id, _WORD.findall(text or ""), *(np.array([h[c] for h in found], np.int64) for c in ("item_id", "start", "item_words")))
+                item_id, at, item_at, item_words = (np.array([h[c] for h in found], np.int64) for c in ("item_id", "at", "item_at", "item_words"))
+                rows += _cut(doc_id, _WORD.findall(text or ""), item_id, at - item_at, item_words)
             yield _passage_batch(rows)
 
     return both.mapInArrow(run, _PASSAGE)
