@@ -3,9 +3,10 @@
 Four kinds of evidence are added as log-odds:
 
 * text: naive Bayes over hashed letter trigrams of the whole text. It is fitted on a bounded sample,
-  ``PER_LANGUAGE`` labelled texts a language, drawn by a hash of doc_id. A
-  language is the primary subtag of ``lang`` (the whole value where it has none), and all are kept. The trigrams of a text overlap
-  and repeat, so their mean log-likelihood counts as ``TEXT_WEIGHT`` observations at most.
+  ``PER_LANGUAGE`` labelled texts a language, drawn by a hash of doc_id and text. A language is the primary
+  subtag of ``lang`` (the whole value where it has none). All are kept; more than ``MOST_LANGUAGES`` are an
+  error, as such a column holds no languages. The trigrams of a text overlap and repeat, so their mean
+  log-likelihood counts as ``TEXT_WEIGHT`` observations at most.
 * declared language (markup or a column): how often it is declared for each language.
 * address suffix: the share of each language under that suffix against its share overall.
 * host prior: the language shares of a host, smoothed towards those of its domain, which are smoothed
@@ -18,7 +19,9 @@ that are written first; adaptive execution splits hot keys.
 A text without letters has no language and is rejected; so is a text whose best posterior is below
 ``LEAST_POSTERIOR``. Ties take the first language by name. Null and empty texts, hosts, suffixes and
 declarations are no evidence. Rows are not told apart by id, so repeated rows each give a row. The
-input's columns are kept and ``language_*`` columns are added.
+input's columns but the text are kept; ``language``, ``language_posterior`` and ``language_kept`` replace
+columns of those names. Where no row has a language, no text has one. The label of documents is what the
+model is fitted on, so ``document_records`` holds it out of the declared evidence.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from spanloom.llm.common import written
 from spanloom.llm.grams import text_slices
 
-#: Labelled texts a language; at most 1000, so that each task passes on its own first ones only.
-PER_LANGUAGE = 1000
+#: Labelled texts a language, and the most languages, which bound what the driver collects: CELLS rows each.
+PER_LANGUAGE, MOST_LANGUAGES = 1000, 4096
 CELLS = 1 << 14
 TEXT_WEIGHT = 40.0
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0, 5.0, 20.0
@@ -51,22 +54,29 @@ for _c in range(0x61, 0x7B):
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, cell) of each byte trigram of letters, a word's two edges included."""
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts], np.int64)
-    padded = b" ".join(x.as_buffer().to_pybytes() for x in texts) + b"  " if len(texts) else b""
+    padded = b" " + b" ".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts) + b" "
     data = _LETTER[np.frombuffer(padded, np.uint8)]
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, c = (data[k : len(data) - 2 + k].astype(np.uint32) for k in range(3))
     code = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) + c * np.uint32(0xC2B2AE35)) >> np.uint32(18)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[: len(code)]
-    code = code[: len(owner)]
-    solid = (b[: len(owner)] != 0x20) & ((a[: len(owner)] != 0x20) | (c[: len(owner)] != 0x20))
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[: len(code)]  # of the middle byte, which is never between texts
+    solid = (b != 0x20) & ((a != 0x20) | (c != 0x20))
     return owner[solid], code[solid].astype(np.int64)
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities by cell, from ``labelled(doc_id, text, lang)``."""
-    rows = labelled.where("trim(lang) != '' AND text IS NOT NULL").select("doc_id", "text", F.coalesce(primary_tag(F.col("lang")), F.lower("lang")).alias("lang"))
-    ranked = rows.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) AS r").where(F.col("r") <= per_language)
+    tag = F.coalesce(primary_tag(F.col("lang")), F.lower("lang")).alias("lang")
+    labels = labelled.where("trim(lang) != '' AND text IS NOT NULL")
+    # a row a language; a hash bound lets through half as many again as are wanted, so that no task sorts more
+    counted = written(labels.groupBy(tag).agg(F.count("*").alias("n")), "language-counts")
+    if counted.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    drawn = F.xxhash64("doc_id", "text")
+    rows = labels.select("doc_id", "text", tag, drawn.alias("drawn")).join(counted, "lang")
+    likely = rows.where((F.col("drawn").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") <= 1.5 * per_language + 50)
+    ranked = likely.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY drawn, doc_id) AS r").where(F.col("r") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,8 +99,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """Add language (null: none), language_posterior and language_kept to the rows."""
     languages, logs = model
     n = len(languages)
+    added = ["language", "language_posterior", "language_kept"]
+    inner = ["language_letters", "language_loglik", "language_text", "language_host", "language_suffix", "language_said", "language_sum", "language_top"]
+    rows = rows.drop(*added, *inner)
     if not n:
-        return rows.withColumns({"language": F.lit(None).cast("string"), "language_posterior": F.lit(0.0), "language_kept": F.lit(False)})
+        return rows.drop(text).withColumns({"language": F.lit(None).cast("string"), "language_posterior": F.lit(0.0), "language_kept": F.lit(False)})
     scored = written(_text_evidence(rows, logs, text), "text-evidence")
     mass = [F.sum(F.col("language_text")[i]).alias(f"c{i}") for i in range(n)]
 
@@ -123,7 +136,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     out = fused.withColumn("language_posterior", F.when(F.col("language_letters") > 0, best).otherwise(0.0))
     name = F.get(F.lit(languages), (F.array_position("language_sum", F.col("language_top")) - 1).cast("int"))
     out = out.withColumn("language", F.when(F.col("language_letters") > 0, name)).withColumn("language_kept", F.col("language_posterior") >= LEAST_POSTERIOR)
-    return out.select(*rows.drop(text).columns, *(["language", "language_posterior", "language_kept"]))
+    return out.select(*rows.drop(text).columns, *added)
 
 
 def _text_evidence(rows: DataFrame, logs: np.ndarray, text: str) -> DataFrame:
@@ -163,5 +176,5 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def document_records(docs: DataFrame) -> DataFrame:
-    """doc_id, text, declared language and host (the source) of documents."""
-    return docs.select("doc_id", "text", primary_tag(F.col("lang")).alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    """doc_id, text and host (the source) of documents; they declare nothing, as lang is the label."""
+    return docs.select("doc_id", "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
