@@ -18,14 +18,23 @@ Null and empty texts have 0 tokens. One output row a row; other columns are igno
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-REMEMBERED = 500_000
+from spanloom.llm.grams import text_slices
+
+#: Chunks that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
+MARK = chr(0x2581)
+#: Places of a chunk that are held; more than the longest piece has characters.
+HELD = 1 << 16
+_CHUNK = re.compile(f"{MARK}[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -47,28 +56,37 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
 
     def pieces(self, chunk: str) -> int:
-        """Pieces on the best path through one chunk."""
-        ends: dict[int, list[tuple[int, float]]] = {}
-        for end, match in self.automaton.iter(chunk):
-            ends.setdefault(end, []).append(match)
-        score, count = [0.0] * (len(chunk) + 1), [0] * (len(chunk) + 1)
+        """Pieces on the best path through one chunk; of a long chunk only the last places are held."""
+        score, count, base = [0.0], [0], 0
+        matches = self.automaton.iter(chunk)
+        last, match = next(matches, (-1, None))
         for end, character in enumerate(chunk):
+            found = []
+            while last == end:
+                found.append(match)
+                last, match = next(matches, (-1, None))
             best, pieces, single = None, 0, False
-            for size, own in sorted(ends.get(end, ()), reverse=True):
-                start = end + 1 - size
+            for size, own in sorted(found, reverse=True):
+                start = end + 1 - size - base
                 through = own + score[start]
                 if best is None or through > best:
                     best, pieces = through, count[start] + 1
                 single = single or size == 1
             if not single:
-                through = self.unknown + score[end]
+                through = self.unknown + score[-1]
                 if best is None or through > best:
-                    best, pieces = through, count[end] + len(character.encode())
-            score[end + 1], count[end + 1] = best, pieces
+                    best, pieces = through, count[-1] + len(character.encode())
+            score.append(best)
+            count.append(pieces)
+            if len(score) > HELD:
+                gone = len(score) - self.longest
+                base += gone
+                del score[:gone], count[:gone]
         return count[-1]
 
     def count(self, text: str | None) -> int:
@@ -76,13 +94,20 @@ class Counter:
             return 0
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        text = text.replace(" ", "▁")
-        parts = (text if text[0] == "▁" else "▁" + text).split("▁")[1:]
+        text = text.replace(" ", MARK)
+        if text[0] != MARK:
+            text = MARK + text
         known, total = self.known, 0
+        if len(text) < 1 << 20:
+            parts = iter(text.split(MARK)[1:])
+        else:
+            parts = (m.group()[1:] for m in _CHUNK.finditer(text))  # a list of all chunks would be large
         for part in parts:
             n = known.get(part)
             if n is None:
-                n = known[part] = self.pieces("▁" + part)
+                n = self.pieces(MARK + part)
+                if len(part) <= LONGEST:
+                    known[part] = n
             total += n
         return total
 
@@ -102,8 +127,8 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            numbers = np.array([counter(model).count(x) for x in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x or "") for x in texts], pa.int64()), pa.array(numbers)], ["doc_id", "n_chars", "n_tokens"])
+            for i, j, part in text_slices(batch["text"]):
+                numbers = np.array([counter(model).count(x.as_py()) for x in part], np.int64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pc.utf8_length(part).cast(pa.int64()), pa.array(numbers)], ["doc_id", "n_chars", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_chars bigint, n_tokens bigint")
