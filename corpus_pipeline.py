@@ -2,6 +2,10 @@
 
 Each stage takes all documents that the one before kept. ``run`` writes each stage's documents to the
 shared folder as Parquet and reads them back for the next.
+
+Rows are judged apart, also where doc_ids repeat or are null. Null and empty texts have no language and go with
+the first stage, unless no document has a lang; where they come to a later stage, they stay, and packing gives
+each its end id. An empty table gives no rows. Other columns than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import DOCUMENTS, documents, written
+from spanloom.llm.common import DOCUMENTS, documents, told_apart, written
 from spanloom.llm.decontaminate import decontaminate
 from spanloom.llm.language import document_records, fit, identify
 from spanloom.llm.line_dedup import line_dedup
@@ -26,9 +30,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = fit(docs)
     if not model[0]:
         return docs.select(*DOCUMENTS)
-    found = identify(document_records(docs), model)
-    rejected = found.where("NOT language_kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*DOCUMENTS)
+    numbered, row = told_apart(docs)
+    records = document_records(numbered.select(F.col(row).alias("doc_id"), "text", "source"))
+    rejected = identify(records, model).where("NOT language_kept").select(F.col("doc_id").alias(row))
+    return numbered.join(rejected, row, "left_anti").select(*DOCUMENTS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, by five-word shingles at 0.8."""
-    gone = minhash_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
+    """One document of each group of near-duplicates, by five-word shingles at 0.8: the least doc_id.
+
+    Where doc_ids repeat or are missing, the rows are the documents, and the one that comes first stays.
+    """
+    numbered, row = told_apart(docs)
+    gone = minhash_dedup(numbered.select(F.col(row).alias("doc_id"), "text")).where("NOT kept").select(F.col("doc_id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*DOCUMENTS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
