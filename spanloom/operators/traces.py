@@ -1,138 +1,24 @@
-"""Call activations from ordered observations, by windows.
+"""Call activations, CPU time and call depth from ordered observations.
 
 Rows carry ``session_id``, ``ord`` (strictly increasing in stream order), ``type``, ``ts_ns``, ``core_id``
-and the columns of their type. Everything is a function of stream order, never of time alone.
-
-Each step is a window inside one session, so hashing on session_id once satisfies all of them; a huge
-session is still split by core or by execution context where the window allows it.
+and the columns of their type; ``replay`` lists them. Everything is a function of stream order, never of time
+alone. What calls did comes from one replay of each session; everything after it is grouping and windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalar import QUALITY, rank, scheduled_kind, unrank
+from spanloom.functions.scalar import QUALITY, rank, unrank
+from spanloom.operators import replay
 
 FUNCTION = ("FunctionEnter", "FunctionExit")
 
 
-def clocks(observations: DataFrame) -> DataFrame:
-    """Effective clock, running context and credited time for each row of each core.
-
-    A trace gap has no core: it is copied to every core that was seen before it, and moves the clock of
-    that core to its end without crediting anyone. A row that goes back in time does not move the clock.
-    Time between two rows of a core goes to what ran before the second of them.
-    """
-    gaps = observations.where("type = 'TraceGap'").drop("core_id")
-    seen = observations.where("core_id IS NOT NULL").groupBy("session_id", "core_id").agg(F.min("ord").alias("since"))
-    copied = gaps.join(seen, "session_id").where("since < ord").drop("since")
-    rows = observations.where("core_id IS NOT NULL").unionByName(copied)
-    core = Window.partitionBy("session_id", "core_id").orderBy("ord")
-    upto = core.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("type") == "InterruptEnter", 1).when(F.col("type") == "InterruptExit", -1).otherwise(0)
-    rows = rows.withColumn("isr_depth", F.sum(step).over(upto))
-    at_depth = Window.partitionBy("session_id", "core_id", "isr_depth").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.last(F.when(F.col("type") == "InterruptEnter", F.struct("ord", "interrupt_id")), ignorenulls=True).over(at_depth)
-    switched = F.last(F.when(F.col("type") == "ContextSwitch", F.col("next_context_id")), ignorenulls=True).over(upto)
-    seed = F.first(F.when(F.col("type").isin(*FUNCTION) & (F.col("isr_depth") == 0), F.struct("ord", "context_id")), ignorenulls=True).over(upto)
-    rows = rows.withColumn("top", F.when(F.col("isr_depth") > 0, top)).withColumn("scheduled", F.coalesce(switched, seed["context_id"]))
-    rows = rows.withColumn("exec_ctx", F.when(F.col("isr_depth") > 0, F.concat(F.lit("isr#"), F.col("core_id").cast("string"), F.lit("#"), F.col("top.ord").cast("string"))).when(F.col("scheduled").isNotNull(), F.concat(F.lit("ctx:"), F.col("scheduled"))))
-    rows = rows.withColumn("public_ctx", F.when(F.col("isr_depth") > 0, F.col("top.interrupt_id")).otherwise(F.col("scheduled"))).withColumn("ctx_kind", F.when(F.col("isr_depth") > 0, "isr").otherwise(scheduled_kind(F.col("scheduled"))))
-    reached = F.when(F.col("type") == "TraceGap", F.col("ts_ns") + F.col("duration_ns")).otherwise(F.col("ts_ns"))
-    rows = rows.withColumn("clock", F.max(reached).over(upto))
-    before = F.lag("clock").over(core)
-    rows = rows.withColumn("credit", F.greatest(F.col("ts_ns"), before) - before)
-    for name in ("exec_ctx", "public_ctx", "ctx_kind"):
-        rows = rows.withColumn(f"{name}_before", F.lag(name).over(core))
-    return rows.withColumn("effective_ns", F.greatest(F.col("ts_ns"), F.coalesce(before, F.col("ts_ns"))))
-
-
-def marks(observations: DataFrame) -> DataFrame:
-    """Running number of marks, per session, that make the open activations incomplete."""
-    session = Window.partitionBy("session_id").orderBy("ord")
-    before = Window.partitionBy("session_id", "source_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    highest = F.max("source_seq").over(before)
-    fault = (F.col("type") == "TraceGap") | (F.col("source_seq") != highest + 1)
-    return observations.withColumn("fault", F.coalesce(fault, F.lit(False)).cast("int")).withColumn("marks", F.sum("fault").over(session.rowsBetween(Window.unboundedPreceding, 0))).drop("fault")
-
-
 def function_spans(observations: DataFrame) -> DataFrame:
-    """One row for each activation: elapsed, active, self and preempted time, parent and quality.
-
-    Active time is the virtual CPU clock of the execution context between enter and exit. An activation
-    without an exit ends at its core's last clock and is incomplete, as is one open across a mark and one
-    with an incomplete child.
-    """
-    rows = clocks(marks(observations))
-    owner = F.when(F.col("type").isin(*FUNCTION), F.col("exec_ctx")).otherwise(F.col("exec_ctx_before"))
-    rows = rows.withColumn("account", owner)
-    virtual = Window.partitionBy("session_id", "account").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("credited", F.when(F.col("account") == F.col("exec_ctx_before"), F.coalesce("credit", F.lit(0))).otherwise(0)).withColumn("virtual_ns", F.sum("credited").over(virtual))
-    session, account = Window.partitionBy("session_id"), Window.partitionBy("session_id", "account")
-    rows = rows.withColumns({"end_clock": F.max("clock").over(session), "end_ord": F.max("ord").over(session), "end_marks": F.max("marks").over(session), "end_virtual": F.max("virtual_ns").over(account)})
-
-    calls = rows.where(F.col("type").isin(*FUNCTION))
-    context = Window.partitionBy("session_id", "exec_ctx").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(F.when(F.col("type") == "FunctionEnter", 1).otherwise(-1)).over(context)
-    calls = calls.withColumn("level", F.when(F.col("type") == "FunctionEnter", depth).otherwise(depth + 1))
-    level = Window.partitionBy("session_id", "exec_ctx", "level").orderBy("ord")
-    leaving = F.lead(F.struct("type", "ord", "effective_ns", "virtual_ns", "function_id", "quality", "marks")).over(level)
-    spans = calls.withColumn("exit", leaving).where("type = 'FunctionEnter'")
-    closed = F.coalesce((F.col("exit.type") == "FunctionExit") & (F.col("exit.function_id") == F.col("function_id")), F.lit(False))
-    end_ns = F.when(closed, F.col("exit.effective_ns")).otherwise(F.col("end_clock"))
-    spans = spans.withColumns(
-        {
-            "closed": closed,
-            "start_ns": F.col("effective_ns"),
-            "end_ns": end_ns,
-            "end_at": F.when(closed, F.col("exit.ord")).otherwise(F.col("end_ord") + 1),
-            "elapsed_ns": end_ns - F.col("effective_ns"),
-            "incomplete": ~closed | (F.when(closed, F.col("exit.marks")).otherwise(F.col("end_marks")) > F.col("marks")),
-        }
-    )
-    ran = F.when(F.col("closed"), F.col("exit.virtual_ns")).otherwise(F.col("end_virtual")) - F.col("virtual_ns")
-    spans = spans.withColumn("active_ns", F.least(F.greatest(ran, F.lit(0)), F.col("elapsed_ns"))).withColumn("preempted_ns", F.col("elapsed_ns") - F.col("active_ns"))
-    spans = spans.withColumn("quality_rank", F.greatest(rank(F.col("quality"), QUALITY), F.coalesce(rank(F.col("exit.quality"), QUALITY), F.lit(0)), F.col("incomplete").cast("int")))
-    spans = spans.select("session_id", "ord", "end_at", "core_id", "exec_ctx", F.col("public_ctx").alias("context_id"), "ctx_kind", "function_id", "level", "start_ns", "end_ns", "elapsed_ns", "active_ns", "preempted_ns", "incomplete", "quality_rank")
-    return _with_parents(spans)
-
-
-def _with_parents(spans: DataFrame) -> DataFrame:
-    """Parent, own time and incompleteness, by windows over rows that appear once in each role.
-
-    A child sees its parent as the last enter one level up; a parent sums its children under its own ord;
-    an incomplete descendant lies inside [ord, end_at] of the same execution context, so the running count
-    of incomplete enters at both ends tells it without a loop over depth.
-    """
-    row = F.struct(*spans.columns)
-    context = ["session_id", "exec_ctx"]
-
-    def roles(df: DataFrame, first: tuple[Column, Column], second: tuple[Column, Column]) -> DataFrame:
-        """Each row twice: as itself (role 0) at one key and place, and (role 1) at another."""
-        two = [F.struct(F.lit(i).alias("role"), k.alias("key"), p.alias("place")) for i, (k, p) in enumerate((first, second))]
-        return df.select("*", F.explode(F.array(*two)).alias("r")).select("*", "r.*").drop("r")
-
-    whole = spans.select("session_id", "exec_ctx", row.alias("span"))
-    twice = roles(whole, (F.col("span.level") + 1, F.col("span.ord")), (F.col("span.level"), F.col("span.ord")))
-    at_level = Window.partitionBy(*context, "key").orderBy("place", F.desc("role")).rowsBetween(Window.unboundedPreceding, 0)
-    known = twice.withColumn("parent_ord", F.last(F.when(F.col("role") == 0, F.col("span.ord")), ignorenulls=True).over(at_level)).where("role = 1").drop("role", "key", "place")
-
-    twice = roles(known, (F.col("span.ord"), F.lit(0).cast("bigint")), (F.coalesce("parent_ord", F.lit(-1)), F.lit(0).cast("bigint"))).where("role = 0 OR key >= 0")
-    under = Window.partitionBy(*context, "key")
-    known = twice.withColumn("in_children", F.sum(F.when(F.col("role") == 1, F.col("span.active_ns"))).over(under)).where("role = 0").drop("role", "key", "place")
-
-    twice = roles(known, (F.lit(0), F.col("span.ord")), (F.lit(0), F.col("span.end_at")))
-    upto = Window.partitionBy(*context).orderBy("place", "role").rowsBetween(Window.unboundedPreceding, 0)
-    broken = F.sum(F.when((F.col("role") == 0) & F.col("span.incomplete"), 1).otherwise(0)).over(upto)
-    ends = twice.withColumn("broken", broken)
-    each = Window.partitionBy(*context, "span.ord")
-    found = ends.withColumn("inside", F.col("span.incomplete") | (F.max(F.when(F.col("role") == 1, F.col("broken"))).over(each) > F.max(F.when(F.col("role") == 0, F.col("broken"))).over(each))).where("role = 0")
-    return found.select(
-        "session_id", "span.ord", "parent_ord", "span.core_id", "span.context_id", "span.ctx_kind", "span.function_id", F.col("span.level").cast("bigint").alias("depth"), "span.start_ns", "span.end_ns", "span.elapsed_ns", "span.active_ns",
-        (F.col("span.active_ns") - F.coalesce("in_children", F.lit(0))).alias("self_ns"), "span.preempted_ns", F.col("inside").alias("incomplete"),
-        unrank(F.greatest(F.col("span.quality_rank"), F.col("inside").cast("int")), QUALITY).alias("quality"),
-    )
+    """One row for each activation: elapsed, active, self and preempted time, parent and quality."""
+    return replay.spans(replay.replay(observations))
 
 
 def hotspots(spans: DataFrame, by_context: bool = False) -> DataFrame:
@@ -151,8 +37,7 @@ def hotspots(spans: DataFrame, by_context: bool = False) -> DataFrame:
 
 def context_cpu(observations: DataFrame) -> DataFrame:
     """CPU time of each public context; all activations of an interrupt fold together."""
-    rows = clocks(observations).where("public_ctx_before IS NOT NULL AND credit IS NOT NULL")
-    return rows.groupBy("session_id", F.col("public_ctx_before").alias("context_id"), F.col("ctx_kind_before").alias("kind")).agg(F.sum("credit").alias("active_ns"))
+    return replay.contexts(replay.replay(observations))
 
 
 def cpu_totals(contexts: DataFrame) -> DataFrame:
@@ -174,14 +59,13 @@ def top_functions(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def anomalies(observations: DataFrame) -> DataFrame:
-    """Sessions whose calls do not nest, which the windows cannot describe: (session_id, reason)."""
-    calls = clocks(observations).where(F.col("type").isin(*FUNCTION))
-    context = Window.partitionBy("session_id", "exec_ctx").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(F.when(F.col("type") == "FunctionEnter", 1).otherwise(-1)).over(context)
-    calls = calls.withColumn("level", F.when(F.col("type") == "FunctionEnter", depth).otherwise(depth + 1))
-    level = Window.partitionBy("session_id", "exec_ctx", "level").orderBy("ord")
-    calls = calls.withColumn("opened", F.lag(F.struct("type", "function_id")).over(level))
-    leaving = F.col("type") == "FunctionExit"
-    reason: Column = F.when(leaving & (F.col("level") < 1), "unmatched_function_exit").when(leaving & ~F.coalesce((F.col("opened.type") == "FunctionEnter") & (F.col("opened.function_id") == F.col("function_id")), F.lit(False)), "mismatched_function_exit")
-    return calls.select("session_id", reason.alias("reason")).where("reason IS NOT NULL").distinct()
+def incomplete_counts(spans: DataFrame) -> DataFrame:
+    """Activations of each session, and how many of them are incomplete."""
+    return spans.groupBy("session_id").agg(F.count("*").alias("spans"), F.count_if("incomplete").alias("incomplete_spans"))
+
+
+def activation_counts(observations: DataFrame) -> DataFrame:
+    """How often each task was switched to, and each interrupt entered."""
+    rows = observations.where(F.col("type").isin("ContextSwitch", "InterruptEnter"))
+    named = rows.select("session_id", F.coalesce("next_context_id", "interrupt_id").alias("context_id"), F.when(F.col("type") == "ContextSwitch", "task").otherwise("isr").alias("kind"))
+    return named.groupBy("session_id", "context_id", "kind").agg(F.count("*").alias("activations"))

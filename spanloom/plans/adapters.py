@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,19 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order, numbered within it; line numbers alone may repeat."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("ns"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    return both.selectExpr("*", "row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, ns, l_partkey, l_suppkey) AS nth", "count(*) OVER (PARTITION BY o_orderkey) AS many")
+
+
 def call_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each customer and a core for each order key modulo 4.
 
     An order is an activation ``order-<status>`` of task ``t<core>``; its lines are children
     ``line-<flag>`` that last as many nanoseconds as their quantity, end to end, orders one after another.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("bigint").alias("ns"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    spec = "PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey, l_linenumber"
-    rows = both.selectExpr(
-        "concat('cust-', o_custkey) AS session_id", "o_orderkey % 4 AS core_id", "o_orderkey", "l_linenumber", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id",
-        f"sum(ns) OVER ({spec} ROWS UNBOUNDED PRECEDING) AS until_ns", "ns", "row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS nth", "count(*) OVER (PARTITION BY o_orderkey) AS many",
+    rows = order_lines(spark, sf_dir).selectExpr(
+        "concat('cust-', o_custkey) AS session_id", "o_orderkey % 4 AS core_id", "o_orderkey", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id",
+        "sum(ns) OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) AS until_ns", "ns", "nth", "many",
     )
     events = F.array_compact(
         F.array(
@@ -39,6 +43,50 @@ def call_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def busy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for each customer on one core, whose orders follow one another, with everything that real captures hold.
+
+    An order lasts as long as its lines, a nanosecond a unit of quantity. Every seventh order key is idle time, which an instant ends. Else its
+    task is switched to and calls ``order``; lines of odd number are calls ``line-<flag>``, those of even number
+    interrupts ``irq-<flag>`` that call ``handler``. Of every fifth order key, a last call ``lost`` never returns; after
+    every eleventh follows a gap of 3 ns, after every thirteenth a return that no call goes with.
+    """
+    rows = order_lines(spark, sf_dir).withColumn("pause", F.expr("if(nth = many AND o_orderkey % 11 = 0, 3, 0)"))
+    rows = rows.selectExpr("*", "sum(ns + pause) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) - pause AS until_ns", "concat('t', o_orderkey % 3) AS task", "o_orderkey % 7 = 0 AS idle")
+    begin = F.col("until_ns") - F.col("ns")
+    first, last, busy = F.col("nth") == 1, F.col("nth") == F.col("many"), ~F.col("idle")
+    call, irq = F.concat(F.lit("line-"), F.col("l_returnflag")), F.concat(F.lit("irq-"), F.col("l_returnflag"))
+    odd = F.col("l_linenumber") % 2 == 1
+
+    def event(step: int, kind: str, ts: Column, context: Column | None = None, function: Column | None = None, following: Column | None = None, interrupt: Column | None = None, duration: Column | None = None) -> Column:
+        none = F.lit(None)
+        text = {"context_id": context, "function_id": function, "next_context_id": following, "interrupt_id": interrupt, "activation_id": F.col("l_linenumber").cast("string") if interrupt is not None else None}
+        values = [F.lit(step).alias("step"), F.lit(kind).alias("type"), ts.alias("ts_ns")] + [(none if v is None else v).cast("string").alias(k) for k, v in text.items()]
+        return F.struct(*values, (none if duration is None else duration).cast("bigint").alias("duration_ns"))
+
+    task, order, end = F.col("task"), F.lit("order"), F.col("until_ns")
+    events = F.array_compact(
+        F.array(
+            F.when(first, event(0, "ContextSwitch", begin, following=F.when(F.col("idle"), "idle").otherwise(task))),
+            F.when(first & busy, event(1, "FunctionEnter", begin, task, order)),
+            F.when(busy & ~odd, event(2, "InterruptEnter", begin, interrupt=irq)),
+            F.when(busy, event(3, "FunctionEnter", begin, F.when(odd, task).otherwise(irq), F.when(odd, call).otherwise(F.lit("handler")))),
+            F.when(busy, event(4, "FunctionExit", end, F.when(odd, task).otherwise(irq), F.when(odd, call).otherwise(F.lit("handler")))),
+            F.when(busy & ~odd, event(5, "InterruptExit", end, interrupt=irq)),
+            F.when(last & busy & (F.col("o_orderkey") % 5 == 0), event(6, "FunctionEnter", end, task, F.lit("lost"))),
+            F.when(last & busy, event(7, "FunctionExit", end, task, order)),
+            F.when(last & F.col("idle"), event(7, "Instant", end)),
+            F.when(last & busy & (F.col("o_orderkey") % 13 == 0), event(8, "FunctionExit", end, task, F.lit("ghost"))),
+            F.when(last & (F.col("o_orderkey") % 11 == 0), event(9, "TraceGap", end, duration=F.lit(3))),
+        )
+    )
+    each = rows.select("o_custkey", "o_orderkey", "nth", F.explode(events).alias("e"))
+    return each.select(
+        F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("session_id"), ((F.col("o_orderkey") * 1000 + F.col("nth")) * 10 + F.col("e.step")).alias("ord"), F.lit("probe").alias("source_id"), F.lit("exact").alias("quality"),
+        F.when(F.col("e.type") != "TraceGap", 0).cast("bigint").alias("core_id"), "e.type", "e.ts_ns", "e.context_id", "e.function_id", "e.next_context_id", "e.interrupt_id", "e.activation_id", "e.duration_ns",
+    )
+
+
 def counter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each user, a counter for each event type; clicks count as monotonic, views as ratios."""
     behaviour = F.when(F.col("event_type") == "click", "monotonic").when(F.col("event_type") == "view", "high_watermark").otherwise("gauge")
@@ -49,14 +97,16 @@ def counter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), (F.col("user_id") % 10).cast("string")).alias("session_id"), F.expr("4096 + event_id * 37 % 8192").alias("address"), F.col("event_type").alias("context_id"), F.lit(None).cast("bigint").alias("weight_ns"))
+    """An address for each event, over the 64 bytes of each part."""
+    span = F.broadcast(table(spark, sf_dir, "part").agg((F.max("p_partkey") * 64).alias("span")))  # one row
+    events = table(spark, sf_dir, "events").crossJoin(span)
+    return events.select(F.concat(F.lit("user-"), (F.col("user_id") % 10).cast("string")).alias("session_id"), F.expr("4096 + event_id * 37 % span").alias("address"), F.col("event_type").alias("context_id"), F.lit(None).cast("bigint").alias("weight_ns"))
 
 
 def pc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """128 ranges of 64 bytes, named after parts, the same for each of ten sessions."""
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 128").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("function_id"), F.expr("4096 + 64 * (p_partkey - 1)").alias("start"), F.expr("4096 + 64 * p_partkey").alias("end"))
-    sessions = spark.range(10).select(F.concat(F.lit("user-"), F.col("id").cast("string")).alias("session_id"))
-    return sessions.join(parts, F.lit(True))
+    """A range of 64 bytes for each part, in the session that its key belongs to by its last digit and in the next one."""
+    own = F.array(F.col("p_partkey") % 10, (F.col("p_partkey") + 1) % 10)
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(own).alias("user")).select(F.concat(F.lit("user-"), F.col("user").cast("string")).alias("session_id"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("function_id"), F.expr("4096 + 64 * (p_partkey - 1)").alias("start"), F.expr("4096 + 64 * p_partkey").alias("end"))
 
 
 def stack_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import compare, counters, health, lifecycle, ordering, samples, stacks, traces
+from spanloom.operators import compare, counters, health, lifecycle, ordering, replay, samples, stacks, traces
 from spanloom.plans import adapters as A
 from spanloom.sources import files
 
@@ -60,15 +60,16 @@ def span_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_CALLS}
-SELECT session_id, 't' || core_id AS context_id, 'task' AS kind, CAST(sum(ns) AS BIGINT) AS active_ns FROM calls GROUP BY ALL""")
+WITH {_CALLS}, cores AS (SELECT session_id, core_id, sum(ns) AS ns FROM calls GROUP BY ALL)
+SELECT session_id, 't' || core_id AS context_id, 'task' AS kind, CAST(max(ns) OVER (PARTITION BY session_id) AS BIGINT) AS active_ns FROM cores""")
 def context_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CPU time of each context."""
+    """CPU time of each context; what runs last on a core runs until the capture ends."""
     return traces.context_cpu(A.call_trace(spark, sf_dir))
 
 
 @query(f"""
-WITH {_CALLS} SELECT session_id, CAST(sum(ns) AS BIGINT) AS task_ns, CAST(0 AS BIGINT) AS isr_ns, CAST(0 AS BIGINT) AS idle_ns FROM calls GROUP BY session_id""")
+WITH {_CALLS}, cores AS (SELECT session_id, core_id, sum(ns) AS ns FROM calls GROUP BY ALL)
+SELECT session_id, CAST(max(ns) * count(*) AS BIGINT) AS task_ns, CAST(0 AS BIGINT) AS isr_ns, CAST(0 AS BIGINT) AS idle_ns FROM cores GROUP BY session_id""")
 def cpu_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task, interrupt and idle time of each session."""
     return traces.cpu_totals(traces.context_cpu(A.call_trace(spark, sf_dir)))
@@ -85,12 +86,113 @@ def top_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.top_functions(found, 3).select("session_id", "function_id", "activations", "inclusive_ns", "self_ns", "place")
 
 
-@query()
+@query(f"""
+WITH {_CALLS}, first AS (
+  SELECT session_id, core_id, o_orderstatus, l_returnflag, row_number() OVER (PARTITION BY session_id ORDER BY o_orderkey, l_linenumber, l_returnflag, ns) AS r FROM calls)
+SELECT session_id, CAST(2 AS BIGINT) AS max_depth, 't' || core_id AS context_id, ['order-' || o_orderstatus, 'line-' || l_returnflag] AS path FROM first WHERE r = 1""")
 def deepest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each session first reached its greatest call depth."""
     return traces.deepest_path(traces.function_spans(A.call_trace(spark, sf_dir)))
 
 
+_BUSY = """
+timed AS (
+  SELECT 'cust-' || o_custkey AS session_id, o_orderkey, 't' || (o_orderkey % 3) AS task, o_orderkey % 7 = 0 AS idle, l_linenumber % 2 = 1 AS odd, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS ns
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+whole AS (
+  SELECT session_id, o_orderkey, task, idle, sum(ns) AS elapsed_ns, coalesce(sum(ns) FILTER (odd), 0) AS called_ns, coalesce(sum(ns) FILTER (NOT odd), 0) AS stolen_ns, o_orderkey % 5 = 0 AS lost
+  FROM timed GROUP BY ALL),
+spans AS (
+  SELECT session_id, 'order' AS function_id, task AS context_id, 1 AS depth, elapsed_ns, elapsed_ns - stolen_ns AS active_ns, elapsed_ns - stolen_ns - called_ns AS self_ns, lost AS incomplete FROM whole WHERE NOT idle
+  UNION ALL SELECT session_id, 'lost', task, 2, 0, 0, 0, true FROM whole WHERE NOT idle AND lost
+  UNION ALL SELECT session_id, 'line-' || flag, task, 2, ns, ns, ns, false FROM timed WHERE NOT idle AND odd
+  UNION ALL SELECT session_id, 'handler', 'irq-' || flag, 1, ns, ns, ns, false FROM timed WHERE NOT idle AND NOT odd),
+facts AS (
+  SELECT session_id, 'mismatched_function_exit' AS code FROM whole WHERE NOT idle AND lost
+  UNION ALL SELECT session_id, 'unmatched_function_exit' FROM whole WHERE NOT idle AND o_orderkey % 13 = 0
+  UNION ALL SELECT session_id, 'trace_gap' FROM whole WHERE o_orderkey % 11 = 0),
+cpu AS (
+  SELECT session_id, CASE WHEN idle THEN 'idle' ELSE task END AS context_id, CASE WHEN idle THEN 'idle' ELSE 'task' END AS kind, elapsed_ns - CASE WHEN idle THEN 0 ELSE stolen_ns END AS ns FROM whole
+  UNION ALL SELECT session_id, 'irq-' || flag, 'isr', ns FROM timed WHERE NOT idle AND NOT odd),
+verdicts AS (
+  SELECT session_id, CASE WHEN count(code) FILTER (code <> 'trace_gap') > 0 THEN 'INVALID' WHEN count(code) > 0 THEN 'DEGRADED' ELSE 'VALID' END AS verdict, count(code) AS issues
+  FROM (SELECT DISTINCT session_id FROM whole) LEFT JOIN facts USING (session_id) GROUP BY session_id),
+busy AS (
+  SELECT session_id, function_id, count(*) AS activations, CAST(sum(active_ns) AS BIGINT) AS inclusive_ns, CAST(sum(self_ns) AS BIGINT) AS self_ns,
+         CAST(min(active_ns) AS BIGINT) AS min_ns, CAST(max(active_ns) AS BIGINT) AS max_ns, CAST(sum(active_ns) // count(*) AS BIGINT) AS average_ns, 'exact' AS quality
+  FROM spans WHERE NOT incomplete GROUP BY session_id, function_id)"""
+
+
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(A.busy_trace(spark, sf_dir))
+
+
+@query(f"WITH {_BUSY} SELECT * FROM busy")
+def busy_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of complete activations, in captures with interrupts, gaps and calls that do not nest."""
+    return traces.hotspots(replay.spans(_busy(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_BUSY} SELECT session_id, context_id, function_id, CAST(depth AS BIGINT) AS depth, incomplete, count(*) AS n, CAST(sum(elapsed_ns) AS BIGINT) AS elapsed_ns, CAST(sum(active_ns) AS BIGINT) AS active_ns,
+  CAST(sum(self_ns) AS BIGINT) AS self_ns, CAST(sum(elapsed_ns - active_ns) AS BIGINT) AS preempted_ns, CASE WHEN incomplete THEN 'inferred' ELSE 'exact' END AS quality FROM spans GROUP BY ALL""")
+def busy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activations by context, depth and completeness."""
+    found = replay.spans(_busy(spark, sf_dir))
+    sums = [F.sum(c).alias(c) for c in ("elapsed_ns", "active_ns", "self_ns", "preempted_ns")]
+    return found.groupBy("session_id", "context_id", "function_id", "depth", "incomplete", "quality").agg(F.count("*").alias("n"), *sums)
+
+
+@query(f"WITH {_BUSY} SELECT session_id, context_id, kind, CAST(sum(ns) AS BIGINT) AS active_ns FROM cpu GROUP BY ALL HAVING sum(ns) > 0")
+def busy_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CPU time of tasks, interrupts and idle contexts."""
+    return replay.contexts(_busy(spark, sf_dir))
+
+
+@query(f"""
+WITH {_BUSY} SELECT session_id, CAST(coalesce(sum(ns) FILTER (kind = 'task'), 0) AS BIGINT) AS task_ns, CAST(coalesce(sum(ns) FILTER (kind = 'isr'), 0) AS BIGINT) AS isr_ns, CAST(coalesce(sum(ns) FILTER (kind = 'idle'), 0) AS BIGINT) AS idle_ns
+FROM cpu GROUP BY session_id HAVING sum(ns) > 0""")
+def busy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task, interrupt and idle time of each session."""
+    return traces.cpu_totals(replay.contexts(_busy(spark, sf_dir)))
+
+
+@query(f"WITH {_BUSY} SELECT session_id, code, count(*) AS n FROM facts GROUP BY ALL")
+def replay_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health facts of a replay, by code."""
+    return replay.facts(_busy(spark, sf_dir)).groupBy("session_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BUSY} SELECT * FROM verdicts")
+def busy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each session on the facts of its replay."""
+    found = health.issues(health.capped(replay.facts(_busy(spark, sf_dir))))
+    return health.verdicts(A.table(spark, sf_dir, "lineitem").join(A.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("concat('cust-', o_custkey) AS session_id"), found)
+
+
+@query(f"""
+WITH {_BUSY} SELECT session_id, 'irq-' || flag AS interrupt_id, t.task AS preempted_context_id, count(*) AS n, CAST(sum(ns) AS BIGINT) AS elapsed_ns, CAST(sum(ns) AS BIGINT) AS active_ns
+FROM timed t WHERE NOT idle AND NOT odd GROUP BY ALL""")
+def interrupt_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interrupt activations by the task they preempted; none is nested or incomplete here."""
+    found = replay.interrupts(_busy(spark, sf_dir)).where("depth = 1 AND interrupted_ord IS NULL AND NOT incomplete")
+    return found.groupBy("session_id", "interrupt_id", "preempted_context_id").agg(F.count("*").alias("n"), F.sum("elapsed_ns").alias("elapsed_ns"), F.sum("active_ns").alias("active_ns"))
+
+
+@query(f"WITH {_BUSY} SELECT session_id, count(*) AS spans, count(*) FILTER (incomplete) AS incomplete_spans FROM spans GROUP BY session_id")
+def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activations and incomplete activations."""
+    return traces.incomplete_counts(replay.spans(_busy(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_BUSY} SELECT session_id, CASE WHEN idle THEN 'idle' ELSE task END AS context_id, 'task' AS kind, count(*) AS activations FROM whole GROUP BY ALL
+UNION ALL SELECT session_id, 'irq-' || flag, 'isr', count(*) FROM timed WHERE NOT idle AND NOT odd GROUP BY ALL""")
+def activation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Switches to each task and entries of each interrupt."""
+    return traces.activation_counts(A.busy_trace(spark, sf_dir))
+
+
 _COUNTERS = """
 rows AS (
   SELECT 'user-' || user_id AS session_id, event_type AS counter_id, event_id AS ord, epoch_us(ts) * 1000 AS ts_ns, value,
@@ -152,8 +254,9 @@ def sequence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_SEQUENCE}, own AS (SELECT session_id, count(*) AS issues FROM facts WHERE code IS NOT NULL GROUP BY session_id)
-SELECT DISTINCT r.session_id, CASE WHEN issues IS NULL THEN 'VALID' ELSE 'DEGRADED' END AS verdict, coalesce(issues, 0) AS issues FROM rows r LEFT JOIN own o ON r.session_id = o.session_id""")
+WITH {_SEQUENCE}, found AS (SELECT session_id, count(*) AS n FROM facts WHERE code IS NOT NULL GROUP BY session_id),
+own AS (SELECT session_id, least(n, {health.MOST_FACTS}) AS issues, n > {health.MOST_FACTS} AS truncated FROM found)
+SELECT DISTINCT r.session_id, CASE WHEN issues IS NULL THEN 'VALID' WHEN truncated THEN 'INVALID' ELSE 'DEGRADED' END AS verdict, coalesce(issues, 0) AS issues FROM rows r LEFT JOIN own o ON r.session_id = o.session_id""")
 def health_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of each session on its sequence facts."""
     rows = A.counter_rows(spark, sf_dir)
@@ -172,9 +275,9 @@ def metric_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SAMPLES = """
-samples AS (SELECT 'user-' || (user_id % 10) AS session_id, 4096 + event_id * 37 % 8192 AS address, event_type AS context_id FROM events),
-ranges AS (SELECT 'part-' || p_partkey AS function_id, 4096 + 64 * (p_partkey - 1) AS low, 4096 + 64 * p_partkey AS high FROM part WHERE p_partkey <= 128),
-hit AS (SELECT s.*, function_id FROM samples s LEFT JOIN ranges ON address >= low AND address < high)"""
+samples AS (SELECT 'user-' || (user_id % 10) AS session_id, 4096 + event_id * 37 % (SELECT max(p_partkey) * 64 FROM part) AS address, event_type AS context_id FROM events),
+ranges AS (SELECT 'user-' || unnest([p_partkey % 10, (p_partkey + 1) % 10]) AS session_id, 'part-' || p_partkey AS function_id, 4096 + 64 * (p_partkey - 1) AS low, 4096 + 64 * p_partkey AS high FROM part),
+hit AS (SELECT s.*, function_id FROM samples s LEFT JOIN ranges r ON s.session_id = r.session_id AND address >= low AND address < high)"""
 
 
 @query(f"""
@@ -189,15 +292,17 @@ def sampling_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUCKETS = f"""{_SAMPLES},
 sessions AS (SELECT DISTINCT session_id FROM samples),
 buckets AS (
-  SELECT session_id, 4000 + i * 96 AS low, least(4000 + (i + 1) * 96, 12500) AS high FROM sessions, range(0, 89) t(i)),
+  SELECT session_id, 4000 + i * 24 AS low, least(4000 + (i + 1) * 24, top) AS high
+  FROM sessions, (SELECT max(p_partkey) * 64 + 4200 AS top FROM part), LATERAL (SELECT unnest(range(0, (top - 4000 - 1) // 24 + 1)) AS i)),
 filled AS (
   SELECT b.session_id, low, high, count(address) AS hits FROM buckets b LEFT JOIN samples s ON s.session_id = b.session_id AND address >= low AND address < high GROUP BY ALL)"""
 
 
 def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = A.pc_samples(spark, sf_dir)
-    regions = sampled.select("session_id").distinct().select("session_id", F.lit(4000).cast("bigint").alias("start"), F.lit(12500).cast("bigint").alias("end"))
-    return samples.bucketed(sampled, regions, 96)
+    top = F.broadcast(A.table(spark, sf_dir, "part").agg((F.max("p_partkey") * 64 + 4200).alias("end")))  # one row
+    regions = sampled.select("session_id").distinct().crossJoin(top).select("session_id", F.lit(4000).cast("bigint").alias("start"), "end")
+    return samples.bucketed(sampled, regions, 24)
 
 
 @query(f'WITH {_BUCKETS} SELECT session_id, low AS "start", high AS "end", hits FROM filled')
@@ -209,7 +314,7 @@ def pc_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEAT = f"""{_BUCKETS},
 heat AS (
   SELECT session_id, function_id, CAST(sum(hits) AS BIGINT) AS hits FROM (
-    SELECT f.session_id, f.hits, r.function_id FROM filled f LEFT JOIN ranges r ON r.low <= f.low AND f.high <= r.high) GROUP BY ALL HAVING sum(hits) > 0)"""
+    SELECT f.session_id, f.hits, r.function_id FROM filled f LEFT JOIN ranges r ON r.session_id = f.session_id AND r.low <= f.low AND f.high <= r.high) GROUP BY ALL HAVING sum(hits) > 0)"""
 
 
 @query(f"WITH {_HEAT} SELECT session_id, function_id, hits FROM heat")
@@ -277,15 +382,16 @@ def flame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _YEARS = """
 sides AS (
-  SELECT year(l_shipdate) AS y, l_returnflag AS function_id, 'm' || l_linenumber AS context_id, count(*) AS activations, sum(CAST(l_quantity AS BIGINT)) AS inclusive_ns FROM lineitem GROUP BY ALL),
-years AS (SELECT min(y) AS lo FROM sides),
-b AS (SELECT sides.* FROM sides, years WHERE y = lo + 1), c AS (SELECT sides.* FROM sides, years WHERE y = lo + 2),
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS y, l_returnflag AS function_id, 'm' || l_linenumber AS context_id, count(*) AS activations, sum(CAST(l_quantity AS BIGINT)) AS inclusive_ns FROM lineitem GROUP BY ALL),
+years AS (SELECT DISTINCT y FROM sides),
+b AS (SELECT * FROM sides WHERE y + 1 IN (SELECT y FROM years)),
+c AS (SELECT sides.* REPLACE (y - 1 AS y) FROM sides WHERE y - 1 IN (SELECT y FROM years)),
 rows AS (
-  SELECT coalesce(b.function_id, c.function_id) AS function_id, coalesce(b.context_id, c.context_id) AS context_id,
+  SELECT coalesce(b.y, c.y) AS baseline_year, coalesce(b.function_id, c.function_id) AS function_id, coalesce(b.context_id, c.context_id) AS context_id,
          CASE WHEN b.y IS NULL THEN 'candidate_only' WHEN c.y IS NULL THEN 'baseline_only' ELSE 'both' END AS side,
          m.metric, CAST(CASE m.metric WHEN 'activations' THEN b.activations ELSE b.inclusive_ns END AS DOUBLE) AS baseline,
          CAST(CASE m.metric WHEN 'activations' THEN c.activations ELSE c.inclusive_ns END AS DOUBLE) AS candidate
-  FROM b FULL JOIN c ON b.function_id = c.function_id AND b.context_id = c.context_id CROSS JOIN (VALUES ('activations'), ('inclusive_ns')) m(metric)),
+  FROM b FULL JOIN c ON b.y = c.y AND b.function_id = c.function_id AND b.context_id = c.context_id CROSS JOIN (VALUES ('activations'), ('inclusive_ns')) m(metric)),
 judged AS (
   SELECT *, candidate - baseline AS delta, CASE WHEN baseline <> 0 THEN (candidate - baseline) / abs(baseline) END AS relative,
          CASE WHEN baseline IS NULL OR candidate IS NULL THEN 'inconclusive'
@@ -294,34 +400,37 @@ judged AS (
 
 
 def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year against the next: both sides from one grouping, so the table is read once."""
     lines = A.table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("function_id"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("context_id"), F.col("l_quantity").cast("bigint").alias("ns"))
-    low = lines.agg(F.min("y")).first()[0] or 0
-    side = lambda y: lines.where(F.col("y") == y).groupBy("function_id", "context_id").agg(F.count("*").alias("activations"), F.sum("ns").alias("inclusive_ns"))
-    return compare.compare_metrics(side(low + 1), side(low + 2), ["function_id", "context_id"], ["activations", "inclusive_ns"])
+    sides = lines.groupBy("y", "function_id", "context_id").agg(F.count("*").alias("activations"), F.sum("ns").alias("inclusive_ns"))
+    years = sides.select("y").distinct()
+    baseline = sides.join(years.select((F.col("y") - 1).alias("y")), "y", "left_semi").withColumnRenamed("y", "baseline_year")
+    candidate = sides.join(years.select((F.col("y") + 1).alias("y")), "y", "left_semi").withColumn("baseline_year", F.col("y") - 1).drop("y")
+    return compare.compare_metrics(baseline, candidate, ["baseline_year", "function_id", "context_id"], ["activations", "inclusive_ns"])
 
 
 @query(f"WITH {_YEARS} SELECT * FROM judged")
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of two years, side by side."""
+    """Metrics of each year and the next, side by side."""
     return _years(spark, sf_dir)
 
 
 @query(f"""
-WITH {_YEARS} SELECT metric, count(*) FILTER (outcome = 'regressed') AS regressed, count(*) FILTER (outcome = 'inconclusive') AS inconclusive, count(*) FILTER (outcome = 'improved') AS improved,
-  count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'informational') AS informational FROM judged GROUP BY metric""")
+WITH {_YEARS} SELECT baseline_year, metric, count(*) FILTER (outcome = 'regressed') AS regressed, count(*) FILTER (outcome = 'inconclusive') AS inconclusive, count(*) FILTER (outcome = 'improved') AS improved,
+  count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'informational') AS informational FROM judged GROUP BY baseline_year, metric""")
 def comparison_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of each metric."""
-    return compare.outcome_counts(_years(spark, sf_dir), ["metric"])
+    return compare.outcome_counts(_years(spark, sf_dir), ["baseline_year", "metric"])
 
 
 @query(f"""
-WITH {_YEARS} SELECT metric, CASE WHEN NOT bool_or(side = 'both') OR bool_or(outcome = 'inconclusive') THEN 'inconclusive' WHEN bool_or(outcome = 'regressed') THEN 'regressed' WHEN bool_or(outcome = 'improved') THEN 'improved' ELSE 'unchanged' END AS verdict
-FROM judged GROUP BY metric""")
+WITH {_YEARS} SELECT baseline_year, metric, CASE WHEN NOT bool_or(side = 'both') OR bool_or(outcome = 'inconclusive') THEN 'inconclusive' WHEN bool_or(outcome = 'regressed') THEN 'regressed' WHEN bool_or(outcome = 'improved') THEN 'improved' ELSE 'unchanged' END AS verdict
+FROM judged GROUP BY baseline_year, metric""")
 def comparison_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on each metric."""
     rows = _years(spark, sf_dir)
-    pairs = rows.select("metric").distinct().withColumn("reasons", F.array().cast("array<string>"))
-    return compare.comparison_verdict(rows, pairs, ["metric"]).drop("reasons")
+    pairs = rows.select("baseline_year", "metric").distinct().withColumn("reasons", F.array().cast("array<string>"))
+    return compare.comparison_verdict(rows, pairs, ["baseline_year", "metric"]).drop("reasons")
 
 
 @query("""
