@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Orders of the closed vocabularies, from best to worst.
 QUALITY = ("exact", "inferred", "statistical")
@@ -40,9 +44,109 @@ def offset_ns(ticks: Column, origin: Column, numerator: Column, denominator: Col
     return F.signum(away).cast("bigint") * ticks_to_ns(F.abs(away), numerator, denominator)
 
 
+#: Other names of health codes.
+ALIASES = {
+    "overflow": "trace_overflow", "capture_overflow": "trace_overflow", "trace_flow_error": "flow_error", "truncation": "truncated_input", "truncated": "truncated_input", "trace_truncated": "truncated_input",
+    "firmware_mismatch": "elf_mismatch",
+}
+
+
 def fact_code(column: Column) -> Column:
-    """Trimmed, lower case, with blanks and dashes as underscores."""
-    return F.regexp_replace(F.lower(F.trim(column)), r"[-\s]", "_")
+    """Trimmed, lower case, with blanks and dashes as underscores; other names of a code are that code."""
+    plain = F.translate(F.lower(F.trim(column)), "- ", "__")
+    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, plain), plain)
+
+
+#: Metadata keys that tell of trouble, when their value is true (or false), and the code each means.
+METADATA_CODES = {
+    True: {"trace_overflow": ("health_trace_overflow", "trace_overflow", "overflow"), "flow_error": ("health_flow_error", "flow_error"), "truncated_input": ("health_truncated", "truncated", "truncation"), "elf_mismatch": ("health_elf_mismatch", "elf_mismatch"), "out_of_order_timestamp": ("health_out_of_order", "out_of_order")},
+    False: {"elf_mismatch": ("health_elf_match", "elf_match")},
+}
+
+
+def metadata_code(key: Column, value: Column) -> Column:
+    """The health code that a metadata key with a JSON value means, or null."""
+    plain = F.translate(F.lower(F.trim(key)), ".- ", "___")
+    text = F.lower(F.regexp_replace(F.trim(value), r'^"(.*)"$', "$1"))
+    quoted = F.trim(value).startswith('"')
+    number = F.when(~quoted, text.try_cast("decimal(20,0)"))
+    whole = ~quoted & text.rlike(r"^[0-9]+$")
+    said = {True: (text == "true") | quoted & text.isin("yes", "1") | whole & (number != 0), False: (text == "false") | quoted & text.isin("no", "0") | whole & (number == 0)}
+    out = F.lit(None).cast("string")
+    for truth, codes in METADATA_CODES.items():
+        for code, keys in codes.items():
+            out = F.when(plain.isin(*keys) & F.coalesce(said[truth], F.lit(False)), code).otherwise(out)
+    return out
+
+
+def reader_fault_code(violation: Column) -> Column:
+    """The health code of a reader's complaint: cut short, out of order, or malformed."""
+    v = F.lower(violation)
+    return F.when(v.contains("truncat") | v.contains("unexpected end"), "truncated_input").when(v.contains("order"), "out_of_order_sequence").when(v.isNotNull(), "malformed_input")
+
+
+def address_label(address: Column) -> Column:
+    return F.concat(F.lit("0x"), F.lower(F.hex(address)))
+
+
+def place_label(function: Column, file: Column, line: Column) -> Column:
+    """A function and, where known, its file and line."""
+    at = F.concat(F.lit(" · "), file, F.when(line.isNotNull(), F.concat(F.lit(":"), line.cast("string"))).otherwise(""))
+    return F.concat(function, F.coalesce(at, F.lit("")))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most ``most`` characters, the last three of a longer text as dots."""
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(max(most - 3, 0))), F.lit("..."[:most])))
+
+
+def within_bytes(text: Column, most: int) -> Column:
+    """The longest prefix of whole characters that takes at most ``most`` bytes of UTF-8."""
+    head = F.substring(text.cast("binary"), 1, most + 4)
+    # a byte at the cut that goes on a character moves the cut before that character
+    ends = F.array(*[F.lit(most - k) for k in range(4)])
+    code = F.conv(F.hex(F.substring(head, most + 1, 1)), 16, 10).cast("int")
+
+    def starts(at: Column) -> Column:
+        byte = F.conv(F.hex(head.substr(at + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.isNull() | (byte < 128) | (byte >= 192)
+
+    cut = F.when(F.octet_length(text) <= most, F.octet_length(text)).when(code < 128, F.lit(most)).otherwise(F.element_at(F.filter(ends, starts), 1))
+    return head.substr(F.lit(1), cut).cast("string")
+
+
+def semantic_ok(column: Column) -> Column:
+    """Dotted lower-case names of letters, digits and underscores, each part starting with a letter."""
+    return column.rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)+$")
+
+
+def section_ok(column: Column) -> Column:
+    """A section name: printable, without blanks, at most 255 bytes."""
+    return column.rlike(r"^[\x21-\x7E]{1,255}$")
+
+
+def subject_key(*fields: str) -> Column:
+    """One text for a counter's subject: its fields as JSON in fixed order, those that are null left out."""
+    return F.to_json(F.struct(*fields))
+
+
+@F.pandas_udf(BooleanType())
+def strict_json(text: pd.Series) -> pd.Series:
+    """Whether a text is JSON without a repeated member at any depth."""
+
+    def once(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated member")
+        return dict(pairs)
+
+    def good(x: str | None) -> bool:
+        try:
+            return x is not None and json.loads(x, object_pairs_hook=once) is not NotImplemented
+        except ValueError:
+            return False
+
+    return text.map(good).astype(bool)
 
 
 def severe_gap(reason: Column) -> Column:
@@ -106,14 +210,14 @@ def delta(baseline: Column, candidate: Column) -> Column:
 
 
 def relative(baseline: Column, candidate: Column) -> Column:
-    """Relative change; null without a baseline or with a zero one."""
-    return F.when(baseline != 0, (candidate - baseline) / F.abs(baseline))
+    """Change as a share of the baseline; null without a baseline or with a zero one."""
+    return F.when(baseline != 0, (candidate - baseline) / baseline)
 
 
 def outcome(baseline: Column, candidate: Column, absolute: float, share: float) -> Column:
-    """Both thresholds must be passed for a change; with a zero baseline the absolute one alone counts."""
+    """Both thresholds must be exceeded for a change; with a zero baseline the absolute one alone counts."""
     change = delta(baseline, candidate)
-    passed = (F.abs(change) >= absolute) & (change != 0) & ((baseline == 0) | (F.abs(change) >= share * F.abs(baseline)))
+    passed = (F.abs(change) > absolute) & ((baseline == 0) | (F.abs(relative(baseline, candidate)) > share))
     return F.when(baseline.isNull() | candidate.isNull(), "inconclusive").when(passed & (change > 0), "regressed").when(passed, "improved").otherwise("unchanged")
 
 

@@ -393,9 +393,9 @@ rows AS (
          CAST(CASE m.metric WHEN 'activations' THEN c.activations ELSE c.inclusive_ns END AS DOUBLE) AS candidate
   FROM b FULL JOIN c ON b.y = c.y AND b.function_id = c.function_id AND b.context_id = c.context_id CROSS JOIN (VALUES ('activations'), ('inclusive_ns')) m(metric)),
 judged AS (
-  SELECT *, candidate - baseline AS delta, CASE WHEN baseline <> 0 THEN (candidate - baseline) / abs(baseline) END AS relative,
+  SELECT *, candidate - baseline AS delta, CASE WHEN baseline <> 0 THEN (candidate - baseline) / baseline END AS relative,
          CASE WHEN baseline IS NULL OR candidate IS NULL THEN 'inconclusive'
-              WHEN candidate <> baseline AND (baseline = 0 OR abs(candidate - baseline) >= 0.05 * abs(baseline)) THEN CASE WHEN candidate > baseline THEN 'regressed' ELSE 'improved' END
+              WHEN candidate <> baseline AND (baseline = 0 OR abs((candidate - baseline) / baseline) > 0.05) THEN CASE WHEN candidate > baseline THEN 'regressed' ELSE 'improved' END
               ELSE 'unchanged' END AS outcome FROM rows)"""
 
 

@@ -1,7 +1,8 @@
-"""Observations as a stream: running counters, running hotspots, and exact activations by session state."""
+"""Observations as a stream: running counters and totals, and exact replay by session state."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SPANS = "session_id string, core_id bigint, context_id string, function_id string, depth bigint, start_ns bigint, end_ns bigint, active_ns bigint, incomplete boolean"
-_STATE = "frames string, clock bigint"
+from spanloom.operators.replay import INPUT, OUTPUT, Capture
+from spanloom.operators.traces import hotspots
 
 
 def live_counters(counters: DataFrame) -> DataFrame:
@@ -23,32 +24,38 @@ def live_windows(counters: DataFrame, time: str, width: str, late: str) -> DataF
     return counters.withWatermark(time, late).groupBy("session_id", "counter_id", F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def live_spans(observations: DataFrame, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """Activations of task-level calls as they close, one state a session.
+def live_replay(observations: DataFrame, switches: bool = True, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+    """What ``replay`` finds, as it is found: activations and interrupts when they end, facts when they occur.
 
-    A micro-batch is sorted by ``ord`` before it is applied. Open frames by core stay in the state, as JSON;
-    an exit that does not match the top of its stack closes the frames above it as incomplete.
+    The state of a session is its capture's, as bytes: open calls, clocks and credited time. A micro-batch is sorted by
+    ``ord`` before it is applied; what comes late is applied in its turn and told of as a fact, never dropped. A row of
+    type ``CaptureEnd`` closes what is open and gives the CPU totals; the state goes then.
     """
+    given = [c for c in INPUT if c in observations.columns]
+    whole = {"ord", "source_seq", "ts_ns", "core_id", "duration_ns"}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        stacks = json.loads(state.get[0]) if state.exists else {}
-        clock = state.get[1] if state.exists else 0
-        out = []
-        for row in pd.concat(list(batches)).sort_values("ord").itertuples():
-            clock = max(clock, int(row.ts_ns))
-            stack = stacks.setdefault(f"{row.core_id}/{row.context_id}", [])
-            if row.type == "FunctionEnter":
-                stack.append([row.function_id, clock])
-            elif any(f[0] == row.function_id for f in stack):
-                while stack:
-                    name, start = stack.pop()
-                    out.append((key[0], int(row.core_id), row.context_id, name, len(stack) + 1, start, clock, clock - start, name != row.function_id))
-                    if name == row.function_id:
-                        break
-        state.update((json.dumps(stacks), clock))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")])
-
-    calls = observations.where(F.col("type").isin("FunctionEnter", "FunctionExit")).select("session_id", "ord", "type", "ts_ns", "core_id", "context_id", "function_id")
-    return calls.groupBy("session_id").applyInPandasWithState(run, SPANS, _STATE, "append", timeout)
+        capture = pickle.loads(state.get[0]) if state.exists else Capture(key[0], [], switches)
+        capture.out = out = []
+        over = False
+        rows = pd.concat(list(batches)).sort_values("ord", kind="stable")
+        columns = {c: [None if pd.isna(x) else int(x) if c in whole else x for x in rows[c].tolist()] for c in given}
+        for row in zip(*[columns.get(c) or [None] * len(rows) for c in INPUT], strict=True):
+            if row[INPUT.index("type")] == "CaptureEnd":
+                capture.finish(row[INPUT.index("ts_ns")])
+                over = True
+                break
+            capture.take(*row)
+        if over:
+            state.remove()
+        else:
+            capture.out = []
+            state.update((pickle.dumps(capture),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    return observations.select("session_id", *given).groupBy("session_id").applyInPandasWithState(run, OUTPUT, "capture binary", "append", timeout)
+
+
+def live_hotspots(spans: DataFrame) -> DataFrame:
+    """Running totals of a stream of activations that have ended; for update or complete mode."""
+    return hotspots(spans)

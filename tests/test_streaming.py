@@ -30,9 +30,19 @@ def test_windows(spark, tmp_path):
     assert [(r["n"], r["mean"]) for r in got] == [(2, 2.0)]
 
 
-def test_spans_across_batches(spark, tmp_path):
-    call = lambda i, kind, ts, f: ("s", i, kind, ts, 0, "t", f)
-    batches = [[call(1, "FunctionEnter", 0, "a"), call(2, "FunctionEnter", 5, "b")], [call(3, "FunctionExit", 9, "b"), call(4, "FunctionEnter", 9, "c"), call(5, "FunctionExit", 20, "a")]]
-    rows = arrivals(spark, tmp_path, "session_id string, ord bigint, type string, ts_ns bigint, core_id bigint, context_id string, function_id string", batches)
-    got = {r["function_id"]: (r["depth"], r["start_ns"], r["end_ns"], r["incomplete"]) for r in result(live.live_spans(rows), "live_spans", "append")}
-    assert got == {"a": (1, 0, 20, False), "b": (2, 5, 9, False), "c": (2, 9, 20, True)}
+def test_replay_across_batches(spark, tmp_path):
+    call = lambda i, kind, ts, f: ("s", i, "src", i, "exact", kind, ts, 0, "t", f)
+    batches = [[call(1, "FunctionEnter", 0, "a"), call(2, "FunctionEnter", 5, "b")], [call(3, "FunctionExit", 9, "b"), call(4, "FunctionEnter", 9, "c"), call(5, "FunctionExit", 20, "a"), call(6, "FunctionEnter", 22, "d")], [("s", 7, None, None, None, "CaptureEnd", 30, None, None, None)]]
+    rows = arrivals(spark, tmp_path, "session_id string, ord bigint, source_id string, source_seq bigint, quality string, type string, ts_ns bigint, core_id bigint, context_id string, function_id string", batches)
+    got = result(live.live_replay(rows), "live_replay", "append")
+    spans = {r["function_id"]: (r["depth"], r["start_ns"], r["end_ns"], r["active_ns"], r["incomplete"]) for r in got if r["kind"] == "span"}
+    assert spans == {"a": (1, 0, 20, 20, True), "b": (2, 5, 9, 4, False), "c": (2, 9, 20, 11, True), "d": (1, 22, 30, 8, True)}
+    assert [r["code"] for r in got if r["kind"] == "fact"] == ["mismatched_function_exit", "unclosed_function"]
+    assert [(r["context_id"], r["active_ns"]) for r in got if r["kind"] == "cpu"] == [("t", 30)]
+
+
+def test_running_hotspots(spark, tmp_path):
+    schema = "session_id string, function_id string, active_ns bigint, self_ns bigint, quality string, incomplete boolean"
+    rows = arrivals(spark, tmp_path, schema, [[("s", "f", 5, 2, "exact", False)], [("s", "f", 8, 3, "inferred", False), ("s", "f", 99, 9, "exact", True)]])
+    got = result(live.live_hotspots(rows), "live_hotspots", "complete")
+    assert [(r["activations"], r["inclusive_ns"], r["max_ns"], r["average_ns"], r["quality"]) for r in got] == [(2, 13, 8, 6, "inferred")]
