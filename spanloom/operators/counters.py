@@ -92,3 +92,15 @@ def fragmentation(rows: DataFrame) -> DataFrame:
     free, largest = F.col("at.free.value"), F.col("at.largest.value")
     reason = F.when(~F.col("has_free") | ~F.col("has_largest"), "input_missing").when(F.col("at").isNull(), "inputs_not_synchronized").when(free == 0, "no_free_memory").when(largest > free, "largest_exceeds_free")
     return found.select("session_id", "subject", F.col("at.free.ts_ns").alias("ts_ns"), F.when(reason.isNull(), 1 - largest / free).alias("ratio"), reason.alias("reason"))
+
+
+def allocation_rate(summaries: DataFrame) -> DataFrame:
+    """Allocations a second of each subject whose rate was not measured itself, or the reason why there is none.
+
+    ``summaries`` are those of ``summary`` with semantic and subject.
+    """
+    counts = summaries.where("semantic = 'heap.allocation_count'")
+    measured = summaries.where("semantic = 'heap.allocation_rate_per_second'").select("session_id", "subject")
+    reason = F.when(F.col("n") < 2, "fewer_than_two_values").when(~F.col("window_valid"), "window_not_valid").when(F.col("window_ns") <= 0, "empty_window")
+    rate = F.when(reason.isNull(), F.col("delta") * 1e9 / F.col("window_ns"))
+    return counts.join(measured, ["session_id", "subject"], "left_anti").select("session_id", "subject", rate.alias("per_second"), reason.alias("reason"))

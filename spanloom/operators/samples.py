@@ -105,3 +105,31 @@ def flat_profile(cells: DataFrame, n: int) -> DataFrame:
     kept = (F.col("many") <= n) | (F.col("place") < n)
     label = F.when(kept, F.coalesce("function_id", F.lit("[unattributed]"))).otherwise("[other sampled PCs]")
     return ranked.groupBy("session_id", label.alias("label")).agg(F.sum("hits").alias("hits"))
+
+
+def flat_layout(profile: DataFrame, width: int = 10_000) -> DataFrame:
+    """Extents of a flat profile's leaves: whole shares of the row, the last leaf takes what is left of it."""
+    order = Window.partitionBy("session_id").orderBy(F.desc("hits"), "label")
+    whole = Window.partitionBy("session_id")
+    rows = profile.withColumn("total", F.sum("hits").over(whole)).withColumn("own", F.expr(f"hits * {width} div total")).withColumn("x", F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("x", F.coalesce("x", F.lit(0))).withColumn("last", F.row_number().over(order) == F.count("*").over(whole))
+    return rows.select("session_id", "label", "hits", "x", F.when(F.col("last"), width - F.col("x")).otherwise(F.col("own")).alias("w"))
+
+
+def labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each bucket with the debugger's label for exactly its bounds: label and label_hits, or nulls."""
+    return buckets.join(labels.select("session_id", "start", "end", "label", F.col("hits").alias("label_hits")), ["session_id", "start", "end"], "left")
+
+
+def leaves(buckets: DataFrame) -> DataFrame:
+    """Flat leaves of labelled buckets: the labelled hits under their label, what is left of a bucket unattributed."""
+    rest = F.col("hits") - F.coalesce("label_hits", F.lit(0))
+    parts = F.array(F.struct(F.col("label").alias("function_id"), F.coalesce("label_hits", F.lit(0)).alias("hits")), F.struct(F.lit(None).cast("string").alias("function_id"), rest.alias("hits")))
+    each = buckets.select("session_id", F.explode(parts).alias("p")).select("session_id", "p.*").where("hits > 0")
+    return each.groupBy("session_id", "function_id").agg(F.sum("hits").alias("hits"))
+
+
+def for_display(cells: DataFrame, n: int) -> DataFrame:
+    """The n fullest buckets of each session, numbered by address."""
+    kept = hottest(cells, n, "start")
+    return kept.withColumn("row", F.row_number().over(Window.partitionBy("session_id").orderBy("start", "end")))

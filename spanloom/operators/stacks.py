@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +25,40 @@ def top_nodes(nodes: DataFrame, n: int = 128) -> DataFrame:
     return nodes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def layout(nodes: DataFrame, width: int = 10_000, most_depth: int = 64) -> DataFrame:
-    """Horizontal extent of each node: children share their parent's extent by whole-number shares.
+def layout(nodes: DataFrame, n: int = 128, width: int = 10_000, most_depth: int = 64) -> DataFrame:
+    """Horizontal extents of a flame graph: terminations in row 0, the n fullest nodes above, the rest of each parent as one.
 
-    A child starts where the running sum of its siblings puts it, so widths need no rounding rule of
-    their own. A level depends on the one above; depth is bounded by ``most_depth``.
+    Children share their parent's extent by running sums of samples, fullest first, in whole units; so a child's extent
+    depends on its parent's. A session has at most n nodes and as many rests, which one task places.
     """
-    order = Window.partitionBy("session_id", "parent").orderBy(F.desc("samples"), "path")
-    parent = F.when(F.col("depth") > 1, F.concat(F.lit("/"), F.array_join(F.slice("path", 1, F.col("depth") - 1), "/"))).otherwise("")
-    rows = nodes.withColumn("parent", F.concat("termination", F.lit("|"), parent)).withColumn("own", F.concat("termination", F.lit("|/"), F.array_join("path", "/")))
-    rows = rows.withColumn("upto", F.sum("samples").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("session_id", "termination", "path", "depth", "samples", "parent", "own", "upto")
-    total = rows.where("depth = 1").groupBy("session_id").agg(F.sum("samples").alias("total"))
-    base = rows.where("depth = 1").join(total, "session_id")
-    by_row = Window.partitionBy("session_id").orderBy("termination", F.desc("samples"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    level = base.withColumn("upto", F.sum("samples").over(by_row)).select("session_id", "termination", "path", "depth", "samples", "own", F.expr(f"(upto - samples) * {width} div total").alias("x"), F.expr(f"upto * {width} div total - (upto - samples) * {width} div total").alias("w"))
-    done, depth = level, 1
-    while depth < most_depth and (below := rows.where(F.col("depth") == depth + 1)).limit(1).count():
-        up = level.select("session_id", F.col("own").alias("parent"), F.col("x").alias("px"), F.col("w").alias("pw"), F.col("samples").alias("ps"))
-        level = below.join(up, ["session_id", "parent"]).select("session_id", "termination", "path", "depth", "samples", "own", F.expr("px + (upto - samples) * pw div ps").alias("x"), F.expr("upto * pw div ps - (upto - samples) * pw div ps").alias("w"))
-        done, depth = done.unionByName(level), depth + 1
-    return done.drop("own")
+    shown = nodes.where(F.col("depth") <= most_depth)
+    chosen = top_nodes(shown, n).select("session_id", "termination", "path", "depth", "samples", F.lit("frame").alias("kind"))
+    left = shown.join(chosen.select("session_id", "termination", "path"), ["session_id", "termination", "path"], "left_anti")
+    rests = left.groupBy("session_id", "termination", F.slice("path", 1, F.col("depth") - 1).alias("path"), "depth").agg(F.sum("samples").alias("samples"), F.lit("other").alias("kind"))
+    inside = rests.join(chosen.select("session_id", "termination", "path"), ["session_id", "termination", "path"], "left_semi").unionByName(rests.where("depth = 1"))
+    roots = nodes.where("depth = 1").groupBy("session_id", "termination").agg(F.sum("samples").alias("samples")).select("session_id", "termination", F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth"), "samples", F.lit("boundary").alias("kind"))
+    rows = chosen.unionByName(inside).unionByName(roots)
+    return rows.groupBy("session_id").applyInPandas(lambda g: _placed(g, width), "session_id string, termination string, kind string, path array<string>, depth int, samples bigint, x bigint, w bigint")
+
+
+def _placed(rows: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Extents of one session's few rows, parents before children."""
+    total = int(rows.loc[rows["depth"] == 0, "samples"].sum())
+    extent = {(): (0, width, total)}
+    used: dict[tuple, int] = {}
+    out = []
+    order = sorted(rows.itertuples(index=False), key=lambda r: (r.depth, -r.samples, r.kind == "other", r.termination, tuple(r.path)))
+    for r in order:
+        path = tuple(r.path)
+        parent = () if r.depth == 0 else (r.termination, *(path if r.kind == "other" else path[:-1]))
+        x, w, samples = extent[parent]
+        before = used.get(parent, 0)
+        used[parent] = before + int(r.samples)
+        low, high = before * w // samples, used[parent] * w // samples
+        if r.kind != "other":
+            extent[(r.termination, *path)] = (x + low, high - low, int(r.samples))
+        out.append((r.session_id, r.termination, r.kind, list(path), r.depth, r.samples, x + low, high - low))
+    return pd.DataFrame(out, columns=["session_id", "termination", "kind", "path", "depth", "samples", "x", "w"])
 
 
 def sample_violations(samples: DataFrame) -> DataFrame:

@@ -422,6 +422,64 @@ def sequence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("places"), F.count_if("same").alias("same"))
 
 
+# sampled leaves and derived rates
+
+_LEAVES = f"""
+{_SAMPLES}, b AS (SELECT session_id, address // 96 * 96 AS low, address // 4 * 4 AS cell, count(*) AS n FROM samples GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, low ORDER BY n DESC, cell) AS k, sum(n) OVER (PARTITION BY session_id, low) AS hits FROM b),
+tops AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, low) AS place FROM r WHERE k = 1),
+leaf AS (SELECT session_id, 'cell-' || cell AS function_id, n AS hits FROM tops WHERE place <= 10 UNION ALL SELECT session_id, NULL, sum(hits - CASE WHEN place <= 10 THEN n ELSE 0 END) FROM tops GROUP BY session_id)"""
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.pc_samples(spark, sf_dir)
+    buckets = rows.select("session_id", F.expr("address div 96 * 96").alias("start")).groupBy("session_id", "start").agg(F.count("*").alias("hits")).withColumn("end", F.col("start") + 96)
+    labels = samples.dominant_cells(rows, 96).select("session_id", F.col("bucket").alias("start"), (F.col("bucket") + 96).alias("end"), F.concat(F.lit("cell-"), F.col("cell").cast("string")).alias("label"), F.col("cell_hits").alias("hits"))
+    return samples.leaves(samples.labelled(buckets, labels))
+
+
+@query(f"WITH {_LEAVES} SELECT session_id, function_id, CAST(sum(hits) AS BIGINT) AS hits FROM leaf GROUP BY ALL HAVING sum(hits) > 0")
+def sampled_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits under the debugger's labels, and the rest."""
+    return _leaves(spark, sf_dir)
+
+
+@query(f"""
+WITH {_LEAVES}, c AS (SELECT session_id, coalesce(function_id, '[unattributed]') AS label, CAST(sum(hits) AS BIGINT) AS hits FROM leaf GROUP BY ALL HAVING sum(hits) > 0),
+o AS (SELECT *, hits * 10000 // sum(hits) OVER (PARTITION BY session_id) AS own, row_number() OVER w = count(*) OVER (PARTITION BY session_id) AS last FROM c WINDOW w AS (PARTITION BY session_id ORDER BY hits DESC, label)),
+p AS (SELECT *, coalesce(sum(own) OVER (PARTITION BY session_id ORDER BY hits DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM o)
+SELECT session_id, label, hits, CAST(x AS BIGINT) AS x, CAST(CASE WHEN last THEN 10000 - x ELSE own END AS BIGINT) AS w FROM p""")
+def flat_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of sampled leaves in one row."""
+    profile = samples.flat_profile(_leaves(spark, sf_dir), 20)
+    return samples.flat_layout(profile)
+
+
+@query(f"""
+WITH {_SAMPLES}, c AS (SELECT session_id, address // 64 * 64 AS low, count(*) AS hits FROM samples GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, low) AS place FROM c)
+SELECT session_id, low AS "start", hits, CAST(place AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY session_id ORDER BY low) AS INTEGER) AS "row" FROM k WHERE place <= 25""")
+def displayed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty-five fullest buckets of each capture, in the order of their addresses."""
+    cells = A.pc_samples(spark, sf_dir).select("session_id", F.expr("address div 64 * 64").alias("start")).groupBy("session_id", "start").agg(F.count("*").alias("hits")).withColumn("end", F.col("start") + 64)
+    return samples.for_display(cells, 25).drop("end")
+
+
+@query("""
+WITH r AS (SELECT 'u-' || user_id AS session_id, CASE WHEN event_type = 'view' THEN 'm' ELSE event_type END AS subject, event_id AS ord, epoch_us(ts) * 1000 AS ts_ns, event_id * (1 - 2 * CAST(user_id % 10 = 0 AS INTEGER)) + 1000000000 AS value FROM events WHERE event_type <> 'click' OR user_id % 3 = 0),
+b AS (SELECT *, value < lag(value) OVER (PARTITION BY session_id, subject ORDER BY ord) AS broken FROM r),
+s AS (SELECT session_id, subject, count(*) AS n, arg_max(value, ord) - arg_min(value, ord) AS d, max(ts_ns) - min(ts_ns) AS w, bool_and(NOT coalesce(broken, false)) AS ok FROM b GROUP BY ALL)
+SELECT session_id, subject, CASE WHEN n >= 2 AND ok AND w > 0 THEN d * 1e9 / w END AS per_second, CASE WHEN n < 2 THEN 'fewer_than_two_values' WHEN NOT ok THEN 'window_not_valid' WHEN w <= 0 THEN 'empty_window' END AS reason FROM s WHERE subject <> 'click'""")
+def allocation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates derived from counts, but for subjects whose rate is measured."""
+    rows = A.counter_rows(spark, sf_dir).where("counter_id <> 'click' OR cast(substring(session_id, 6) as bigint) % 3 = 0")
+    user = F.substring("session_id", 6, 20).cast("bigint")
+    rows = rows.withColumns({"value": (F.col("ord") * F.when(user % 10 == 0, -1).otherwise(1) + 1_000_000_000).cast("double"), "behaviour": F.lit("monotonic"), "session_id": F.concat(F.lit("u-"), user.cast("string"))})
+    found = counters.summary(counters.checked(rows)).withColumn("semantic", F.lit("heap.allocation_count")).withColumn("subject", F.expr("if(counter_id = 'view', 'm', counter_id)"))
+    measured = found.where("counter_id = 'click'").withColumn("semantic", F.lit("heap.allocation_rate_per_second"))
+    return counters.allocation_rate(found.unionByName(measured))
+
+
 # timelines
 
 

@@ -374,10 +374,31 @@ def stack_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacks.trie(stacks.folded(A.stack_samples(spark, sf_dir))).withColumn("path", F.array_join("path", ";"))
 
 
-@query()
+def _level(d: int) -> str:
+    """SQL of one row of a flame graph from the extents of the row below."""
+    return f"""
+segs{d} AS (
+  SELECT p.session_id, p.termination, 'frame' AS kind, c.path, c.samples, p.x AS px, p.w AS pw, p.samples AS ps, p.path AS parent FROM placed{d - 1} p JOIN chosen c ON c.session_id = p.session_id AND c.termination = p.termination AND c.depth = {d} AND c.path[1:{d - 1}] = p.path WHERE p.kind <> 'other'
+  UNION ALL SELECT p.session_id, p.termination, 'other', p.path, sum(t.samples), any_value(p.x), any_value(p.w), any_value(p.samples), p.path FROM placed{d - 1} p JOIN rest t ON t.session_id = p.session_id AND t.termination = p.termination AND t.depth = {d} AND t.path[1:{d - 1}] = p.path
+  WHERE p.kind <> 'other' GROUP BY p.session_id, p.termination, p.path),
+sums{d} AS (SELECT *, sum(samples) OVER (PARTITION BY session_id, termination, parent ORDER BY samples DESC, kind = 'other', path ROWS UNBOUNDED PRECEDING) AS upto FROM segs{d}),
+placed{d} AS (SELECT session_id, termination, kind, path, samples, CAST(px + (upto - samples) * pw // ps AS BIGINT) AS x, CAST(upto * pw // ps - (upto - samples) * pw // ps AS BIGINT) AS w FROM sums{d})"""
+
+
+@query(f"""
+WITH {_STACKS},
+nodes AS (SELECT session_id, termination, path[1:d] AS path, d AS depth, sum(samples) AS samples FROM folded, range(1, 4) t(d) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY samples DESC, depth, termination, path) AS r FROM nodes),
+chosen AS (SELECT * FROM ranked WHERE r <= 40), rest AS (SELECT * FROM ranked WHERE r > 40),
+roots AS (SELECT session_id, termination, sum(samples) AS samples FROM nodes WHERE depth = 1 GROUP BY ALL),
+root_sums AS (SELECT *, sum(samples) OVER (PARTITION BY session_id ORDER BY samples DESC, termination ROWS UNBOUNDED PRECEDING) AS upto, sum(samples) OVER (PARTITION BY session_id) AS total FROM roots),
+placed0 AS (SELECT session_id, termination, 'boundary' AS kind, CAST([] AS VARCHAR[]) AS path, samples, CAST((upto - samples) * 10000 // total AS BIGINT) AS x, CAST(upto * 10000 // total - (upto - samples) * 10000 // total AS BIGINT) AS w FROM root_sums),
+{",".join(_level(d) for d in (1, 2, 3))}
+SELECT session_id, termination, kind, array_to_string(path, ';') AS path, CAST(depth AS INTEGER) AS depth, CAST(samples AS BIGINT) AS samples, x, w FROM (
+  SELECT *, 0 AS depth FROM placed0 UNION ALL SELECT *, 1 FROM placed1 UNION ALL SELECT *, 2 FROM placed2 UNION ALL SELECT *, 3 FROM placed3)""")
 def flame_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extents of the flame graph's nodes."""
-    return stacks.layout(stacks.trie(stacks.folded(A.stack_samples(spark, sf_dir))))
+    """Extents of the forty fullest nodes of each capture's flame graph, and of what is left."""
+    return stacks.layout(stacks.trie(stacks.folded(A.stack_samples(spark, sf_dir))), 40).withColumn("path", F.array_join("path", ";"))
 
 
 _YEARS = """

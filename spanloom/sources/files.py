@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalar import address, time_token_ns
+from spanloom.functions.scalar import address, section_ok, time_token_ns
 
 #: Columns of an observation in its canonical record.
 OBSERVATION = (
@@ -100,11 +100,15 @@ def read_mapped_csv(spark: SparkSession, path: str, mapping: dict[str, str], sou
 
 
 def read_sampling_text(spark: SparkSession, path: str) -> DataFrame:
-    """Sampling export: record, class:address, cycle, time and an optional symbol, white space between."""
+    """Sampling export: record, class:address, cycle, time and an optional symbol, white space between.
+
+    A line that is neither blank nor a record is kept with ``bad``, and nothing else.
+    """
     text = spark.read.text(path)
     pattern = r"^\s*([+-]?\d+)\s+(\S+)\s+(\S+)\s+([0-9.]+\s*(?:ps|ns|us|ms|s))\s*(.*?)\s*$"
     part = lambda i: F.regexp_extract("value", pattern, i)
-    rows = text.where(F.col("value").rlike(pattern)).select(part(1).cast("bigint").alias("record"), address(part(2)).alias("address"), part(3).alias("cycle"), time_token_ns(part(4)).alias("ts_ns"), F.nullif(part(5), F.lit("")).alias("symbol"))
+    good = F.col("value").rlike(pattern)
+    rows = text.where(F.trim("value") != "").select(F.when(good, part(1).try_cast("bigint")).alias("record"), address(part(2)).alias("address"), part(3).alias("cycle"), time_token_ns(part(4)).alias("ts_ns"), F.nullif(part(5), F.lit("")).alias("symbol"), F.when(~good, "malformed_line").alias("bad"))
     return rows.withColumn("quality", F.lit("statistical")).withColumn("type", F.lit("Sample")).withColumnRenamed("record", "ord")
 
 
@@ -133,6 +137,12 @@ def static_totals(sections: DataFrame) -> DataFrame:
     return sections.groupBy("session_id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("size_bytes"))), F.lit(0)).alias(f"{k}_bytes") for k in kinds], F.sum("size_bytes").alias("total_bytes"))
 
 
+def section_violations(sections: DataFrame) -> DataFrame:
+    """Sections that appear twice in a session, or whose name is none."""
+    many = F.count("*").over(Window.partitionBy("session_id", "name"))
+    return sections.withColumn("many", many).select("session_id", "name", F.when(~section_ok(F.col("name")), "bad_name").when(F.col("many") > 1, "duplicate_section").alias("violation")).where("violation IS NOT NULL")
+
+
 def stack_totals(entries: DataFrame) -> DataFrame:
     """Number of functions and the largest static frame."""
     return entries.groupBy("session_id").agg(F.count("*").alias("functions"), F.max(F.when(F.col("qualifier") == "static", F.col("bytes"))).alias("largest_static_bytes"))
