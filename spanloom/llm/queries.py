@@ -75,7 +75,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text, from binary files that were written and read back."""
     path = new_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path)
-    return read_tokens(spark, path).drop("ids")
+    return read_tokens(spark, path, with_ids=False)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

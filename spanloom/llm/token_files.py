@@ -11,11 +11,11 @@ File format (little-endian), one file for a run of documents in ascending doc_id
 frequent take one byte. Decoding looks a control byte up in a 256-row table of four lengths; offsets
 are its running sum, and ranks become ids through the list. No bit is read one at a time.
 
-How it runs: texts are tokenized once, where they are read; ids go to a table in the shared folder, in two
-bytes each where they fit. Counts by id (a row an id of the vocabulary) rank them. The table is dealt into
-ranges of (doc_id, hash of the ids), so that rows of one doc_id need not share a task, and each task encodes
-its sorted range into files of bounded size. A file is written under a name of its own and renamed, so
-a repeated task leaves the same file. Files are opened through ``pyarrow.fs``, hence any URI it knows; a path
+How it runs: texts are dealt into ranges of (doc_id, hash of the text), so that rows of one doc_id need not share
+a task, and tokenized once, in order; ids go to a table in the shared folder, in two bytes each where they fit, and
+beside them what each slice counted of each id. These counts, summed by id (a row an id of the vocabulary), rank the
+ids; each task then encodes the part of the table that it reads into files of bounded size. A file is written under
+a name of its own and renamed, so a repeated task leaves the same file. Files are opened through ``pyarrow.fs``, hence any URI it knows; a path
 without a scheme is on Spark's default file system.
 
 Null and empty texts are their end id alone. Rows that agree in doc_id are kept, side by side. Null doc_ids come
@@ -35,13 +35,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import new_path, parts_for
+from spanloom.llm.common import new_path, parts_for, text_bytes
 from spanloom.llm.tokens import encoded, vocabulary_path
 
 MAGIC, VERSION = b"SLTK", 1
 HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("documents", "<u8"), ("ids", "<u8"), ("data", "<u8")])
-#: Ids in a file (one longer document fills its own), and bytes of ids in a range of documents.
-FILE_IDS, RANGE_BYTES = 4_000_000, 8 << 20
+#: Ids in a file (one longer document fills its own), and bytes of text in a range of documents.
+FILE_IDS, RANGE_BYTES = 2_000_000, 16 << 20
 _INDEX = "file string, range int, first long, documents bigint, ids bigint"
 _LAST = np.iinfo(np.int64).max
 #: Data bytes of the four ids of each control byte.
@@ -50,13 +50,24 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 
 def encode_file(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
     """One file of documents given as ranks, one after another."""
-    lengths = (1 + (ranks >= 1 << 8) + (ranks >= 1 << 16)).astype(np.uint8)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(lengths)] = lengths
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    wide = np.ascontiguousarray(ranks, dtype="<u4").view(np.uint8).reshape(-1, 4)
-    data = wide[np.arange(4) < lengths[:, None]]
-    header = np.array([(MAGIC, VERSION, len(doc_ids), len(ranks), len(data))], HEADER)
+    n = len(ranks)
+    lengths = (ranks >= 1 << 8).astype(np.uint8)
+    if wide := bool(n and int(ranks.max()) >= 1 << 16):
+        lengths += ranks >= 1 << 16
+    lengths += 1
+    ends = np.cumsum(lengths, dtype=np.int64)
+    starts = ends - lengths
+    data = np.empty(int(ends[-1]) if n else 0, np.uint8)
+    data[starts] = ranks.astype(np.uint8)
+    longer = np.flatnonzero(lengths > 1)
+    data[starts[longer] + 1] = (ranks[longer] >> np.uint32(8)).astype(np.uint8)
+    if wide:
+        longer = np.flatnonzero(lengths > 2)
+        data[starts[longer] + 2] = (ranks[longer] >> np.uint32(16)).astype(np.uint8)
+    padded = np.zeros(-(-n // 4) * 4, np.uint8)
+    padded[:n] = lengths
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    header = np.array([(MAGIC, VERSION, len(doc_ids), n, len(data))], HEADER)
     return b"".join([header.tobytes(), doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
@@ -76,8 +87,9 @@ def decode_file(content: bytes, by_rank: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     ranks = data[starts].astype(np.uint32)
     for k in (1, 2):
-        longer = lengths > k
-        ranks[longer] |= data[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        longer = np.flatnonzero(lengths > k)
+        if len(longer):
+            ranks[longer] |= data[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return doc_ids, sizes, by_rank[ranks]
 
 
@@ -86,7 +98,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
     spark = docs.sparkSession
     path = qualified(spark, path)
     ids = _ids_table(docs, end_id, vocabulary_path(tokenizer), new_path(spark, "ids"))
-    counted = ids.mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = ids.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = np.array([r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()], dtype="<u4")  # a row an id of the vocabulary
     _put(f"{path}/ranks.bin", ranked.tobytes())
     where, folder = fs.FileSystem.from_uri(f"{path}/files")
@@ -94,9 +106,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 0, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     sent = spark.sparkContext.broadcast(rank_of)
-    ranges = parts_for(ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0, RANGE_BYTES)
-    dealt = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "ids").select("key", "width", "ids", F.spark_partition_id().alias("range"))
-    index = dealt.mapInArrow(lambda batches: _encode(batches, path, sent.value), _INDEX)
+    index = ids.select("range", "seq", "key", "width", "ids").mapInArrow(lambda batches: _encode(batches, path, sent.value), _INDEX)
     index.write.parquet(f"{path}/index")
     return read_index(spark, path)
 
@@ -107,8 +117,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.selectExpr("*", "coalesce(sum(ids) OVER (ORDER BY range, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of each document, from the files alone."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of each document, from the files alone."""
     path = qualified(spark, path)
     by_rank = spark.sparkContext.broadcast(np.frombuffer(_get(f"{path}/ranks.bin"), "<u4"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(f"{path}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
@@ -118,34 +128,46 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content, before in zip(batch["content"], batch["before"].to_pylist(), strict=True):
                 doc_ids, sizes, ids = decode_file(content.as_buffer().to_pybytes(), by_rank.value)
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes.astype(np.int64))
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes.astype(np.int64))
                 starts = ends - sizes
                 for a in range(0, len(sizes), 2000):
                     b = min(a + 2000, len(sizes))
                     parts = [raw[4 * s : 4 * e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[a:b], mask=doc_ids[a:b] == _LAST), pa.array(starts[a:b] + before), pa.array(sizes[a:b].astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    columns = [pa.array(doc_ids[a:b], mask=doc_ids[a:b] == _LAST), pa.array(starts[a:b] + before), pa.array(sizes[a:b].astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                    if with_ids:
+                        columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return placed.select("content", "before").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return placed.select("content", "before").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def _ids_table(docs: DataFrame, end_id: int, tokenizer: str, path: str) -> DataFrame:
-    """(key, width, ids): ids of each text; ids of two bytes where all of a slice fit."""
+    """(range, seq, key, width, ids, counts): ids of each text, sorted within ranges; ids of two bytes where a slice's fit.
+
+    ``counts`` is there once a slice: its ids and how often each occurs.
+    """
+    ranges = parts_for(text_bytes(docs), RANGE_BYTES)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(int(_LAST))).alias("key"), "text", F.xxhash64("text").alias("tie"))
+    dealt = keyed.repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text", F.spark_partition_id().alias("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = 0
         for batch in batches:
             for i, j, ids, sizes in encoded(batch, tokenizer, end_id):
+                n = j - i
                 kind = "<u2" if int(ids.max()) < 1 << 16 else "<u4"
                 width = int(kind[-1])
                 ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
-                packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(i, j - i), pa.array(np.full(j - i, width, np.int32)), packed], ["key", "width", "ids"])
-
-    schema = "key bigint, width int, ids binary"
-    keyed = docs.select(F.coalesce("doc_id", F.lit(int(_LAST))).alias("key"), "text")
-    keyed.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+                packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                all_counts = np.bincount(ids)
+                some = np.flatnonzero(all_counts)
+                counts = np.stack([some, all_counts[some]]).astype("<i8").tobytes()
+                columns = [batch["range"].slice(i, n), pa.array(np.arange(seq, seq + n)), batch["key"].slice(i, n), pa.array(np.full(n, width, np.int32)), packed, pa.array([counts] + [None] * (n - 1), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "seq", "key", "width", "ids", "counts"])
+                seq += n
+
+    schema = "range int, seq bigint, key bigint, width int, ids binary, counts binary"
+    dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -156,49 +178,47 @@ def _unpack(width: int, ids: bytes) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1, np.int64)
     for batch in batches:
-        widths = batch["width"].to_numpy()
-        for width in np.unique(widths):
-            ids = batch["ids"].filter(pa.array(widths == width))
-            for i in range(0, len(ids), 1000):
-                own = np.bincount(_unpack(int(width), b"".join(ids.slice(i, 1000).to_pylist())))
-                if len(own) > len(counts):
-                    own, counts = counts, own.astype(np.int64)
-                counts[: len(own)] += own
+        for packed in batch["counts"]:
+            some, n = np.frombuffer(packed.as_buffer(), "<i8").reshape(2, -1)
+            if len(some) and some[-1] >= len(counts):
+                counts = np.concatenate([counts, np.zeros(int(some[-1]) + 1 - len(counts), np.int64)])
+            counts[some] += n
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, rank_of: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Files from the sorted rows of one range; a file takes whole documents."""
+    """Files from rows that follow one another in one range; a file takes whole documents."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    first, documents, size = 0, 0, 0
+    part, first, after, size = -1, 0, 0, 0
 
-    def flush(part: int) -> pa.RecordBatch:
+    def flush() -> pa.RecordBatch:
         name = f"{part:06d}-{first:012d}.tok"
         keys, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         _put(f"{path}/files/{name}", encode_file(keys, sizes, rank_of[ids]))
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([documents], pa.int64()), pa.array([size], pa.int64())], ["file", "range", "first", "documents", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64())], ["file", "range", "first", "documents", "ids"])
 
-    part = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        part = batch["range"][0].as_py()
-        width = batch["width"].to_numpy()
+        parts, seqs, width = (batch[c].to_numpy() for c in ("range", "seq", "width"))
         sizes = pc.binary_length(batch["ids"]).to_numpy().astype(np.int64) // width
-        # runs of rows that have one width and at most a file's ids together
+        # runs of rows of one range, one after another, of one width, and of at most a file's ids together
         group = np.cumsum(sizes) // FILE_IDS
-        cuts = [0, *(np.flatnonzero((width[1:] != width[:-1]) | (group[1:] != group[:-1])) + 1).tolist(), n]
+        new = (parts[1:] != parts[:-1]) | (seqs[1:] != seqs[:-1] + 1) | (width[1:] != width[:-1]) | (group[1:] != group[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             ids = _unpack(int(width[a]), b"".join(batch["ids"].slice(a, b - a).to_pylist()))
-            if documents and size + len(ids) > FILE_IDS:
-                yield flush(part)
-                held, first, documents, size = [], first + documents, 0, 0
+            if held and (part != parts[a] or after != seqs[a] or size + len(ids) > FILE_IDS):
+                yield flush()
+                held, size = [], 0
+            if not held:
+                part, first = int(parts[a]), int(seqs[a])
             held.append((batch["key"].slice(a, b - a).to_numpy(), sizes[a:b], ids))
-            documents, size = documents + b - a, size + len(ids)
+            after, size = int(seqs[b - 1]) + 1, size + len(ids)
     if held:
-        yield flush(part)
+        yield flush()
 
 
 def qualified(spark: SparkSession, path: str) -> str:

@@ -26,9 +26,9 @@ import pyarrow.compute as pc
 from spanloom.llm.grams import text_slices
 
 #: Chunks that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Text that is cut and laid out at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: White space that may follow a blank: what ASCII texts can hold, and the rest.
 _ASCII_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
@@ -127,6 +127,14 @@ class Encoder:
             self.young[key] = ids
         return ids
 
+    def _head(self, chunk: str) -> bytes:
+        """Ids of a text's first chunk, which follows nothing."""
+        if not chunk:
+            return b""
+        if chunk[0].isspace() or not self.direct:
+            return self._whole(chunk)
+        return self._known(_LINE + chunk)[len(self.line) :]  # what follows a single newline follows nothing either
+
     def text(self, text: str) -> bytes:
         """Ids of one text."""
         if self.marks and self.marks.search(text):
@@ -139,7 +147,7 @@ class Encoder:
 
     def _section(self, text: str) -> bytes:
         first, *rest = chunks(text)
-        return b"".join([self._whole(first) if first else b"", *map(self._known, rest)])
+        return b"".join([self._head(first), *map(self._known, rest)])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (no nulls), each with the end id, one after another; and how many each has."""
@@ -156,14 +164,20 @@ class Encoder:
         later = np.ones(len(values), bool)
         later[offsets[:-1]] = False
         coded = values.filter(pa.array(later)).dictionary_encode()
-        first = [self._whole(x) if x else b"" for x in values.take(pa.array(offsets[:-1])).to_pylist()]
+        first = list(map(self._head, values.take(pa.array(offsets[:-1])).to_pylist()))
         for i in apart.tolist():
             first[i] = self.text(texts[i].as_py())
         distinct = coded.dictionary.to_pylist()
         ids = list(map(self.young.get, distinct))
+        young, pieces = self.young, self.pieces
         for i, known in enumerate(ids):
             if known is None:
-                ids[i] = self._known(distinct[i])
+                chunk = distinct[i]
+                if chunk.isascii() and chunk.isalpha() and len(chunk) <= LONGEST and self.direct and chunk not in self.old:
+                    known = young[chunk] = array("I", [x.id for x in pieces("\u0120" + chunk)]).tobytes()  # as ``_known``, for most
+                else:
+                    known = self._known(chunk)
+                ids[i] = known
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         # chunk numbers: distinct chunks, then first chunks, then the end
