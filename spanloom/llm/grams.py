@@ -153,7 +153,10 @@ def slices(size_of: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
-    """(from row, to row, texts) of at most ``limit`` bytes each; nulls read as empty."""
+    """(from row, to row, texts) of at most ``limit`` bytes each; nulls read as empty.
+
+    After the last slice Arrow's free memory goes back to the system, as idle workers would keep it.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -165,6 +168,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + n + 1]
     for i, j in slices(np.diff(offsets.astype(np.int64)), limit):
         yield i, j, column.slice(i, j - i)
+    pa.default_memory_pool().release_unused()
 
 
 def members(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:

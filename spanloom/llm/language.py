@@ -40,6 +40,8 @@ from spanloom.llm.grams import text_slices
 #: Labelled texts a language, and the most languages, which bound what the driver collects: CELLS rows each.
 PER_LANGUAGE, MOST_LANGUAGES = 1000, 4096
 CELLS = 1 << 14
+#: Text whose trigrams are counted at once.
+SLICE_BYTES = 1 << 19
 TEXT_WEIGHT = 40.0
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0, 5.0, 20.0
 LEAST_POSTERIOR = 0.5
@@ -80,7 +82,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, part in text_slices(batch["text"]):
+            for i, j, part in text_slices(batch["text"], SLICE_BYTES):
                 owner, cell = trigrams(part)
                 langs = batch["lang"].slice(i, j - i).dictionary_encode()
                 own = langs.indices.to_numpy(zero_copy_only=False)[owner].astype(np.int64) * CELLS + cell
@@ -145,7 +147,7 @@ def _text_evidence(rows: DataFrame, logs: np.ndarray, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, part in text_slices(batch[text]):
+            for i, j, part in text_slices(batch[text], SLICE_BYTES):
                 owner, cell = trigrams(part)
                 size = np.bincount(owner, minlength=j - i)
                 sums = np.stack([np.bincount(owner, weights=row[cell], minlength=j - i) for row in logs], axis=1)
