@@ -42,8 +42,8 @@ from spanloom.llm.components import connected_components
 from spanloom.llm.grams import members, mix, shingle_sets, text_slices, words
 
 BINS, ROWS = 512, 8
-#: Members of a star that are compared in one group.
-STAR_BLOCK = 200
+#: Members of a star that are compared in one group, and shingles of theirs.
+STAR_BLOCK, BLOCK_SHINGLES = 200, 1_000_000
 #: Further stars of a large bucket in its second round, how many times more in each later one, and the
 #: most members of a bucket that are all stars.
 STARS, MORE, SMALL = 4, 16, 8
@@ -166,14 +166,17 @@ def _linked(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float
         pairs = written(_pairs(left, stars, compared, threshold), "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
         if links is None or not pairs.isEmpty():
-            new = written(_confirm(texts, pairs.select("star", "member"), shingle, threshold), "confirmed")
+            new = written(_confirm(texts, pairs.select("star", "member", "weight"), shingle, threshold), "confirmed")
             if links is None or not new.isEmpty():
                 links = new if links is None else links.unionByName(new)
                 components = connected_components(links if given is None else links.unionByName(given)).withColumnRenamed("node", "rep")
-        rest = left.drop("component").join(stars.select("key", F.col("star").alias("rep")), ["key", "rep"], "left_anti")
-        placed = rest.join(components, "rep", "left").select("key", "rep", "size", "bits", F.coalesce("component", "rep").alias("component"))
-        still_open = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_left")).where("low < high").select("key", "n_left")
-        open_members = written(placed.join(still_open, "key"), "open-members")
+        placed = left.drop("component").join(components, "rep", "left").select("key", "rep", "size", "bits", F.coalesce("component", "rep").alias("component"))
+        # most buckets lie in one component by now and are closed as they are; only the others are looked at row by row
+        maybe = written(_open(placed).select("key"), "maybe-open")
+        if maybe.isEmpty():
+            return links, components
+        rest = placed.join(maybe, "key").join(stars.select("key", F.col("star").alias("rep")), ["key", "rep"], "left_anti")
+        open_members = written(rest.join(_open(rest), "key"), "open-members")
         if open_members.isEmpty():
             return links, components
         order = F.xxhash64("rep", "key")
@@ -183,22 +186,31 @@ def _linked(texts: DataFrame, classes: DataFrame, shingle: int, threshold: float
         drawn *= MORE
 
 
+def _open(members_of: DataFrame) -> DataFrame:
+    """(key, n_left) of the buckets whose members lie in several components."""
+    found = members_of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_left"))
+    return found.where("low < high").select("key", "n_left")
+
+
 def _pairs(members_of: DataFrame, stars: DataFrame, compared: DataFrame | None, threshold: float) -> DataFrame:
-    """(a, b, star, member): stars and members of other components, of sets that allow a link, not compared before."""
+    """(a, b, star, member, weight): stars and members of other components, of sets that allow a link, not compared before.
+
+    The weight is the number of the member's shingles.
+    """
     threshold = round(threshold * 10_000) / 10_000  # as ``_compare`` takes it
     near = F.least("size", "star_size") >= F.greatest("size", "star_size") * (threshold - 1e-9)
     apart = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("star_bits", F.lit(k)))) for k in range(LONGS)), F.lit(0))
     near &= apart <= (F.col("size") + F.col("star_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     met = members_of.join(stars, "key").where((F.col("component") != F.col("star_component")) & near)
-    each = met.groupBy(F.least("star", "rep").alias("a"), F.greatest("star", "rep").alias("b")).agg(F.min("star").alias("star"))
+    each = met.groupBy(F.least("star", "rep").alias("a"), F.greatest("star", "rep").alias("b")).agg(F.min(F.struct("star", "size")).alias("m")).select("a", "b", "m.star", F.col("m.size").alias("weight"))
     if compared is not None:
         each = each.join(compared, ["a", "b"], "left_anti")
-    return each.select("a", "b", "star", (F.col("a") + F.col("b") - F.col("star")).alias("member"))
+    return each.select("a", "b", "star", (F.col("a") + F.col("b") - F.col("star")).alias("member"), "weight")
 
 
 def _confirm(texts: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """(a, b) for the pairs whose whole sets are similar enough."""
-    blocks = pairs.groupBy("star").agg(F.ceil(F.count("*") / STAR_BLOCK).cast("int").alias("blocks"))
+    blocks = pairs.groupBy("star").agg(F.ceil(F.greatest(F.count("*") / STAR_BLOCK, F.sum("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocks = written(blocks, "blocks")
     members_of = pairs.join(blocks, "star").select(F.col("member").alias("doc_id"), "star", F.pmod(F.xxhash64("member"), "blocks").cast("int").alias("block"))
     stars = blocks.select(F.col("star").alias("doc_id"), "star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
