@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import licenses
+from spanloom.llm import lexical_search, licenses, merkle
 from spanloom.llm.common import documents, new_path
 from spanloom.llm.decontaminate import leaks
 from spanloom.llm.fingerprints import compare_with_next
@@ -15,6 +15,7 @@ from spanloom.llm.language import document_records, fit, identify, page_records
 from spanloom.llm.line_dedup import line_dedup
 from spanloom.llm.minhash_dedup import minhash_dedup
 from spanloom.llm.packing import pack
+from spanloom.llm.simhash_dedup import simhash_dedup
 from spanloom.llm.substring_dedup import substring_dedup
 from spanloom.llm.token_counts import count_tokens
 from spanloom.llm.token_files import read_tokens, write_tokens
@@ -78,6 +79,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False)
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in three bits or fewer."""
+    return simhash_dedup(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against the manifest, and what tampered ones fold to."""
+    return merkle.proofs(merkle.manifest(documents(spark, sf_dir)))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -96,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_pack": op9_pack,
     "op10_token_files": op10_token_files,
+    "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
 
@@ -136,4 +155,61 @@ SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """,
     "op8_license_scan": licenses.oracle_sql(),
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+fields AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: unicode(substr(doc_id::VARCHAR, i, 1))::BIGINT) AS digits
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, digits), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0
+              THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS other
+  FROM fields, bytes),
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves),
+up AS (
+  SELECT tree, 0 AS level, idx, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM places
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY tree, level, idx // 2),
+subroots AS (SELECT tree, node FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, tree AS idx, node, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, idx // 2),
+inner_steps AS (
+  SELECT p.tree, p.idx, list(coalesce(CASE WHEN (p.idx >> l.level) % 2 = 0 THEN 'R' ELSE 'L' END || s.node, 'N') ORDER BY l.level) AS steps
+  FROM places p JOIN (SELECT DISTINCT tree, level FROM up WHERE n > 1) l ON p.tree = l.tree
+  LEFT JOIN up s ON s.tree = p.tree AND s.level = l.level AND s.idx = xor(p.idx >> l.level, 1) GROUP BY p.tree, p.idx),
+top_steps AS (
+  SELECT r.tree, list(coalesce(CASE WHEN (r.tree >> l.level) % 2 = 0 THEN 'R' ELSE 'L' END || s.node, 'N') ORDER BY l.level) AS steps
+  FROM subroots r CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) l
+  LEFT JOIN top s ON s.level = l.level AND s.idx = xor(r.tree >> l.level, 1) GROUP BY r.tree),
+paths AS (
+  SELECT p.doc_id, p.leaf, r.node AS subroot, t.node AS root, coalesce(p.other, p.leaf) AS start, list_concat(coalesce(i.steps, []), coalesce(o.steps, [])) AS steps
+  FROM places p JOIN subroots r ON p.tree = r.tree CROSS JOIN (SELECT node FROM top WHERE n = 1) t
+  LEFT JOIN inner_steps i ON i.tree = p.tree AND i.idx = p.idx LEFT JOIN top_steps o ON o.tree = p.tree),
+folded AS (
+  SELECT *, list_reduce(list_prepend(start, steps), lambda h, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || h ELSE h || s[2:] END)) AS folded_root FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+""",
+    "op13_lexical_search": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS length FROM texts),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM texts) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+lengths AS (SELECT r, doc_id, 25 + (75 * len(t) * n_docs) // length AS m FROM texts, totals WHERE len(t) > 0),
+scored AS (
+  SELECT item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r) GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0) WHERE place <= 10
+""",
 }
