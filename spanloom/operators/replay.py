@@ -1,10 +1,8 @@
 """Exact replay of captures: activations, interrupts, bracketed spans, CPU time and health facts in one pass.
 
-Calls that do not nest, interrupts that end out of turn and contexts that disagree with the schedule depend on
-everything before them, which no window expresses. So rows are dealt by session_id and sorted by ``ord`` once, and
-each task walks its sorted rows. A session's state is its open frames and one number a core and context; batches
-come one after another, so neither a session nor a task is ever held whole. The work is spread by session: a
-capture is a sequence, and a function of its whole past.
+Rows are dealt by session_id and sorted by ``ord`` once; each task reads its sorted rows in chunks of many captures and
+``passes`` finds everything in a chunk by whole columns. A capture longer than a chunk goes on in the next, of which
+only what is open is held, so neither a session nor a task is ever held whole.
 
 The result has one row for each thing found; ``kind`` tells which:
 
@@ -13,7 +11,8 @@ The result has one row for each thing found; ``kind`` tells which:
   the scheduled context below.
 * ``sync``, ``async``: a span between its begin and end marks.
 * ``cpu``: the time credited to one context of a session.
-* ``fact``: a health fact, by ``code``.
+* ``fact``: a health fact, by ``code``. A gap whose reason names a fault, and metadata that tell of one, give a fact of
+  that code, too.
 
 Null ``core_id`` means no core (allowed for marks, counters and gaps). Missing optional columns read as null. Rows of
 one ``ord`` keep an arbitrary order; other columns are ignored; an empty table gives no rows.
@@ -22,416 +21,105 @@ one ``ord`` keep an arbitrary order; other columns are ignored; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalar import QUALITY
+from spanloom.functions.scalar import metadata_code, severe_gap
+from spanloom.operators.passes import Replay, State
 
-INPUT = ("ord", "source_id", "source_seq", "quality", "type", "ts_ns", "core_id", "context_id", "function_id", "frame_id", "prev_context_id", "next_context_id", "interrupt_id", "activation_id", "span_id", "correlation_id", "name", "duration_ns", "reason")
+INPUT = ("ord", "source_id", "source_seq", "quality", "type", "ts_ns", "core_id", "context_id", "function_id", "frame_id", "prev_context_id", "next_context_id", "interrupt_id", "activation_id", "span_id", "correlation_id", "name", "duration_ns", "told")
 OUTPUT = (
     "kind string, session_id string, ord bigint, parent_ord bigint, source_id string, source_seq_start bigint, source_seq_end bigint, core_id bigint, context_id string, ctx_kind string, function_id string, depth bigint, start_ns bigint, end_ns bigint, "
     "elapsed_ns bigint, active_ns bigint, self_ns bigint, preempted_ns bigint, incomplete boolean, quality string, code string"
 )
-_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
-_ARROW = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in OUTPUT.split(", ")])
-_RANK = {q: i for i, q in enumerate(QUALITY)}
-INFERRED = _RANK["inferred"]
-#: Rows that are given on at once.
-FLUSH = 20_000
+ARROW = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in OUTPUT.split(", ")])
+#: Rows of a chunk, at least.
+CHUNK = 200_000
 
 
-def replay(observations: DataFrame, switches: bool = True) -> DataFrame:
+def told(observations: DataFrame) -> Column:
+    """The health code that a row names itself: a gap by its reason, metadata by key and value."""
+    have = set(observations.columns)
+    out = F.lit(None).cast("string")
+    if {"key", "value"} <= have:
+        out = F.when(F.col("type") == "Metadata", metadata_code(F.col("key"), F.col("value"))).otherwise(out)
+    if "reason" in have:
+        out = F.when(F.col("type") == "TraceGap", severe_gap(F.col("reason"))).otherwise(out)
+    return out
+
+
+def replay(observations: DataFrame, switches: bool = True, chunk: int = CHUNK) -> DataFrame:
     """Everything found in the captures; without ``switches`` every call of another task reschedules its core."""
-    given = [c for c in INPUT if c in observations.columns]
-    rows = observations.select("session_id", *given).repartition("session_id").sortWithinPartitions("session_id", "ord")
-    return rows.mapInArrow(lambda batches: _walk(batches, given, switches), OUTPUT)
+    rows = observations if "told" in observations.columns else observations.withColumn("told", told(observations))
+    given = [c for c in INPUT if c in rows.columns]
+    dealt = rows.select("session_id", *given).repartition("session_id").sortWithinPartitions("session_id", "ord")
+    return dealt.mapInArrow(lambda batches: replayed(batches, switches, chunk), OUTPUT)
 
 
-def _walk(batches: Iterator[pa.RecordBatch], given: list[str], switches: bool) -> Iterator[pa.RecordBatch]:
-    capture: Capture | None = None
-    out: list[tuple] = []
+def replayed(batches: Iterator[pa.RecordBatch], switches: bool = True, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """What is found in sorted rows, chunk by chunk."""
+    held: list[pa.RecordBatch] = []
+    size, state, open_session = 0, None, None
     for batch in batches:
-        columns = [batch[c].to_pylist() if c in given else repeat(None) for c in INPUT]
-        for session, row in zip(batch["session_id"].to_pylist(), zip(*columns)):  # noqa: B905  missing columns repeat
-            if capture is None or session != capture.session:
-                if capture is not None:
-                    capture.finish()
-                capture = Capture(session, out, switches)
-            capture.take(*row)
-        if len(out) >= FLUSH:
-            yield _batch(out)
-            out.clear()
-    if capture is not None:
-        capture.finish()
-    if out:
-        yield _batch(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-
-
-@dataclass(slots=True)
-class Frame:
-    """An open call."""
-
-    at: int
-    source: str
-    seq: int
-    core: int
-    public: str
-    function: str
-    frame_id: str | None
-    start: int
-    cpu: int
-    quality: int
-    spoiled: bool
-    below: int = 0  # active time of the calls it made
-
-
-@dataclass(slots=True)
-class Context:
-    """A task, or one activation of an interrupt."""
-
-    public: str
-    isr: bool
-    cpu: int = 0
-    frames: list[Frame] = field(default_factory=list)
-    tainted: bool = False
-
-    def spoil(self, ever: bool = False) -> None:
-        """All open calls are incomplete; with ``ever`` later ones too."""
-        self.tainted |= ever
-        for f in self.frames:
-            f.spoiled = True
-
-
-@dataclass(slots=True)
-class Core:
-    clock: int | None = None
-    scheduled: str | None = None
-    since: int | None = None
-    stack: list[tuple] = field(default_factory=list)  # (interrupt, activation, context, entered, ord)
-
-
-class Capture:
-    """The state of one session; ``out`` takes the rows it finds."""
-
-    def __init__(self, session: str, out: list[tuple], switches: bool = True) -> None:
-        self.session, self.out, self.switches = session, out, switches
-        self.cores: dict[int, Core] = {}
-        self.tasks: dict[str, Context] = {}
-        self.sources: dict[str, list[int]] = {}
-        self.open: dict[tuple, tuple] = {}
-        self.retired: dict[str, int] = {}
-        self.overlaps: set[tuple] = set()
-        self.end: int | None = None
-        self.at = -1
-        self.source: str | None = None
-        self.seq: int | None = None
-
-    # rows out
-
-    def fact(self, code: str, start: int | None, end: int | None, core: int | None = None, context: str | None = None, function: str | None = None) -> None:
-        self.out.append(("fact", self.session, self.at, None, self.source, self.seq, self.seq, core, context, None, function, None, start, end, None, None, None, None, None, None, code))
-
-    def close(self, context: Context, end: int, quality: int, forced: bool) -> None:
-        """The top call of a context ends."""
-        f = context.frames.pop()
-        elapsed = max(end - f.start, 0)
-        ran = context.cpu - f.cpu
-        active = min(max(ran, 0), elapsed)
-        spoiled = forced or f.spoiled or ran > elapsed or f.below > active
-        worst = max(f.quality, quality, INFERRED if spoiled else 0)
-        parent = None
-        if context.frames:
-            caller = context.frames[-1]
-            parent = caller.at
-            caller.below += active
-            if spoiled:
-                caller.spoiled = True
-        kind = "isr" if context.isr else task_kind(f.public)
-        self.out.append(("span", self.session, f.at, parent, f.source, f.seq, self.seq, f.core, f.public, kind, f.function, len(context.frames) + 1, f.start, max(end, f.start), elapsed, active, max(active - f.below, 0), elapsed - active, spoiled, QUALITY[worst], None))
-
-    def unwind(self, context: Context, end: int) -> None:
-        """Calls that never ended."""
-        while context.frames:
-            f = context.frames[-1]
-            self.fact("unclosed_function", end, end, f.core, f.public, f.function)
-            self.close(context, end, INFERRED, True)
-
-    # time
-
-    def running(self, core: Core) -> Context | None:
-        if core.stack:
-            return core.stack[-1][2]
-        return self.tasks[core.scheduled] if core.scheduled is not None else None
-
-    def task(self, name: str) -> Context:
-        found = self.tasks.get(name)
-        if found is None:
-            found = self.tasks[name] = Context(name, False)
-        return found
-
-    def schedule(self, core: Core, name: str, since: int) -> None:
-        self.task(name)
-        if core.scheduled != name:
-            core.scheduled, core.since = name, since
-
-    def advance(self, number: int, ts: int) -> int:
-        """Move a core's clock to ``ts``, never back, and credit what ran since."""
-        core = self.cores.get(number)
-        if core is None:
-            core = self.cores[number] = Core()
-        clock = core.clock
-        if clock is None:
-            core.clock = ts
-        elif ts < clock:
-            self.fact("out_of_order_timestamp", ts, clock, number)
-            if (ran := self.running(core)) is not None:
-                ran.spoil()
-            ts = clock
-        elif ts > clock:
-            upto = ts
-            if len(self.cores) > 1 and core.scheduled is not None:
-                upto = self.shared(number, core, clock, ts)
-            ran = self.running(core)
-            if ran is None:
-                self.fact("missing_scheduled_context", clock, ts, number)
-            else:
-                ran.cpu += (ts if core.stack else upto) - clock
-            core.clock = ts
-        if self.end is None or ts > self.end:
-            self.end = ts
-        return ts
-
-    def shared(self, number: int, core: Core, start: int, end: int) -> int:
-        """Where a task runs on several cores at once, only the lowest core is credited: until when this one is."""
-        upto, news, first = end, [], end
-        for other, that in self.cores.items():
-            if other == number or that.scheduled != core.scheduled:
-                continue
-            begin = max(start, core.since if core.since is not None else start, that.since if that.since is not None else start)
-            if begin >= end:
-                continue
-            self.tasks[core.scheduled].spoil(ever=True)
-            if other < number:
-                upto = min(upto, begin)
-            pair = (core.scheduled, *sorted((number, other)))
-            if pair not in self.overlaps:
-                self.overlaps.add(pair)
-                news.append(other)
-                first = min(first, begin)
-        if news:
-            self.fact("concurrent_context", first, end, number, core.scheduled)
-        return upto
-
-    def spoil_all(self) -> None:
-        for context in self.contexts():
-            context.spoil()
-
-    def contexts(self) -> Iterator[Context]:
-        yield from self.tasks.values()
-        for core in self.cores.values():
-            yield from (entry[2] for entry in core.stack)
-
-    # rows in
-
-    def take(self, at, source, seq, quality, kind, ts, core, context, function, frame_id, before, after, interrupt, activation, span, correlation, name, duration, reason) -> None:
-        self.at, self.source, self.seq = at, source, seq
-        self.ordered(source, seq, ts)
-        if kind == "FunctionEnter" or kind == "FunctionExit":
-            rank = _RANK.get(quality, 0)
-            ts = self.advance(core, ts)
-            where, agrees = self.owner(core, context, ts)
-            if kind == "FunctionEnter":
-                where.frames.append(Frame(at, source, seq, core, context, function, frame_id, ts, where.cpu, rank, not agrees or where.tainted))
-            else:
-                self.leave(where, ts, context, function, frame_id, rank)
-        elif kind == "ContextSwitch":
-            ts = self.advance(core, ts)
-            own = self.cores[core]
-            if before is not None and own.scheduled is not None and own.scheduled != before:
-                self.fact("context_switch_mismatch", ts, ts, core, before)
-                for x in (own.scheduled, before):
-                    if x in self.tasks:
-                        self.tasks[x].spoil()
-            self.schedule(own, after, ts)
-        elif kind == "InterruptEnter":
-            self.enter(core, self.advance(core, ts), interrupt, activation)
-        elif kind == "InterruptExit":
-            self.exit(core, self.advance(core, ts), interrupt, activation)
-        elif kind == "TraceGap":
-            self.gap(ts, duration or 0, source)
-        else:
-            if core is not None:
-                ts = self.advance(core, ts)
-            elif self.end is None or ts > self.end:
-                self.end = ts
-            if kind in _MARKS:
-                self.mark(kind, ts, source, core, context, span, correlation, name)
-
-    def ordered(self, source: str, seq: int | None, ts: int) -> None:
-        """A source's numbers rise by one and its time never falls; both are held against the highest so far."""
-        seen = self.sources.get(source)
-        if seen is None:
-            self.sources[source] = [seq, ts]
-            return
-        if seq is not None:
-            if seen[0] is None:
-                seen[0] = seq
-            elif seq <= seen[0]:
-                self.fact("out_of_order_sequence", ts, ts)
-                self.spoil_all()
-            else:
-                if seq > seen[0] + 1:
-                    self.fact("trace_gap", min(seen[1], ts), max(seen[1], ts))
-                    self.spoil_all()
-                seen[0] = seq
-        if ts < seen[1]:
-            self.fact("out_of_order_timestamp", ts, seen[1])
-            self.spoil_all()
-        else:
-            seen[1] = ts
-
-    def owner(self, number: int, public: str, ts: int) -> tuple[Context, bool]:
-        """The context that a call belongs to, and whether it is the running one."""
-        core = self.cores[number]
-        ran = self.running(core)
-        if ran is not None and ran.public == public:
-            return ran, True
-        if ran is None or not core.stack and not self.switches:
-            self.schedule(core, public, core.clock)
-            return self.tasks[public], True
-        mine = next((entry[2] for entry in reversed(core.stack) if entry[0] == public), None) or self.task(public)
-        self.fact("context_mismatch", ts, ts, number, public)
-        ran.spoil()
-        mine.spoil()
-        return mine, False
-
-    def leave(self, context: Context, ts: int, public: str, function: str, frame_id: str | None, rank: int) -> None:
-        frames = context.frames
-        depth = len(frames) - 1
-        while depth >= 0 and not (frames[depth].function == function and (frame_id is None or frames[depth].frame_id == frame_id)):
-            depth -= 1
-        if depth < 0:
-            self.fact("unmatched_function_exit", ts, ts, None, public, function)
-            context.spoil()
-            return
-        wrong = depth != len(frames) - 1 or frames[depth].source != self.source
-        if wrong:
-            self.fact("mismatched_function_exit", ts, ts, None, public, function)
-            context.spoil()
-        while len(frames) - 1 > depth:
-            self.close(context, ts, rank, True)
-        self.close(context, ts, rank, wrong)
-
-    def enter(self, number: int, ts: int, interrupt: str, activation: str | None) -> None:
-        stack = self.cores[number].stack
-        own = Context(interrupt, True)
-        twins = [entry[2] for entry in stack if activation is not None and entry[1] == activation]
-        if twins:
-            self.fact("duplicate_interrupt_activation", ts, ts, number, interrupt)
-            for x in (*twins, own):
-                x.spoil(ever=True)
-        stack.append((interrupt, activation, own, ts, self.at))
-
-    def exit(self, number: int, ts: int, interrupt: str, activation: str | None) -> None:
-        core = self.cores[number]
-        place = next((k for k in range(len(core.stack) - 1, -1, -1) if core.stack[k][:2] == (interrupt, activation)), None)
-        if place is None:
-            self.fact("unmatched_interrupt_exit", ts, ts, number, interrupt)
-            return
-        wrong = place != len(core.stack) - 1
-        if wrong:
-            self.fact("mismatched_interrupt_exit", ts, ts, number, interrupt)
-            for entry in core.stack[place:]:
-                entry[2].spoil()
-        for k in range(place, len(core.stack)):
-            self.unwind(core.stack[k][2], ts)
-        self.retire(number, core, place, ts, wrong)
-
-    def retire(self, number: int, core: Core, place: int, ts: int, wrong: bool) -> None:
-        """The interrupts from a place of the stack on are over."""
-        for k in range(len(core.stack) - 1, place - 1, -1):
-            interrupt, _, context, entered, at = core.stack[k]
-            below = core.stack[k - 1][4] if k else None
-            self.out.append(("interrupt", self.session, at, below, self.source, None, self.seq, number, interrupt, "isr", core.scheduled, k + 1, entered, ts, max(ts - entered, 0), context.cpu, None, None, wrong or k > place, None, None))
-            self.retired[interrupt] = self.retired.get(interrupt, 0) + context.cpu
-        del core.stack[place:]
-
-    def gap(self, ts: int, duration: int, source: str) -> None:
-        """Nothing is known until the gap ends: no core is credited meanwhile."""
-        for number in sorted(self.cores):
-            self.advance(number, ts)
-        self.spoil_all()
-        end = ts + duration
-        for core in self.cores.values():
-            core.clock = max(core.clock, end)
-        self.end = end if self.end is None else max(self.end, end)
-        seen = self.sources[source]
-        seen[1] = max(seen[1], end)
-        self.fact("trace_gap", ts, end)
-
-    def mark(self, kind: str, ts: int, source: str, core: int | None, context: str | None, span: str | None, correlation: str | None, name: str | None) -> None:
-        sync = kind.startswith("Span")
-        key = ("sync", source, core, context, span) if sync else ("async", source, correlation)
-        word = "span" if sync else "async"
-        if kind.endswith("Begin"):
-            if key in self.open:
-                self.fact(f"duplicate_{word}_begin", self.open[key][0], ts, core, context)
-            else:
-                self.open[key] = (ts, name, core, context, self.at, self.seq)
-        elif key in self.open:
-            self.bracket(key, ts, False)
-        else:
-            self.fact("unmatched_span_end" if sync else "unmatched_async_end", ts, ts, core, context)
-
-    def bracket(self, key: tuple, ts: int, spoiled: bool) -> None:
-        begin, name, core, context, at, seq = self.open.pop(key)
-        self.out.append((key[0], self.session, at, None, key[1], seq, self.seq, core, context, None, name, None, begin, ts, max(ts - begin, 0), None, None, None, spoiled, None, None))
-
-    def finish(self, end: int | None = None) -> None:
-        """The capture is over: what is open ends at its last time, incomplete."""
-        self.at, self.source, self.seq = self.at + 1, "analyzer", None
-        last = end if end is not None else self.end or 0
-        for number in sorted(self.cores):
-            self.advance(number, last)
-        last = max(last, self.end or last)
-        for number, core in sorted(self.cores.items()):
-            for interrupt, _, context, entered, _ in core.stack:
-                self.fact("unclosed_interrupt", entered, last, number, interrupt)
-                context.spoil()
-        for name in sorted(self.tasks):
-            self.unwind(self.tasks[name], last)
-        for number, core in sorted(self.cores.items()):
-            for entry in core.stack:
-                self.unwind(entry[2], last)
-            self.retire(number, core, 0, last, True)
-        for key in sorted(self.open, key=str):
-            begin, _, core, context, _, _ = self.open[key]
-            self.fact("unclosed_span" if key[0] == "sync" else "unclosed_async", begin, last, core, context)
-            self.bracket(key, last, True)
-        used: dict[tuple, int] = {}
-        for name, context in self.tasks.items():
-            used[name, task_kind(name)] = context.cpu
-        for name, cpu in self.retired.items():
-            used[name, "isr"] = used.get((name, "isr"), 0) + cpu
-        for (name, kind), cpu in sorted(used.items()):
-            self.out.append(("cpu", self.session, None, None, None, None, None, None, name, kind, None, None, None, None, None, cpu, None, None, None, None, None))
-
-
-_MARKS = {"SpanBegin", "SpanEnd", "AsyncBegin", "AsyncEnd"}
-
-
-def task_kind(name: str) -> str:
-    """Kind of a scheduled context that no dictionary defines; ``scalar.scheduled_kind`` says the same of a column."""
-    return "idle" if "idle" in name.lower() else "task"
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < chunk:
+            continue
+        table = pa.Table.from_batches(held)
+        # the last capture waits for its other rows, unless it fills the chunk
+        sessions = table["session_id"].combine_chunks()
+        last = sessions[-1]
+        cut = _first(sessions, last)
+        if state is not None and (cut or last.as_py() != open_session):
+            first = _end(sessions, open_session)
+            yield from rows_out(Replay(table.slice(0, first), switches, state, True, name=open_session))
+            table, cut, state = table.slice(first), cut - first, None
+        if cut:
+            yield from rows_out(Replay(table.slice(0, cut), switches, None, True))
+            table = table.slice(cut)
+        if table.num_rows >= chunk or state is not None:
+            done = Replay(table, switches, state, False)
+            yield from rows_out(done)
+            state, open_session, table = done.state, last.as_py(), table.slice(table.num_rows)
+        held, size = table.to_batches(), table.num_rows
+    table = pa.Table.from_batches(held) if held else None
+    if state is not None:
+        first = _end(table["session_id"].combine_chunks(), open_session) if table is not None else 0
+        own = table.slice(0, first) if table is not None else pa.table({"session_id": pa.array([], pa.string()), "type": pa.array([], pa.string())})
+        yield from rows_out(Replay(own, switches, state, True, name=open_session))
+        table = table.slice(first) if table is not None else None
+    if table is not None and table.num_rows:
+        yield from rows_out(Replay(table, switches, None, True))
+
+
+def _first(sessions: pa.Array, session: pa.Scalar) -> int:
+    """Where the run of the last session starts."""
+    return len(sessions) - _run(sessions.take(pa.array(np.arange(len(sessions))[::-1])), session.as_py())
+
+
+def _end(sessions: pa.Array, session: str | None) -> int:
+    """How many rows at the start are of a session."""
+    return _run(sessions, session)
+
+
+def _run(sessions: pa.Array, session: str | None) -> int:
+    same = sessions.is_null() if session is None else pa.compute.equal(sessions, session).fill_null(False)
+    other = np.flatnonzero(~same.to_numpy(zero_copy_only=False))
+    return int(other[0]) if len(other) else len(sessions)
+
+
+def rows_out(done: Replay) -> Iterator[pa.RecordBatch]:
+    for found in done.out:
+        n = len(found["kind"])
+        columns = [pa.nulls(n, f.type) if found.get(f.name) is None else found[f.name].cast(f.type) for f in ARROW]
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=ARROW)
 
 
 def spans(found: DataFrame) -> DataFrame:

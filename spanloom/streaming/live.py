@@ -6,11 +6,13 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.replay import INPUT, OUTPUT, Capture
+from spanloom.operators.passes import Replay, State
+from spanloom.operators.replay import ARROW, INPUT, OUTPUT, rows_out, told
 from spanloom.operators.traces import hotspots
 
 
@@ -27,31 +29,30 @@ def live_windows(counters: DataFrame, time: str, width: str, late: str) -> DataF
 def live_replay(observations: DataFrame, switches: bool = True, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
     """What ``replay`` finds, as it is found: activations and interrupts when they end, facts when they occur.
 
-    The state of a session is its capture's, as bytes: open calls, clocks and credited time. A micro-batch is sorted by
-    ``ord`` before it is applied; what comes late is applied in its turn and told of as a fact, never dropped. A row of
-    type ``CaptureEnd`` closes what is open and gives the CPU totals; the state goes then.
+    The state of a session is what is open of it (``passes.State``), as bytes, so it does not grow with what is over. A
+    micro-batch is sorted by ``ord`` before it is applied; what comes late is applied in its turn and told of as a fact,
+    never dropped. A row of type ``CaptureEnd`` closes what is open and gives the CPU totals; the state goes then.
     """
+    observations = observations if "told" in observations.columns else observations.withColumn("told", told(observations))
     given = [c for c in INPUT if c in observations.columns]
     whole = {"ord", "source_seq", "ts_ns", "core_id", "duration_ns"}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        capture = pickle.loads(state.get[0]) if state.exists else Capture(key[0], [], switches)
-        capture.out = out = []
-        over = False
+        held: State | None = pickle.loads(state.get[0]) if state.exists else None
         rows = pd.concat(list(batches)).sort_values("ord", kind="stable")
-        columns = {c: [None if pd.isna(x) else int(x) if c in whole else x for x in rows[c].tolist()] for c in given}
-        for row in zip(*[columns.get(c) or [None] * len(rows) for c in INPUT], strict=True):
-            if row[INPUT.index("type")] == "CaptureEnd":
-                capture.finish(row[INPUT.index("ts_ns")])
-                over = True
-                break
-            capture.take(*row)
+        last = rows["type"].eq("CaptureEnd")
+        over = bool(last.any())
+        end = int(rows.loc[last, "ts_ns"].iloc[0]) if over else None
+        rows = rows[~last.cummax()]
+        columns = {c: pa.array([None if pd.isna(x) else int(x) if c in whole else x for x in rows[c].tolist()], pa.int64() if c in whole else pa.string()) for c in given}
+        table = pa.table({"session_id": pa.array([key[0]] * len(rows), pa.string())} | columns)
+        done = Replay(table, switches, held, over, end, key[0])
         if over:
             state.remove()
-        else:
-            capture.out = []
-            state.update((pickle.dumps(capture),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        elif len(rows):
+            state.update((pickle.dumps(done.state),))
+        found = pa.Table.from_batches(rows_out(done), ARROW)
+        yield found.to_pandas(integer_object_nulls=True)
 
     return observations.select("session_id", *given).groupBy("session_id").applyInPandasWithState(run, OUTPUT, "capture binary", "append", timeout)
 
