@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalar import SEVERITY, SUPPORT, VERDICT, rank, unrank, worst
+from spanloom.functions.scalar import SEVERITY, SUPPORT, VERDICT, fact_code, rank, unrank, worst
 
 #: Health codes by severity and by what they make unavailable.
 RULES = {
@@ -72,18 +72,23 @@ def pair_facts(observations: DataFrame, begin: str, end: str, keys: list[str], n
 
 
 def capped(facts: DataFrame, most: int = MOST_FACTS) -> DataFrame:
-    """The first facts of each session; beyond the limit the last place says how many were dropped."""
+    """The first facts of each session; beyond the limit the last place says how many were dropped.
+
+    Each task passes on no more than the first ``most`` facts of a session and a count of all, so that a session with
+    millions of facts is not sorted in one place.
+    """
+    rows = facts.select("session_id", "ord", "code")
     order = Window.partitionBy("session_id").orderBy("ord", "code")
-    ranked = facts.select("session_id", "ord", "code").withColumn("place", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("session_id")))
-    over = F.col("many") > most
-    kept = ranked.where(~over | (F.col("place") <= most))
-    sentinel = over & (F.col("place") == most)
+    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    many = rows.groupBy("session_id").agg(F.count("*").alias("many")).withColumnRenamed("session_id", "of")
+    kept = first.join(many, F.col("session_id").eqNullSafe(F.col("of")))
+    sentinel = (F.col("many") > most) & (F.col("place") == most)
     return kept.select("session_id", "ord", F.when(sentinel, "diagnostics_truncated").otherwise(F.col("code")).alias("code"), F.when(sentinel, F.col("many") - (most - 1)).alias("dropped"))
 
 
 def issues(facts: DataFrame) -> DataFrame:
-    """Facts with severity, verdict and impact; a code without a rule is fatal and makes all unavailable."""
-    found = facts.join(F.broadcast(rules(facts.sparkSession)), "code", "left")
+    """Facts with severity, verdict and impact, by the code that a name means; one without a rule is fatal and makes all unavailable."""
+    found = facts.withColumn("code", fact_code(F.col("code"))).join(F.broadcast(rules(facts.sparkSession)), "code", "left")
     severity = F.coalesce("severity", F.lit("fatal"))
     verdict = F.get(F.lit([VERDICT_OF[s] for s in SEVERITY]), rank(severity, SEVERITY))
     return found.select("session_id", "ord", "code", severity.alias("severity"), verdict.alias("verdict"), F.coalesce("impact", F.lit("all")).alias("impact"))

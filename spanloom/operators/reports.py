@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalar import QUALITY, SUPPORT, rank, share_of, unrank
+from spanloom.functions.tables import kept
 from spanloom.operators import counters, health, replay, samples, traces
 
 
@@ -33,13 +34,10 @@ class Analysis:
 def analyze(observations: DataFrame, path: str | None = None, capabilities: DataFrame | None = None, include_untrusted: bool = False) -> Analysis:
     """Replay captures and derive everything that one pass over them tells.
 
-    The replay is written under ``path`` where one is given, as all parts read it; else each part replays anew.
+    Captures are replayed once: the replay is written, under ``path`` where one is given, and all parts read it.
     Quantities are those of VALID captures, unless asked for; the activations of a DEGRADED one are inferred at best.
     """
-    found = replay.replay(observations)
-    if path is not None:
-        found.write.parquet(path)
-        found = observations.sparkSession.read.schema(found.schema).parquet(path)
+    found = kept(replay.replay(observations), "replay", path)
     values = [c for c in ("counter_id", "value", "behaviour", "whole") if c in observations.columns]
     measured = counters.checked(observations.where("type = 'Counter'")) if len(values) == 4 else None
     own = replay.facts(found).select("session_id", "ord", "code")

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from spanloom.functions.scalar import async_id, ns_as_us
+from spanloom.functions.tables import kept
 
 #: Tracks of one purpose, the first track of a core, and the first of everything else.
 GAPS, METADATA, UNATTRIBUTED, DIAGNOSTICS = 1, 2, 3, 4
 FIRST_CORE, FIRST_OTHER = 16, 1024
+#: How many numbers there are for everything else.
+NUMBERS = (1 << 31) - 1 - FIRST_OTHER
 #: Phase and category of each kind of observation.
 PHASES = {
     "ContextSwitch": ("i", "scheduler"), "InterruptEnter": ("B", "interrupt"), "InterruptExit": ("E", "interrupt"), "Sample": ("i", "sample"), "Counter": ("C", "counter"), "TraceGap": ("X", "trace_gap"), "Metadata": ("i", "metadata"),
@@ -29,7 +32,7 @@ def stable_track(owner: pd.Series) -> pd.Series:
             h = np.uint64(0xCBF29CE484222325)
             for byte in name.encode():
                 h = (h ^ np.uint64(byte)) * np.uint64(0x100000001B3)
-            out.append(FIRST_OTHER + int(h % np.uint64((1 << 31) - 1 - FIRST_OTHER)))
+            out.append(FIRST_OTHER + int(h % np.uint64(NUMBERS)))
     return pd.Series(out, dtype="int32")
 
 
@@ -70,8 +73,8 @@ def _paired(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("session_id", "source_id", sync, F.when(sync, F.struct("core_id", "context_id", "span_id")), F.when(~sync, F.col("correlation_id"))).orderBy("ord")
     marks = rows.where(both).withColumn("before", F.lag(F.struct(begin.alias("begin"), "name")).over(order))
     # a begin after a begin is a repeat, and an end after an end has none to go with; what follows a repeat is still the first's
-    kept = marks.where(F.when(begin, ~F.coalesce(F.col("before.begin"), F.lit(False))).otherwise(F.coalesce(F.col("before.begin"), F.lit(False))))
-    named = kept.withColumn("begin_name", F.when(begin, F.col("name")).otherwise(F.last(F.when(begin, F.col("name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    shown = marks.where(F.when(begin, ~F.coalesce(F.col("before.begin"), F.lit(False))).otherwise(F.coalesce(F.col("before.begin"), F.lit(False))))
+    named = shown.withColumn("begin_name", F.when(begin, F.col("name")).otherwise(F.last(F.when(begin, F.col("name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))))
     return rows.where(~both).withColumn("begin_name", F.lit(None).cast("string")).unionByName(named.drop("before"))
 
 
@@ -108,15 +111,25 @@ def _interrupt(core: Column, interrupt: Column) -> Column:
     return _owner("interrupt", F.concat(core.cast("string"), F.lit("/"), interrupt), F.concat(interrupt, F.lit(" (Core "), core.cast("string"), F.lit(")")), F.lit(None))
 
 
-def tracks(events: DataFrame) -> DataFrame:
-    """session_id, owner and track of every track used, and the place of its first event.
+def tracks(events: DataFrame, numbers: int = NUMBERS) -> DataFrame:
+    """session_id, owner and track of every track used, and the place of its first event; no two owners share a number.
 
-    Numbers depend on the owner's name; of owners of one session that meet in a number, later ones take the next.
+    A number depends on the owner's name; where it is taken, the owner takes the next free one, in the order of first
+    use, beyond the last of ``numbers`` the first again. All owners try at once, round by round: of those that meet in
+    a number the earliest keeps it and the others go on, which ends as if they had come one after another.
     """
     used = events.groupBy("session_id", "owner").agg(F.min(F.struct("part", "ord")).alias("first"))
-    named = used.withColumn("own", F.coalesce("owner.fixed", stable_track(F.concat("owner.kind", F.lit("\0"), "owner.key"))))
-    met = F.row_number().over(Window.partitionBy("session_id", "own").orderBy("first", "owner.kind", "owner.key")) - 1
-    return named.withColumn("track", F.when(F.col("owner.fixed").isNull(), F.col("own") + met).otherwise(F.col("own"))).drop("own")
+    own = F.coalesce("owner.fixed", F.lit(FIRST_OTHER) + (stable_track(F.concat("owner.kind", F.lit("\0"), "owner.key")) - FIRST_OTHER) % numbers)
+    left = kept(used.withColumn("track", own.cast("int")), "tracks")
+    met = Window.partitionBy("session_id", "track").orderBy(F.col("owner.fixed").isNull(), "first", "owner.kind", "owner.key")
+    for _ in range(numbers):
+        placed = left.withColumn("place", F.row_number().over(met))
+        moved = F.lit(FIRST_OTHER) + (F.col("track") - FIRST_OTHER + 1) % numbers
+        step = kept(placed.withColumn("track", F.when(F.col("place") > 1, moved).otherwise(F.col("track")).cast("int")), "tracks")
+        left = step.drop("place")
+        if step.where("place > 1").isEmpty():
+            return left
+    raise RuntimeError(f"a capture has more than {numbers} tracks")
 
 
 def timeline(events: DataFrame) -> DataFrame:
