@@ -131,23 +131,17 @@ def subject_key(*fields: str) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-_TEXT = r'"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+)*+"'
-_VALUE = rf"(?:{_TEXT}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)"
-_BLANK = r"[ \t\n\r]*+"
-#: A JSON object without nested values.
-FLAT = rf"^{_BLANK}\{{{_BLANK}(?:{_TEXT}{_BLANK}:{_BLANK}{_VALUE}{_BLANK}(?:,{_BLANK}{_TEXT}{_BLANK}:{_BLANK}{_VALUE}{_BLANK})*+)?\}}{_BLANK}$"
-#: Longer texts are left to the parser.
-FLAT_BYTES = 4096
+_AFTER = "~nothing may follow~"
 
 
-def strict_object(text: Column) -> Column:
-    """Whether a text is JSON without a repeated member at any depth; false for null.
+def strict_value(text: Column) -> Column:
+    """Whether a text is JSON without a repeated member at any depth, judged in the JVM; false for null.
 
-    Objects without nested values are judged in the JVM; only other texts go to a parser in Python.
+    A variant cannot repeat a member. The text is parsed as the first of two elements of an array, so that nothing may
+    follow it; one that holds the word of the second element counts as no JSON.
     """
-    flat = F.coalesce((F.octet_length(text) <= FLAT_BYTES) & text.rlike(FLAT), F.lit(False))
-    keys = F.json_object_keys(F.when(flat, text))
-    return F.when(flat, F.size(keys) == F.size(F.array_distinct(keys))).otherwise(strict_json(F.when(~flat, text)))
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_AFTER}"]')))
+    return F.coalesce((F.try_variant_get(inside, "$[1]", "string") == _AFTER) & ~text.contains(_AFTER), F.lit(False))
 
 
 @F.pandas_udf(BooleanType())

@@ -504,8 +504,7 @@ def timeline_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of each capture's timeline; each has a number of its own."""
     rows = A.busy_trace(spark, sf_dir).withColumn("source_seq", F.lit(None).cast("bigint"))
     found = timeline.tracks(timeline.span_events(replay.spans(replay.replay(rows))).unionByName(timeline.observation_events(rows)))
-    alone = found.withColumn("many", F.expr("count(*) OVER (PARTITION BY session_id, track)")).where("many = 1")
-    return alone.select("session_id", F.col("owner.kind").alias("owner"), F.col("owner.label").alias("label"))
+    return found.select("session_id", F.col("owner.kind").alias("owner"), F.col("owner.label").alias("label"))
 
 
 # labels

@@ -6,7 +6,7 @@ repeats a member at any depth is bad, as is a member that its type does not have
 A file is read in as many splits as it is large, and no line is shuffled. ``_summaries`` reads each split once, in order,
 and tells a few numbers of each block of a file: its lines, its first bad one, and of each source the first and last
 number and time and the first line that goes back. Windows over these rows number the blocks' lines and find where each file
-ends; the lines are then read again and meet their block's and their file's row.
+ends; the lines are then read again and meet their block's row, which is broadcast if Spark finds the table small.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalar import reader_fault_code, strict_object
+from spanloom.functions.scalar import reader_fault_code, strict_value
 from spanloom.functions.tables import kept
 from spanloom.sources.files import MEMBERS, OBSERVATION
 
@@ -46,7 +46,7 @@ def _lines(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
     def extra(known: Column) -> Column:
         return F.size(F.array_except("keys", known)) > 0
 
-    text = F.when(F.octet_length("value") > most_bytes, "line_too_long").when(~strict_object(F.col("value")), F.when(F.trim("value").endswith("}"), "malformed_json").otherwise("truncated_json"))
+    text = F.when(F.octet_length("value") > most_bytes, "line_too_long").when(~strict_value(F.col("value")), F.when(F.trim("value").endswith("}"), "malformed_json").otherwise("truncated_json"))
     head = F.when(kind.isNotNull() | extra(F.lit(HEADER)) | part("session_id").isNull() | (F.coalesce(part("encoding"), F.lit("")) != "ndjson") | part("schema").isNull(), "bad_header")
     body = (
         F.when(allowed.isNull(), "unknown_type").when(extra(allowed), "unknown_member").when(entry & (part("id").isNull() | part("name").isNull()), "bad_entry")
@@ -134,10 +134,13 @@ def records(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFr
     back = held.select("file", "block", F.when((F.col("first_seq") <= F.col("seq_before")) | (F.col("first_ts") < F.col("ts_before")), F.col("at")).otherwise(F.col("back")).alias("at")).where("at IS NOT NULL")
     disordered = back.join(blocks, ["file", "block"]).groupBy("file").agg(F.min(line("at")).alias("disorder"))
     files = blocks.groupBy("file").agg(F.min("bad").alias("bad_line"), F.min("observed").alias("observed_line"), F.min("late").alias("late_line")).join(disordered, "file", "left")
-    files = kept(files.withColumn("end", F.coalesce(F.least("bad_line", "late_line", "disorder"), F.lit(_LAST))).drop("bad_line", "late_line"), "line-files")
-    heads = rows.where("block = 0").join(blocks.where("before = 0").select("file", "block", F.col("first").alias("at")), ["file", "block", "at"])
-    named = kept(heads.select("file", F.get_json_object("value", "$.session_id").alias("session_id")), "line-heads")
-    placed = rows.join(blocks.select("file", "block", "first", "before"), ["file", "block"]).join(files.join(named, "file", "left"), "file").withColumn("line", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int"))
+    files = files.withColumn("end", F.coalesce(F.least("bad_line", "late_line", "disorder"), F.lit(_LAST))).drop("bad_line", "late_line")
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = text.where("block = 0").join(blocks.where("before = 0").select("file", "block", F.col("first").alias("at")), ["file", "block", "at"])
+    named = heads.select("file", F.get_json_object("value", "$.session_id").alias("session_id"))
+    # all that a line needs to know, in one small row of its block
+    known = kept(blocks.select("file", "block", "first", "before").join(files, "file").join(named, "file", "left"), "line-places")
+    placed = rows.join(known, ["file", "block"]).withColumn("line", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int"))
     head = F.col("line") == 1
     bad = F.when(head, F.col("head_fault")).otherwise(F.coalesce("body_fault", F.when(F.col("entry") & (F.col("line") > F.col("observed_line")), "dictionary_after_observation"), F.when(~F.col("entry") & (F.col("line") == F.col("disorder")), "out_of_order")))
     return placed.where("line <= end").select("session_id", "file", "line", F.when(head, "header").when(F.col("entry"), "dictionary").otherwise("observation").alias("role"), "type", "value", "o", bad.alias("bad"))
