@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from spanloom.llm.common import written
+from spanloom.llm.common import fresh, written
 from spanloom.llm.grams import text_slices
 
 #: Labelled texts a language, and the most languages, which bound what the driver collects: CELLS rows each.
@@ -98,14 +98,22 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", declared: str = "declared", host: str = "host", suffix: str = "suffix") -> DataFrame:
-    """Add language (null: none), language_posterior and language_kept to the rows."""
+    """Add language (null: none), language_posterior and language_kept to the rows, in place of columns of these names.
+
+    All other columns but the text stay, whatever their names.
+    """
     languages, logs = model
     n = len(languages)
     added = ["language", "language_posterior", "language_kept"]
     inner = ["language_letters", "language_loglik", "language_text", "language_host", "language_suffix", "language_said", "language_sum", "language_top"]
-    rows = rows.drop(*added, *inner)
+    rows = rows.drop(*[c for c in rows.columns if c.lower() in added])
+    # columns with names that are used inside go by others meanwhile
+    others = {c: name for c, name in zip(rows.columns, fresh(rows.select(), *[f"{c}_" if c.lower() in inner else c for c in rows.columns]), strict=True)}
+    given, kept = rows.columns, [c for c in rows.columns if c != text]
+    rows = rows.toDF(*[others[c] for c in given])
+    text, declared, host, suffix = (others[c] for c in (text, declared, host, suffix))
     if not n:
-        return rows.drop(text).withColumns({"language": F.lit(None).cast("string"), "language_posterior": F.lit(0.0), "language_kept": F.lit(False)})
+        return rows.drop(text).toDF(*kept).withColumns({"language": F.lit(None).cast("string"), "language_posterior": F.lit(0.0), "language_kept": F.lit(False)})
     scored = written(_text_evidence(rows, logs, text), "text-evidence")
     mass = [F.sum(F.col("language_text")[i]).alias(f"c{i}") for i in range(n)]
 
@@ -138,7 +146,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     out = fused.withColumn("language_posterior", F.when(F.col("language_letters") > 0, best).otherwise(0.0))
     name = F.get(F.lit(languages), (F.array_position("language_sum", F.col("language_top")) - 1).cast("int"))
     out = out.withColumn("language", F.when(F.col("language_letters") > 0, name)).withColumn("language_kept", F.col("language_posterior") >= LEAST_POSTERIOR)
-    return out.select(*rows.drop(text).columns, *added)
+    return out.select(*[F.col(others[c]).alias(c) for c in kept], *added)
 
 
 def _text_evidence(rows: DataFrame, logs: np.ndarray, text: str) -> DataFrame:

@@ -72,8 +72,7 @@ def manifest(docs: DataFrame, levels: int = LEVELS, leaves_a_part: int = LEAVES_
     leaves, trees = _ranked(rows, ["doc_id", "leaf", "spread"], leaves_a_part)
     rounds = subtrees(leaves.select("tree", "idx", "total", F.col("leaf").alias("node"), "doc_id", "other"), levels)
     # a language's root takes its place among the languages
-    tops = roots(rounds).crossJoin(F.broadcast(trees.agg(F.count("*").alias("total"))))  # one row
-    top = subtrees(tops.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), "total", F.col("root").alias("node")), levels)
+    top = subtrees(roots(rounds).select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), F.lit(trees.count()).cast("bigint").alias("total"), F.col("root").alias("node")), levels)
     return Manifest(trees, rounds, top)
 
 

@@ -2,8 +2,8 @@
 
 File format (little-endian), one file for a run of documents in ascending doc_id order:
 
-    magic "SLTK", u32 version, u64 documents, u64 ids, u64 data bytes
-    i64 doc_id of each document (the largest value: null), u32 ids of each document
+    magic "SLTK", u32 version, u64 documents, u64 how many of the last have no doc_id, u64 ids, u64 data bytes
+    i64 doc_id of each document (0 where it has none), u32 ids of each document
     control bytes: two bits an id, four ids a byte, lowest bits first: 1 to 3 data bytes
     data bytes: the frequency rank of each id, little-endian, in as many bytes as its control says
 
@@ -38,18 +38,19 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import new_path, parts_for, text_bytes
 from spanloom.llm.tokens import encoded, vocabulary_path
 
-MAGIC, VERSION = b"SLTK", 1
-HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("documents", "<u8"), ("ids", "<u8"), ("data", "<u8")])
+MAGIC, VERSION = b"SLTK", 2
+HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("documents", "<u8"), ("absent", "<u8"), ("ids", "<u8"), ("data", "<u8")])
 #: Ids in a file (one longer document fills its own), and bytes of text in a range of documents.
 FILE_IDS, RANGE_BYTES = 2_000_000, 16 << 20
 _INDEX = "file string, range int, first long, documents bigint, ids bigint"
-_LAST = np.iinfo(np.int64).max
+#: Ranges whose files one task numbers.
+RANGES_A_TASK = 4096
 #: Data bytes of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 
 
-def encode_file(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
-    """One file of documents given as ranks, one after another."""
+def encode_file(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, absent: int = 0) -> bytes:
+    """One file of documents given as ranks, one after another; the last ``absent`` have no doc_id."""
     n = len(ranks)
     lengths = (ranks >= 1 << 8).astype(np.uint8)
     if wide := bool(n and int(ranks.max()) >= 1 << 16):
@@ -67,12 +68,12 @@ def encode_file(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> by
     padded = np.zeros(-(-n // 4) * 4, np.uint8)
     padded[:n] = lengths
     control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
-    header = np.array([(MAGIC, VERSION, len(doc_ids), n, len(data))], HEADER)
+    header = np.array([(MAGIC, VERSION, len(doc_ids), absent, n, len(data))], HEADER)
     return b"".join([header.tobytes(), doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
-def decode_file(content: bytes, by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, sizes and ids of one file."""
+def decode_file(content: bytes, by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, sizes and ids of one file, and how many of its last documents have no doc_id."""
     head = np.frombuffer(content, HEADER, 1)[0]
     if head["magic"] != MAGIC or head["version"] != VERSION:
         raise ValueError("not a token file of this version")
@@ -90,7 +91,7 @@ def decode_file(content: bytes, by_rank: np.ndarray) -> tuple[np.ndarray, np.nda
         longer = np.flatnonzero(lengths > k)
         if len(longer):
             ranks[longer] |= data[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return doc_ids, sizes, by_rank[ranks]
+    return doc_ids, sizes, by_rank[ranks], int(head["absent"])
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
@@ -106,15 +107,20 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 0, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     sent = spark.sparkContext.broadcast(rank_of)
-    index = ids.select("range", "seq", "key", "width", "ids").mapInArrow(lambda batches: _encode(batches, path, sent.value), _INDEX)
+    index = ids.select("range", "seq", "missing", "key", "width", "ids").mapInArrow(lambda batches: _encode(batches, path, sent.value), _INDEX)
     index.write.parquet(f"{path}/index")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Files in order, with the ids of all files before each."""
-    index = spark.read.schema(_INDEX).parquet(f"{qualified(spark, path)}/index")
-    return index.selectExpr("*", "coalesce(sum(ids) OVER (ORDER BY range, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    """Files in order, with the ids of all files before each.
+
+    Sums have two levels, within runs of ranges and over the runs, so that no task has all files.
+    """
+    index = spark.read.schema(_INDEX).parquet(f"{qualified(spark, path)}/index").withColumn("run", F.expr(f"range div {RANGES_A_TASK}"))
+    runs = index.groupBy("run").agg(F.sum("ids").alias("own")).selectExpr("run", "sum(own) OVER (ORDER BY run) - own AS earlier")
+    inside = index.withColumn("inside", F.expr("sum(ids) OVER (PARTITION BY run ORDER BY range, first) - ids"))
+    return inside.join(runs, "run").withColumn("before", F.col("earlier") + F.col("inside")).drop("run", "earlier", "inside")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -127,13 +133,14 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, before in zip(batch["content"], batch["before"].to_pylist(), strict=True):
-                doc_ids, sizes, ids = decode_file(content.as_buffer().to_pybytes(), by_rank.value)
+                doc_ids, sizes, ids, absent = decode_file(content.as_buffer().to_pybytes(), by_rank.value)
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes.astype(np.int64))
                 starts = ends - sizes
+                missing = np.arange(len(sizes)) >= len(sizes) - absent
                 for a in range(0, len(sizes), 2000):
                     b = min(a + 2000, len(sizes))
                     parts = [raw[4 * s : 4 * e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                    columns = [pa.array(doc_ids[a:b], mask=doc_ids[a:b] == _LAST), pa.array(starts[a:b] + before), pa.array(sizes[a:b].astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                    columns = [pa.array(doc_ids[a:b], mask=missing[a:b]), pa.array(starts[a:b] + before), pa.array(sizes[a:b].astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                     if with_ids:
                         columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
@@ -142,13 +149,13 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def _ids_table(docs: DataFrame, end_id: int, tokenizer: str, path: str) -> DataFrame:
-    """(range, seq, key, width, ids, counts): ids of each text, sorted within ranges; ids of two bytes where a slice's fit.
+    """(range, seq, missing, key, width, ids, counts): ids of each text, sorted within ranges; ids of two bytes where a slice's fit.
 
     ``counts`` is there once a slice: its ids and how often each occurs.
     """
     ranges = parts_for(text_bytes(docs), RANGE_BYTES)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(int(_LAST))).alias("key"), "text", F.xxhash64("text").alias("tie"))
-    dealt = keyed.repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text", F.spark_partition_id().alias("range"))
+    keyed = docs.select(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("key"), "text", F.xxhash64("text").alias("tie"))
+    dealt = keyed.repartitionByRange(ranges, "missing", "key", "tie").sortWithinPartitions("missing", "key", "tie", "text").select("missing", "key", "text", F.spark_partition_id().alias("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
@@ -162,11 +169,11 @@ def _ids_table(docs: DataFrame, end_id: int, tokenizer: str, path: str) -> DataF
                 all_counts = np.bincount(ids)
                 some = np.flatnonzero(all_counts)
                 counts = np.stack([some, all_counts[some]]).astype("<i8").tobytes()
-                columns = [batch["range"].slice(i, n), pa.array(np.arange(seq, seq + n)), batch["key"].slice(i, n), pa.array(np.full(n, width, np.int32)), packed, pa.array([counts] + [None] * (n - 1), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["range", "seq", "key", "width", "ids", "counts"])
+                columns = [batch["range"].slice(i, n), pa.array(np.arange(seq, seq + n)), batch["missing"].slice(i, n), batch["key"].slice(i, n), pa.array(np.full(n, width, np.int32)), packed, pa.array([counts] + [None] * (n - 1), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "seq", "missing", "key", "width", "ids", "counts"])
                 seq += n
 
-    schema = "range int, seq bigint, key bigint, width int, ids binary, counts binary"
+    schema = "range int, seq bigint, missing boolean, key bigint, width int, ids binary, counts binary"
     dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
@@ -189,13 +196,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, rank_of: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Files from rows that follow one another in one range; a file takes whole documents."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     part, first, after, size = -1, 0, 0, 0
 
     def flush() -> pa.RecordBatch:
         name = f"{part:06d}-{first:012d}.tok"
-        keys, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        _put(f"{path}/files/{name}", encode_file(keys, sizes, rank_of[ids]))
+        missing, keys, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        _put(f"{path}/files/{name}", encode_file(keys, sizes, rank_of[ids], int(missing.sum())))
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64())], ["file", "range", "first", "documents", "ids"])
 
     for batch in batches:
@@ -215,7 +222,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, rank_of: np.ndarray) -
                 held, size = [], 0
             if not held:
                 part, first = int(parts[a]), int(seqs[a])
-            held.append((batch["key"].slice(a, b - a).to_numpy(), sizes[a:b], ids))
+            held.append((batch["missing"].slice(a, b - a).to_numpy(zero_copy_only=False), batch["key"].slice(a, b - a).to_numpy(), sizes[a:b], ids))
             after, size = int(seqs[b - 1]) + 1, size + len(ids)
     if held:
         yield flush()

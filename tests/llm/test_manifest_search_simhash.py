@@ -15,10 +15,13 @@ pytest.importorskip("spanloom.llm.queries")
 
 from pyspark.sql.functions import lit  # noqa: E402
 
+from spanloom.llm.common import new_path  # noqa: E402
+from spanloom.llm.language import document_records, fit, identify  # noqa: E402
 from spanloom.llm.lexical_search import search  # noqa: E402
 from spanloom.llm.merkle import addresses, manifest, proofs  # noqa: E402
 from spanloom.llm.simhash_dedup import near, simhash, simhash_dedup  # noqa: E402
-from tests.llm.test_operators import corpus, frame  # noqa: E402
+from spanloom.llm.token_files import read_tokens, write_tokens  # noqa: E402
+from tests.llm.test_operators import SCHEMA, corpus, frame, library  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -189,3 +192,29 @@ def test_search_of_nothing(spark):
     assert search(docs.limit(0), items).collect() == [] and search(docs, items.limit(0)).collect() == [] and search(docs.where("doc_id = 2"), items).collect() == []
     [only] = search(docs, items).collect()
     assert tuple(only) == (1, 1, 1, math.floor(1000 * math.log(4 / 3)) * (10**9 // (1000 + 800)))
+
+
+def test_token_files_keep_the_largest_id_apart_from_null(spark):
+    rows = [(2**63 - 1, "a b"), (None, "c"), (-5, "d e f"), (None, None), (0, "g"), (2**63 - 1, "h")]
+    path = new_path(spark, "tokens")
+    write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("missing", lit(1)).withColumn("Key", lit("x")), path)
+    got = read_tokens(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [-5, 0, 2**63 - 1, 2**63 - 1, None, None]
+    assert sorted(r["ids"] for r in got) == sorted(library(2)(t) for _, t in rows)
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+
+
+def test_language_keeps_columns_of_any_name(spark):
+    words = {"en": "the house and the garden with water", "de": "das haus und der garten mit wasser"}
+    docs = spark.createDataFrame([(i, words[["en", "de"][i % 2]], ["en", "de"][i % 2], "h.org", 0) for i in range(12)], SCHEMA)
+    names = ["language_top", "Language_Letters", "language_sum", "language_top_", "_loglik", "language_host"]
+    rows = document_records(docs)
+    for k, c in enumerate(names):
+        rows = rows.withColumn(c, lit(f"v{k}"))
+    rows = rows.withColumn("language", lit("old"))
+    plain = {r["doc_id"]: (r["language"], r["language_kept"]) for r in identify(document_records(docs), fit(docs)).collect()}
+    out = identify(rows, fit(docs))
+    assert out.columns == ["doc_id", "declared", "host", "suffix", *names, "language", "language_posterior", "language_kept"]
+    got = out.collect()
+    assert all([r[c] for c in names] == [f"v{k}" for k in range(len(names))] for r in got) and {r["doc_id"]: (r["language"], r["language_kept"]) for r in got} == plain
+    assert identify(rows, fit(docs.limit(0))).columns == out.columns

@@ -395,7 +395,7 @@ def test_language_columns_that_clash(spark):
     df = spark.createDataFrame([(1, "the thing", "h", "old", 5)], "doc_id bigint, text string, host string, language string, language_top int").withColumns({"declared": lit(None).cast("string"), "suffix": lit(None).cast("string")})
     for m in (model, ([], None)):
         out = identify(df, m)
-        assert sorted(out.columns) == sorted(["doc_id", "host", "declared", "suffix", "language", "language_posterior", "language_kept"]) and out.count() == 1
+        assert sorted(out.columns) == sorted(["doc_id", "host", "declared", "suffix", "language_top", "language", "language_posterior", "language_kept"]) and out.count() == 1
 
 
 def test_long_chunks_hold_few_places(monkeypatch):
@@ -555,7 +555,7 @@ def test_file_round_trip():
     for n in (0, 1, 3, 4, 5, 999):
         ranks = r.integers(0, 70_000, n).astype(np.uint32)
         sizes = np.array([n - n // 2, n // 2])
-        docs, lengths, ids = decode_file(encode_file(np.array([5, 6]), sizes, ranks), by_rank)
+        docs, lengths, ids, _ = decode_file(encode_file(np.array([5, 6]), sizes, ranks), by_rank)
         assert docs.tolist() == [5, 6] and lengths.tolist() == sizes.tolist() and np.array_equal(ids, by_rank[ranks])
 
 
