@@ -67,12 +67,38 @@ def heatmap_accounting(cells: DataFrame, buckets: DataFrame) -> DataFrame:
     return total.join(own, "session_id", "left").fillna(0, ["attributed", "unattributed"]).withColumn("balanced", F.col("attributed") + F.col("unattributed") == F.col("denominator"))
 
 
+#: The proofs that each firmware status may have; a status without any may have none.
+FIRMWARE_PROOFS = {"verified": ["digest_bound_deployment", "target_image_comparison"], "deployment_asserted": ["precommitted_elf_assertion"], "mismatch": ["target_image_comparison"], "unverified": []}
+
+
 def histogram_violations(buckets: DataFrame, declared: DataFrame) -> DataFrame:
-    """Unsorted or overlapping buckets, and sessions whose hits are not the declared number."""
-    order = Window.partitionBy("session_id").orderBy("start")
-    overlap = buckets.withColumn("before", F.lag("end").over(order)).where("before > start OR end <= start").select("session_id", F.lit("overlapping_buckets").alias("violation")).distinct()
-    sums = buckets.groupBy("session_id").agg(F.sum("hits").alias("hits")).join(declared, "session_id").where("hits <> in_scope_hits").select("session_id", F.lit("hits_mismatch").alias("violation"))
-    return overlap.unionByName(sums)
+    """session_id and violation: everything by which a histogram breaks its contract.
+
+    ``buckets(session_id, start, end, hits)`` must be half open and disjoint, and their hits must sum to what
+    ``declared`` says. Of ``declared`` (session_id, in_scope_hits, and where known method, intrusive, retained_percent,
+    requested_ns, observed_ns, cleanup_complete, firmware_status, elf_sha256, firmware_proof): only stopping is intrusive,
+    durations are above zero, percentages in 0 to 100, cleanup has ended, and a firmware status has its digest and proof.
+    """
+    order = Window.partitionBy("session_id").orderBy("start", "end")
+    judged = buckets.withColumn("overlap", F.coalesce(F.lag("end").over(order) > F.col("start"), F.lit(False)))
+    seen = judged.groupBy(F.col("session_id").alias("of")).agg(F.sum("hits").alias("hits"), F.max("overlap").alias("overlap"), F.max(F.col("end") <= F.col("start")).alias("empty"))
+    rows = declared.join(seen, F.col("session_id").eqNullSafe(F.col("of")), "left")
+    have = set(declared.columns)
+    rules = {"no_buckets": F.col("of").isNull() & F.col("hits").isNull(), "overlapping_buckets": F.col("overlap"), "empty_bucket": F.col("empty"), "hits_mismatch": F.col("hits") != F.col("in_scope_hits")}
+    if {"method", "intrusive"} <= have:
+        rules["method_not_intrusive"] = (F.col("method") == "stop_and_go") != F.col("intrusive")
+    if "retained_percent" in have:
+        rules["retained_percent"] = F.isnan(F.col("retained_percent").cast("double")) | ~F.col("retained_percent").between(0, 100)
+    for c in sorted({"requested_ns", "observed_ns"} & have):
+        rules[f"empty_{c.removesuffix('_ns')}_time"] = F.col(c) <= 0
+    if "cleanup_complete" in have:
+        rules["cleanup_incomplete"] = ~F.col("cleanup_complete")
+    if {"firmware_status", "elf_sha256", "firmware_proof"} <= have:
+        proofs = F.try_element_at(F.create_map(*[x for k, v in FIRMWARE_PROOFS.items() for x in (F.lit(k), F.lit(v).cast("array<string>"))]), F.col("firmware_status"))
+        proven = F.when(F.size(proofs) == 0, F.col("firmware_proof").isNull()).otherwise(F.col("elf_sha256").isNotNull() & F.array_contains(proofs, F.coalesce("firmware_proof", F.lit(""))))
+        rules["firmware_proof"] = ~F.coalesce(proven, F.lit(False))
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return rows.select("session_id", F.explode(broken).alias("violation"))
 
 
 def admitted(histograms: DataFrame, least_hits: int = 100, least_ns: int = 100_000_000, least_percent: float = 90.0, most_failures: int = 0) -> DataFrame:

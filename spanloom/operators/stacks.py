@@ -61,9 +61,38 @@ def _placed(rows: pd.DataFrame, width: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["session_id", "termination", "kind", "path", "depth", "samples", "x", "w"])
 
 
-def sample_violations(samples: DataFrame) -> DataFrame:
-    """Broken indices, missing frames or walks longer than allowed, with the first reason."""
+def sample_violations(samples: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """session_id, sample_index (null: the capture) and violation: everything by which stack samples break their contract.
+
+    ``samples``: session_id, sample_index, frames, and where known depths (of the frames, leaf first), termination and
+    halt_ns. Indices count from one, each walk has frames, depths count from zero, and each halt took time.
+    ``captures``: session_id, max_frames, and where known collected_samples, attempted_samples, max_samples and
+    total_halt_ns. No walk is longer than allowed, one that ended for its length has that length, and counts and sums agree.
+    """
+    have = set(samples.columns)
     before = F.lag("sample_index").over(Window.partitionBy("session_id").orderBy("sample_index"))
     rows = samples.withColumn("before", before)
-    reason = F.when(F.col("sample_index") != F.coalesce(F.col("before") + 1, F.lit(1)), "sample_index_not_contiguous").when(F.size("frames") == 0, "empty_stack").when(F.exists("frames", lambda f: f.isNull()), "missing_frame")
-    return rows.select("session_id", "sample_index", reason.alias("violation")).where("violation IS NOT NULL")
+    size = F.size("frames")
+    rules = {"sample_index_not_contiguous": F.col("sample_index") != F.coalesce(F.col("before") + 1, F.lit(1)), "empty_stack": size == 0, "missing_frame": F.exists("frames", lambda f: f.isNull())}
+    if "depths" in have:
+        rules["depth_not_contiguous"] = ~(F.coalesce(F.col("depths"), F.array().cast("array<int>")) == F.transform(F.col("frames"), lambda _, i: i.cast("int")))
+    if "halt_ns" in have:
+        rules["empty_halt"] = F.col("halt_ns") <= 0
+    if captures is not None:
+        rows = rows.join(captures.select("session_id", "max_frames"), "session_id", "left")
+        rules["too_many_frames"] = size > F.col("max_frames")
+        if "termination" in have:
+            rules["ended_short_of_max_frames"] = (F.col("termination") == "max_frames") & (size != F.col("max_frames"))
+    pick = lambda rules: F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("violation")
+    out = rows.select("session_id", "sample_index", pick(rules))
+    if captures is None:
+        return out
+    halted = F.sum("halt_ns") if "halt_ns" in have else F.lit(None).cast("bigint")
+    seen = captures.join(samples.groupBy("session_id").agg(F.count("*").alias("n"), halted.alias("halted")), "session_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    told = set(captures.columns)
+    whole = {"no_samples": F.col("n") == 0}
+    if {"collected_samples", "attempted_samples", "max_samples"} <= told:
+        whole["sample_counts"] = (F.col("collected_samples") != F.col("n")) | (F.greatest("collected_samples", "attempted_samples") > F.col("max_samples")) | (F.col("attempted_samples") < F.col("collected_samples"))
+    if "total_halt_ns" in told and "halt_ns" in have:
+        whole["halt_sum"] = F.coalesce("halted", F.lit(0)) != F.col("total_halt_ns")
+    return out.unionByName(seen.select("session_id", F.lit(None).cast(samples.schema["sample_index"].dataType).alias("sample_index"), pick(whole)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.tables import shared_path
-from spanloom.operators import catalog, health, replay, timeline
+from spanloom.operators import catalog, health, replay, samples, stacks, timeline
 from spanloom.plans import adapters as A
 from spanloom.plans.audit import ORACLE_SQL, QUERIES
 from spanloom.plans.registry import query
@@ -137,3 +137,45 @@ def canonical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.col("bad").isNull()
     counts = found.groupBy("session_id").agg(F.count_if(good & (F.col("role") == "observation")).alias("observations"), F.count_if(good & (F.col("role") == "dictionary")).cast("int").alias("entries"))
     return counts.join(canonical.faults(found).select("session_id", "reason", "code", F.col("ord").alias("line")), "session_id", "left")
+
+
+# contracts of samples
+
+
+@query("""
+WITH b AS (SELECT p_size AS s, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) * 64 AS low, p_partkey AS k, p_partkey % 7 AS hits FROM part WHERE p_size % 17 <> 0),
+e AS (SELECT *, low + CASE WHEN k % 97 = 0 THEN 96 WHEN k % 89 = 0 THEN 0 ELSE 64 END AS high FROM b), o AS (SELECT *, lag(high) OVER (PARTITION BY s ORDER BY low) > low AS overlap FROM e),
+seen AS (SELECT s, sum(hits) AS hits, bool_or(coalesce(overlap, false)) AS overlap, bool_or(high <= low) AS empty FROM o GROUP BY s), d AS (SELECT DISTINCT p_size AS s FROM part), j AS (SELECT d.s AS size, seen.* FROM d LEFT JOIN seen ON d.s = seen.s)
+SELECT 'h-' || size AS session_id, violation FROM (SELECT size, unnest([CASE WHEN s IS NULL THEN 'no_buckets' END, CASE WHEN overlap THEN 'overlapping_buckets' END, CASE WHEN empty THEN 'empty_bucket' END, CASE WHEN s IS NOT NULL AND size % 11 = 0 THEN 'hits_mismatch' END, CASE WHEN size % 13 = 0 THEN 'method_not_intrusive' END,
+  CASE WHEN size % 19 = 0 THEN 'retained_percent' END, CASE WHEN size % 23 = 0 THEN 'empty_observed_time' END, CASE WHEN size % 7 = 0 THEN 'cleanup_incomplete' END, CASE WHEN size % 9 NOT IN (0, 1, 2, 3) THEN 'firmware_proof' END]) AS violation FROM j) WHERE violation IS NOT NULL""")
+def histogram_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms made of parts, a size a capture, and what each breaks of the contract."""
+    parts = A.table(spark, sf_dir, "part")
+    buckets = parts.where("p_size % 17 <> 0").selectExpr("concat('h-', p_size) AS session_id", "row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) * 64 AS start", "p_partkey", "p_partkey % 7 AS hits")
+    buckets = buckets.selectExpr("session_id", "start", "start + CASE WHEN p_partkey % 97 = 0 THEN 96 WHEN p_partkey % 89 = 0 THEN 0 ELSE 64 END AS end", "hits")
+    total = parts.groupBy("p_size").agg(F.sum(F.expr("p_partkey % 7")).alias("hits"))
+    status, proof = F.lit(["verified", "deployment_asserted", "mismatch", "unverified", "verified", "deployment_asserted", "mismatch", "unverified", "other"]), F.lit(["digest_bound_deployment", "precommitted_elf_assertion", "target_image_comparison", None, "precommitted_elf_assertion", None, "digest_bound_deployment", "target_image_comparison", None])
+    nth = (F.col("p_size") % 9).cast("int")
+    declared = total.select(
+        F.expr("concat('h-', p_size)").alias("session_id"), F.expr("hits + if(p_size % 11 = 0, 1, 0)").alias("in_scope_hits"), F.expr("if(p_size % 2 = 1, 'stop_and_go', 'snoop')").alias("method"), F.expr("(p_size % 2 = 1) != (p_size % 13 = 0)").alias("intrusive"), F.expr("if(p_size % 19 = 0, 101.0, 95.0)").alias("retained_percent"),
+        F.expr("if(p_size % 23 = 0, 0, 5)").alias("observed_ns"), F.expr("p_size % 7 != 0").alias("cleanup_complete"), F.get(status, nth).alias("firmware_status"), F.lit("ab").alias("elf_sha256"), F.get(proof, nth).alias("firmware_proof"),
+    )
+    return samples.histogram_violations(buckets, declared)
+
+
+@query("""
+WITH r AS (SELECT o_custkey % 40 AS s, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) + CASE WHEN o_custkey % 40 = 3 THEN 1 ELSE 0 END AS i, o_orderkey % 9 AS n, CASE WHEN o_custkey % 40 % 7 = 0 THEN 6 ELSE 8 END AS most FROM orders),
+w AS (SELECT s, i, unnest([CASE WHEN s = 3 AND i = 2 THEN 'sample_index_not_contiguous' END, CASE WHEN n = 0 THEN 'empty_stack' END, CASE WHEN k % 61 = 0 AND n > 0 THEN 'depth_not_contiguous' END, CASE WHEN k % 3 = 0 THEN 'empty_halt' END, CASE WHEN n > most THEN 'too_many_frames' END, CASE WHEN k % 5 = 0 AND n <> most THEN 'ended_short_of_max_frames' END]) AS violation FROM r),
+c AS (SELECT DISTINCT s FROM r)
+SELECT 's-' || s AS session_id, i AS sample_index, violation FROM w WHERE violation IS NOT NULL UNION ALL SELECT 's-' || s, NULL, 'sample_counts' FROM c WHERE s % 11 = 0 UNION ALL SELECT 's-' || s, NULL, 'halt_sum' FROM c WHERE s % 13 = 0""")
+def stack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stack samples made of orders, and what each breaks of the contract."""
+    rows = A.table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 AS s", "o_orderkey AS k", "row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) + if(o_custkey % 40 = 3, 1, 0) AS sample_index", "CAST(o_orderkey % 9 AS INT) AS n")
+    shown = rows.selectExpr(
+        "concat('s-', s) AS session_id", "CAST(sample_index AS BIGINT) AS sample_index", "if(n = 0, CAST(array() AS array<string>), transform(sequence(1, n), x -> concat('f', x))) AS frames", "if(n = 0, CAST(array() AS array<int>), transform(sequence(0, n - 1), x -> CAST(if(k % 61 = 0, x + 1, x) AS INT))) AS depths",
+        "if(k % 5 = 0, 'max_frames', 'terminal') AS termination", "k % 3 AS halt_ns",
+    )
+    captures = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.expr("k % 3")).alias("halted")).selectExpr(
+        "concat('s-', s) AS session_id", "if(s % 7 = 0, 6, 8) AS max_frames", "n + if(s % 11 = 0, 1, 0) AS collected_samples", "n + 2 AS attempted_samples", "n + 5 AS max_samples", "halted + if(s % 13 = 0, 1, 0) AS total_halt_ns"
+    )
+    return stacks.sample_violations(shown, captures)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalar import reader_fault_code, strict_value
+from spanloom.functions.scalar import metadata_code, reader_fault_code, severe_gap, strict_value
 from spanloom.functions.tables import kept
 from spanloom.sources.files import MEMBERS, OBSERVATION
 
@@ -147,8 +147,10 @@ def records(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFr
 
 
 def observations(found: DataFrame) -> DataFrame:
-    """Observations of ``records``: session_id, ord and the columns of an observation."""
-    return found.where("role = 'observation' AND bad IS NULL").select("session_id", F.col("line").cast("bigint").alias("ord"), "o.*")
+    """Observations of ``records``: session_id, ord, the columns of an observation, and ``told``, the fault that a row names."""
+    said = F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.value", "variant"))
+    fault = F.when(F.col("o.type") == "TraceGap", severe_gap(F.col("o.reason"))).when(F.col("o.type") == "Metadata", metadata_code(F.col("o.key"), said))
+    return found.where("role = 'observation' AND bad IS NULL").select("session_id", F.col("line").cast("bigint").alias("ord"), "o.*", fault.alias("told"))
 
 
 def dictionary(found: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def write(rows: DataFrame, entries: DataFrame, path: str, schema: str) -> None:
     by_source = Window.partitionBy("session_id", "source_id").orderBy("ord")
     stuck = (F.col("source_seq") <= F.lag("source_seq").over(by_source)) | (F.col("ts_ns") < F.lag("ts_ns").over(by_source))
     checked = rows.withColumn("stuck", F.coalesce(stuck, F.lit(False)))
-    members = [c for c in rows.columns if c not in ("session_id", "ord", "bad")]
+    members = [c for c in rows.columns if c not in ("session_id", "ord", "bad", "told")]
     record = F.when(F.col("stuck"), F.raise_error(F.concat(F.lit("out of order in "), "session_id"))).otherwise(F.to_json(F.struct(*members)))
     body = checked.select("session_id", F.lit(2).alias("part"), "ord", record.alias("value"))
     heads = rows.select("session_id").distinct().select("session_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.to_json(F.struct(F.lit(schema).alias("schema"), "session_id", F.lit("ndjson").alias("encoding"), F.lit("ns").alias("time_unit"))).alias("value"))

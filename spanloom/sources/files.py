@@ -1,4 +1,4 @@
-"""Scans and sinks: canonical NDJSON, mapped CSV, sampling text, linker maps and stack-usage files."""
+"""Scans: mapped CSV, sampling text, linker maps and stack-usage files; the members of canonical records."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ OBSERVATION = (
     "source_id string, source_seq bigint, quality string, type string, ts_ns bigint, core_id bigint, context_id string, function_id string, frame_id string, prev_context_id string, next_context_id string, "
     "reason string, interrupt_id string, priority int, activation_id string, address decimal(20,0), weight_ns bigint, name string, args string, span_id string, correlation_id string, counter_id string, value double, duration_ns bigint, key string"
 )
-_COMMON = ["type", "source_id", "source_seq", "quality", "ts_ns"]
 #: Members that each event type may have besides the common ones.
 MEMBERS = {
     "FunctionEnter": ["core_id", "context_id", "function_id", "frame_id"],
@@ -30,39 +29,6 @@ MEMBERS = {
     "TraceGap": ["duration_ns", "reason"],
     "Metadata": ["key", "value"],
 }
-_SESSION = r"session_id=([^/]+)"
-
-
-def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of ``path/session_id=.../*``: one JSON record a line, after header and dictionary.
-
-    Lines carry ``line`` (their number, written by the sink), so order survives any split of the files.
-    The first bad line of a session ends it; ``bad`` says so on that row.
-    """
-    lines = spark.read.schema("line bigint, record string").json(path).withColumn("session_id", F.regexp_extract(F.col("_metadata.file_path"), _SESSION, 1))
-    parsed = lines.withColumn("o", F.from_json("record", OBSERVATION)).withColumn("type_of", F.get_json_object("record", "$.type"))
-    known = F.lit(list(MEMBERS))
-    allowed = F.try_element_at(F.create_map(*[x for t, m in MEMBERS.items() for x in (F.lit(t), F.lit([*_COMMON, *m]))]), F.col("type_of"))
-    extra = F.size(F.array_except(F.json_object_keys("record"), allowed)) > 0
-    observed = parsed.where(F.col("type_of").isNotNull() & ~F.col("type_of").startswith("Define"))
-    bad = observed.withColumn("bad", F.when(~F.array_contains(known, F.col("type_of")), "unknown_type").when(F.col("o").isNull() | F.col("o.source_id").isNull() | (F.col("o.ts_ns").isNull() & (F.col("type_of") != "Metadata")), "malformed_record").when(extra, "unknown_member"))
-    first = F.min(F.when(F.col("bad").isNotNull(), F.col("line"))).over(Window.partitionBy("session_id"))
-    return bad.withColumn("first_bad", first).where("first_bad IS NULL OR line <= first_bad").select("session_id", F.col("line").alias("ord"), "o.*", "bad")
-
-
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Definitions: session_id, kind, id, name and the rest as JSON."""
-    lines = spark.read.schema("line bigint, record string").json(path).withColumn("session_id", F.regexp_extract(F.col("_metadata.file_path"), _SESSION, 1))
-    rows = lines.where(F.get_json_object("record", "$.type").startswith("Define"))
-    return rows.select("session_id", F.substring(F.get_json_object("record", "$.type"), 7, 100).alias("kind"), F.get_json_object("record", "$.id").alias("id"), F.get_json_object("record", "$.name").alias("name"), F.col("record").alias("definition"))
-
-
-def write_observations(rows: DataFrame, path: str) -> None:
-    """One sorted folder a session; a session is written by one task."""
-    members = [c for c in rows.columns if c not in ("session_id", "ord", "bad")]
-    record = F.to_json(F.struct(*members))
-    rows.repartition("session_id").sortWithinPartitions("session_id", "ord").select("session_id", F.to_json(F.struct(F.col("ord").alias("line"), record.alias("record"))).alias("value")).write.partitionBy("session_id").text(path)
-
 
 def resolve_columns(header: list[str], mapping: dict[str, str], ignored: list[str]) -> None:
     """Every column is mapped or ignored, none twice, and time, sequence and type are there."""

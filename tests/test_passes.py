@@ -160,3 +160,25 @@ def test_one_file_in_many_splits(spark, tmp_path, odd, reason, line):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [r["line"] for r in got] == [*range(1, (line or 1002) + 1)] and {r["session_id"] for r in got} == {"s"}
     assert [(r["bad"], r["line"]) for r in got if r["bad"]] == ([(reason, line)] if reason else [])
+
+
+def test_canonical_metadata_reach_the_verdict(spark, tmp_path):
+    row = '{"type":"Metadata","source_id":"a","source_seq":%d,"quality":"exact","ts_ns":%d,"key":"%s","value":%s}'
+    said = [("health.flow-error", '"yes"'), ("overflow", '"7"'), ("overflow", "7"), ("elf_match", "false"), ("truncated", '{"a":1}'), ("note", "true")]
+    (tmp_path / "o.ndjson").write_text("\n".join(['{"schema":"observations/1","session_id":"s","encoding":"ndjson"}', *(row % (k, k, *x) for k, x in enumerate(said))]))
+    found = canonical.observations(canonical.records(spark, str(tmp_path / "o.ndjson")))
+    assert found.count() == 6
+    assert sorted(r["code"] for r in replay.facts(replay.replay(found)).collect()) == ["elf_mismatch", "flow_error", "trace_overflow"]
+
+
+def test_sample_contracts(spark):
+    from spanloom.operators import samples, stacks
+
+    buckets = spark.createDataFrame([("a", 0, 4, 2), ("a", 4, 8, 1), ("b", 0, 4, 1), ("b", 2, 2, 1)], "session_id string, start bigint, end bigint, hits bigint")
+    declared = spark.createDataFrame([("a", 3, "snoop", False, "unverified", None, None), ("b", 3, "stop_and_go", False, "verified", None, "target_image_comparison"), ("c", 0, "snoop", False, "mismatch", "ab", "digest_bound_deployment")], "session_id string, in_scope_hits bigint, method string, intrusive boolean, firmware_status string, elf_sha256 string, firmware_proof string")
+    got = {(r["session_id"], r["violation"]) for r in samples.histogram_violations(buckets, declared).collect()}
+    assert got == {("b", "overlapping_buckets"), ("b", "empty_bucket"), ("b", "hits_mismatch"), ("b", "method_not_intrusive"), ("b", "firmware_proof"), ("c", "no_buckets"), ("c", "firmware_proof")}
+    walks = spark.createDataFrame([("a", 1, ["f", "g"], [0, 1], "terminal", 5), ("a", 2, ["f"], [1], "max_frames", 0), ("a", 4, [], [], "terminal", 1)], "session_id string, sample_index bigint, frames array<string>, depths array<int>, termination string, halt_ns bigint")
+    captures = spark.createDataFrame([("a", 2, 3, 3, 3, 7), ("z", 2, 0, 0, 3, 0)], "session_id string, max_frames int, collected_samples int, attempted_samples int, max_samples int, total_halt_ns bigint")
+    got = {(r["session_id"], r["sample_index"], r["violation"]) for r in stacks.sample_violations(walks, captures).collect()}
+    assert got == {("a", 2, "depth_not_contiguous"), ("a", 2, "empty_halt"), ("a", 2, "ended_short_of_max_frames"), ("a", 4, "sample_index_not_contiguous"), ("a", 4, "empty_stack"), ("a", None, "halt_sum"), ("z", None, "no_samples")}

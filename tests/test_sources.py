@@ -5,14 +5,6 @@ import pytest
 from spanloom.sources import files
 
 
-def test_observations_round_trip_and_first_bad_line(spark, tmp_path):
-    rows = spark.createDataFrame([("s1", 1, "a", 1, "exact", "FunctionEnter", 5, 0, "t", "f"), ("s1", 2, "a", 2, "exact", "FunctionExit", 9, 0, "t", "f"), ("s2", 1, "a", 1, "exact", "Nonsense", 5, 0, "t", "f"), ("s2", 2, "a", 2, "exact", "FunctionExit", 9, 0, "t", "f")], "session_id string, ord bigint, source_id string, source_seq bigint, quality string, type string, ts_ns bigint, core_id bigint, context_id string, function_id string")
-    path = str(tmp_path / "obs")
-    files.write_observations(rows, path)
-    got = sorted((r["session_id"], r["ord"], r["function_id"], r["bad"]) for r in files.read_observations(spark, path).collect())
-    assert got == [("s1", 1, "f", None), ("s1", 2, "f", None), ("s2", 1, "f", "unknown_type")]
-
-
 def test_mapped_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text("t,n,e,a,zz\n5,1,sample,0x10,q\n")
     mapping = {"timestamp_ticks": "t", "source_sequence": "n", "event_type": "e", "address": "a"}
