@@ -34,26 +34,29 @@ _ALLOWED = ENTRIES | {t: [*_COMMON, *m] for t, m in MEMBERS.items()}
 _LAST = 2**31 - 1
 
 
-def _lines(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
-    """Every line with its block and a number that rises within it, and what is wrong with it by itself."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its block and a number that rises within it, and what it holds."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.withColumn("o", F.from_json("value", OBSERVATION)).withColumn("keys", F.json_object_keys("value"))
-    kind = F.col("o.type")
-    entry = F.coalesce(kind.isin(*ENTRIES), F.lit(False))
+    rows = rows.withColumn("o", F.from_json("value", OBSERVATION))
+    return rows.withColumns({"type": F.col("o.type"), "entry": F.coalesce(F.col("o.type").isin(*ENTRIES), F.lit(False))})
+
+
+def _faults(most_bytes: int) -> tuple[Column, Column, Column]:
+    """What is wrong with a line by itself: as a text, as a header, as anything else."""
+    kind, keys = F.col("type"), F.json_object_keys("value")
     allowed = F.try_element_at(F.create_map(*[x for t, m in _ALLOWED.items() for x in (F.lit(t), F.lit(m))]), kind)
     part = lambda name: F.get_json_object("value", f"$.{name}")
 
     def extra(known: Column) -> Column:
-        return F.size(F.array_except("keys", known)) > 0
+        return F.size(F.array_except(keys, known)) > 0
 
     text = F.when(F.octet_length("value") > most_bytes, "line_too_long").when(~strict_value(F.col("value")), F.when(F.trim("value").endswith("}"), "malformed_json").otherwise("truncated_json"))
     head = F.when(kind.isNotNull() | extra(F.lit(HEADER)) | part("session_id").isNull() | (F.coalesce(part("encoding"), F.lit("")) != "ndjson") | part("schema").isNull(), "bad_header")
     body = (
-        F.when(allowed.isNull(), "unknown_type").when(extra(allowed), "unknown_member").when(entry & (part("id").isNull() | part("name").isNull()), "bad_entry")
-        .when(~entry & (F.col("o.source_id").isNull() | F.col("o.source_seq").isNull() | F.col("o.ts_ns").isNull()), "malformed_record")
+        F.when(allowed.isNull(), "unknown_type").when(extra(allowed), "unknown_member").when(F.col("entry") & (part("id").isNull() | part("name").isNull()), "bad_entry")
+        .when(~F.col("entry") & (F.col("o.source_id").isNull() | F.col("o.source_seq").isNull() | F.col("o.ts_ns").isNull()), "malformed_record")
     )
-    rows = rows.withColumn("text_fault", text)
-    return rows.withColumns({"entry": entry, "head_fault": F.coalesce("text_fault", head), "body_fault": F.coalesce("text_fault", body), "type": kind})
+    return text, head, body
 
 
 _SUMMARY = "file string, block bigint, source_id string, first bigint, n bigint, bad bigint, entry bigint, observed bigint, late bigint, first_seq bigint, first_ts bigint, top_seq bigint, top_ts bigint, back bigint"
@@ -121,8 +124,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def records(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
     """Every line up to the first bad one of its file: session_id, file, line, role, type, value, o, bad."""
-    rows = _lines(spark, path, most_bytes)
-    narrow = rows.select("file", "block", "at", "entry", "head_fault", "body_fault", "o.source_id", "o.source_seq", "o.ts_ns")
+    rows = _lines(spark, path)
+    text, head_fault, body_fault = _faults(most_bytes)
+    narrow = rows.withColumn("text_fault", text).select("file", "block", "at", "entry", F.coalesce("text_fault", head_fault).alias("head_fault"), F.coalesce("text_fault", body_fault).alias("body_fault"), "o.source_id", "o.source_seq", "o.ts_ns")
     told = kept(narrow.mapInArrow(_summaries, _SUMMARY), "line-summaries")
     along = Window.partitionBy("file").orderBy("block")
     blocks = told.where("n IS NOT NULL").withColumns({"before": F.sum("n").over(along) - F.col("n"), "told": F.coalesce(F.count("observed").over(along.rowsBetween(Window.unboundedPreceding, -1)) > 0, F.lit(False))})
@@ -135,14 +139,16 @@ def records(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFr
     disordered = back.join(blocks, ["file", "block"]).groupBy("file").agg(F.min(line("at")).alias("disorder"))
     files = blocks.groupBy("file").agg(F.min("bad").alias("bad_line"), F.min("observed").alias("observed_line"), F.min("late").alias("late_line")).join(disordered, "file", "left")
     files = files.withColumn("end", F.coalesce(F.least("bad_line", "late_line", "disorder"), F.lit(_LAST))).drop("bad_line", "late_line")
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    heads = text.where("block = 0").join(blocks.where("before = 0").select("file", "block", F.col("first").alias("at")), ["file", "block", "at"])
+    plain = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = plain.where("block = 0").join(blocks.where("before = 0").select("file", "block", F.col("first").alias("at")), ["file", "block", "at"])
     named = heads.select("file", F.get_json_object("value", "$.session_id").alias("session_id"))
     # all that a line needs to know, in one small row of its block
     known = kept(blocks.select("file", "block", "first", "before").join(files, "file").join(named, "file", "left"), "line-places")
     placed = rows.join(known, ["file", "block"]).withColumn("line", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int"))
     head = F.col("line") == 1
-    bad = F.when(head, F.col("head_fault")).otherwise(F.coalesce("body_fault", F.when(F.col("entry") & (F.col("line") > F.col("observed_line")), "dictionary_after_observation"), F.when(~F.col("entry") & (F.col("line") == F.col("disorder")), "out_of_order")))
+    # all lines before the last are known to be good
+    late = F.when(F.col("entry") & (F.col("line") > F.col("observed_line")), "dictionary_after_observation")
+    bad = F.when(F.col("line") == F.col("end"), F.when(head, F.coalesce(text, head_fault)).otherwise(F.coalesce(text, body_fault, late, F.when(~F.col("entry") & (F.col("line") == F.col("disorder")), "out_of_order"))))
     return placed.where("line <= end").select("session_id", "file", "line", F.when(head, "header").when(F.col("entry"), "dictionary").otherwise("observation").alias("role"), "type", "value", "o", bad.alias("bad"))
 
 
