@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalar import OUTCOME, delta, outcome, rank, relative, within
+from spanloom.functions.tables import kept
+from spanloom.operators.coverage import compare_static_ram
 
 
 def compare_metrics(baseline: DataFrame, candidate: DataFrame, keys: list[str], metrics: list[str], absolute: float = 0.0, share: float = 0.05) -> DataFrame:
@@ -26,9 +28,13 @@ def compare_metrics(baseline: DataFrame, candidate: DataFrame, keys: list[str],
 
 
 def with_rules(rows: DataFrame, exact: DataFrame, wide: DataFrame) -> DataFrame:
-    """Thresholds of the rule for the exact subject, else of the rule for the whole semantic."""
-    a = exact.select("semantic", "subject", F.struct("absolute", "share").alias("exact_rule"))
-    b = wide.select("semantic", F.struct("absolute", "share").alias("wide_rule"))
+    """The rule for the exact subject, else the one for the whole semantic, as a struct ``rule`` of the rules' other columns."""
+
+    def values(df: DataFrame, name: str) -> Column:
+        return F.struct(*[c for c in df.columns if c not in ("semantic", "subject")]).alias(name)
+
+    a = exact.select("semantic", "subject", values(exact, "exact_rule"))
+    b = wide.select("semantic", values(wide, "wide_rule"))
     found = rows.join(a, ["semantic", "subject"], "left").join(b, "semantic", "left")
     return found.withColumn("rule", F.coalesce("exact_rule", "wide_rule")).drop("exact_rule", "wide_rule")
 
@@ -215,9 +221,7 @@ def compare_resources(pairs: DataFrame, resources: DataFrame, rules: DataFrame,
     reused = mine.join(theirs, [*pair, "counter_id"]).where("is_b <> is_c")
     barred = reused.select(*pair, F.explode(F.array("is_b", "is_c")).alias("is")).select(*pair, "is.*").distinct()
     both = b.drop("counter_id").join(c.drop("counter_id"), [*pair, "semantic", "subject"], "full").join(barred, [*pair, "semantic", "subject"], "left_anti")
-    exact = rules.where("subject IS NOT NULL").select("semantic", "subject", F.struct("absolute", "share", "lower_is_better").alias("exact_rule"))
-    wide = rules.where("subject IS NULL").select("semantic", F.struct("absolute", "share", "lower_is_better").alias("wide_rule"))
-    ruled = both.join(exact, ["semantic", "subject"], "left").join(wide, "semantic", "left").withColumn("rule", F.coalesce("exact_rule", "wide_rule"))
+    ruled = with_rules(both, rules.where("subject IS NOT NULL"), rules.where("subject IS NULL").drop("subject"))
     x, y = F.col("baseline"), F.col("candidate")
     changed = (F.abs(delta(x, y)) > F.col("rule.absolute")) & ((x == 0) | (F.abs(relative(x, y)) > F.col("rule.share")))
     worse = (delta(x, y) > 0) == F.col("rule.lower_is_better")
@@ -245,6 +249,62 @@ def compare_captures(pairs: DataFrame, captures: DataFrame, hotspots: DataFrame,
     return rows, comparison_verdict(rows, judged, ["baseline_id", "candidate_id"])
 
 
+FAMILY = ("baseline_id", "candidate_id", "family", "subject", "context_id", "metric", "side", "baseline", "candidate", "delta", "relative", "outcome")
+
+
+def compare_fleet(
+    pairs: DataFrame, captures: DataFrame, hotspots: DataFrame, policy: Policy = Policy(), sampled: DataFrame | None = None, resources: DataFrame | None = None, rules: DataFrame | None = None, static_ram: DataFrame | None = None  # noqa: B008  a frozen value
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of every family of metrics of many pairs of captures in one form (``FAMILY``), and one verdict a pair over them all.
+
+    ``pairs(baseline_id, candidate_id)``: one pair, or all of a fleet. ``hotspots``: session_id, function_id, optionally
+    context_id, and six metrics; ``sampled``: as of ``sampling_hotspots``; ``resources`` with ``rules``: as of
+    ``compare_resources``; ``static_ram``: session_id and bytes by kind. A pair that its captures' facts bar has reasons and no
+    rows. Sets of functions, sampled places or subjects that differ are reasons, too, but leave the rows. Rows without a rule
+    (informational) have no say in the verdict. A family that is not given is not compared. Work and what is shuffled grow
+    with the rows that come out: each capture's rows go to its pairs once a family.
+    """
+    pair = ["baseline_id", "candidate_id"]
+    judged = kept(comparability(sides(captures, pairs.distinct()), policy).select(*pair, "reasons"), "pairs")
+    fit = judged.where("size(reasons) = 0").select(*pair)
+    keys = ["function_id", *[c for c in ("context_id",) if c in hotspots.columns]]
+    metrics = ["activations", "inclusive_ns", "self_ns", "min_ns", "max_ns", "average_ns"]
+    none = F.lit(None).cast("string")
+
+    def form(rows: DataFrame, family: str, **named: Column) -> DataFrame:
+        have = {"family": F.lit(family), "context_id": F.col("context_id") if "context_id" in rows.columns else none, "side": F.col("side") if "side" in rows.columns else F.lit("both")} | named
+        return rows.select(*[have[c].alias(c) if c in have else F.col(c) for c in FAMILY])
+
+    own = hotspots.select("session_id", *keys, *metrics)
+    b, c = (_of_pairs(fit, own, side) for side in ("baseline", "candidate"))
+    found = form(compare_metrics(b, c, [*pair, *keys], metrics, policy.absolute, policy.share), "function", subject=F.col("function_id"))
+    more = None
+    if sampled is not None and policy.statistical_metrics and not policy.exact_metrics:
+        found = found.unionByName(form(compare_sampling(fit, sampled, policy), "sampling", metric=F.lit("share")))
+        more = set_differences(fit, sampled, ["function_id", "address", "context_id"], "sampling_set_differs")
+    if resources is not None and rules is not None:
+        rows, reasons = compare_resources(fit, resources, rules, policy)
+        side = F.when(F.col("baseline").isNull(), "candidate_only").when(F.col("candidate").isNull(), "baseline_only").otherwise("both")
+        found = found.unionByName(form(rows, "resource", metric=F.col("semantic"), side=side))
+        more = reasons if more is None else more.unionByName(reasons)
+    if static_ram is not None:
+        b, c = (_of_pairs(fit, static_ram, side) for side in ("baseline", "candidate"))
+        found = found.unionByName(form(compare_static_ram(b, c, pair), "static_ram", subject=none, metric=F.col("kind")))
+    # the rows are written once; verdicts and whoever reads the rows take them from there
+    found = kept(found, "fleet-rows")
+    counted = found.groupBy(*pair).agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOME])
+    # one-sided functions are where their sets differ
+    apart = found.where("family = 'function' AND side <> 'both'").select(*pair, F.lit("function_set_differs").alias("reason"))
+    more = apart if more is None else more.unionByName(apart)
+    said = more.groupBy(*pair).agg(F.array_sort(F.collect_set("reason")).alias("more"))
+    both = judged.join(counted, pair, "left").fillna(0, [*OUTCOME]).join(said, pair, "left")
+    reasons = F.array_union("reasons", F.coalesce("more", F.array().cast("array<string>")))
+    empty = (F.size(reasons) == 0) & (F.col("inconclusive") + F.col("regressed") + F.col("improved") + F.col("unchanged") == 0)
+    reasons = F.when(empty, F.array(F.lit("no_common_metrics"))).otherwise(reasons)
+    verdict = F.when(F.size(reasons) > 0, "inconclusive").when(F.col("inconclusive") > 0, "inconclusive").when(F.col("regressed") > 0, "regressed").when(F.col("improved") > 0, "improved").otherwise("unchanged")
+    return found, both.select(*pair, verdict.alias("verdict"), reasons.alias("reasons"), *OUTCOME)
+
+
 def selected_activations(spans: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The activations that ``chosen(session_id, source_id, source_seq_start, source_seq_end)`` names, and those it names that are none."""
     keys = ["session_id", "source_id", "source_seq_start", "source_seq_end"]

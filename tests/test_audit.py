@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalar
-from spanloom.operators import catalog, checks, compare, counters, reports, timeline
+from spanloom.operators import catalog, checks, compare, counters, coverage, reports, timeline
 from spanloom.sources import canonical, documents, files
 
 
@@ -113,6 +113,31 @@ def test_captures_compared(spark):
     assert [r["metric"] for r in ranked.orderBy("place").collect()] == ["average_ns", "inclusive_ns"]
 
 
+def test_fleet_has_one_verdict_over_all_families(spark):
+    facts = "session_id string, verdict string, call_count string, active_time string, self_time string"
+    captures = spark.createDataFrame([(s, "DEGRADED" if s == "bad" else "VALID", "exact", "exact", "exact") for s in ("a", "same", "slow", "heap", "other", "bad", "ram", "none", "void")], facts)
+    hot = [(s, None, "f", 2, t, t, t, t, t) for s, t in [("a", 100), ("same", 102), ("slow", 150), ("heap", 100), ("bad", 100), ("ram", 100)]] + [("other", None, "g", 2, 5, 5, 5, 5, 5)]
+    hotspots = spark.createDataFrame(hot, "session_id string, context_id string, function_id string, activations bigint, inclusive_ns bigint, self_ns bigint, min_ns bigint, max_ns bigint, average_ns bigint")
+    sampled = spark.createDataFrame([(s, "f", 1, None, 1.0) for s in ("a", "same", "slow", "heap", "bad", "ram")], "session_id string, function_id string, address bigint, context_id string, share double")
+    resources = spark.createDataFrame([(s, "1", "heap.free_bytes", "h", 50.0 if s == "heap" else 100.0) for s in ("a", "same", "heap")] + [(s, "2", "ram.current_used_bytes", "r", 1.0 if s == "a" else 9.0) for s in ("a", "same")], "session_id string, counter_id string, semantic string, subject string, value double")
+    rules = spark.createDataFrame([("heap.free_bytes", None, 1.0, 0.1, False)], "semantic string, subject string, absolute double, share double, lower_is_better boolean")
+    ram = spark.createDataFrame([(s, *[10] * 6, 40 if s == "ram" else 10) for s in ("a", "ram")], "session_id string, " + ", ".join(f"{k}_bytes bigint" for k in coverage.KINDS))
+    pairs = spark.createDataFrame([("a", s) for s in ("same", "slow", "heap", "other", "bad", "ram", "ram")] + [("none", "void")], "baseline_id string, candidate_id string")
+    rows, verdicts = compare.compare_fleet(pairs, captures, hotspots, compare.RELAXED, sampled, resources.where("session_id NOT IN ('slow')"), rules, ram)
+    got = {r["candidate_id"]: (r["verdict"], r["reasons"]) for r in verdicts.collect()}
+    assert len(got) == 7 and verdicts.count() == 7
+    assert got["same"] == ("unchanged", [])  # a resource without a rule has no say
+    assert got["heap"] == ("regressed", [])
+    assert got["slow"] == ("inconclusive", [])  # its heap is missing
+    assert got["other"] == ("inconclusive", ["function_set_differs", "sampling_set_differs"])
+    assert got["bad"] == ("inconclusive", ["candidate_health_not_valid"])
+    assert got["void"] == ("inconclusive", ["no_common_metrics"])
+    assert [(r["metric"], r["outcome"]) for r in rows.where("family = 'static_ram' AND outcome <> 'unchanged'").collect()] == [(coverage.KINDS[6], "regressed")]
+    assert rows.where("candidate_id = 'bad'").count() == 0 and tuple(rows.columns) == compare.FAMILY
+    # functions alone: the slow one has regressed
+    assert {r["candidate_id"]: r["verdict"] for r in compare.compare_fleet(pairs, captures, hotspots, compare.Policy())[1].collect()}["slow"] == "regressed"
+
+
 def test_resource_reasons(spark):
     pairs = spark.createDataFrame([("a", "b")], "baseline_id string, candidate_id string")
     rows = [("a", "1", "heap.free_bytes", "h", 10.0), ("b", "1", "heap.free_bytes", "g", 10.0), ("a", "2", "ram.peak_used_bytes", "r", 10.0), ("b", "2", "ram.peak_used_bytes", "r", 20.0), ("a", "3", "ram.peak_used_bytes", "gone", 1.0)]
