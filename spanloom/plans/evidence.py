@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.tables import shared_path
@@ -10,7 +10,7 @@ from spanloom.operators import catalog, health, replay, samples, stacks, timelin
 from spanloom.plans import adapters as A
 from spanloom.plans.audit import ORACLE_SQL, QUERIES
 from spanloom.plans.registry import query
-from spanloom.sources import canonical
+from spanloom.sources import canonical, wire
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -139,6 +139,45 @@ def canonical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(canonical.faults(found).select("session_id", "reason", "code", F.col("ord").alias("line")), "session_id", "left")
 
 
+def _le(x: Column, n: int) -> Column:
+    """A whole number as n bytes in hexadecimal, lowest first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)])
+
+
+@query("""
+WITH r AS (SELECT o_custkey % 6 AS s, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 6 ORDER BY o_orderkey) AS nth FROM orders),
+o AS (SELECT s, CASE k % 4 WHEN 0 THEN 'Counter' WHEN 1 THEN 'Instant' WHEN 2 THEN 'SpanBegin' ELSE 'TraceGap' END AS type, CASE WHEN k % 4 = 0 THEN k * 3 - 50000 END AS value, CASE WHEN nth % 50 = 0 THEN 1 ELSE 0 END AS missing, nth + nth // 50 AS seq,
+  k * 10 AS ticks, CASE WHEN k % 4 <> 3 THEN 'context:' || (k % 3) END AS context_id, CASE WHEN k % 4 = 1 THEN 'at T3PF' || k END AS name, CASE WHEN k % 4 = 3 THEN 'reported_drop:' || (k % 100) END AS reason FROM r)
+SELECT 'w-' || s AS session_id, type, count(*) AS n, CAST(sum(value) AS DOUBLE) AS value, CAST(sum(missing) AS BIGINT) AS missing, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(ticks) AS BIGINT) AS ticks, max(context_id) AS context_id, max(name) AS name, max(reason) AS reason FROM o GROUP BY s, type
+UNION ALL SELECT 'w-' || s, 'truncated_header', 1, NULL, NULL, count(*), count(*), NULL, NULL, NULL, NULL FROM r GROUP BY s""")
+def binary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of files of binary records, written first, by many tasks a file; their payloads look like records, and each file ends early."""
+    k = F.col("k")
+    rows = A.table(spark, sf_dir, "orders").selectExpr("concat('w-', o_custkey % 6) AS session_id", "CAST(o_orderkey AS BIGINT) AS k", "row_number() OVER (PARTITION BY o_custkey % 6 ORDER BY o_orderkey) AS nth")
+
+    def header(kind: Column, size: Column, sequence: Column) -> Column:
+        """A header without its mark."""
+        zero = F.lit(0).cast("bigint")
+        return F.concat(F.lit("01"), kind, _le(zero, 2), _le(size, 2), _le(zero, 2), _le(sequence, 4), _le(k * 10, 8), _le(k % 3, 4), _le(k % 5, 4))
+
+    nth = F.col("nth").cast("bigint")
+    inner = F.concat(F.hex(F.lit("T3PF")), header(F.lit("01"), F.lit(0).cast("bigint"), nth))
+    payload = F.when(k % 4 == 0, _le(k * 3 - 50000, 8)).when(k % 4 == 1, F.hex(F.concat(F.lit("at T3PF"), k.cast("string")))).when(k % 4 == 2, inner).otherwise(_le(k % 100, 4))
+    body = F.concat(header(F.get(F.lit(["04", "01", "02", "07"]), (k % 4).cast("int")), F.expr("CAST(length(payload) div 2 AS BIGINT)"), nth + F.floor(nth / 50)), F.col("payload"))
+    raw = rows.withColumn("payload", payload).select("session_id", nth.alias("at"), F.unhex(body).cast("string").alias("value"))
+    # the mark comes after each line, so an empty line first, and one mark too many at the end
+    raw = raw.unionByName(rows.select("session_id").distinct().select("session_id", F.lit(0).cast("bigint").alias("at"), F.lit("").alias("value")))
+    path = shared_path(spark, "binary")
+    raw.repartition("session_id").sortWithinPartitions("session_id", "at").select("session_id", "value").write.partitionBy("session_id").option("lineSep", "T3PF").text(path)
+    found = wire.read_records(spark, path, 256, 4096)
+    seen = wire.wire_observations(found)
+    counted = seen.groupBy("session_id", "type").agg(
+        F.count("*").alias("n"), F.sum("value").alias("value"), F.sum("missing").cast("bigint").alias("missing"), F.min("source_seq").alias("first_seq"), F.max("source_seq").alias("last_seq"), F.sum(F.col("ticks").cast("bigint")).alias("ticks"),
+        F.max("context_id").alias("context_id"), F.max(F.when(F.col("type") == "Instant", F.col("name"))).alias("name"), F.max("reason").alias("reason"),
+    )
+    return counted.unionByName(found.where("bad IS NOT NULL").select("session_id", F.col("bad").alias("type"), F.lit(1).cast("bigint").alias("n"), F.col("ord").alias("first_seq"), F.col("ord").alias("last_seq")), allowMissingColumns=True)
+
+
 # contracts of samples
 
 
