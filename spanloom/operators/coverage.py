@@ -31,6 +31,14 @@ def missing_semantics(counters: DataFrame, required: dict[str, list[str]]) -> Da
     return seen.select("session_id", "subject_kind", "subject", lacking.alias("missing")).where(F.size("missing") > 0)
 
 
+def missing_roles(counters: DataFrame, sessions: DataFrame, roles: list[str]) -> DataFrame:
+    """Stack roles that no counter of a session has; sessions with all of them give no row, those without counters lack all."""
+    seen = counters.where("subject_kind = 'stack'").groupBy("session_id").agg(F.collect_set("role").alias("seen"))
+    both = sessions.select("session_id").distinct().join(seen, "session_id", "left")
+    lacking = F.array_sort(F.array_except(F.lit(roles).cast("array<string>"), F.coalesce("seen", F.array().cast("array<string>"))))
+    return both.select("session_id", lacking.alias("missing")).where(F.size("missing") > 0)
+
+
 def clock_anchors(observations: DataFrame, anchors: DataFrame, tolerance_ns: int) -> DataFrame:
     """Each anchor's two observations: their times, the measured distance, and whether it is as expected.
 

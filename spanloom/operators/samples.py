@@ -159,3 +159,24 @@ def for_display(cells: DataFrame, n: int) -> DataFrame:
     """The n fullest buckets of each session, numbered by address."""
     kept = hottest(cells, n, "start")
     return kept.withColumn("row", F.row_number().over(Window.partitionBy("session_id").orderBy("start", "end")))
+
+
+#: Firmware statuses under which addresses may be read as functions.
+PROVEN = ("verified", "deployment_asserted")
+
+
+def sampling_report(histograms: DataFrame, buckets: DataFrame, ranges: DataFrame, displayed: int = 25, kept_leaves: int = 20, **limits: float) -> dict[str, DataFrame]:
+    """The parts of a report on sampled histograms, each only of the captures that may have it.
+
+    ``histograms``: what ``admitted`` reads (``limits`` go to it) and firmware_status. ``address``: the fullest buckets of
+    admitted captures; ``function`` and ``profile``: hits by function and the fullest leaves of those whose firmware
+    is proven, too; ``withheld``: session_id, part and the reason why a capture lacks a part. A null status is not proven;
+    buckets of captures without a histogram are in no part.
+    """
+    judged = admitted(histograms, **limits).select("session_id", "reason", F.coalesce(F.col("firmware_status").isin(*PROVEN), F.lit(False)).alias("proven"))
+    own = buckets.join(judged.where("reason IS NULL").select("session_id"), "session_id", "left_semi")
+    functions = function_heatmap(own.join(judged.where("proven").select("session_id"), "session_id", "left_semi"), ranges)
+    why = F.coalesce("reason", F.when(~F.col("proven"), "firmware_not_proven"))
+    lacking = F.explode(F.array(F.struct(F.lit("address").alias("part"), F.col("reason")), F.struct(F.lit("function").alias("part"), why.alias("reason")))).alias("w")
+    withheld = judged.select("session_id", lacking).select("session_id", "w.*").where("reason IS NOT NULL")
+    return {"address": for_display(own, displayed), "function": functions, "profile": flat_profile(functions, kept_leaves), "withheld": withheld}

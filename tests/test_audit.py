@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalar
-from spanloom.operators import catalog, checks, compare, counters, coverage, reports, timeline
+from spanloom.operators import catalog, checks, compare, counters, coverage, reports, samples, timeline
 from spanloom.sources import canonical, documents, files
 
 
@@ -258,3 +258,32 @@ def test_sections_and_sampling_lines(spark, tmp_path):
     assert [(r["ord"], r["bad"]) for r in files.read_sampling_text(spark, str(tmp_path / "s.txt")).collect()] == [(1, None), (None, "malformed_line")]
     usage = spark.createDataFrame([("s", "static", 8), ("s", "dynamic", 99), ("s", "static", 24)], "session_id string, qualifier string, bytes bigint")
     assert tuple(files.stack_totals(usage).first()) == ("s", 3, 24)
+
+
+def test_hotspot_totals(spark):
+    schema = "session_id string, function_id string, activations bigint, inclusive_ns bigint, self_ns bigint, min_ns bigint, max_ns bigint, average_ns bigint"
+    rows = [("s", "ok", 3, 10, 10, 2, 5, 3), ("s", "none", 0, 0, 0, 0, 0, 0), ("s", "low", 2, 10, 4, 4, 6, 3), ("s", "off", 2, 10, 4, 4, 6, 6), ("s", "own", 1, 5, 6, 5, 5, 5)]
+    assert reasons(checks.hotspot_violations(spark.createDataFrame(rows, schema)), "function_id") == {"none": "no_activations", "low": "average_out_of_range", "off": "average_mismatch", "own": "self_exceeds_inclusive"}
+
+
+def test_required_semantics_and_roles(spark):
+    rows = [("a", "allocator", "h", "x", None), ("a", "allocator", "h", "y", None), ("a", "stack", "t", "z", "task"), ("a", "stack", "i", "z", "isr"), ("b", "allocator", "h", "y", None), ("b", "other", "o", "q", "task"), ("c", "stack", "t", "w", "task"), ("c", "stack", "u", None, None)]
+    counted = spark.createDataFrame(rows, "session_id string, subject_kind string, subject string, semantic string, role string")
+    lacking = {(r["session_id"], r["subject"]): r["missing"] for r in coverage.missing_semantics(counted, {"allocator": ["x", "y"], "stack": ["z"]}).collect()}
+    assert lacking == {("b", "h"): ["x"], ("c", "t"): ["z"], ("c", "u"): ["z"]}
+    sessions = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "session_id string")
+    assert {r["session_id"]: r["missing"] for r in coverage.missing_roles(counted, sessions, ["task", "isr"]).collect()} == {"b": ["isr", "task"], "c": ["isr"], "d": ["isr", "task"]}
+    assert coverage.missing_roles(counted.where("false"), sessions.where("false"), ["task"]).count() == 0
+
+
+def test_sampling_report(spark):
+    """Captures that are not admitted lose all parts, those without proven firmware what functions tell; nulls prove nothing."""
+    schema = "session_id string, target_running boolean, last_sample_rate_hz int, in_scope_hits bigint, observed_duration_ns bigint, retained_runtime_percent double, snoop_failures int, firmware_status string"
+    histograms = spark.createDataFrame([("a", True, 9, 150, 10**9, 99.0, 0, "verified"), ("b", True, 9, 150, 10**9, 99.0, 0, None), ("c", True, 9, 12, 10**9, 99.0, 0, "verified"), ("d", True, 9, 150, 10**9, 99.0, 0, "mismatch")], schema)
+    buckets = spark.createDataFrame([(s, x, x + 16, 50) for s in "abcde" for x in (0, 16, 32)], "session_id string, start bigint, end bigint, hits bigint")
+    ranges = spark.createDataFrame([(s, "f", 0, 32) for s in "abcde"], "session_id string, function_id string, start bigint, end bigint")
+    found = samples.sampling_report(histograms, buckets, ranges, displayed=2)
+    assert {(r["session_id"], r["start"]) for r in found["address"].collect()} == {(s, x) for s in "abd" for x in (0, 16)}
+    assert {(r["session_id"], r["function_id"], r["hits"]) for r in found["function"].collect()} == {("a", "f", 100), ("a", None, 50)}
+    assert {(r["label"], r["hits"]) for r in found["profile"].collect()} == {("f", 100), ("[unattributed]", 50)}
+    assert {tuple(r) for r in found["withheld"].collect()} == {("b", "function", "firmware_not_proven"), ("c", "address", "too_few_hits"), ("c", "function", "too_few_hits"), ("d", "function", "firmware_not_proven")}
