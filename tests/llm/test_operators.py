@@ -17,6 +17,7 @@ from pyspark.sql.functions import lit  # noqa: E402
 
 from spanloom.llm import fingerprints, token_counts  # noqa: E402
 from spanloom.llm.common import new_path  # noqa: E402
+from spanloom.llm import decontaminate as decontaminate_module  # noqa: E402
 from spanloom.llm.decontaminate import align, decontaminate, leaks  # noqa: E402
 from spanloom.llm.fingerprints import FRACTION, compare_with_next, likeness, merged, read_in, sketches  # noqa: E402
 from spanloom.llm.grams import mix, shingle_sets, words  # noqa: E402
@@ -271,6 +272,24 @@ def test_leaks_against_all_pairs(spark):
     assert found <= want and len(found) >= 0.98 * len(want) and len(want) > 40
 
 
+def test_common_seeds_stand_back(spark):
+    """A common trigram finds nothing alone, but with a fourth word; what is copied everywhere keeps its seeds."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    dull, item, copied = [word() for _ in range(3)], [word() for _ in range(9)], [word() for _ in range(12)]
+    item[3:6] = dull
+    survivors = [w if 3 <= i < 8 else word() for i, w in enumerate(item)]  # five words in a row, of which three are common
+    rows = [(i, " ".join([word(), *dull, word()])) for i in range(40)] + [(50, " ".join(item)), (51, " ".join(survivors)), (52, " ".join(copied[:5] + [word(), word()] + copied[7:]))] + [(60 + i, " ".join(copied)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(copied))], "item_id bigint, text string")
+    planted = {(x["item_id"], x["item_at"], x["size"]) for x in decontaminate_module.seeds(docs, items, common=4).collect()}
+    assert {x for x in planted if x[0] == 1} == {(1, at, 3) for at in range(7) if at != 3} | {(1, 2, 4), (1, 3, 4)}
+    assert {x for x in planted if x[0] == 2} == {(2, at, 3) for at in range(10)}
+    for limit in (0, 1000):
+        got = {(x["doc_id"], x["item_id"]) for x in leaks(docs, items, broadcast_seeds=limit, common=4).collect()}
+        assert got == {(50, 1), (51, 1), (52, 2)} | {(60 + i, 2) for i in range(30)}
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(4)
     for _ in range(200):
