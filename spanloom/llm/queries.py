@@ -59,7 +59,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingle sets at 0.8."""
-    return minhash_dedup(documents(spark, sf_dir), shingle=4, threshold=0.8)
+    return minhash_dedup(documents(spark, sf_dir), shingle=4, threshold=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,25 @@ kept AS (
 SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END)) AS g FROM words),
+classes AS MATERIALIZED (SELECT min(doc_id) AS rep, g, len(g) AS n FROM sets WHERE len(g) > 0 GROUP BY g),
+shingles AS MATERIALIZED (SELECT rep, n, unnest(g) AS s FROM classes),
+links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (
+  SELECT rep AS node, rep AS other FROM classes
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON r.other = e.a),
+components AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON s.g = c.g LEFT JOIN components ON node = rep
 """,
     "op8_license_scan": licenses.oracle_sql(),
     "op12_merkle_manifest": r"""
