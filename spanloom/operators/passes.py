@@ -91,8 +91,8 @@ class Nested:
     wrong: np.ndarray  # closings whose opening was not the innermost
 
 
-def nest(group: np.ndarray, opens: np.ndarray, fits) -> Nested:
-    """Pair the brackets of each group, which is sorted and in order; ``fits(closing, opening)`` is by index.
+def nest(group: np.ndarray, opens: np.ndarray, name: np.ndarray, detail: np.ndarray) -> Nested:
+    """Pair the brackets of each group, which is sorted and in order; a closing fits openings of its name and, if it has one, its detail.
 
     A closing takes the innermost opening that fits and closes what is open inside it. Where depths never fall below
     zero and all neighbours of one depth fit, pairs follow from depth alone.
@@ -116,32 +116,51 @@ def nest(group: np.ndarray, opens: np.ndarray, fits) -> Nested:
     prior, later = order[:-1], order[1:]
     pair = (place[prior] == place[later]) & opens[prior] & ~opens[later]
     prior, later = prior[pair], later[pair]
-    bad[number[later[~fits(later, prior)]]] = True
+    bad[number[later[(name[later] != name[prior]) | (detail[later] >= 0) & (detail[later] != detail[prior])]]] = True
     good = ~bad[number[later]]
     match[later[good]], match[prior[good]] = prior[good], later[good]
     inner = np.flatnonzero(opens & (level > 1) & ~bad[number])
     above = np.searchsorted(place[order] * n + order, (place[inner] - 1) * n + inner) - 1
     parent[inner] = order[above]
-    for k in np.flatnonzero(bad):
-        stack: list[int] = []
-        first = int(np.searchsorted(number, k))
-        for i in range(first, int(np.searchsorted(number, k, side="right"))):
-            if opens[i]:
-                parent[i] = stack[-1] if stack else -1
-                stack.append(i)
-                level[i] = len(stack)
-                continue
-            inside = np.array(stack[::-1], np.int64)
-            hit = np.flatnonzero(fits(np.full(len(inside), i), inside))
-            if len(hit):
-                own = inside[: hit[0] + 1]
-                match[own], match[i] = i, own[-1]
-                forced[own[:-1]] = True
-                wrong[i] = hit[0] > 0
-                del stack[-len(own) :]
+    starts = np.append(np.flatnonzero(heads), n)
+    for k in np.flatnonzero(bad).tolist():
+        a, b = int(starts[k]), int(starts[k + 1])
+        _stacked(slice(a, b), opens, name, detail, match, parent, level, forced, wrong)
     return Nested(match, parent, level, forced, wrong)
 
 
+def _stacked(own: slice, opens: np.ndarray, name: np.ndarray, detail: np.ndarray, match: np.ndarray, parent: np.ndarray, level: np.ndarray, forced: np.ndarray, wrong: np.ndarray) -> None:
+    """``nest`` for one group whose brackets do not nest; a step a bracket, however deep they are."""
+    keys, details = name[own].tolist(), detail[own].tolist()
+    first, m, p, d, f, w = own.start, match[own].tolist(), parent[own].tolist(), level[own].tolist(), forced[own].tolist(), wrong[own].tolist()
+    stack: list[int] = []
+    places: dict = {}  # where in the stack openings of a name, or of a name and detail, are
+    for i, is_open in enumerate(opens[own].tolist()):
+        key, more = keys[i], details[i]
+        if is_open:
+            p[i] = first + stack[-1] if stack else -1
+            places.setdefault(key, []).append(len(stack))
+            if more >= 0:
+                places.setdefault((key, more), []).append(len(stack))
+            stack.append(i)
+            d[i] = len(stack)
+            continue
+        fitting = places.get(key if more < 0 else (key, more))
+        if not fitting:
+            continue
+        depth = fitting[-1]
+        w[i] = depth < len(stack) - 1
+        while len(stack) > depth:
+            j = stack.pop()
+            places[keys[j]].pop()
+            if details[j] >= 0:
+                places[keys[j], details[j]].pop()
+            m[j] = first + i
+            f[j] = len(stack) > depth
+        m[i] = first + j
+    match[own], parent[own], level[own], forced[own], wrong[own] = m, p, d, f, w
+
+
 # state between chunks of one capture
 
 
@@ -260,6 +279,12 @@ class Replay:
 
     # rows out
 
+    def count_rows(self) -> None:
+        """A row for each capture: how many of its rows are in this chunk."""
+        first = np.flatnonzero(heads_of(self.session))
+        counts = np.bincount(self.session[self.kind != END], minlength=self.count)
+        self._put("session", first, ord=pa.array(counts[self.session[first]].astype(np.int64)))
+
     def _put(self, kind: str, rows: np.ndarray, **values: np.ndarray | pa.Array) -> None:
         if len(rows):
             self.out.append({"kind": pa.array([kind]).take(pa.array(np.zeros(len(rows), np.int8))), "session_id": self.sessions.take(pa.array(self.session[rows]))} | values)
@@ -345,7 +370,7 @@ class Replay:
         self.i_row, self.i_group, self.i_opens, self.i_name, self.i_activation = row[order], group[order], opens[order], interrupt[order], activation[order]
         self.i_old = order  # below len(old): place in the state
         own = self.i_name * (len(self.activations.texts) + 1) + self.i_activation
-        self.i_pairs = p = nest(self.i_group, self.i_opens, lambda a, b: own[a] == own[b])
+        self.i_pairs = p = nest(self.i_group, self.i_opens, own, np.full(len(own), -1))
         top = np.where(self.i_opens, np.arange(len(row)), np.where(p.match >= 0, p.parent[p.match], -2))
         known = np.maximum.accumulate(np.where(top > -2, np.arange(len(row)), -1)) if len(row) else top
         start = np.flatnonzero(heads_of(self.i_group))[np.cumsum(heads_of(self.i_group)) - 1] if len(row) else known
@@ -495,34 +520,52 @@ class Replay:
         # a stay is the time from a schedule row of the task to the next one of the core, in rows
         following = np.append(self.s_row[1:], self.n)
         following[np.append(self.s_group[1:] != self.s_group[:-1], True)] = self.n
-        found: list[tuple] = []
-        told = self.told
+        names = np.unique(twice)
+        pairs = pairs[np.isin(pairs[:, 0], names)]
+        of = lambda task, group: np.searchsorted(pairs[:, 0] * width + pairs[:, 1], task * width + group)
+        width = int(pairs[:, 1].max()) + 1
+        stays = np.flatnonzero(np.isin(task, names))
+        order = np.argsort(of(task[stays], self.s_group[stays]), kind="stable")
+        stays = stays[order]
+        known = Last(of(task[stays], self.s_group[stays]), self.s_row[stays], self.n)
+        # credits of these tasks in order, each against every core that has had the task
         events = np.flatnonzero(self.e_gain & (self.e_task >= 0))
         owner = self.e_group[events] // self.width * many + self.e_task[events]
-        for name in np.unique(twice).tolist():
-            stays = np.flatnonzero(task == name)
-            group, low, high, since = self.s_group[stays], self.s_row[stays], following[stays], self.s_since[stays]
-            own = events[owner == name]
-            for e in own[np.argsort(self.e_row[own], kind="stable")].tolist():
-                row, clock, end = self.e_row[e], self.e_clock[e], self.e_ts[e]
-                now = (low < row) & (high >= row)
-                mine = since[now & (group == self.e_group[e])].max(initial=LOW)
-                others, begin = group[now & (group != self.e_group[e])], np.maximum(np.maximum(since[now & (group != self.e_group[e])], mine), clock)
-                others, begin = others[begin < end], begin[begin < end]
-                if not len(others):
-                    continue
-                self.taints.append((np.array([name]), np.array([row])))
-                lower = begin[others < self.e_group[e]]
-                upto[e] = min(upto[e], lower.min(initial=HIGH))
-                core = int(self.core_names[self.e_group[e] % self.width])
-                keys = [(name, *sorted((core, int(self.core_names[g % self.width])))) for g in others.tolist()]
-                new = [b for k, b in zip(keys, begin.tolist(), strict=True) if k not in told]
-                told.update(keys)
-                if new:
-                    found.append((row, min(new), end, core, name % many))
-        if found:
-            rows, first, end, core, name = (np.array(x, np.int64) for x in zip(*found, strict=True))
-            self._fact("concurrent_context", rows, first, end, core, name)
+        events, owner = (x[np.isin(owner, names)] for x in (events, owner))
+        order = np.lexsort((self.e_row[events], owner))
+        events, owner = events[order], owner[order]
+        low, high = np.searchsorted(pairs[:, 0], owner), np.searchsorted(pairs[:, 0], owner, side="right")
+        many_cores = high - low
+        which = np.repeat(np.arange(len(events)), many_cores)
+        pair = np.arange(len(which)) - np.repeat(np.cumsum(many_cores) - many_cores, many_cores) + low[which]
+        group, mine = pairs[pair, 1], self.e_group[events][which]
+        row = self.e_row[events][which]
+        stay = known.at(pair, row)
+        now = (stay >= 0) & (following[stays[stay]] >= row)
+        since = np.where(now, self.s_since[stays[stay]], LOW)
+        own = np.full(len(events), LOW)
+        at = group == mine
+        own[which[at]] = since[at]
+        begin = np.maximum(np.maximum(since, own[which]), self.e_clock[events][which])
+        hit = now & ~at & (begin < self.e_ts[events][which])
+        which, group, mine, begin, row = which[hit], group[hit], mine[hit], begin[hit], row[hit]
+        if not len(which):
+            return
+        self.taints.append((owner[which], row))
+        lower = group < mine
+        np.minimum.at(upto, events[which[lower]], begin[lower])
+        # a pair of cores is told once of a task, by the first credit that both had it in
+        cores = np.sort(np.stack([self.core_names[mine % self.width], self.core_names[group % self.width]], axis=1), axis=1)
+        keys, firsts = np.unique(np.column_stack([owner[which], cores]), axis=0, return_index=True)
+        told = [tuple(k) in self.told for k in keys.tolist()]
+        self.told.update(tuple(k) for k in keys.tolist())
+        new = firsts[~np.array(told, bool)]
+        if len(new):
+            event, place = np.unique(which[new], return_inverse=True)
+            start = np.full(len(event), HIGH)
+            np.minimum.at(start, place, begin[new])
+            credits = events[event]
+            self._fact("concurrent_context", self.e_row[credits], start, self.e_ts[credits], self.core_names[self.e_group[credits] % self.width], owner[event] % many)
 
     def _owners(self) -> None:
         """The execution context of each call: the running one if the call names it, else the one that it names."""
@@ -568,7 +611,7 @@ class Replay:
         order = np.argsort(context, kind="stable")
         context, row, opens, function, frame, source = (x[order] for x in (context, row, opens, function, frame, source))
         agrees = np.concatenate([~np.array(f["spoiled"], bool), self.c_agrees])[order]
-        p = nest(context, opens, lambda a, b: (function[a] == function[b]) & ((frame[a] < 0) | (frame[a] == frame[b])))
+        p = nest(context, opens, function, frame)
         # returns
         shut = np.flatnonzero(~opens)
         alone = shut[p.match[shut] < 0]
