@@ -11,6 +11,7 @@ The result has one row for each thing found; ``kind`` tells which:
   the scheduled context below.
 * ``sync``, ``async``: a span between its begin and end marks.
 * ``cpu``: the time credited to one context of a session.
+* ``session``, only if asked for: ``ord`` says how many rows a capture has; a long one has several such rows.
 * ``fact``: a health fact, by ``code``. A gap whose reason names a fault, and metadata that tell of one, give a fact of
   that code, too.
 
@@ -38,6 +39,8 @@ OUTPUT = (
 )
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
 ARROW = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in OUTPUT.split(", ")])
+#: Every kind of row.
+KINDS = ("span", "interrupt", "sync", "async", "cpu", "session", "fact")
 #: Rows of a chunk, at least.
 CHUNK = 200_000
 
@@ -53,15 +56,19 @@ def told(observations: DataFrame) -> Column:
     return out
 
 
-def replay(observations: DataFrame, switches: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """Everything found in the captures; without ``switches`` every call of another task reschedules its core."""
+def replay(observations: DataFrame, switches: bool = True, chunk: int = CHUNK, kinds: tuple[str, ...] | None = None, dealt: bool = False) -> DataFrame:
+    """Everything found in the captures, or rows of some ``kinds``; without ``switches`` every call of another task reschedules its core.
+
+    ``dealt``: each capture is in one partition already, as after a ``repartition`` by session_id, so rows stay where they are.
+    """
     rows = observations if "told" in observations.columns else observations.withColumn("told", told(observations))
     given = [c for c in INPUT if c in rows.columns]
-    dealt = rows.select("session_id", *given).repartition("session_id").sortWithinPartitions("session_id", "ord")
-    return dealt.mapInArrow(lambda batches: replayed(batches, switches, chunk), OUTPUT)
+    rows = rows.select("session_id", *given)
+    ordered = (rows if dealt else rows.repartition("session_id")).sortWithinPartitions("session_id", "ord")
+    return ordered.mapInArrow(lambda batches: replayed(batches, switches, chunk, kinds), OUTPUT)
 
 
-def replayed(batches: Iterator[pa.RecordBatch], switches: bool = True, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+def replayed(batches: Iterator[pa.RecordBatch], switches: bool = True, chunk: int = CHUNK, kinds: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:
     """What is found in sorted rows, chunk by chunk."""
     held: list[pa.RecordBatch] = []
     size, state, open_session = 0, None, None
@@ -79,24 +86,24 @@ def replayed(batches: Iterator[pa.RecordBatch], switches: bool = True, chunk: in
         cut = _first(sessions, last)
         if state is not None and (cut or last.as_py() != open_session):
             first = _end(sessions, open_session)
-            yield from rows_out(Replay(table.slice(0, first), switches, state, True, name=open_session))
+            yield from rows_out(Replay(table.slice(0, first), switches, state, True, name=open_session), kinds)
             table, cut, state = table.slice(first), cut - first, None
         if cut:
-            yield from rows_out(Replay(table.slice(0, cut), switches, None, True))
+            yield from rows_out(Replay(table.slice(0, cut), switches, None, True), kinds)
             table = table.slice(cut)
         if table.num_rows >= chunk or state is not None:
             done = Replay(table, switches, state, False)
-            yield from rows_out(done)
+            yield from rows_out(done, kinds)
             state, open_session, table = done.state, last.as_py(), table.slice(table.num_rows)
         held, size = table.to_batches(), table.num_rows
     table = pa.Table.from_batches(held) if held else None
     if state is not None:
         first = _end(table["session_id"].combine_chunks(), open_session) if table is not None else 0
         own = table.slice(0, first) if table is not None else pa.table({"session_id": pa.array([], pa.string()), "type": pa.array([], pa.string())})
-        yield from rows_out(Replay(own, switches, state, True, name=open_session))
+        yield from rows_out(Replay(own, switches, state, True, name=open_session), kinds)
         table = table.slice(first) if table is not None else None
     if table is not None and table.num_rows:
-        yield from rows_out(Replay(table, switches, None, True))
+        yield from rows_out(Replay(table, switches, None, True), kinds)
 
 
 def _first(sessions: pa.Array, session: pa.Scalar) -> int:
@@ -115,13 +122,22 @@ def _run(sessions: pa.Array, session: str | None) -> int:
     return int(other[0]) if len(other) else len(sessions)
 
 
-def rows_out(done: Replay) -> Iterator[pa.RecordBatch]:
+def rows_out(done: Replay, kinds: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:
+    if kinds is not None and "session" in kinds:
+        done.count_rows()
     for found in done.out:
+        if kinds is not None and found["kind"][0].as_py() not in kinds:
+            continue
         n = len(found["kind"])
         columns = [pa.nulls(n, f.type) if found.get(f.name) is None else found[f.name].cast(f.type) for f in ARROW]
         yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=ARROW)
 
 
+def sessions(found: DataFrame) -> DataFrame:
+    """The captures of a replay that tells them, and how many observations each has."""
+    return found.where("kind = 'session'").groupBy("session_id").agg(F.sum("ord").alias("observations"))
+
+
 def spans(found: DataFrame) -> DataFrame:
     """The activations of a replay."""
     own = ("session_id", "ord", "parent_ord", "source_id", "source_seq_start", "source_seq_end", "core_id", "context_id", "ctx_kind", "function_id", "depth", "start_ns", "end_ns", "elapsed_ns", "active_ns", "self_ns", "preempted_ns", "incomplete", "quality")

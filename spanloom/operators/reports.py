@@ -31,20 +31,22 @@ class Analysis:
     counts: DataFrame
 
 
-def analyze(observations: DataFrame, path: str | None = None, capabilities: DataFrame | None = None, include_untrusted: bool = False) -> Analysis:
+def analyze(observations: DataFrame, path: str | None = None, capabilities: DataFrame | None = None, include_untrusted: bool = False, dealt: bool = False) -> Analysis:
     """Replay captures and derive everything that one pass over them tells.
 
-    Captures are replayed once: the replay is written, under ``path`` where one is given, and all parts read it.
+    Captures are replayed once: the replay is written, under ``path`` where one is given, and all parts read it, which
+    captures there are and how long they are, too. ``dealt``: as for a replay.
     Quantities are those of VALID captures, unless asked for; the activations of a DEGRADED one are inferred at best.
     """
-    found = kept(replay.replay(observations), "replay", path)
+    found = kept(replay.replay(observations, kinds=replay.KINDS, dealt=dealt), "replay", path)
     values = [c for c in ("counter_id", "value", "behaviour", "whole") if c in observations.columns]
     measured = counters.checked(observations.where("type = 'Counter'")) if len(values) == 4 else None
     own = replay.facts(found).select("session_id", "ord", "code")
     if measured is not None:
         own = own.unionByName(measured.where("violation IS NOT NULL").select("session_id", "ord", F.col("violation").alias("code")))
     issues = health.issues(health.capped(own))
-    sessions = observations.select("session_id").distinct()
+    counted = replay.sessions(found)
+    sessions = counted.select("session_id")
     verdicts = health.verdicts(sessions, issues)
     spans = replay.spans(found)
     hotspots = gated(traces.hotspots(spans), verdicts, include_untrusted)
@@ -56,7 +58,7 @@ def analyze(observations: DataFrame, path: str | None = None, capabilities: Data
     sampled = observations.where("type = 'Sample'").select("session_id", "function_id", address.alias("address"), "context_id", weight.alias("weight_ns"))
     return Analysis(
         spans, replay.interrupts(found), replay.brackets(found), replay.facts(found), issues, verdicts, support, hotspots, replay.contexts(found), traces.cpu_totals(replay.contexts(found)),
-        counters.summary(measured) if measured is not None else sessions.where("false"), samples.sampling_hotspots(sampled), diagnostic_counts(observations, spans, own, issues),
+        counters.summary(measured) if measured is not None else sessions.where("false"), samples.sampling_hotspots(sampled), diagnostic_counts(counted, spans, own, issues),
     )
 
 
@@ -69,8 +71,9 @@ def gated(hotspots: DataFrame, verdicts: DataFrame, include_untrusted: bool = Fa
 
 
 def diagnostic_counts(observations: DataFrame, spans: DataFrame, facts: DataFrame, issues: DataFrame) -> DataFrame:
-    """Observations, activations, incomplete ones, facts and issues of each session."""
-    out = observations.groupBy("session_id").agg(F.count("*").alias("observations")).join(traces.incomplete_counts(spans), "session_id", "left")
+    """Observations, activations, incomplete ones, facts and issues of each session; ``observations`` may be counted already."""
+    counted = observations if "observations" in observations.columns else observations.groupBy("session_id").agg(F.count("*").alias("observations"))
+    out = counted.join(traces.incomplete_counts(spans), "session_id", "left")
     for name, df in (("facts", facts), ("issues", issues)):
         out = out.join(df.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "left")
     return out.fillna(0)

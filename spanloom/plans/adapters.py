@@ -18,6 +18,26 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("*", "row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, ns, l_partkey, l_suppkey) AS nth", "count(*) OVER (PARTITION BY o_orderkey) AS many")
 
 
+#: Rows of a table that a task takes; those of orders are sorted for more windows at once.
+TASK_ROWS = {"lineitem": 250_000, "orders": 100_000}
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """How many partitions the rows of a table make, so that tasks stay as large however long the table; counted from its footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // TASK_ROWS[name]))
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """All rows of a capture in one of n partitions, in which windows, the steps that rows are split into and a replay leave them."""
+    return rows.repartition(n, "session_id")
+
+
+def _steps(*cases: str) -> str:
+    """SQL of the steps of the first condition that holds, none if none does; of plain literals, so that it compiles."""
+    pairs = zip(cases[::2], cases[1::2], strict=True)
+    return f"CASE {' '.join(f'WHEN {when} THEN array({steps})' for when, steps in pairs)} ELSE CAST(array() AS ARRAY<INT>) END"
+
+
 def call_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each customer and a core for each order key modulo 4.
 
@@ -25,21 +45,14 @@ def call_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``line-<flag>`` that last as many nanoseconds as their quantity, end to end, orders one after another.
     """
     rows = order_lines(spark, sf_dir).selectExpr(
-        "concat('cust-', o_custkey) AS session_id", "o_orderkey % 4 AS core_id", "o_orderkey", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id",
-        "sum(ns) OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) AS until_ns", "ns", "nth", "many",
+        "concat('cust-', o_custkey) AS session_id", "o_orderkey % 4 AS core_id", "o_orderkey", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id", "ns", "nth", "many",
     )
-    events = F.array_compact(
-        F.array(
-            F.when(F.col("nth") == 1, F.struct(F.lit(0).alias("step"), F.lit("FunctionEnter").alias("type"), F.col("outer_id").alias("function_id"), (F.col("until_ns") - F.col("ns")).alias("ts_ns"))),
-            F.struct(F.lit(1).alias("step"), F.lit("FunctionEnter").alias("type"), F.col("inner_id").alias("function_id"), (F.col("until_ns") - F.col("ns")).alias("ts_ns")),
-            F.struct(F.lit(2).alias("step"), F.lit("FunctionExit").alias("type"), F.col("inner_id").alias("function_id"), F.col("until_ns").alias("ts_ns")),
-            F.when(F.col("nth") == F.col("many"), F.struct(F.lit(3).alias("step"), F.lit("FunctionExit").alias("type"), F.col("outer_id").alias("function_id"), F.col("until_ns").alias("ts_ns"))),
-        )
-    )
-    each = rows.select("session_id", "core_id", "o_orderkey", "nth", F.explode(events).alias("e"))
-    return each.select(
-        "session_id", ((F.col("o_orderkey") * 1000 + F.col("nth")) * 4 + F.col("e.step")).alias("ord"), F.concat(F.lit("core-"), F.col("core_id").cast("string")).alias("source_id"), F.lit(None).cast("bigint").alias("source_seq"), F.lit("exact").alias("quality"), "e.type", "e.ts_ns",
-        "core_id", F.concat(F.lit("t"), F.col("core_id").cast("string")).alias("context_id"), "e.function_id", F.lit(None).cast("string").alias("next_context_id"), F.lit(None).cast("string").alias("interrupt_id"), F.lit(None).cast("bigint").alias("duration_ns"),
+    rows = dealt(rows, parts(spark, sf_dir, "lineitem")).selectExpr("*", "sum(ns) OVER (PARTITION BY session_id, core_id ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) AS until_ns")
+    steps = _steps("nth = 1 AND nth = many", "0, 1, 2, 3", "nth = 1", "0, 1, 2", "nth = many", "1, 2, 3", "true", "1, 2")
+    each = rows.selectExpr("*", f"explode({steps}) AS step")
+    return each.selectExpr(
+        "session_id", "(o_orderkey * 1000 + nth) * 4 + step AS ord", "concat('core-', core_id) AS source_id", "CAST(NULL AS BIGINT) AS source_seq", "'exact' AS quality", "if(step < 2, 'FunctionEnter', 'FunctionExit') AS type", "if(step < 2, until_ns - ns, until_ns) AS ts_ns",
+        "core_id", "concat('t', core_id) AS context_id", "if(step IN (0, 3), outer_id, inner_id) AS function_id", "CAST(NULL AS STRING) AS next_context_id", "CAST(NULL AS STRING) AS interrupt_id", "CAST(NULL AS BIGINT) AS duration_ns",
     )
 
 
@@ -51,39 +64,22 @@ def busy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     interrupts ``irq-<flag>`` that call ``handler``. Of every fifth order key, a last call ``lost`` never returns; after
     every eleventh follows a gap of 3 ns, after every thirteenth a return that no call goes with.
     """
-    rows = order_lines(spark, sf_dir).withColumn("pause", F.expr("if(nth = many AND o_orderkey % 11 = 0, 3, 0)"))
-    rows = rows.selectExpr("*", "sum(ns + pause) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) - pause AS until_ns", "concat('t', o_orderkey % 3) AS task", "o_orderkey % 7 = 0 AS idle")
-    begin = F.col("until_ns") - F.col("ns")
-    first, last, busy = F.col("nth") == 1, F.col("nth") == F.col("many"), ~F.col("idle")
-    call, irq = F.concat(F.lit("line-"), F.col("l_returnflag")), F.concat(F.lit("irq-"), F.col("l_returnflag"))
-    odd = F.col("l_linenumber") % 2 == 1
-
-    def event(step: int, kind: str, ts: Column, context: Column | None = None, function: Column | None = None, following: Column | None = None, interrupt: Column | None = None, duration: Column | None = None) -> Column:
-        none = F.lit(None)
-        text = {"context_id": context, "function_id": function, "next_context_id": following, "interrupt_id": interrupt, "activation_id": F.col("l_linenumber").cast("string") if interrupt is not None else None}
-        values = [F.lit(step).alias("step"), F.lit(kind).alias("type"), ts.alias("ts_ns")] + [(none if v is None else v).cast("string").alias(k) for k, v in text.items()]
-        return F.struct(*values, (none if duration is None else duration).cast("bigint").alias("duration_ns"))
-
-    task, order, end = F.col("task"), F.lit("order"), F.col("until_ns")
-    events = F.array_compact(
-        F.array(
-            F.when(first, event(0, "ContextSwitch", begin, following=F.when(F.col("idle"), "idle").otherwise(task))),
-            F.when(first & busy, event(1, "FunctionEnter", begin, task, order)),
-            F.when(busy & ~odd, event(2, "InterruptEnter", begin, interrupt=irq)),
-            F.when(busy, event(3, "FunctionEnter", begin, F.when(odd, task).otherwise(irq), F.when(odd, call).otherwise(F.lit("handler")))),
-            F.when(busy, event(4, "FunctionExit", end, F.when(odd, task).otherwise(irq), F.when(odd, call).otherwise(F.lit("handler")))),
-            F.when(busy & ~odd, event(5, "InterruptExit", end, interrupt=irq)),
-            F.when(last & busy & (F.col("o_orderkey") % 5 == 0), event(6, "FunctionEnter", end, task, F.lit("lost"))),
-            F.when(last & busy, event(7, "FunctionExit", end, task, order)),
-            F.when(last & F.col("idle"), event(7, "Instant", end)),
-            F.when(last & busy & (F.col("o_orderkey") % 13 == 0), event(8, "FunctionExit", end, task, F.lit("ghost"))),
-            F.when(last & (F.col("o_orderkey") % 11 == 0), event(9, "TraceGap", end, duration=F.lit(3))),
-        )
-    )
-    each = rows.select("o_custkey", "o_orderkey", "nth", F.explode(events).alias("e"))
-    return each.select(
-        F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("session_id"), ((F.col("o_orderkey") * 1000 + F.col("nth")) * 10 + F.col("e.step")).alias("ord"), F.lit("probe").alias("source_id"), F.lit("exact").alias("quality"),
-        F.when(F.col("e.type") != "TraceGap", 0).cast("bigint").alias("core_id"), "e.type", "e.ts_ns", "e.context_id", "e.function_id", "e.next_context_id", "e.interrupt_id", "e.activation_id", "e.duration_ns",
+    rows = order_lines(spark, sf_dir).selectExpr(
+        "concat('cust-', o_custkey) AS session_id", "o_orderkey", "nth", "many", "l_linenumber", "ns", "if(nth = many AND o_orderkey % 11 = 0, 3, 0) AS pause", "concat('t', o_orderkey % 3) AS task", "o_orderkey % 7 <> 0 AS busy", "l_linenumber % 2 = 1 AS odd",
+        "concat('line-', l_returnflag) AS call", "concat('irq-', l_returnflag) AS irq",
+    )
+    rows = dealt(rows, parts(spark, sf_dir, "lineitem")).selectExpr("*", "sum(ns + pause) OVER (PARTITION BY session_id ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) - pause AS until_ns")
+    steps = [
+        _steps("nth = 1 AND busy", "0, 1", "nth = 1", "0"), _steps("busy AND NOT odd", "2, 3, 4, 5", "busy", "3, 4"), _steps("nth = many AND busy AND o_orderkey % 5 = 0", "6, 7", "nth = many", "7"),
+        _steps("nth = many AND busy AND o_orderkey % 13 = 0", "8"), _steps("nth = many AND o_orderkey % 11 = 0", "9"),
+    ]
+    each = rows.selectExpr("*", f"explode(concat({', '.join(steps)})) AS step")
+    return each.selectExpr(
+        "session_id", "(o_orderkey * 1000 + nth) * 10 + step AS ord", "'probe' AS source_id", "'exact' AS quality", "if(step < 9, CAST(0 AS BIGINT), NULL) AS core_id",
+        "CASE WHEN step = 0 THEN 'ContextSwitch' WHEN step IN (1, 3, 6) THEN 'FunctionEnter' WHEN step = 2 THEN 'InterruptEnter' WHEN step = 5 THEN 'InterruptExit' WHEN step = 9 THEN 'TraceGap' WHEN step = 7 AND NOT busy THEN 'Instant' ELSE 'FunctionExit' END AS type",
+        "if(step < 4, until_ns - ns, until_ns) AS ts_ns", "CASE WHEN step IN (3, 4) THEN if(odd, task, irq) WHEN step IN (1, 6, 8) OR step = 7 AND busy THEN task END AS context_id",
+        "CASE WHEN step IN (3, 4) THEN if(odd, call, 'handler') WHEN step = 1 OR step = 7 AND busy THEN 'order' WHEN step = 6 THEN 'lost' WHEN step = 8 THEN 'ghost' END AS function_id",
+        "if(step = 0, if(busy, task, 'idle'), NULL) AS next_context_id", "if(step IN (2, 5), irq, NULL) AS interrupt_id", "if(step IN (2, 5), CAST(l_linenumber AS STRING), NULL) AS activation_id", "if(step = 9, CAST(3 AS BIGINT), NULL) AS duration_ns",
     )
 
 

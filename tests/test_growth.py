@@ -7,7 +7,10 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from spanloom.operators import replay
+from spanloom.operators import health, replay, reports
+from spanloom.plans import adapters as A
+
+DATA = "/root/testdata/sf0.001"
 
 
 def switches(n: int) -> pa.Table:
@@ -38,3 +41,45 @@ def test_returns_without_a_call_below_a_deep_stack_are_not_quadratic():
     rows = found(table)
     assert time.perf_counter() - began < 8
     assert sum(r["code"] == "unmatched_function_exit" for r in rows) == n
+
+
+def test_kinds_leave_the_other_rows_out(spark):
+    every = replay.replay(A.busy_trace(spark, DATA))
+    for kind in ("span", "cpu", "fact"):
+        some = replay.replay(A.busy_trace(spark, DATA), kinds=(kind,), dealt=True)
+        assert some.where(f"kind <> '{kind}'").isEmpty()
+        assert some.exceptAll(every.where(f"kind = '{kind}'")).isEmpty() and every.where(f"kind = '{kind}'").exceptAll(some).isEmpty()
+
+
+def test_captures_are_counted_by_their_replay(spark):
+    rows = A.busy_trace(spark, DATA)
+    due = rows.groupBy("session_id").count()
+    for chunk in (50, 200_000):
+        got = replay.sessions(replay.replay(rows, chunk=chunk, kinds=replay.KINDS))
+        assert got.exceptAll(due).isEmpty() and due.exceptAll(got).isEmpty()
+
+
+def test_an_analysis_reads_its_observations_once(spark):
+    analysis = reports.analyze(A.busy_trace(spark, DATA), dealt=True)
+    for part in (analysis.verdicts, analysis.counts, analysis.support):
+        assert "lineitem" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_capped_facts_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    facts = spark.range(10).selectExpr("'s' AS session_id", "id AS ord", "'trace_gap' AS code").mapInArrow(tell, "session_id string, ord bigint, code string")
+    assert health.capped(facts, 4).count() == 4
+    assert seen.value == 10
+
+
+def test_tasks_stay_as_large_when_a_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(A, "TASK_ROWS", {"lineitem": 100, "orders": 100})
+    lines, orders = A.parts(spark, DATA, "lineitem"), A.parts(spark, DATA, "orders")
+    assert lines > 50 and orders > 14
+    assert A.busy_trace(spark, DATA).rdd.getNumPartitions() == lines
