@@ -91,9 +91,10 @@ class Nested:
     wrong: np.ndarray  # closings whose opening was not the innermost
 
 
-def nest(group: np.ndarray, opens: np.ndarray, name: np.ndarray, detail: np.ndarray) -> Nested:
-    """Pair the brackets of each group, which is sorted and in order; a closing fits openings of its name and, if it has one, its detail.
+def nest(group: np.ndarray, opens: np.ndarray, fits, keys: tuple[np.ndarray, np.ndarray] | None = None) -> Nested:
+    """Pair the brackets of each group, which is sorted and in order; ``fits(closing, opening)`` is by index.
 
+    ``keys``, a name and a detail of each bracket, say the same: a closing fits openings of its name and, if it has one, its detail.
     A closing takes the innermost opening that fits and closes what is open inside it. Where depths never fall below
     zero and all neighbours of one depth fit, pairs follow from depth alone.
     """
@@ -116,7 +117,7 @@ def nest(group: np.ndarray, opens: np.ndarray, name: np.ndarray, detail: np.ndar
     prior, later = order[:-1], order[1:]
     pair = (place[prior] == place[later]) & opens[prior] & ~opens[later]
     prior, later = prior[pair], later[pair]
-    bad[number[later[(name[later] != name[prior]) | (detail[later] >= 0) & (detail[later] != detail[prior])]]] = True
+    bad[number[later[~fits(later, prior)]]] = True
     good = ~bad[number[later]]
     match[later[good]], match[prior[good]] = prior[good], later[good]
     inner = np.flatnonzero(opens & (level > 1) & ~bad[number])
@@ -125,7 +126,24 @@ def nest(group: np.ndarray, opens: np.ndarray, name: np.ndarray, detail: np.ndar
     starts = np.append(np.flatnonzero(heads), n)
     for k in np.flatnonzero(bad).tolist():
         a, b = int(starts[k]), int(starts[k + 1])
-        _stacked(slice(a, b), opens, name, detail, match, parent, level, forced, wrong)
+        if keys is not None:
+            _stacked(slice(a, b), opens, *keys, match, parent, level, forced, wrong)
+            continue
+        stack: list[int] = []
+        for i in range(a, b):
+            if opens[i]:
+                parent[i] = stack[-1] if stack else -1
+                stack.append(i)
+                level[i] = len(stack)
+                continue
+            inside = np.array(stack[::-1], np.int64)
+            hit = np.flatnonzero(fits(np.full(len(inside), i), inside))
+            if len(hit):
+                own = inside[: hit[0] + 1]
+                match[own], match[i] = i, own[-1]
+                forced[own[:-1]] = True
+                wrong[i] = hit[0] > 0
+                del stack[-len(own) :]
     return Nested(match, parent, level, forced, wrong)
 
 
@@ -370,7 +388,7 @@ class Replay:
         self.i_row, self.i_group, self.i_opens, self.i_name, self.i_activation = row[order], group[order], opens[order], interrupt[order], activation[order]
         self.i_old = order  # below len(old): place in the state
         own = self.i_name * (len(self.activations.texts) + 1) + self.i_activation
-        self.i_pairs = p = nest(self.i_group, self.i_opens, own, np.full(len(own), -1))
+        self.i_pairs = p = nest(self.i_group, self.i_opens, lambda a, b: own[a] == own[b], (own, np.full(len(own), -1)))
         top = np.where(self.i_opens, np.arange(len(row)), np.where(p.match >= 0, p.parent[p.match], -2))
         known = np.maximum.accumulate(np.where(top > -2, np.arange(len(row)), -1)) if len(row) else top
         start = np.flatnonzero(heads_of(self.i_group))[np.cumsum(heads_of(self.i_group)) - 1] if len(row) else known
@@ -611,7 +629,7 @@ class Replay:
         order = np.argsort(context, kind="stable")
         context, row, opens, function, frame, source = (x[order] for x in (context, row, opens, function, frame, source))
         agrees = np.concatenate([~np.array(f["spoiled"], bool), self.c_agrees])[order]
-        p = nest(context, opens, function, frame)
+        p = nest(context, opens, lambda a, b: (function[a] == function[b]) & ((frame[a] < 0) | (frame[a] == frame[b])), (function, frame))
         # returns
         shut = np.flatnonzero(~opens)
         alone = shut[p.match[shut] < 0]
