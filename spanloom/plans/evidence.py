@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.tables import shared_path
+from spanloom.functions.tables import kept, shared_path
 from spanloom.operators import catalog, health, replay, samples, stacks, timeline
 from spanloom.plans import adapters as A
 from spanloom.plans.audit import ORACLE_SQL, QUERIES
@@ -169,7 +169,7 @@ def binary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw.unionByName(rows.select("session_id").distinct().select("session_id", F.lit(0).cast("bigint").alias("at"), F.lit("").alias("value")))
     path = shared_path(spark, "binary")
     raw.repartition("session_id").sortWithinPartitions("session_id", "at").select("session_id", "value").write.partitionBy("session_id").option("lineSep", "T3PF").text(path)
-    found = wire.read_records(spark, path, 256, 4096)
+    found = kept(wire.read_records(spark, path, 256, 4096), "records", unsized=True)  # read twice
     seen = wire.wire_observations(found)
     counted = seen.groupBy("session_id", "type").agg(
         F.count("*").alias("n"), F.sum("value").alias("value"), F.sum("missing").cast("bigint").alias("missing"), F.min("source_seq").alias("first_seq"), F.max("source_seq").alias("last_seq"), F.sum(F.col("ticks").cast("bigint")).alias("ticks"),

@@ -48,12 +48,13 @@ def read_records(spark: SparkSession, path: str, most_payload: int = 4096, block
     whole = named.where(~opened).select("session_id", "source_id", "content")
     blocks = listed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(block).cast("bigint"))))
     several = blocks.where(F.col("length") > block)
-    # blocks are dealt apart, as the listing itself may be one task
-    walked = several.select("path", "length", "at").repartition("path", "at").mapInArrow(lambda batches: _steps(batches, most_payload, block), STEPS)
+    # blocks are dealt apart, as the listing itself may be one task; into a fixed number, as rows that are only places look like too few for many
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    walked = several.select("path", "length", "at").repartition(tasks, "path", "at").mapInArrow(lambda batches: _steps(batches, most_payload, block), STEPS)
     linked = walked.groupBy("path").applyInPandas(lambda found: entries(found, block), "path string, at bigint, entry bigint, ord bigint")
     firsts = blocks.where(F.col("length") <= block).select("path", "length", "session_id", "source_id", "at", F.lit(0).cast("bigint").alias("entry"), F.lit(0).cast("bigint").alias("ord"))
     due = firsts.unionByName(several.join(linked, ["path", "at"]).select(*firsts.columns))
-    return due.repartition("path", "at").mapInArrow(lambda batches: _read(batches, most_payload, block), _SCHEMA).unionByName(whole.mapInArrow(lambda batches: _read_whole(batches, most_payload), _SCHEMA))
+    return due.repartition(tasks, "path", "at").mapInArrow(lambda batches: _read(batches, most_payload, block), _SCHEMA).unionByName(whole.mapInArrow(lambda batches: _read_whole(batches, most_payload), _SCHEMA))
 
 
 #: File systems that pyarrow opens; any other is read by Spark alone.

@@ -6,6 +6,8 @@ import struct
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanloom.sources import wire
 
 
@@ -99,3 +101,12 @@ def test_a_large_file_without_any_record_is_told(spark, tmp_path):
 def test_names_that_are_not_utf8(spark, tmp_path):
     got = wire.wire_observations(read(spark, tmp_path, record(1, 1, b"ok") + record(1, 2, b"\xff\xfe") + record(5, 3, struct.pack("<Q", 255) + b"fine"))).orderBy("ord").collect()
     assert [(r["name"], r["violation"]) for r in got] == [("ok", None), (None, "name_not_utf8"), ("fine", None)]
+
+
+def test_blocks_of_a_file_are_read_by_many_tasks(spark, tmp_path):
+    folder = tmp_path / "session_id=s"
+    folder.mkdir()
+    (folder / "a.bin").write_bytes(b"".join(wire.HEADER.pack(b"T3PF", 1, 1, 0, 0, 0, i, i, 0, 0) for i in range(5000)))
+    found = wire.read_records(spark, str(tmp_path), 256, 4096)
+    assert found.where("bad IS NULL").count() == 5000
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
