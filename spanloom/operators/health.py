@@ -78,7 +78,7 @@ def capped(facts: DataFrame, most: int = MOST_FACTS) -> DataFrame:
     Each task passes on no more than the first ``most`` facts of a session and a count of all, so that a session with
     millions of facts is not sorted in one place.
     """
-    rows = written(facts.select("session_id", "ord", "code"), "facts")  # read twice
+    rows = written(facts.select("session_id", "ord", "code"), "facts", unsized=True)  # read twice
     order = Window.partitionBy("session_id").orderBy("ord", "code")
     first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     many = rows.groupBy("session_id").agg(F.count("*").alias("many")).withColumnRenamed("session_id", "of")

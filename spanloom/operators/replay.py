@@ -56,16 +56,19 @@ def told(observations: DataFrame) -> Column:
     return out
 
 
-def replay(observations: DataFrame, switches: bool = True, chunk: int = CHUNK, kinds: tuple[str, ...] | None = None, dealt: bool = False) -> DataFrame:
+def replay(observations: DataFrame, switches: bool = True, chunk: int = CHUNK, kinds: tuple[str, ...] | None = None, dealt: bool = False, ordered: bool = False) -> DataFrame:
     """Everything found in the captures, or rows of some ``kinds``; without ``switches`` every call of another task reschedules its core.
 
     ``dealt``: each capture is in one partition already, as after a ``repartition`` by session_id, so rows stay where they are.
+    ``ordered``: its rows also follow one another there, by ``ord`` and with none of another capture between them, so nothing is sorted.
     """
-    rows = observations if "told" in observations.columns else observations.withColumn("told", told(observations))
+    tells = "reason" in observations.columns or {"key", "value"} <= set(observations.columns)
+    rows = observations.withColumn("told", told(observations)) if tells and "told" not in observations.columns else observations
     given = [c for c in INPUT if c in rows.columns]
     rows = rows.select("session_id", *given)
-    ordered = (rows if dealt else rows.repartition("session_id")).sortWithinPartitions("session_id", "ord")
-    return ordered.mapInArrow(lambda batches: replayed(batches, switches, chunk, kinds), OUTPUT)
+    if not ordered:
+        rows = (rows if dealt else rows.repartition("session_id")).sortWithinPartitions("session_id", "ord")
+    return rows.mapInArrow(lambda batches: replayed(batches, switches, chunk, kinds), OUTPUT)
 
 
 def replayed(batches: Iterator[pa.RecordBatch], switches: bool = True, chunk: int = CHUNK, kinds: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:

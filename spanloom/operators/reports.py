@@ -31,14 +31,14 @@ class Analysis:
     counts: DataFrame
 
 
-def analyze(observations: DataFrame, path: str | None = None, capabilities: DataFrame | None = None, include_untrusted: bool = False, dealt: bool = False) -> Analysis:
+def analyze(observations: DataFrame, path: str | None = None, capabilities: DataFrame | None = None, include_untrusted: bool = False, dealt: bool = False, ordered: bool = False) -> Analysis:
     """Replay captures and derive everything that one pass over them tells.
 
     Captures are replayed once: the replay is written, under ``path`` where one is given, and all parts read it, which
-    captures there are and how long they are, too. ``dealt``: as for a replay.
+    captures there are and how long they are, too. ``dealt`` and ``ordered``: as for a replay.
     Quantities are those of VALID captures, unless asked for; the activations of a DEGRADED one are inferred at best.
     """
-    found = kept(replay.replay(observations, kinds=replay.KINDS, dealt=dealt), "replay", path)
+    found = kept(replay.replay(observations, kinds=replay.KINDS, dealt=dealt, ordered=ordered), "replay", path, unsized=True)
     values = [c for c in ("counter_id", "value", "behaviour", "whole") if c in observations.columns]
     measured = counters.checked(observations.where("type = 'Counter'")) if len(values) == 4 else None
     own = replay.facts(found).select("session_id", "ord", "code")

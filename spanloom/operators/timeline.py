@@ -68,7 +68,10 @@ def observation_events(observations: DataFrame, raw_calls: bool = False) -> Data
 
 def _paired(rows: DataFrame) -> DataFrame:
     """Add ``begin_name``; drop brackets that repeat a begin or end nothing."""
-    sync, both = F.col("type").isin("SpanBegin", "SpanEnd"), F.col("type").isin("SpanBegin", "SpanEnd", "AsyncBegin", "AsyncEnd")
+    kind = F.col("type")
+    # of equalities, so that where rows are made of other types the optimizer drops this reading of them
+    sync = (kind == "SpanBegin") | (kind == "SpanEnd")
+    both = sync | (kind == "AsyncBegin") | (kind == "AsyncEnd")
     begin = F.col("type").isin("SpanBegin", "AsyncBegin")
     order = Window.partitionBy("session_id", "source_id", sync, F.when(sync, F.struct("core_id", "context_id", "span_id")), F.when(~sync, F.col("correlation_id"))).orderBy("ord")
     marks = rows.where(both).withColumn("before", F.lag(F.struct(begin.alias("begin"), "name")).over(order))
@@ -120,7 +123,7 @@ def tracks(events: DataFrame, numbers: int = NUMBERS) -> DataFrame:
     """
     used = events.groupBy("session_id", "owner").agg(F.min(F.struct("part", "ord")).alias("first"))
     own = F.coalesce("owner.fixed", F.lit(FIRST_OTHER) + (stable_track(F.concat("owner.kind", F.lit("\0"), "owner.key")) - FIRST_OTHER) % numbers)
-    left = kept(used.withColumn("track", own.cast("int")), "tracks")
+    left = kept(used.withColumn("track", own.cast("int")), "tracks", unsized=True)
     met = Window.partitionBy("session_id", "track").orderBy(F.col("owner.fixed").isNull(), "first", "owner.kind", "owner.key")
     for _ in range(numbers):
         placed = left.withColumn("place", F.row_number().over(met))

@@ -17,9 +17,9 @@ from spanloom.operators import replay
 FUNCTION = ("FunctionEnter", "FunctionExit")
 
 
-def function_spans(observations: DataFrame, dealt: bool = False) -> DataFrame:
+def function_spans(observations: DataFrame, dealt: bool = False, ordered: bool = False) -> DataFrame:
     """One row for each activation: elapsed, active, self and preempted time, parent and quality."""
-    return replay.spans(replay.replay(observations, kinds=("span",), dealt=dealt))
+    return replay.spans(replay.replay(observations, kinds=("span",), dealt=dealt, ordered=ordered))
 
 
 def hotspots(spans: DataFrame, by_context: bool = False) -> DataFrame:
@@ -36,9 +36,9 @@ def hotspots(spans: DataFrame, by_context: bool = False) -> DataFrame:
     return out.withColumn("average_ns", F.expr("inclusive_ns div activations")).withColumn("quality", unrank(F.col("q"), QUALITY)).drop("q")
 
 
-def context_cpu(observations: DataFrame, dealt: bool = False) -> DataFrame:
+def context_cpu(observations: DataFrame, dealt: bool = False, ordered: bool = False) -> DataFrame:
     """CPU time of each public context; all activations of an interrupt fold together."""
-    return replay.contexts(replay.replay(observations, kinds=("cpu",), dealt=dealt))
+    return replay.contexts(replay.replay(observations, kinds=("cpu",), dealt=dealt, ordered=ordered))
 
 
 def cpu_totals(contexts: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def deepest_path(spans: DataFrame) -> DataFrame:
 
     Activations are read twice, so what is needed of them is written once.
     """
-    spans = kept(spans.select("session_id", "ord", "context_id", "depth", "core_id", "ctx_kind", "function_id"), "spans")
+    spans = kept(spans.select("session_id", "ord", "context_id", "depth", "core_id", "ctx_kind", "function_id"), "spans", unsized=True)
     first = spans.groupBy("session_id").agg(F.max_by(F.struct("ord", "context_id", "depth", "core_id", "ctx_kind"), F.struct("depth", -F.col("ord"))).alias("deep"))
     opened = spans.join(first, "session_id").where("ord <= deep.ord AND depth <= deep.depth AND context_id <=> deep.context_id AND core_id <=> deep.core_id AND ctx_kind = deep.ctx_kind")
     latest = opened.groupBy("session_id", "deep", "depth").agg(F.max_by("function_id", "ord").alias("function_id"))

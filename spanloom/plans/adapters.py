@@ -11,11 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order, numbered within it; line numbers alone may repeat."""
+    """Lines with their order, numbered within it, and whether they are its last; line numbers alone may repeat."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("ns"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    return both.selectExpr("*", "row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, ns, l_partkey, l_suppkey) AS nth", "count(*) OVER (PARTITION BY o_orderkey) AS many")
+    order = "OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, ns, l_partkey, l_suppkey)"
+    return both.selectExpr("o_custkey", "o_orderkey", "o_orderstatus", "l_linenumber", "l_returnflag", "ns", f"row_number() {order} AS nth", f"lead(1) {order} IS NULL AS last")
 
 
 #: Rows of a table that a task takes; those of orders are sorted for more windows at once.
@@ -28,8 +29,13 @@ def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 
 def dealt(rows: DataFrame, n: int) -> DataFrame:
-    """All rows of a capture in one of n partitions, in which windows, the steps that rows are split into and a replay leave them."""
-    return rows.repartition(n, "session_id")
+    """All lines of a customer in one of n partitions, in which windows, the steps that lines are split into and a replay leave them."""
+    return rows.repartition(n, "o_custkey")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Lines of each customer one after another, before they are split into steps, so that many fewer and narrower rows are sorted than a replay reads."""
+    return rows.sortWithinPartitions("o_custkey", "o_orderkey", "nth")
 
 
 def _steps(*cases: str) -> str:
@@ -39,39 +45,39 @@ def _steps(*cases: str) -> str:
 
 
 def call_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session for each customer and a core for each order key modulo 4.
+    """A session for each customer and a core for each order key modulo 4; in order, as for a replay.
 
     An order is an activation ``order-<status>`` of task ``t<core>``; its lines are children
     ``line-<flag>`` that last as many nanoseconds as their quantity, end to end, orders one after another.
     """
-    rows = order_lines(spark, sf_dir).selectExpr(
-        "concat('cust-', o_custkey) AS session_id", "o_orderkey % 4 AS core_id", "o_orderkey", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id", "ns", "nth", "many",
-    )
-    rows = dealt(rows, parts(spark, sf_dir, "lineitem")).selectExpr("*", "sum(ns) OVER (PARTITION BY session_id, core_id ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) AS until_ns")
-    steps = _steps("nth = 1 AND nth = many", "0, 1, 2, 3", "nth = 1", "0, 1, 2", "nth = many", "1, 2, 3", "true", "1, 2")
+    rows = dealt(order_lines(spark, sf_dir).selectExpr("o_custkey", "o_orderkey", "o_orderstatus", "l_returnflag", "ns", "nth", "last", "o_orderkey % 4 AS core_id"), parts(spark, sf_dir, "lineitem"))
+    rows = in_order(rows.selectExpr("*", "sum(ns) OVER (PARTITION BY o_custkey, core_id ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) AS until_ns"))
+    rows = rows.selectExpr("concat('cust-', o_custkey) AS session_id", "core_id", "o_orderkey", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id", "ns", "nth", "last", "until_ns")
+    steps = _steps("nth = 1 AND last", "0, 1, 2, 3", "nth = 1", "0, 1, 2", "last", "1, 2, 3", "true", "1, 2")
     each = rows.selectExpr("*", f"explode({steps}) AS step")
     return each.selectExpr(
-        "session_id", "(o_orderkey * 1000 + nth) * 4 + step AS ord", "concat('core-', core_id) AS source_id", "CAST(NULL AS BIGINT) AS source_seq", "'exact' AS quality", "if(step < 2, 'FunctionEnter', 'FunctionExit') AS type", "if(step < 2, until_ns - ns, until_ns) AS ts_ns",
-        "core_id", "concat('t', core_id) AS context_id", "if(step IN (0, 3), outer_id, inner_id) AS function_id", "CAST(NULL AS STRING) AS next_context_id", "CAST(NULL AS STRING) AS interrupt_id", "CAST(NULL AS BIGINT) AS duration_ns",
+        "session_id", "(o_orderkey * 1000 + nth) * 4 + step AS ord", "concat('core-', core_id) AS source_id", "'exact' AS quality", "if(step < 2, 'FunctionEnter', 'FunctionExit') AS type", "if(step < 2, until_ns - ns, until_ns) AS ts_ns",
+        "core_id", "concat('t', core_id) AS context_id", "if(step IN (0, 3), outer_id, inner_id) AS function_id",
     )
 
 
 def busy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session for each customer on one core, whose orders follow one another, with everything that real captures hold.
+    """A session for each customer on one core, whose orders follow one another, with everything that real captures hold; in order, as for a replay.
 
     An order lasts as long as its lines, a nanosecond a unit of quantity. Every seventh order key is idle time, which an instant ends. Else its
     task is switched to and calls ``order``; lines of odd number are calls ``line-<flag>``, those of even number
     interrupts ``irq-<flag>`` that call ``handler``. Of every fifth order key, a last call ``lost`` never returns; after
     every eleventh follows a gap of 3 ns, after every thirteenth a return that no call goes with.
     """
-    rows = order_lines(spark, sf_dir).selectExpr(
-        "concat('cust-', o_custkey) AS session_id", "o_orderkey", "nth", "many", "l_linenumber", "ns", "if(nth = many AND o_orderkey % 11 = 0, 3, 0) AS pause", "concat('t', o_orderkey % 3) AS task", "o_orderkey % 7 <> 0 AS busy", "l_linenumber % 2 = 1 AS odd",
+    rows = dealt(order_lines(spark, sf_dir).selectExpr("o_custkey", "o_orderkey", "l_linenumber", "l_returnflag", "ns", "nth", "last", "if(last AND o_orderkey % 11 = 0, 3, 0) AS pause"), parts(spark, sf_dir, "lineitem"))
+    rows = in_order(rows.selectExpr("*", "sum(ns + pause) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) - pause AS until_ns"))
+    rows = rows.selectExpr(
+        "concat('cust-', o_custkey) AS session_id", "o_orderkey", "nth", "last", "l_linenumber", "ns", "until_ns", "concat('t', o_orderkey % 3) AS task", "o_orderkey % 7 <> 0 AS busy", "l_linenumber % 2 = 1 AS odd",
         "concat('line-', l_returnflag) AS call", "concat('irq-', l_returnflag) AS irq",
     )
-    rows = dealt(rows, parts(spark, sf_dir, "lineitem")).selectExpr("*", "sum(ns + pause) OVER (PARTITION BY session_id ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) - pause AS until_ns")
     steps = [
-        _steps("nth = 1 AND busy", "0, 1", "nth = 1", "0"), _steps("busy AND NOT odd", "2, 3, 4, 5", "busy", "3, 4"), _steps("nth = many AND busy AND o_orderkey % 5 = 0", "6, 7", "nth = many", "7"),
-        _steps("nth = many AND busy AND o_orderkey % 13 = 0", "8"), _steps("nth = many AND o_orderkey % 11 = 0", "9"),
+        _steps("nth = 1 AND busy", "0, 1", "nth = 1", "0"), _steps("busy AND NOT odd", "2, 3, 4, 5", "busy", "3, 4"), _steps("last AND busy AND o_orderkey % 5 = 0", "6, 7", "last", "7"),
+        _steps("last AND busy AND o_orderkey % 13 = 0", "8"), _steps("last AND o_orderkey % 11 = 0", "9"),
     ]
     each = rows.selectExpr("*", f"explode(concat({', '.join(steps)})) AS step")
     return each.selectExpr(

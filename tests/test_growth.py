@@ -86,3 +86,35 @@ def test_tasks_stay_as_large_when_a_table_grows(spark, monkeypatch):
     from spanloom.plans.registry import QUERIES
 
     assert "RepartitionByExpression [session_id#" in (plan := QUERIES["task_event_counts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()) and f"], {orders}" in plan
+
+
+def test_rows_in_order_are_neither_dealt_nor_sorted_again(spark):
+    for trace in (A.busy_trace, A.call_trace):
+        rows = trace(spark, DATA)
+        every, some = replay.replay(rows), replay.replay(rows, ordered=True)
+        assert some.exceptAll(every).isEmpty() and every.exceptAll(some).isEmpty()
+        assert "Sort [session_id" not in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_timeline_reads_no_marks_where_there_are_none(spark):
+    from spanloom.operators import timeline
+
+    rows = A.busy_trace(spark, DATA).selectExpr("*", "CAST(NULL AS BIGINT) AS source_seq")
+    assert "Union" not in timeline.observation_events(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_are_sized_again_after_a_narrow_table_is_kept(spark):
+    from spanloom.functions.tables import BATCH_BYTES, UNSIZED, kept, unsized_batches
+
+    given = spark.conf.get(BATCH_BYTES)
+    with unsized_batches(spark):
+        assert spark.conf.get(BATCH_BYTES) == UNSIZED
+    assert spark.conf.get(BATCH_BYTES) == given
+    assert kept(spark.range(3), "three", unsized=True).count() == 3 and spark.conf.get(BATCH_BYTES) == given
+    spark.conf.set(BATCH_BYTES, "1000000b")
+    try:
+        with unsized_batches(spark):
+            pass
+        assert spark.conf.get(BATCH_BYTES) == "1000000b"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
