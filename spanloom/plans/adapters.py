@@ -10,15 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order, numbered within it, and whether they are its last; line numbers alone may repeat."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("ns"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    order = "OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_returnflag, ns, l_partkey, l_suppkey)"
-    return both.selectExpr("o_custkey", "o_orderkey", "o_orderstatus", "l_linenumber", "l_returnflag", "ns", f"row_number() {order} AS nth", f"lead(1) {order} IS NULL AS last")
-
-
 #: Rows of a table that a task takes; those of orders are sorted for more windows at once.
 TASK_ROWS = {"lineitem": 250_000, "orders": 100_000}
 
@@ -33,9 +24,26 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "o_custkey")
 
 
+#: What orders the lines of an order, as line numbers alone may repeat; rows that agree in all of it are alike.
+WITHIN = "l_linenumber, l_returnflag, ns, l_partkey, l_suppkey"
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order, numbered within it, and whether they are its last.
+
+    Lines go from the join straight to their customer's partition and are sorted there once: windows over an order, windows over a
+    customer in ``WITHIN``'s order and ``in_order`` all find them as they need them.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("ns"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    rows = dealt(lines.join(orders, lines.l_orderkey == orders.o_orderkey).drop("l_orderkey"), parts(spark, sf_dir, "lineitem"))
+    order = f"OVER (PARTITION BY o_custkey, o_orderkey ORDER BY {WITHIN})"
+    return rows.selectExpr("*", f"row_number() {order} AS nth", f"lead(1) {order} IS NULL AS last")
+
+
 def in_order(rows: DataFrame) -> DataFrame:
     """Lines of each customer one after another, before they are split into steps, so that many fewer and narrower rows are sorted than a replay reads."""
-    return rows.sortWithinPartitions("o_custkey", "o_orderkey", "nth")
+    return rows.sortWithinPartitions("o_custkey", "o_orderkey", *WITHIN.split(", "))
 
 
 def _steps(*cases: str) -> str:
@@ -50,8 +58,9 @@ def call_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     An order is an activation ``order-<status>`` of task ``t<core>``; its lines are children
     ``line-<flag>`` that last as many nanoseconds as their quantity, end to end, orders one after another.
     """
-    rows = dealt(order_lines(spark, sf_dir).selectExpr("o_custkey", "o_orderkey", "o_orderstatus", "l_returnflag", "ns", "nth", "last", "o_orderkey % 4 AS core_id"), parts(spark, sf_dir, "lineitem"))
-    rows = in_order(rows.selectExpr("*", "sum(ns) OVER (PARTITION BY o_custkey, core_id ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) AS until_ns"))
+    # a sum for each core in the one order, as a window for each core would sort twice more; remainders of negative keys are cores, too
+    until = [f"WHEN {core} THEN sum(if(o_orderkey % 4 = {core}, ns, NULL)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, {WITHIN} ROWS UNBOUNDED PRECEDING)" for core in range(-3, 4)]
+    rows = in_order(order_lines(spark, sf_dir).selectExpr("*", "o_orderkey % 4 AS core_id", f"CASE o_orderkey % 4 {' '.join(until)} END AS until_ns"))
     rows = rows.selectExpr("concat('cust-', o_custkey) AS session_id", "core_id", "o_orderkey", "concat('order-', o_orderstatus) AS outer_id", "concat('line-', l_returnflag) AS inner_id", "ns", "nth", "last", "until_ns")
     steps = _steps("nth = 1 AND last", "0, 1, 2, 3", "nth = 1", "0, 1, 2", "last", "1, 2, 3", "true", "1, 2")
     each = rows.selectExpr("*", f"explode({steps}) AS step")
@@ -69,8 +78,8 @@ def busy_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     interrupts ``irq-<flag>`` that call ``handler``. Of every fifth order key, a last call ``lost`` never returns; after
     every eleventh follows a gap of 3 ns, after every thirteenth a return that no call goes with.
     """
-    rows = dealt(order_lines(spark, sf_dir).selectExpr("o_custkey", "o_orderkey", "l_linenumber", "l_returnflag", "ns", "nth", "last", "if(last AND o_orderkey % 11 = 0, 3, 0) AS pause"), parts(spark, sf_dir, "lineitem"))
-    rows = in_order(rows.selectExpr("*", "sum(ns + pause) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, nth ROWS UNBOUNDED PRECEDING) - pause AS until_ns"))
+    rows = order_lines(spark, sf_dir).selectExpr("*", "if(last AND o_orderkey % 11 = 0, 3, 0) AS pause")
+    rows = in_order(rows.selectExpr("*", f"sum(ns + pause) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, {WITHIN} ROWS UNBOUNDED PRECEDING) - pause AS until_ns"))
     rows = rows.selectExpr(
         "concat('cust-', o_custkey) AS session_id", "o_orderkey", "nth", "last", "l_linenumber", "ns", "until_ns", "concat('t', o_orderkey % 3) AS task", "o_orderkey % 7 <> 0 AS busy", "l_linenumber % 2 = 1 AS odd",
         "concat('line-', l_returnflag) AS call", "concat('irq-', l_returnflag) AS irq",

@@ -118,3 +118,17 @@ def test_batches_are_sized_again_after_a_narrow_table_is_kept(spark):
         assert spark.conf.get(BATCH_BYTES) == "1000000b"
     finally:
         spark.conf.unset(BATCH_BYTES)
+
+
+def test_lines_are_sorted_once(spark):
+    for trace in (A.busy_trace, A.call_trace):
+        plan = trace(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("- Sort [o_custkey") == 1 and plan.count("Window [") == 2
+
+
+
+def test_both_readings_of_a_trace_share_one_shuffle(spark):
+    rows = A.busy_trace(spark, DATA)
+    both = rows.groupBy("type").count().unionByName(rows.groupBy("type").agg({"ts_ns": "sum"}).toDF("type", "count"))
+    both.collect()
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
