@@ -25,15 +25,15 @@ PHASES = {
 
 @F.pandas_udf(IntegerType())
 def stable_track(owner: pd.Series) -> pd.Series:
-    """A track number that depends on its owner's name alone: FNV-1a of 64 bits, over distinct owners."""
-    with np.errstate(over="ignore"):
-        out = []
-        for name in owner:
-            h = np.uint64(0xCBF29CE484222325)
-            for byte in name.encode():
-                h = (h ^ np.uint64(byte)) * np.uint64(0x100000001B3)
-            out.append(FIRST_OTHER + int(h % np.uint64(NUMBERS)))
-    return pd.Series(out, dtype="int32")
+    """A track number that depends on its owner's name alone: FNV-1a of 64 bits, once for each distinct name of a batch."""
+    codes, names = pd.factorize(owner)
+    out = []
+    for name in names:
+        h = 0xCBF29CE484222325
+        for byte in name.encode():
+            h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        out.append(FIRST_OTHER + h % NUMBERS)
+    return pd.Series(np.array(out, np.int32)[codes])
 
 
 def observation_events(observations: DataFrame, raw_calls: bool = False) -> DataFrame:
@@ -121,14 +121,15 @@ def tracks(events: DataFrame, numbers: int = NUMBERS) -> DataFrame:
     use, beyond the last of ``numbers`` the first again. All owners try at once, round by round: of those that meet in
     a number the earliest keeps it and the others go on, which ends as if they had come one after another.
     """
-    used = events.groupBy("session_id", "owner").agg(F.min(F.struct("part", "ord")).alias("first"))
+    # the first place by numbers alone, as the least struct is found by sorting all events
+    used = events.groupBy("session_id", "owner", "part").agg(F.min("ord").alias("ord")).groupBy("session_id", "owner").agg(F.min(F.struct("part", "ord")).alias("first"))
     own = F.coalesce("owner.fixed", F.lit(FIRST_OTHER) + (stable_track(F.concat("owner.kind", F.lit("\0"), "owner.key")) - FIRST_OTHER) % numbers)
-    left = kept(used.withColumn("track", own.cast("int")), "tracks", unsized=True)
+    left = used.withColumn("track", own.cast("int"))
     met = Window.partitionBy("session_id", "track").orderBy(F.col("owner.fixed").isNull(), "first", "owner.kind", "owner.key")
     for _ in range(numbers):
         placed = left.withColumn("place", F.row_number().over(met))
         moved = F.lit(FIRST_OTHER) + (F.col("track") - FIRST_OTHER + 1) % numbers
-        step = kept(placed.withColumn("track", F.when(F.col("place") > 1, moved).otherwise(F.col("track")).cast("int")), "tracks")
+        step = kept(placed.withColumn("track", F.when(F.col("place") > 1, moved).otherwise(F.col("track")).cast("int")), "tracks", unsized=True)
         left = step.drop("place")
         if step.where("place > 1").isEmpty():
             return left

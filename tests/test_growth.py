@@ -132,3 +132,18 @@ def test_both_readings_of_a_trace_share_one_shuffle(spark):
     both = rows.groupBy("type").count().unionByName(rows.groupBy("type").agg({"ts_ns": "sum"}).toDF("type", "count"))
     both.collect()
     assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_a_track_number_is_found_once_for_each_name():
+    import pandas as pd
+
+    from spanloom.operators import timeline
+
+    h = 0xCBF29CE484222325
+    for byte in b"context\0t0":
+        h = (h ^ byte) * 0x100000001B3 % 2**64
+    began = time.perf_counter()
+    got = timeline.stable_track.func(pd.Series(["context\0t0"] * 500_000))
+    assert time.perf_counter() - began < 2
+    assert set(got) == {timeline.FIRST_OTHER + h % timeline.NUMBERS}
