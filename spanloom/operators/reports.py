@@ -79,6 +79,22 @@ def diagnostic_counts(observations: DataFrame, spans: DataFrame, facts: DataFram
     return out.fillna(0)
 
 
+def diagnostics(observations: DataFrame, dealt: bool = False, ordered: bool = False) -> DataFrame:
+    """The counts of ``analyze`` alone, by one grouping of the replay, of which nothing else is written.
+
+    Each fact that ``capped`` keeps is one issue, so their number follows from that of the facts.
+    """
+    found = replay.replay(observations, kinds=("session", "span", "fact"), dealt=dealt, ordered=ordered).select("session_id", "kind", "ord", "incomplete")
+    if {"counter_id", "value", "behaviour", "whole"} <= set(observations.columns):
+        broken = counters.checked(observations.where("type = 'Counter'")).where("violation IS NOT NULL")
+        found = found.unionByName(broken.select("session_id", F.lit("fact").alias("kind"), "ord", F.lit(None).cast("boolean").alias("incomplete")))
+    span, fact = F.col("kind") == "span", F.col("kind") == "fact"
+    out = found.groupBy("session_id").agg(
+        F.sum(F.when(F.col("kind") == "session", F.col("ord"))).alias("observations"), F.count_if(span).alias("spans"), F.count_if(span & F.col("incomplete")).alias("incomplete_spans"), F.count_if(fact).alias("facts"),
+    )
+    return kept(out.withColumn("issues", F.least("facts", F.lit(health.MOST_FACTS))), "diagnostics", unsized=True)
+
+
 #: Which metrics each family of a capture's declared abilities bears on.
 FAMILIES = {
     "function_events": ("wall_time", "active_time", "self_time", "call_count"),

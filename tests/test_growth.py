@@ -147,3 +147,13 @@ def test_a_track_number_is_found_once_for_each_name():
     got = timeline.stable_track.func(pd.Series(["context\0t0"] * 500_000))
     assert time.perf_counter() - began < 2
     assert set(got) == {timeline.FIRST_OTHER + h % timeline.NUMBERS}
+
+
+
+def test_diagnostics_are_counted_as_an_analysis_counts_them(spark, monkeypatch):
+    monkeypatch.setattr(health.capped, "__defaults__", (3,))
+    monkeypatch.setattr(health, "MOST_FACTS", 3)
+    rows = A.busy_trace(spark, DATA)
+    got, due = reports.diagnostics(rows, ordered=True), reports.analyze(rows, ordered=True).counts
+    assert got.columns == due.columns and not got.where("facts > issues").isEmpty()
+    assert got.exceptAll(due).isEmpty() and due.exceptAll(got).isEmpty()
