@@ -42,7 +42,7 @@ ARROW = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in OUTPUT.split(",
 #: Every kind of row.
 KINDS = ("span", "interrupt", "sync", "async", "cpu", "session", "fact")
 #: Rows of a chunk, at least.
-CHUNK = 200_000
+CHUNK = 100_000
 
 
 def told(observations: DataFrame) -> Column:

@@ -126,7 +126,6 @@ def test_lines_are_sorted_once(spark):
         assert plan.count("- Sort [o_custkey") == 1 and plan.count("Window [") == 2
 
 
-
 def test_both_readings_of_a_trace_share_one_shuffle(spark):
     rows = A.busy_trace(spark, DATA)
     both = rows.groupBy("type").count().unionByName(rows.groupBy("type").agg({"ts_ns": "sum"}).toDF("type", "count"))
@@ -134,6 +133,14 @@ def test_both_readings_of_a_trace_share_one_shuffle(spark):
     assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
 
 
+def test_diagnostics_are_counted_as_an_analysis_counts_them(spark, monkeypatch):
+    monkeypatch.setattr(health.capped, "__defaults__", (3,))
+    monkeypatch.setattr(health, "MOST_FACTS", 3)
+    rows = A.busy_trace(spark, DATA)
+    got, due = reports.diagnostics(rows, ordered=True), reports.analyze(rows, ordered=True).counts
+    assert got.columns == due.columns and not got.where("facts > issues").isEmpty()
+    assert got.exceptAll(due).isEmpty() and due.exceptAll(got).isEmpty()
+
 
 def test_a_track_number_is_found_once_for_each_name():
     import pandas as pd
@@ -149,11 +156,7 @@ def test_a_track_number_is_found_once_for_each_name():
     assert set(got) == {timeline.FIRST_OTHER + h % timeline.NUMBERS}
 
 
-
-def test_diagnostics_are_counted_as_an_analysis_counts_them(spark, monkeypatch):
-    monkeypatch.setattr(health.capped, "__defaults__", (3,))
-    monkeypatch.setattr(health, "MOST_FACTS", 3)
-    rows = A.busy_trace(spark, DATA)
-    got, due = reports.diagnostics(rows, ordered=True), reports.analyze(rows, ordered=True).counts
-    assert got.columns == due.columns and not got.where("facts > issues").isEmpty()
-    assert got.exceptAll(due).isEmpty() and due.exceptAll(got).isEmpty()
+def test_a_chunk_is_bounded_however_long_a_task():
+    assert replay.CHUNK <= 100_000
+    table = switches(150_000)
+    assert sum(r["kind"] == "session" for r in found(table, kinds=("session",))) > 1
