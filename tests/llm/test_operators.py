@@ -596,3 +596,14 @@ def test_null_ids_and_clashing_columns(spark):
     assert substring_dedup(docs).count() == minhash_dedup(docs).count() == compare_with_next(docs).count() == 3
     assert line_dedup(docs).count() == 3 and line_dedup(docs).columns[:5] == docs.columns
     assert license_scan(docs).count() == 3 and pack(docs).count() == 3
+
+
+def test_chunks_of_the_older_generation_are_taken_over_at_once(monkeypatch):
+    encoder = Encoder(vocabulary_path(None))
+    texts = pa.array(["one two drei, fünf", "two drei, one\nsix"])
+    due = encoder.encode(texts, 2)
+    encoder.old, encoder.young = encoder.young, {}
+    monkeypatch.setattr(encoder, "_head", encoder._whole)
+    monkeypatch.setattr(encoder, "_known", lambda chunk: pytest.fail("looked up one by one"))
+    got = encoder.encode(texts, 2)
+    assert got[0].tolist() == due[0].tolist() and got[1].tolist() == due[1].tolist() and encoder.young
