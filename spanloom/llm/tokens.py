@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from spanloom.llm.grams import text_slices
 
 #: Chunks that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Text that is cut and laid out at once; a chunk is looked up once in each, so a larger slice looks up fewer.
 SLICE_BYTES = 4 << 20
 
@@ -74,6 +74,7 @@ class Encoder:
         self.direct = True
         probe = ["Ma\u00dfe", "na\u00efve.", "w\u0142asna?!", "x)\"", "2024", "Ende$$\nNeu"]
         self.direct = all(self._chunk(x) == self._whole(" " + x) for x in probe)
+        self.young = {}  # what the probe left may not be so
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -89,9 +90,9 @@ class Encoder:
             shown = (lead + core).encode().decode("latin-1").translate(self.letters)
         else:
             return None
-        own = array("I", [x.id for x in self.pieces(shown)]).tobytes()
         if len(core) == len(word):
-            return own
+            return array("I", [x.id for x in self.pieces(shown)]).tobytes()
+        own = self._core(lead, core, shown)
         tail = word[len(core) :]
         ids = self.tails.get(tail)
         if ids is None:
@@ -100,6 +101,19 @@ class Encoder:
                 self.tails[tail] = ids
         return own + ids
 
+    def _core(self, lead: str, core: str, shown: str) -> bytes:
+        """Ids of a word that marks follow; without them it is a chunk of its own, so it may be remembered, and is remembered, as one."""
+        key = core if lead else _LINE + core
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is None:
+                ids = array("I", [x.id for x in self.pieces(shown)]).tobytes()
+                ids = ids if lead else self.line + ids
+            if len(key) <= LONGEST:
+                self.young[key] = ids
+        return ids if lead else ids[len(self.line) :]
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a blank and the chunk after it."""
         if _LINE in chunk:
@@ -167,7 +181,7 @@ class Encoder:
         first = list(map(self._head, values.take(pa.array(offsets[:-1])).to_pylist()))
         for i in apart.tolist():
             first[i] = self.text(texts[i].as_py())
-        distinct = coded.dictionary.to_pylist()
+        distinct = _listed(coded.dictionary)
         ids = list(map(self.young.get, distinct))
         young, old, pieces = self.young, self.old, self.pieces
         for i, known in enumerate(ids):
@@ -200,6 +214,12 @@ class Encoder:
         return flat[np.arange(ends[-1] if n else 0) + np.repeat(starts[number] - (ends - size), size)], np.diff(np.concatenate([[0], ends[at[1:] - 1]])) if n else np.zeros(0, np.int64)
 
 
+def _listed(chunks: pa.Array) -> list[str]:
+    """Strings without blanks as a list: joined by blanks and split again, which is faster than one by one."""
+    n = len(chunks)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, n], pa.int64()), chunks), " ")[0].as_py().split(" ") if n else []
+
+
 def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, ids, sizes) of slices of the column ``text``; null reads as empty."""
     for i, j, part in text_slices(batch["text"], SLICE_BYTES):

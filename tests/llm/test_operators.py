@@ -607,3 +607,20 @@ def test_chunks_of_the_older_generation_are_taken_over_at_once(monkeypatch):
     monkeypatch.setattr(encoder, "_known", lambda chunk: pytest.fail("looked up one by one"))
     got = encoder.encode(texts, 2)
     assert got[0].tolist() == due[0].tolist() and got[1].tolist() == due[1].tolist() and encoder.young
+
+
+def test_a_known_word_with_marks_behind_is_not_merged_again(monkeypatch):
+    encoder = Encoder(vocabulary_path(None))
+    due = Encoder(vocabulary_path(None)).encode(pa.array(["a reeror.\nOnention, w\u0142asna! 2024?"]), 2)[0].tolist()
+    encoder.encode(pa.array(["a reeror w\u0142asna 2024 x\nOnention"]), 2)
+    encoder.encode(pa.array(["x ! . , ?"]), 2)
+    monkeypatch.setattr(encoder, "pieces", lambda word: pytest.fail(f"{word} was merged again"))
+    assert encoder.encode(pa.array(["a reeror.\nOnention, w\u0142asna! 2024?"]), 2)[0].tolist() == due
+
+
+def test_a_tokenizer_that_is_not_taken_directly_remembers_nothing_of_its_probe(monkeypatch):
+    monkeypatch.setattr(Encoder, "_word", lambda self, lead, word: b"" if word == "Neu" else None)
+    encoder = Encoder(vocabulary_path(None))
+    assert not encoder.direct and not encoder.young
+    text = "Ende$$\nNeu Ende$$ Ma\u00dfe"
+    assert encoder.encode(pa.array(["x " + text]), 2)[0].tolist() == [*encoder.tokenizer.encode("x " + text, add_special_tokens=False).ids, 2]
