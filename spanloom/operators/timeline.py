@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,14 +25,13 @@ PHASES = {
 @F.pandas_udf(IntegerType())
 def stable_track(owner: pd.Series) -> pd.Series:
     """A track number that depends on its owner's name alone: FNV-1a of 64 bits, once for each distinct name of a batch."""
-    codes, names = pd.factorize(owner)
-    out = []
-    for name in names:
+    found = {}
+    for name in set(owner):  # not by pandas, which reads a name up to its first NUL only
         h = 0xCBF29CE484222325
         for byte in name.encode():
             h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        out.append(FIRST_OTHER + h % NUMBERS)
-    return pd.Series(np.array(out, np.int32)[codes])
+        found[name] = FIRST_OTHER + h % NUMBERS
+    return pd.Series([found[name] for name in owner], dtype="int32")
 
 
 def observation_events(observations: DataFrame, raw_calls: bool = False) -> DataFrame:
@@ -123,7 +121,7 @@ def tracks(events: DataFrame, numbers: int = NUMBERS) -> DataFrame:
     """
     # the first place by numbers alone, as the least struct is found by sorting all events
     used = events.groupBy("session_id", "owner", "part").agg(F.min("ord").alias("ord")).groupBy("session_id", "owner").agg(F.min(F.struct("part", "ord")).alias("first"))
-    own = F.coalesce("owner.fixed", F.lit(FIRST_OTHER) + (stable_track(F.concat("owner.kind", F.lit("\0"), "owner.key")) - FIRST_OTHER) % numbers)
+    own = F.coalesce("owner.fixed", F.lit(FIRST_OTHER) + (stable_track(F.concat("owner.kind", F.lit("\0"), F.coalesce("owner.key", F.lit("")))) - FIRST_OTHER) % numbers)
     left = used.withColumn("track", own.cast("int"))
     met = Window.partitionBy("session_id", "track").orderBy(F.col("owner.fixed").isNull(), "first", "owner.kind", "owner.key")
     for _ in range(numbers):

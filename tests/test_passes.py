@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,23 @@ def test_tracks_are_never_shared(spark):
         timeline.tracks(events, 11)
 
 
+def test_track_numbers_are_those_of_their_names(spark):
+    due = {"ctx-0": 592576069, "ctx-1": 593101304, "ctx-10": 689074151, "ctx-11": 688548916, "ctx-12": 688023681}  # by the SQL of numbered_tracks
+    got = timeline.stable_track.func(pd.Series([f"context\0{c}" for c in due]))
+    assert [n - timeline.FIRST_OTHER for n in got] == [*due.values()]
+    owner = F.struct(F.lit("context").alias("kind"), F.col("c").alias("key"), F.col("c").alias("label"), F.lit(None).cast("int").alias("fixed"))
+    events = spark.createDataFrame([("s", c, 0, k) for k, c in enumerate(due)], "session_id string, c string, part int, ord int").withColumn("owner", owner)
+    assert {r["owner"]["key"]: r["track"] - timeline.FIRST_OTHER for r in timeline.tracks(events).collect()} == due
+
+
+def test_an_owner_without_a_name_has_a_track(spark):
+    owner = F.struct(F.lit("interrupt").alias("kind"), F.col("c").alias("key"), F.col("c").alias("label"), F.lit(None).cast("int").alias("fixed"))
+    rows = spark.createDataFrame([("s", None, 0, 1), ("t", "0/a", 0, 1), ("t", None, 0, 2)], "session_id string, c string, part int, ord int").withColumn("owner", owner)
+    alone = timeline.tracks(rows.where("session_id = 's'")).collect()
+    both = timeline.tracks(rows).where("owner.key IS NULL").collect()
+    assert {r["track"] for r in alone} == {r["track"] for r in both} and None not in {r["track"] for r in both}
+
+
 def test_only_members_of_cycles_are_named(spark):
     edges = [("b", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a"), ("e", "h")]
     got = catalog.cycles(spark.createDataFrame(edges, "a string, b string")).collect()
