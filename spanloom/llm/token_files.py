@@ -159,19 +159,18 @@ def _ids_table(docs: DataFrame, end_id: int, tokenizer: str, path: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
-        for batch in batches:
-            for i, j, ids, sizes in encoded(batch, tokenizer, end_id):
-                n = j - i
-                kind = "<u2" if int(ids.max()) < 1 << 16 else "<u4"
-                width = int(kind[-1])
-                ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
-                packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
-                all_counts = np.bincount(ids)
-                some = np.flatnonzero(all_counts)
-                counts = np.stack([some, all_counts[some]]).astype("<i8").tobytes()
-                columns = [batch["range"].slice(i, n), pa.array(np.arange(seq, seq + n)), batch["missing"].slice(i, n), batch["key"].slice(i, n), pa.array(np.full(n, width, np.int32)), packed, pa.array([counts] + [None] * (n - 1), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["range", "seq", "missing", "key", "width", "ids", "counts"])
-                seq += n
+        for batch, i, j, ids, sizes in encoded(batches, tokenizer, end_id):
+            n = j - i
+            kind = "<u2" if int(ids.max()) < 1 << 16 else "<u4"
+            width = int(kind[-1])
+            ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
+            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+            all_counts = np.bincount(ids)
+            some = np.flatnonzero(all_counts)
+            counts = np.stack([some, all_counts[some]]).astype("<i8").tobytes()
+            columns = [batch["range"].slice(i, n), pa.array(np.arange(seq, seq + n)), batch["missing"].slice(i, n), batch["key"].slice(i, n), pa.array(np.full(n, width, np.int32)), packed, pa.array([counts] + [None] * (n - 1), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "seq", "missing", "key", "width", "ids", "counts"])
+            seq += n
 
     schema = "range int, seq bigint, missing boolean, key bigint, width int, ids binary, counts binary"
     dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)

@@ -18,6 +18,7 @@ import string
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from spanloom.llm.grams import text_slices
 
 #: Chunks that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 500_000, 64
+#: Chunks that an idle worker keeps from task to task, those that came first: common ones come early.
+KEPT = 50_000
 #: Text that is cut and laid out at once; a chunk is looked up once in each, so a larger slice looks up fewer.
 SLICE_BYTES = 4 << 20
 
@@ -163,6 +166,10 @@ class Encoder:
         first, *rest = chunks(text)
         return b"".join([self._head(first), *map(self._known, rest)])
 
+    def rest(self) -> None:
+        """Forget all chunks but those that came first."""
+        self.old, self.young = {}, dict(islice(self.young.items(), KEPT))
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (no nulls), each with the end id, one after another; and how many each has."""
         n = len(texts)
@@ -220,10 +227,18 @@ def _listed(chunks: pa.Array) -> list[str]:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, n], pa.int64()), chunks), " ")[0].as_py().split(" ") if n else []
 
 
-def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, ids, sizes) of slices of the column ``text``; null reads as empty."""
-    for i, j, part in text_slices(batch["text"], SLICE_BYTES):
-        yield i, j, *encoder(path).encode(part, end_id)
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, from row, to row, ids, sizes) of slices of the column ``text`` of a task's batches; null reads as empty.
+
+    After the last batch most chunks are forgotten, as idle workers would hold them while other stages run.
+    """
+    own = encoder(path)
+    try:
+        for batch in batches:
+            for i, j, part in text_slices(batch["text"], SLICE_BYTES):
+                yield batch, i, j, *own.encode(part, end_id)
+    finally:
+        own.rest()
 
 
 def _byte_letters() -> dict[int, int]:

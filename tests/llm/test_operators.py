@@ -624,3 +624,16 @@ def test_a_tokenizer_that_is_not_taken_directly_remembers_nothing_of_its_probe(m
     assert not encoder.direct and not encoder.young
     text = "Ende$$\nNeu Ende$$ Ma\u00dfe"
     assert encoder.encode(pa.array(["x " + text]), 2)[0].tolist() == [*encoder.tokenizer.encode("x " + text, add_special_tokens=False).ids, 2]
+
+
+def test_an_idle_worker_keeps_few_chunks(monkeypatch):
+    from spanloom.llm import tokens
+
+    path = tokens.vocabulary_path(None)
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    texts = [" ".join(f"common w{k}" for k in range(a, a + 200)) for a in (0, 200)]
+    batches = [pa.RecordBatch.from_pydict({"text": [x, None]}) for x in texts]
+    for _ in range(2):  # the second task meets what the first left
+        got = [ids.tolist() for _, _, _, ids, _ in tokens.encoded(iter(batches), path, 2)]
+        assert got == [[*tokens.encoder(path).tokenizer.encode(x, add_special_tokens=False).ids, 2, 2] for x in texts]
+        assert len(tokens.encoder(path).young) == 20 and not tokens.encoder(path).old and "w0" in tokens.encoder(path).young
